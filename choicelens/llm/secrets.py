@@ -74,8 +74,8 @@ def scan_into(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "t
 
 
 def findings(at: DataFrame, ledger: str, version: str = VERSION) -> DataFrame:
-    """Join the ledger's findings to all paths; blobs without findings need no join partner."""
-    found = _ledger(at.sparkSession, ledger).where((F.col("version") == version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
+    """Join the ledger's findings to all paths; it has one row a blob and version, and blobs without findings need no partner."""
+    found = _ledger(at.sparkSession, ledger).where((F.col("version") == version) & (F.size("spans") > 0))
     return at.select("path", "blob").join(found.select("blob", "spans").hint("merge"), "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
