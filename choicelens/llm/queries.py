@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import secrets
+from . import mixing, secrets, sharding, token_counts, token_output
 
-QUERIES = {"op7_secret_scan": secrets.query}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op2_shard_placement": sharding.query,
+    "op6_source_mix": mixing.query,
+    "op7_secret_scan": secrets.query,
+    "op9_token_output": token_output.query,
+    "op10_token_counts": token_counts.query,
+}
+ORACLES = {"op2_shard_placement": sharding.oracle()}
