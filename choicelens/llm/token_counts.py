@@ -7,8 +7,11 @@ frequent pre-tokens (a fixed number) meet their documents through a broadcast ta
 
 from __future__ import annotations
 
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 import public_tokenizers
@@ -31,12 +34,36 @@ def _specials(tok: Tokenizer) -> regex.Pattern | None:
     return regex.compile("|".join(regex.escape(x) for x in sorted(names, key=len, reverse=True))) if names else None
 
 
-def pretokens(text: str, special: regex.Pattern | None) -> tuple[list[str], int]:
+@cache
+def _newer(path: str) -> tuple[frozenset, regex.Pattern]:
+    """Letters and numbers that `regex` knows from a later Unicode than the library, which takes them for neither: the
+    library is asked about each one that Python's own tables lack."""
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(sys.maxunicode + 1))))
+    new = [c for c in known if unicodedata.category(c) == "Cn" and len(split(f"a{c}")) > 1 and len(split(f"1{c}")) > 1]
+    these = f"[{''.join(new)}]"
+    pattern = PRETOKEN.pattern.replace(r"[^\s\p{L}\p{N}]", rf"[[^\s\p{{L}}\p{{N}}]||{these}]")
+    for kind in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(f" ?{kind}", f" ?[{kind}--{these}]")
+    return frozenset(new), regex.compile(pattern, regex.V1)
+
+
+def _split(text: str, path: str) -> list[str]:
+    try:
+        text.encode("latin-1")  # the quick way to see that all is old
+    except UnicodeEncodeError:
+        new, careful = _newer(path)
+        if not new.isdisjoint(text):
+            return careful.findall(text)
+    return PRETOKEN.findall(text)
+
+
+def pretokens(text: str, special: regex.Pattern | None, path: str) -> tuple[list[str], int]:
     """Pre-tokens of a text, and the number of special strings in it, which count as one token each."""
     if special is None or "<" not in text or not special.search(text):
-        return PRETOKEN.findall(text), 0
+        return _split(text, path), 0
     between = special.split(text)
-    return [p for x in between for p in PRETOKEN.findall(x)], len(between) - 1
+    return [p for x in between for p in _split(x, path)], len(between) - 1
 
 
 def _frequencies(path: str):
@@ -45,7 +72,7 @@ def _frequencies(path: str):
         out = lambda: pd.DataFrame({"piece": list(seen.keys()), "freq": list(seen.values())})
         for b in batches:
             for text in b["text"]:
-                seen.update(pretokens(text, special)[0])
+                seen.update(pretokens(text, special, path)[0])
                 if len(seen) > GATHER:
                     yield out()
                     seen.clear()
@@ -71,7 +98,7 @@ def _per_document(path: str, head):
         for b in batches:
             key, piece, n = [], [], []
             for k, text in zip(b["key"], b["text"], strict=True):
-                found, sure = pretokens(text, special)
+                found, sure = pretokens(text, special, path)
                 got = [*map(known.get, found)]
                 key.append(k)
                 piece.append(None)

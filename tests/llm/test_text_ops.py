@@ -68,14 +68,14 @@ def test_token_counts(docs, corpus):
 
 
 def test_pretokens_of_every_character():
-    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok = Tokenizer.from_file(path := public_tokenizers.path("byte_bpe_50k.json"))
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
     odd = []
     for i in range(0, len(chars), 500):
         # Each character between a letter, a digit and spaces, all in one text.
         text = "".join(f"a{c}1{c} {c}" for c in chars[i : i + 500])
-        if [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)] != token_counts.pretokens(text, None)[0]:
-            odd += [c for c in chars[i : i + 500] if [f"a{c}1{c} {c}"[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(f"a{c}1{c} {c}")] != token_counts.pretokens(f"a{c}1{c} {c}", None)[0]]
+        if [text[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(text)] != token_counts.pretokens(text, None, path)[0]:
+            odd += [c for c in chars[i : i + 500] if [f"a{c}1{c} {c}"[a:b] for _, (a, b) in tok.pre_tokenizer.pre_tokenize_str(f"a{c}1{c} {c}")] != token_counts.pretokens(f"a{c}1{c} {c}", None, path)[0]]
     assert odd == [], (len(odd), [hex(ord(c)) for c in odd[:50]])
 
 
