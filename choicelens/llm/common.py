@@ -48,6 +48,12 @@ def release(spark: SparkSession, keep: DataFrame) -> None:
             _scratch.remove(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Python workers of this session get batches of so many rows: whole texts are long, and the default is 10,000."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits; null text has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))

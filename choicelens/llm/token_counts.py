@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import written
+from .common import small_batches, written
 
 MODEL = "byte_bpe_50k.json"
 #: Fixed value: the pre-tokenizer's pattern, as the vocabulary file's kind (byte-level, use_regex) has it.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Bounds of the broadcast table and of what a task gathers before it hands rows on.
-HEAD, HEAD_CHARS, GATHER = 200_000, 64, 200_000
+HEAD, HEAD_CHARS, GATHER = 100_000, 64, 100_000
 
 
 def _specials(tok: Tokenizer) -> regex.Pattern | None:
@@ -119,6 +119,7 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 1024) -> Data
     Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and null ids keep their own rows; other columns are ignored.
     """
     spark, path = docs.sparkSession, public_tokenizers.path(model)
+    small_batches(spark)
     text = F.coalesce("text", F.lit("")).alias("text")
     freq = docs.select(text).mapInPandas(_frequencies(path), "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
     counted = written(freq.mapInPandas(_pieces(path), "piece string, freq long, pieces int"), "pieces")

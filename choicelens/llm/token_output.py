@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import new_path, written
+from .common import new_path, small_batches, written
 
 MODEL, END = "word_bpe_49k.json", 2
-#: Ids in a file and in a partition of the writer at most (but a document stays whole), chunks a worker remembers.
-FILE_IDS, PART_IDS, REMEMBER = 2_000_000, 16_000_000, 300_000
+#: Ids in a file and in a partition of the writer at most (but a document stays whole), chunks a worker remembers (twice).
+FILE_IDS, PART_IDS, REMEMBER = 2_000_000, 16_000_000, 250_000
 MAGIC = b"CSV1"
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 #: str.split() also cuts at these, which are no white space to the tokenizer.
@@ -37,30 +37,51 @@ SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 
 
 class Chunks:
-    """Ids of texts. This tokenizer drops white space and merges nothing across it, so chunks between it are encoded once each."""
+    """Ids of texts. This tokenizer drops white space and merges nothing across it, so chunks between it are encoded once
+    each; nor does it merge letters with punctuation, so a word and the comma or stop behind it are encoded apart."""
 
     def __init__(self, path: str):
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.known: dict[str, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        if len(self.young) + len(new) > REMEMBER:  # what is in use moves over from old to young
+            self.old, self.young = self.young, {}
+        model, rest = self.tok.model, []
+        for c in new:
+            if c.isalpha() and c.isascii() and c.islower():  # the normalizer and the byte table leave these as they are
+                self.young[c] = np.array([t.id for t in model.tokenize(c)], "<u4").tobytes()
+            else:
+                rest.append(c)
+        for c, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.young[c] = np.array(e.ids, "<u4").tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         cut = [[x for x in SPACE.split(t) if x] if ODD.search(t) else t.split() for t in texts]
-        new = [c for c in set(chain.from_iterable(cut)) if c not in self.known]
-        if len(self.known) + len(new) > REMEMBER:
-            self.known, new = {}, list(set(chain.from_iterable(cut)))
-        for c, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, x)) for x in cut]
+        parts = {}
+        for c in set(chain.from_iterable(cut)):
+            low = c.lower() if c.isascii() and "<|" not in c else c  # ASCII capitals only: special strings keep theirs
+            parts[c] = (low[:-1], low[-1]) if low[-1] in ",." and low[:-1].isalpha() else (low,)
+        known = {}
+        for c in set(chain.from_iterable(parts.values())):
+            if (got := self.young.get(c)) is None and (got := self.old.get(c)) is not None:
+                self.young[c] = got
+            known[c] = got
+        self._learn(new := [c for c, got in known.items() if got is None])
+        known.update((c, self.young[c]) for c in new)
+        whole = {c: known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for c, p in parts.items()}
+        return [b"".join(map(whole.__getitem__, x)) for x in cut]
 
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, tail = Chunks(path), np.array([end], "<u4").tobytes()
         for b in batches:
-            for i in range(0, len(b), 500):
-                x = b.iloc[i : i + 500]
+            for i in range(0, len(b), 2000):
+                x = b.iloc[i : i + 2000]
                 got = [g + tail for g in ids(x["text"].tolist())]
                 yield pd.DataFrame({"doc_id": x["doc_id"], "n": [len(g) // 4 for g in got], "ids": [_narrow(g) for g in got]})
 
@@ -164,6 +185,7 @@ def write_ids(docs: DataFrame, folder: str, model: str = MODEL, end: int = END)
     ignored. An empty table leaves a folder with ranks only.
     """
     spark, path = docs.sparkSession, public_tokenizers.path(model)
+    small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     enc = written(rows.mapInPandas(_encode(path, end), "doc_id long, n long, ids binary"), "encoded")
     # As many counts as the vocabulary has ids, at most.
