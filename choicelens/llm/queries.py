@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, secrets, sharding, token_counts, token_output
+from . import decontamination, mixing, near_duplicates, secrets, sharding, token_counts, token_output
 
 QUERIES = {
     "op2_shard_placement": sharding.query,
+    "op5_near_duplicates": near_duplicates.query,
     "op6_source_mix": mixing.query,
     "op7_secret_scan": secrets.query,
+    "op8_decontamination": decontamination.query,
     "op9_token_output": token_output.query,
     "op10_token_counts": token_counts.query,
 }
