@@ -48,7 +48,7 @@ def release(spark: SparkSession, keep: DataFrame) -> None:
             _scratch.remove(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Python workers of this session get batches of so many rows: whole texts are long, and the default is 10,000."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

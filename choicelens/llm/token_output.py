@@ -28,7 +28,7 @@ from .common import new_path, small_batches, written
 
 MODEL, END = "word_bpe_49k.json", 2
 #: Ids in a file and in a partition of the writer at most (but a document stays whole), chunks a worker remembers (twice).
-FILE_IDS, PART_IDS, REMEMBER = 2_000_000, 16_000_000, 250_000
+FILE_IDS, PART_IDS, REMEMBER = 1_000_000, 16_000_000, 120_000
 MAGIC = b"CSV1"
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 #: str.split() also cuts at these, which are no white space to the tokenizer.
@@ -80,8 +80,8 @@ def _encode(path: str, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, tail = Chunks(path), np.array([end], "<u4").tobytes()
         for b in batches:
-            for i in range(0, len(b), 2000):
-                x = b.iloc[i : i + 2000]
+            for i in range(0, len(b), 300):
+                x = b.iloc[i : i + 300]
                 got = [g + tail for g in ids(x["text"].tolist())]
                 yield pd.DataFrame({"doc_id": x["doc_id"], "n": [len(g) // 4 for g in got], "ids": [_narrow(g) for g in got]})
 
