@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_duplicates, secrets, sharding, token_counts, token_output
+from . import decontamination, mixing, near_duplicates, quality, secrets, sharding, token_counts, token_output, url_filters
 
 QUERIES = {
     "op2_shard_placement": sharding.query,
+    "op3_quality": quality.query,
+    "op4_url_filter": url_filters.query,
     "op5_near_duplicates": near_duplicates.query,
     "op6_source_mix": mixing.query,
     "op7_secret_scan": secrets.query,
