@@ -147,12 +147,27 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     scores. Columns of any other name are ignored; without labels every score is 0.5.
     """
     x = described(docs)
-    marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
-    model = fit(x.where(~F.col("held_out")).join(marks.hint("merge"), "doc_id").select("x", "quality"))
-    got = x.mapInPandas(_score(model), "doc_id long, text_md5 string, held_out boolean, score double")
+    got = x.mapInPandas(_score(_fit(x, labels)), "doc_id long, text_md5 string, held_out boolean, score double")
     return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def _fit(x: DataFrame, labels: DataFrame) -> Discriminant:
+    marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
+    return fit(x.where(~F.col("held_out")).join(marks.hint("merge"), "doc_id").select("x", "quality"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs, all columns, whose score reaches the threshold: fitted as in classify, then scored in place, so that
+    whole texts are read twice but never shuffled."""
+    model = _fit(described(docs), labels)
+
+    @F.pandas_udf("double")
+    def score(text: pd.Series) -> pd.Series:
+        return pd.Series(model.score(np.array([statistics(t) for t in text], float).reshape(-1, D)))
+
+    return docs.where(score("text") >= threshold)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     return classify(docs, labels).drop("text_md5")

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_duplicates, quality, secrets, sharding, token_counts, token_output, url_filters
+from . import decontamination, mixing, near_duplicates, neighbours, quality, secrets, sharding, token_counts, token_output, url_filters
 
 QUERIES = {
+    "op1_nearest": neighbours.query,
     "op2_shard_placement": sharding.query,
     "op3_quality": quality.query,
     "op4_url_filter": url_filters.query,
