@@ -26,7 +26,16 @@ MODEL = "byte_bpe_50k.json"
 #: Fixed value: the pre-tokenizer's pattern, as the vocabulary file's kind (byte-level, use_regex) has it.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Bounds of the broadcast table and of what a task gathers before it hands rows on.
-HEAD, HEAD_CHARS, GATHER = 100_000, 64, 100_000
+HEAD, HEAD_CHARS, GATHER = 100_000, 64, 50_000
+
+
+@cache
+def tokenizer(path: str) -> Tokenizer:
+    """One for each worker process, however many tasks it runs."""
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
 
 
 def _specials(tok: Tokenizer) -> regex.Pattern | None:
@@ -38,7 +47,7 @@ def _specials(tok: Tokenizer) -> regex.Pattern | None:
 def _newer(path: str) -> tuple[frozenset, regex.Pattern]:
     """Letters and numbers that `regex` knows from a later Unicode than the library, which takes them for neither: the
     library is asked about each one that Python's own tables lack."""
-    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    split = tokenizer(path).pre_tokenizer.pre_tokenize_str
     known = regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, range(sys.maxunicode + 1))))
     new = [c for c in known if unicodedata.category(c) == "Cn" and len(split(f"a{c}")) > 1 and len(split(f"1{c}")) > 1]
     these = f"[{''.join(new)}]"
@@ -68,7 +77,7 @@ def pretokens(text: str, special: regex.Pattern | None, path: str) -> tuple[list
 
 def _frequencies(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        special, seen = _specials(Tokenizer.from_file(path)), Counter()
+        special, seen = _specials(tokenizer(path)), Counter()
         out = lambda: pd.DataFrame({"piece": list(seen.keys()), "freq": list(seen.values())})
         for b in batches:
             for text in b["text"]:
@@ -83,18 +92,16 @@ def _frequencies(path: str):
 
 def _pieces(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
+        tok = tokenizer(path)
         for b in batches:
-            yield b.assign(pieces=[len(e.ids) for e in tok.encode_batch(b["piece"].tolist(), add_special_tokens=False)])
+            yield b.assign(pieces=[len(e.ids) for e in tok.encode_batch_fast(b["piece"].tolist(), add_special_tokens=False)])
 
     return run
 
 
 def _per_document(path: str, head):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        special, known = _specials(Tokenizer.from_file(path)), head.value
+        special, known = _specials(tokenizer(path)), head.value
         for b in batches:
             key, piece, n = [], [], []
             for k, text in zip(b["key"], b["text"], strict=True):

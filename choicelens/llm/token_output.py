@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -22,13 +23,13 @@ import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from .common import new_path, small_batches, written
+from .token_counts import tokenizer
 
 MODEL, END = "word_bpe_49k.json", 2
 #: Ids in a file and in a partition of the writer at most (but a document stays whole), chunks a worker remembers (twice).
-FILE_IDS, PART_IDS, REMEMBER = 1_000_000, 16_000_000, 120_000
+FILE_IDS, PART_IDS, REMEMBER = 500_000, 16_000_000, 100_000
 MAGIC = b"CSV1"
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 #: str.split() also cuts at these, which are no white space to the tokenizer.
@@ -41,9 +42,7 @@ class Chunks:
     each; nor does it merge letters with punctuation, so a word and the comma or stop behind it are encoded apart."""
 
     def __init__(self, path: str):
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
+        self.tok = tokenizer(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -76,9 +75,15 @@ class Chunks:
         return [b"".join(map(whole.__getitem__, x)) for x in cut]
 
 
+@cache
+def _chunks(path: str) -> Chunks:
+    """One for each worker process: what it has encoded serves its later tasks."""
+    return Chunks(path)
+
+
 def _encode(path: str, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tail = Chunks(path), np.array([end], "<u4").tobytes()
+        ids, tail = _chunks(path), np.array([end], "<u4").tobytes()
         for b in batches:
             for i in range(0, len(b), 300):
                 x = b.iloc[i : i + 300]
