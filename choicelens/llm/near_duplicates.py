@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE, SIMILARITY, components, small_batches, words, written
 
-SKETCHES, LEAST, LARGE = 24, 3, 32
+SKETCHES, LEAST, LARGE = 24, 3, 200
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
@@ -162,10 +162,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         mixed = written(at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("bucket", "key").alias("r"), "key", "n", "label")).alias("pivot")).where("lo != hi").select("bucket", "pivot"), "mixed")
         return at.join(mixed.hint("merge"), "bucket")
 
-    def crossing(at: DataFrame) -> DataFrame:
-        """Rows of meeting places where several components meet, with the place's `size`."""
-        mixed = at.groupBy("meet").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo != hi")
-        return at.join(mixed.select("meet", "size").hint("merge"), "meet")
+    def meeting(at: DataFrame, share: int) -> DataFrame:
+        """Pairs of two components that share `share` buckets, each at one place: the least bucket or two that they share.
+        Nodes of a bucket's main component don't meet one another: they come in on one side only."""
+        left = at.where("label != main").select(*[F.col(c).alias(f"l_{c}") for c in ("bucket", "other", "key", "n", "label", "mine")])
+        common = F.array_sort(F.array_intersect("l_mine", "mine"))
+        here = (F.get(common, F.lit(0)) == F.col("bucket")) & ((F.col("other") == 0) | (F.get(common, F.lit(1)) == F.col("other")))
+        fit = F.least("l_n", "n") >= least * F.greatest("l_n", "n")
+        same = (F.col("l_bucket") == F.col("bucket")) & (F.col("l_other") == F.col("other"))
+        return left.join(at.hint("merge"), same & (F.col("l_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("l_label") < F.col("label"))) & fit & (F.size(common) >= share) & here).select("l_key", "key", "l_n", "n")
 
     for turn in ("pivot", "across"):
         rest = written(apart(), "apart")
@@ -174,17 +179,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if turn == "pivot":
             more = rest.where("label != pivot.label").select(F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb"))
         else:
-            # Two nodes that share buckets of which each is mixed: the pairs (and triples) of those buckets are where they meet.
+            # Two nodes that share buckets, each of them mixed, meet in the least one; in a crowded one, in the least two.
             side = rest.select("bucket", "key", "n", "label")
-            by = F.col("bucket") < F.col("other")
-            other = side.select(F.col("bucket").alias("other"), "key")
-            two = side.join(other.hint("merge"), "key").where(by).select(F.xxhash64("bucket", "other").alias("meet"), F.col("other").alias("last"), "key", "n", "label")
-            two = written(crossing(two), "meet")
-            three = two.where(F.col("size") > LARGE).select("meet", "last", "key", "n", "label").join(other.hint("merge"), "key").where("last < other")
-            three = crossing(three.select(F.xxhash64("meet", "other").alias("meet"), F.col("other").alias("last"), "key", "n", "label"))
-            meet = written(two.where(F.col("size") <= LARGE).union(three).select("meet", "key", "n", "label"), "meet")
-            l, r = meet.select("meet", *[F.col(c).alias(f"l_{c}") for c in ("key", "n", "label")]), meet
-            both = l.join(r.hint("merge"), (l["meet"] == r["meet"]) & (F.col("l_label") < F.col("label")))
+            mine = side.groupBy("key").agg(F.sort_array(F.collect_list("bucket")).alias("mine"))
+            by = side.groupBy("bucket", "label").agg(F.count("*").alias("of"))
+            crowd = by.groupBy("bucket").agg(F.sum("of").alias("size"), F.max_by("label", F.struct("of", "label")).alias("main"))
+            side = written(side.join(mine.hint("merge"), "key").join(crowd.hint("merge"), "bucket").withColumn("other", F.lit(0).cast("long")), "sides")
+            few, many = side.where(F.col("size") <= LARGE), side.where(F.col("size") > LARGE).drop("other")
+            two = many.withColumn("other", F.explode(F.filter("mine", lambda x: x > F.col("bucket")))).select(side.columns)
+            both = meeting(few, 2).unionByName(meeting(two, 3))
             more = both.select(F.col("l_key").alias("a"), F.col("key").alias("b"), F.col("l_n").alias("na"), F.col("n").alias("nb"))
         fresh = written(pairs(more).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(fresh)
