@@ -11,9 +11,9 @@ and the folder's `ranks` file holds the vocabulary's ids by rank (u32). Files ar
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -29,7 +29,7 @@ from .token_counts import tokenizer
 
 MODEL, END = "word_bpe_49k.json", 2
 #: Ids in a file and in a partition of the writer at most (but a document stays whole), chunks a worker remembers (twice).
-FILE_IDS, PART_IDS, REMEMBER = 500_000, 16_000_000, 100_000
+FILE_IDS, PART_IDS, REMEMBER = 500_000, 16_000_000, 500_000
 MAGIC = b"CSV1"
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 #: str.split() also cuts at these, which are no white space to the tokenizer.
@@ -37,42 +37,42 @@ ODD = regex.compile("[\x1c-\x1f]")
 SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
-class Chunks:
-    """Ids of texts. This tokenizer drops white space and merges nothing across it, so chunks between it are encoded once
-    each; nor does it merge letters with punctuation, so a word and the comma or stop behind it are encoded apart."""
+class Chunks(dict):
+    """Ids of the chunks between white space, as bytes. This tokenizer drops white space and merges nothing across it, so
+    a chunk is encoded when it is first met; nor does it merge letters with punctuation, so a word and the comma or stop
+    behind it are encoded apart."""
 
     def __init__(self, path: str):
-        self.tok = tokenizer(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.young) + len(new) > REMEMBER:  # what is in use moves over from old to young
-            self.old, self.young = self.young, {}
-        model, rest = self.tok.model, []
-        for c in new:
-            if c.isalpha() and c.isascii() and c.islower():  # the normalizer and the byte table leave these as they are
-                self.young[c] = np.array([t.id for t in model.tokenize(c)], "<u4").tobytes()
+        super().__init__()
+        self.tok, self.old = tokenizer(path), {}
+        # Lower-case Latin letters: normalization leaves them alone, and the byte table turns them into these.
+        letters = [c for c in map(chr, range(256)) if c.isalpha() and c.islower() and c not in "ªº"]
+        self.table = {ord(c): self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
+        self.plain = frozenset(letters)
+
+    def _encode(self, c: str) -> bytes:
+        if self.plain.issuperset(c):
+            return array("I", [t.id for t in self.tok.model.tokenize(c.translate(self.table))]).tobytes()
+        return array("I", self.tok.encode(c, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, c: str) -> bytes:
+        if (got := self.old.get(c)) is None:
+            low = c.lower() if c.isascii() and "<|" not in c else c  # ASCII capitals only: special strings keep theirs
+            if low != c:
+                got = self[low]
+            elif low[-1] in ",." and low[:-1].isalpha():
+                got = self[low[:-1]] + self[low[-1]]
             else:
-                rest.append(c)
-        for c, e in zip(rest, self.tok.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.young[c] = np.array(e.ids, "<u4").tobytes()
+                got = self._encode(low)
+        if len(self) >= REMEMBER:  # what is in use comes back from the old ones
+            self.old = dict(self)
+            self.clear()
+        self[c] = got
+        return got
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [[x for x in SPACE.split(t) if x] if ODD.search(t) else t.split() for t in texts]
-        parts = {}
-        for c in set(chain.from_iterable(cut)):
-            low = c.lower() if c.isascii() and "<|" not in c else c  # ASCII capitals only: special strings keep theirs
-            parts[c] = (low[:-1], low[-1]) if low[-1] in ",." and low[:-1].isalpha() else (low,)
-        known = {}
-        for c in set(chain.from_iterable(parts.values())):
-            if (got := self.young.get(c)) is None and (got := self.old.get(c)) is not None:
-                self.young[c] = got
-            known[c] = got
-        self._learn(new := [c for c, got in known.items() if got is None])
-        known.update((c, self.young[c]) for c in new)
-        whole = {c: known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for c, p in parts.items()}
-        return [b"".join(map(whole.__getitem__, x)) for x in cut]
+        cut = ([x for x in SPACE.split(t) if x] if ODD.search(t) else t.split() for t in texts)
+        return [b"".join(map(self.__getitem__, x)) for x in cut]
 
 
 @cache
