@@ -11,9 +11,6 @@ from ..functions import lexicon as lx
 from ..functions.text import amount, first_match, hits, java, mentions_amount, money_text, quotes, stated_total, states_total
 from ..plans.captures import Captures, findings
 
-TRACE = Window.partitionBy("trace_id").orderBy("step_ord")
-
-
 def _first_of_control(df: DataFrame) -> DataFrame:
     """First matching row of each control (id, label) of a trace."""
     w = Window.partitionBy("trace_id", "e.id", "e.label_text").orderBy("step_ord", "elem_ord")
@@ -104,7 +101,7 @@ def detect_comparison_prevention(cap: Captures) -> DataFrame:
 
 def detect_bait_and_switch(cap: Captures) -> DataFrame:
     """A button's price differs from the next page's by more than 2 %, and by more than 1."""
-    nxt = cap.states.withColumn("next", F.lead("price").over(TRACE)).where("next IS NOT NULL")
+    nxt = cap.states.withColumn("next", F.lead("price").over(Window.partitionBy("trace_id").orderBy("step_ord"))).where("next IS NOT NULL")
     df = nxt.select("trace_id", "step_ord", "step_name", "next", F.posexplode("buttons").alias("elem_ord", "e"))
     df = df.withColumn("claimed", F.replace(F.regexp_extract("e.text", r"[₹$][\s ]?([\d,]+(?:\.\d+)?)", 1), F.lit(","), F.lit("")).try_cast("double"))
     df = df.where("abs(next - claimed) > greatest(claimed * 0.02, 1)")

@@ -13,6 +13,11 @@ from ..functions import lexicon as lx
 from ..functions.text import all_matches, redact
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Streams need a time with a zone for their watermarks."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")) if events.isStreaming else events
+
+
 def page_flags(snapshots: DataFrame) -> DataFrame:
     """Stateless page checks: (id, ts, urgency, recurring, guilt), the number of patterns of each list that occur."""
     n = lambda ws, name: F.size(all_matches(F.col("text"), ws)).alias(name)
@@ -22,17 +27,17 @@ def page_flags(snapshots: DataFrame) -> DataFrame:
 def live_pattern_counts(events: DataFrame, kind: str, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """Counts by window of event time; later than the watermark is dropped."""
     w = F.window("ts", size, slide or size)
-    return events.withWatermark("ts", late).groupBy(w, kind).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), kind, "n")
+    return _timed(events).withWatermark("ts", late).groupBy(w, kind).agg(F.count("*").alias("n")).select(F.col("window.start").cast("timestamp_ntz").alias("start"), kind, "n")
 
 
 def debounced_snapshots(events: DataFrame, key: str, gap: str, late: str = "10 minutes") -> DataFrame:
     """The last snapshot of each burst of changes: (key, start, last, n)."""
-    df = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("last"), F.count("*").alias("n"))
-    return df.select(key, F.col("session_window.start").alias("start"), "last", "n")
+    df = _timed(events).withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.max(F.struct("ts", "event_id"))["event_id"].alias("last"), F.count("*").alias("n"))
+    return df.select(key, F.col("session_window.start").cast("timestamp_ntz").alias("start"), "last", "n")
 
 
 def dedupe_evaluations(events: DataFrame, key: list[str], late: str = "10 minutes") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
+    return _timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(key) if events.isStreaming else events.dropDuplicates(key)
 
 
 def first_price_drip(events: DataFrame, key: str, price: str, session_day: str = "day") -> DataFrame:
@@ -95,8 +100,8 @@ def route_limits(requests: DataFrame, rules: list[tuple[str, str, int]]) -> Data
 
 def reload_staleness(first: DataFrame, second: DataFrame, within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
     """Pairs (key, ts, value, again) of a step's captures where the later one, in time, says the same."""
-    a = first.withWatermark("ts", late).alias("a")
-    b = second.withWatermark("ts", late).alias("b")
+    a = _timed(first).withWatermark("ts", late).alias("a")
+    b = _timed(second).withWatermark("ts", late).alias("b")
     near = F.expr(f"b.ts > a.ts AND b.ts <= a.ts + INTERVAL {within}")
     return a.join(b, (F.col("a.key") == F.col("b.key")) & near).where("a.value = b.value").select(F.col("a.key").alias("key"), F.col("a.ts").alias("ts"), F.col("a.value").alias("value"), F.col("b.ts").alias("again"))
 
