@@ -47,20 +47,23 @@ def first_price_drip(events: DataFrame, key: str, price: str, session_day: str =
 
 
 def _drip(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    first = state.get[0] if state.exists else None
-    for b in batches:
-        b = b.sort_values(["ts", "event_id"])
-        if first is None and len(b):
-            first = float(b["price"].iloc[0])
-        yield b[b["price"] > first * 1.02].assign(first_price=first)[["key", "event_id", "price", "first_price"]]
-    if first is not None:
-        state.update((first,))
-        state.setTimeoutDuration(3_600_000)
-
-
-def first_price_stream(events: DataFrame) -> DataFrame:
-    """Streaming twin for (key, ts, event_id, price): each key's first price is kept for an hour after its last event."""
-    return events.groupBy("key").applyInPandasWithState(_drip, "key long, event_id long, price double, first_price double", "first double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    if state.hasTimedOut:
+        state.remove()
+        return
+    first, last = state.get if state.exists else (None, 0)
+    rows = pd.concat([*batches]).sort_values(["ts", "event_id"])
+    if first is None and len(rows):
+        first = float(rows["price"].iloc[0])
+    last = max([last, *(int(x.timestamp() * 1000) for x in rows["ts"])])
+    state.update((first, last))
+    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 3_600_000)
+    yield rows[rows["price"] > first * 1.02].assign(first_price=first)[["key", "event_id", "price", "first_price"]]
+
+
+def first_price_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
+    """Streaming twin for (key, ts, event_id, price): a key's first price is kept for an hour of event time after its last event."""
+    df = _timed(events).withWatermark("ts", late)
+    return df.groupBy("key").applyInPandasWithState(_drip, "key long, event_id long, price double, first_price double", "first double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def _admit(limit: int, window: float):
