@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -69,10 +68,6 @@ def with_shingles(df: DataFrame, text: str, out: str, k: int = SHINGLE) -> DataF
     return df.withColumn(out, F.when(F.size(h) >= k, many).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(none)).drop(w, h)
 
 
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def components(links: DataFrame, name: str) -> DataFrame:
     """(node, label): the least node of its connected component, for each node of links (a, b).
 
@@ -90,7 +85,3 @@ def components(links: DataFrame, name: str) -> DataFrame:
         if step.where("was != label").isEmpty():
             return label
     raise RuntimeError("connected components did not settle")
-
-
-def blocks(n: int, size: int) -> int:
-    return max(1, math.ceil(n / size))
