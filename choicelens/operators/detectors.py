@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.text import amount, first_match, hits, java, mentions_amount, money_text, quotes, stated_total, states_total
+from ..functions.text import first_match, hits, java, mentions_amount, money_text, quotes, stated_total, states_total
 from ..plans.captures import Captures, findings
 
 def _first_of_control(df: DataFrame) -> DataFrame:
