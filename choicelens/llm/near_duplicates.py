@@ -6,10 +6,11 @@ candidates. Two texts are near duplicates when shingles aligned in order make up
 longest common subsequence L of sequences of n and m, L / (n + m - L) >= 0.8. Classes are connected components of links.
 
 Groups of copies stay linear. Texts with the same words are one node. In a bucket all nodes meet one pivot; only where a
-bucket still holds several components do its nodes meet a second pivot, and only the nodes that remain apart after that
-meet one another across components, when they share two buckets - three in crowded places. Texts of similarity 0.8 share
-fewer than two of the 24 buckets once in half a million cases, fewer than three once in 50,000; texts that share a
-passage only do so ever more seldom.
+bucket still holds several components do its nodes meet a second pivot, the one in the most crowded buckets, which a group
+of near copies has in its middle. Only the nodes that remain apart after that meet one another across components, when
+they share two buckets; texts of similarity 0.8 share fewer once in half a million cases. Nodes of crowded buckets meet
+where they share one of their rarest shingles, which every pair of similarity 0.8 does (the order is that of all nodes in
+crowded buckets, and the places in it bound the overlap), so a passage that many texts hold brings few of them together.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SHINGLE, SIMILARITY, components, small_batches, words, written
@@ -77,6 +78,14 @@ def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"doc_id": b["doc_id"], "text_md5": b["text_md5"], "key": b["key"], "n": [max(0, len(x) - SHINGLE + 1) or int(len(x) > 0) for x in w], "w": [x.tobytes() for x in w], "sketch": [sketch(x) for x in w]})
 
 
+def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for key, w in zip(b["key"], b["w"], strict=True):
+            if w:
+                x = _labelled(shingles(np.frombuffer(w, "<u4")))
+                yield pd.DataFrame({"key": [key] * len(x), "shingle": x.view(np.int64)})
+
+
 def _common(a: list[int], b: list[int], band: int) -> int:
     """Length of the longest common subsequence whose pairs are at most `band` apart: one row of bits for each of b."""
     at: dict[int, int] = {}
@@ -142,10 +151,13 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         fit = F.least("na", "nb") >= least * F.greatest("na", "nb")
         return rows.where(fit & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def verified(todo: DataFrame) -> DataFrame:
-        ends = todo.select(F.col("a").alias("key")).union(todo.select("b")).distinct()
+    def texts_of(ends: DataFrame) -> DataFrame:
+        """(key, w): the words of each node of ends (key)."""
         one = nodes.select("key", "rep.*").join(ends.hint("merge"), "key", "left_semi")
-        texts = written(base.select("key", "doc_id", "text_md5", "w").join(one.select("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_md5").hint("shuffle_hash"), (base["key"] == one["key"]) & (base["text_md5"] == one["text_md5"]) & (F.coalesce(base["doc_id"].cast("string"), F.lit("")) == F.col("id")), "left_semi").select("key", "w").dropDuplicates(["key"]), "texts")
+        return written(base.select("key", "doc_id", "text_md5", "w").join(one.select("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_md5").hint("shuffle_hash"), (base["key"] == one["key"]) & (base["text_md5"] == one["text_md5"]) & (F.coalesce(base["doc_id"].cast("string"), F.lit("")) == F.col("id")), "left_semi").select("key", "w").dropDuplicates(["key"]), "texts")
+
+    def verified(todo: DataFrame) -> DataFrame:
+        texts = texts_of(todo.select(F.col("a").alias("key")).union(todo.select("b")).distinct())
         side = lambda x: texts.select(F.col("key").alias(x), F.col("w").alias(f"w{x}")).hint("merge")
         return written(todo.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verify(least), "a binary, b binary"), "links")
 
@@ -155,22 +167,41 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     links = verified(tried)
     label = components(links, "near")
 
+    reach = shared.groupBy("key").agg(F.sum("size").alias("reach"))
+
     def apart() -> DataFrame:
         """Rows of buckets that hold several components yet: (bucket, key, n, label, size)."""
-        at = shared.join(label.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        at = shared.join(reach.hint("merge"), "key").join(label.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         at = written(at.drop("least"), "labelled")
-        mixed = written(at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("bucket", "key").alias("r"), "key", "n", "label")).alias("pivot")).where("lo != hi").select("bucket", "pivot"), "mixed")
+        mixed = written(at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("reach", "key", "n", "label")).alias("pivot")).where("lo != hi").select("bucket", "pivot"), "mixed")
         return at.join(mixed.hint("merge"), "bucket")
 
-    def meeting(at: DataFrame, share: int) -> DataFrame:
-        """Pairs of two components that share `share` buckets, each at one place: the least bucket or two that they share.
-        Nodes of a bucket's main component don't meet one another: they come in on one side only."""
-        left = at.where("label != main").select(*[F.col(c).alias(f"l_{c}") for c in ("bucket", "other", "key", "n", "label", "mine")])
-        common = F.array_sort(F.array_intersect("l_mine", "mine"))
-        here = (F.get(common, F.lit(0)) == F.col("bucket")) & ((F.col("other") == 0) | (F.get(common, F.lit(1)) == F.col("other")))
-        fit = F.least("l_n", "n") >= least * F.greatest("l_n", "n")
-        same = (F.col("l_bucket") == F.col("bucket")) & (F.col("l_other") == F.col("other"))
-        return left.join(at.hint("merge"), same & (F.col("l_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("l_label") < F.col("label"))) & fit & (F.size(common) >= share) & here).select("l_key", "key", "l_n", "n")
+    def sides(at: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+        """The nodes of each place outside its main component, with l_ before their columns, and all of them with `main`."""
+        main = at.groupBy(by, "label").agg(F.count("*").alias("of")).groupBy(by).agg(F.max_by("label", F.struct("of", "label")).alias("main"))
+        at = written(at.join(main.hint("merge"), by), "sides")
+        return at.where("label != main").select(*[F.col(c).alias(f"l_{c}") for c in at.columns]), at
+
+    #: Two components, each pair from one side; nodes of a main component don't meet one another. They share two buckets.
+    common = F.array_sort(F.array_intersect("l_mine", "mine"))
+    fit = F.least("l_n", "n") >= least * F.greatest("l_n", "n")
+    across = (F.col("l_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("l_label") < F.col("label"))) & fit & (F.size(common) > 1)
+
+    def meeting(at: DataFrame) -> DataFrame:
+        """Pairs of the rows (bucket, key, n, label, mine), each in the least bucket that they share."""
+        left, right = sides(at, "bucket")
+        return left.join(right.hint("merge"), (F.col("l_bucket") == F.col("bucket")) & across & (F.get(common, F.lit(0)) == F.col("bucket"))).select("l_key", "key", "l_n", "n")
+
+    def meeting_rarely(crowd: DataFrame) -> DataFrame:
+        """Pairs of the nodes (key, n, label, mine), at shingles that are early enough in both nodes' order by rarity."""
+        each = written(texts_of(crowd.select("key")).mapInPandas(_occurrences, "key binary, shingle long"), "occurrences")
+        often = each.groupBy("shingle").agg(F.count("*").alias("df"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle"))
+        at = each.join(often.hint("merge"), "shingle").withColumn("place", place).join(crowd.hint("merge"), "key")
+        left, right = sides(at.where((F.col("df") > 1) & (F.col("n") - F.col("place") + 1 >= least * F.col("n") - 1e-9)).drop("df"), "shingle")
+        rest = F.least(F.col("l_n") - F.col("l_place"), F.col("n") - F.col("place")) + 1
+        enough = rest >= (F.col("l_n") + F.col("n")) * (least / (1 + least)) - 1e-9
+        return left.join(right.hint("merge"), (F.col("l_shingle") == F.col("shingle")) & across & enough).select("l_key", "key", "l_n", "n")
 
     for turn in ("pivot", "across"):
         rest = written(apart(), "apart")
@@ -179,15 +210,14 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if turn == "pivot":
             more = rest.where("label != pivot.label").select(F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb"))
         else:
-            # Two nodes that share buckets, each of them mixed, meet in the least one; in a crowded one, in the least two.
+            # Two nodes that share buckets, each of them mixed, meet in the least one; if that is crowded, at a rare shingle.
             side = rest.select("bucket", "key", "n", "label")
             mine = side.groupBy("key").agg(F.sort_array(F.collect_list("bucket")).alias("mine"))
-            by = side.groupBy("bucket", "label").agg(F.count("*").alias("of"))
-            crowd = by.groupBy("bucket").agg(F.sum("of").alias("size"), F.max_by("label", F.struct("of", "label")).alias("main"))
-            side = written(side.join(mine.hint("merge"), "key").join(crowd.hint("merge"), "bucket").withColumn("other", F.lit(0).cast("long")), "sides")
-            few, many = side.where(F.col("size") <= LARGE), side.where(F.col("size") > LARGE).drop("other")
-            two = many.withColumn("other", F.explode(F.filter("mine", lambda x: x > F.col("bucket")))).select(side.columns)
-            both = meeting(few, 2).unionByName(meeting(two, 3))
+            size = side.groupBy("bucket").agg(F.count("*").alias("size"))
+            side = written(side.join(mine.hint("merge"), "key").join(size.hint("merge"), "bucket"), "mixed-nodes")
+            both = meeting(side.where(F.col("size") <= LARGE).drop("size"))
+            crowd = side.where(F.col("size") > LARGE).select("key", "n", "label", "mine").dropDuplicates(["key"])
+            both = both.unionByName(meeting_rarely(crowd))
             more = both.select(F.col("l_key").alias("a"), F.col("key").alias("b"), F.col("l_n").alias("na"), F.col("n").alias("nb"))
         fresh = written(pairs(more).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(fresh)
