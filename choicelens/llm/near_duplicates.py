@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE, SIMILARITY, components, small_batches, words, written
 
-SKETCHES, LEAST, LARGE = 24, 3, 200
+SKETCHES, LEAST, LARGE, HEAD = 24, 3, 200, 32
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
@@ -197,10 +197,16 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         each = written(texts_of(crowd.select("key")).mapInPandas(_occurrences, "key binary, shingle long"), "occurrences")
         often = each.groupBy("shingle").agg(F.count("*").alias("df"))
         place = F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle"))
-        at = each.join(often.hint("merge"), "shingle").withColumn("place", place).join(crowd.hint("merge"), "key")
-        left, right = sides(at.where((F.col("df") > 1) & (F.col("n") - F.col("place") + 1 >= least * F.col("n") - 1e-9)).drop("df"), "shingle")
+        early = F.col("n") - F.col("place") + 1 >= least * F.col("n") - 1e-9
+        at = each.join(often.hint("merge"), "shingle").withColumn("place", place).join(crowd.select("key", "n").hint("merge"), "key")
+        at = written(at.where(early | (F.col("place") <= HEAD)), "places")
+        head = at.where(F.col("place") <= HEAD).groupBy("key").agg(F.collect_list("shingle").alias("head"))
+        nodes = crowd.join(head.hint("merge"), "key")
+        left, right = sides(at.where(early & (F.col("df") > 1)).drop("df", "n").join(nodes.hint("merge"), "key"), "shingle")
+        # What both may share: from here on in both orders; or of both heads, and all that follows either head.
         rest = F.least(F.col("l_n") - F.col("l_place"), F.col("n") - F.col("place")) + 1
-        enough = rest >= (F.col("l_n") + F.col("n")) * (least / (1 + least)) - 1e-9
+        heads = F.size(F.array_intersect("l_head", "head")) + F.greatest(F.col("l_n") - F.size("l_head"), F.col("n") - F.size("head"))
+        enough = F.least(rest, heads) >= (F.col("l_n") + F.col("n")) * (least / (1 + least)) - 1e-9
         return left.join(right.hint("merge"), (F.col("l_shingle") == F.col("shingle")) & across & enough).select("l_key", "key", "l_n", "n")
 
     for turn in ("pivot", "across"):

@@ -93,6 +93,12 @@ def test_near_duplicates(spark, texts):
     assert near_duplicates.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_crowded_buckets(spark, texts, monkeypatch):
+    """Nodes that meet at rare shingles, here in all buckets of over two nodes, find the same links."""
+    monkeypatch.setattr(near_duplicates, "LARGE", 2)
+    test_near_duplicates(spark, texts)
+
+
 def test_alignment():
     rng = random.Random(4)
     for _ in range(200):
