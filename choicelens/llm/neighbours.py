@@ -1,10 +1,9 @@
-"""Approximate nearest neighbours by inner product: a neighbour graph by NN-descent, queries by greedy search on it.
+"""Nearest neighbours by inner product: an exact scan, in double precision on the original vectors.
 
-Equal vectors are one node, so groups of copies neither fill the neighbour lists nor hide what lies around them. The graph
-starts from random-projection cells and improves by local joins: a node brings its neighbours, and the nodes it is a
-neighbour of, together, and each of them keeps whom it finds nearer. A query starts at its own node (or at entry nodes)
-and walks to neighbours of the best nodes found so far. Joins carry vectors of one byte a component; the scores of what
-a search ends with are computed in double precision on the original vectors.
+Equal vectors are one node, so groups of copies are scored once. Queries are dealt over tasks in blocks; a task keeps the
+best nodes of its queries so far and reads all nodes from the shared folder past them, a block at a time. Nothing is
+shuffled but the queries, and a task's memory doesn't depend on the table. Work is queries times nodes, so it grows with
+the square of the table.
 """
 
 from __future__ import annotations
@@ -13,16 +12,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-#: Neighbours of a node, reverse ones that join in a round (drawn by hash), finds a node keeps from one meeting.
-DEGREE, REVERSE, FINDS = 32, 24, 8
-TREES, CELL, ROUNDS = 2, 256, 4
-#: Nodes a search keeps, nodes it walks on from at once, steps, nodes it scores exactly in the end; entry nodes.
-BEAM, WALK, STEPS, FINAL, ENTRIES = 128, 16, 4, 48, 32
+#: Queries that a task holds at once (and fewest worth a task), nodes that it scores at once.
+QUERIES, FEWEST, NODES = 2048, 64, 2048
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -42,165 +40,75 @@ def nodes_and_members(ok: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return table.where("r = 1").select("node", "v"), table.select("node", "id")
 
 
-def _small(x: np.ndarray) -> list[bytes]:
-    """A 4-byte scale and one signed byte for each component."""
-    scale = (np.abs(x).max(1) / 127).astype("<f4")
-    code = np.rint(x / scale[:, None].astype(float)).astype(np.int8)
-    return [a.tobytes() + b.tobytes() for a, b in zip(scale, code, strict=True)]
+def _blocks(uris: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the nodes in parquet files (node, v; other rows have no v), up to NODES at once."""
+    ids, vs, n = [], [], 0
+    for uri in uris:
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_file(path) as f:
+            for b in pq.ParquetFile(f).iter_batches(NODES, columns=["node", "v"]):
+                b = b.filter(b["v"].is_valid())
+                if n and n + len(b) > NODES:
+                    yield np.concatenate(ids), np.concatenate(vs)
+                    ids, vs, n = [], [], 0
+                if len(b):
+                    ids.append(b["node"].to_numpy())
+                    vs.append(b["v"].flatten().to_numpy().astype(float).reshape(len(b), -1))
+                    n += len(b)
+    if n:
+        yield np.concatenate(ids), np.concatenate(vs)
+
+
+def best_of(q: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and scores, by row of q, of the `most` best nodes in all blocks, ties to the lesser id; -inf where there are fewer."""
+    ids, score = np.zeros((len(q), most), np.int64), np.full((len(q), most), -np.inf)
+    for node, v in blocks:
+        s, worst = q @ v.T, score[:, -1]
+        hit = s >= worst[:, None]
+        if np.count_nonzero(hit) > 4 * most * len(q):
+            # No node below the block's own `most` best can stay.
+            worst = np.maximum(worst, np.partition(s, -most, axis=1)[:, -most])
+            hit = s >= worst[:, None]
+        i, j = np.nonzero(hit)
+        rows = np.unique(i)
+        at = np.concatenate([np.repeat(rows, most), i])
+        x, y = np.concatenate([ids[rows].ravel(), node[j]]), np.concatenate([score[rows].ravel(), s[i, j]])
+        order = np.lexsort((x, -y, at))
+        first = np.searchsorted(at[order], rows)
+        keep = order[first[:, None] + np.arange(most)]
+        ids[rows], score[rows] = x[keep], y[keep]
+    return ids, score
 
 
-def _matrix(rows) -> np.ndarray:
-    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
-    return raw[:, 4:].view(np.int8).astype(np.float32) * raw[:, :4].copy().view("<f4")
-
-
-def _cells(trees: int, bits: int, dim: int):
-    plane = np.random.default_rng(11).standard_normal((trees, bits, dim))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.array(b["v"].tolist(), float).reshape(-1, dim)
-            small = _small(x)
-            for t in range(trees):
-                code = ((x @ plane[t].T > 0) @ (1 << np.arange(bits))).astype(np.int64)
-                yield pd.DataFrame({"node": b["node"], "tree": t, "code": code, "h": small})
-
-    return run
-
-
-def _top(score: np.ndarray, k: int) -> np.ndarray:
-    return np.argpartition(-score, k - 1, axis=1)[:, :k] if score.shape[1] > k else np.broadcast_to(np.arange(score.shape[1]), score.shape)
-
+FOUND = "query long, node long, score double"
 
-def _meet(k: int):
-    """All nodes of a cell against each other."""
 
+def _scan(uris: list[str], most: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for ids, hs in zip(b["ids"], b["hs"], strict=True):
-                if len(ids) < 2:
-                    continue
-                x, ids = _matrix(list(hs)), np.asarray(ids)
-                s = x @ x.T
-                np.fill_diagonal(s, -np.inf)
-                best = _top(s, min(k, len(ids) - 1))
-                yield pd.DataFrame({"node": np.repeat(ids, best.shape[1]), "near": ids[best].ravel(), "score": np.take_along_axis(s, best, 1).ravel().astype(float)})
-
-    return run
+        def found(held: list[pd.DataFrame]) -> pd.DataFrame:
+            b = pd.concat(held)
+            ids, score = best_of(np.array(b["q"].tolist(), float), _blocks(uris), most)
+            i, j = np.nonzero(score > -np.inf)
+            return pd.DataFrame({"query": b["query"].to_numpy()[i], "node": ids[i, j], "score": score[i, j]})
 
-
-def _join_locally(finds: int):
-    """For each node's circle: pairs of which one is new there, kept where they beat the worst neighbour of the receiver."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for b in batches:
-            out = []
-            for ids, hs, new, worst in zip(b["ids"], b["hs"], b["new"], b["worst"], strict=True):
-                if len(ids) < 2:
-                    continue
-                x, ids, new, worst = _matrix(list(hs)), np.asarray(ids), np.asarray(new, bool), np.asarray(worst, float)
-                s = x @ x.T
-                s[~(new[:, None] | new[None, :])] = -np.inf
-                np.fill_diagonal(s, -np.inf)
-                best = _top(s, min(finds, len(ids) - 1))
-                got = np.take_along_axis(s, best, 1)
-                keep = got > worst[:, None]
-                i, j = np.nonzero(keep)
-                out.append((ids[i], ids[best[i, j]], got[i, j].astype(float)))
-            if out:
-                yield pd.DataFrame(dict(zip(("node", "near", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            if held and sum(map(len, held)) + len(b) > QUERIES:
+                yield found(held)
+                held = []
+            if len(b):
+                held.append(b)
+        if held:
+            yield found(held)
 
     return run
 
 
-EDGE = "node long, near long, score double"
-
-
-def _best(edges: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("node").orderBy(F.desc("score"), "near")
-    return edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
-
-
-def cells_of(nodes: DataFrame, trees: int = TREES) -> DataFrame:
-    """(node, tree, code, h): the cell of each node (node, v) in each random projection, and its small vector."""
-    n, dim = nodes.count(), nodes.select(F.max(F.size("v"))).first()[0] or 1
-    bits = max(0, int(np.ceil(np.log2(max(1, n / CELL)))))
-    return written(nodes.mapInPandas(_cells(trees, bits, dim), "node long, tree int, code long, h binary"), "cells")
-
-
-def small_of(cells: DataFrame) -> DataFrame:
-    return cells.where("tree = 0").select("node", "h")
-
-
-def neighbour_graph(cells: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS) -> DataFrame:
-    """(node, near, score): about the `degree` nearest nodes of each node, scores by the small vectors."""
-    # A crowded cell is dealt into several by hash.
-    crowd = cells.groupBy("tree", "code").agg(F.ceil(F.count("*") / CELL).alias("parts"))
-    at = cells.join(crowd.hint("shuffle_hash"), ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
-    groups = at.groupBy("tree", "code", "part").agg(F.collect_list("node").alias("ids"), F.collect_list("h").alias("hs"))
-    first = groups.select("ids", "hs").mapInPandas(_meet(degree), EDGE).groupBy("node", "near").agg(F.max("score").alias("score"))
-    graph = written(_best(first, degree).withColumn("new", F.lit(True)), "graph")
-    small = small_of(cells)
-    for _ in range(rounds):
-        low = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("score")).otherwise(F.lit(float("-inf"))).alias("worst"))
-        brought = small.join(low.hint("merge"), "node", "left").select(F.col("node").alias("near"), "h", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
-        back = graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "new")
-        some = Window.partitionBy("node").orderBy(F.desc("new"), F.xxhash64("near"), "near")
-        back = back.withColumn("r", F.row_number().over(some)).where(F.col("r") <= REVERSE).drop("r")
-        circle = graph.select("node", "near", "new").union(back).groupBy("node", "near").agg(F.max("new").alias("new"))
-        met = circle.join(brought.hint("merge"), "near").groupBy("node").agg(F.collect_list(F.struct("near", "h", "new", "worst")).alias("c"))
-        circles = met.select(*[F.col(f"c.{x}").alias(y) for x, y in (("near", "ids"), ("h", "hs"), ("new", "new"), ("worst", "worst"))])
-        found = circles.mapInPandas(_join_locally(FINDS), EDGE).groupBy("node", "near").agg(F.max("score").alias("score"))
-        both = graph.select("node", "near", "score", F.lit(False).alias("new")).union(found.select("node", "near", "score", F.lit(True).alias("new")))
-        both = both.groupBy("node", "near").agg(F.max("score").alias("score"), F.min("new").alias("new"))
-        graph = written(_best(both, degree), "graph")
-    return graph.select("node", "near", "score")
-
-
-def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if len(b):
-            yield pd.DataFrame({"query": b["query"], "node": b["node"], "score": np.einsum("ij,ij->i", _matrix(list(b["q"])), _matrix(list(b["h"]))).astype(float)})
-
-
-def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        if len(b):
-            q, v = np.array(b["q"].tolist(), float), np.array(b["v"].tolist(), float)
-            yield pd.DataFrame({"query": b["query"], "node": b["node"], "score": np.einsum("ij,ij->i", q, v)})
-
-
-FOUND = "query long, node long, score double"
-
-
-def search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, beam: int = BEAM, walk: int = WALK, steps: int = STEPS, final: int = FINAL) -> DataFrame:
-    """(query, node, score): the `final` best nodes a greedy search finds for each query (query, h, q); nodes: (node, h, v).
-
-    A query whose id is a node starts there, at its neighbours; any query also starts at a few entry nodes.
-    """
-    small, asked = nodes.select("node", "h"), queries.select("query", F.col("h").alias("q"))
-
-    def scored(pairs: DataFrame) -> DataFrame:
-        return pairs.join(small.hint("merge"), "node").join(asked.hint("merge"), "query").mapInPandas(_near, FOUND)
-
-    def kept(rows: DataFrame, most: int) -> DataFrame:
-        w = Window.partitionBy("query").orderBy(F.desc("score"), "node")
-        return rows.withColumn("r", F.row_number().over(w)).where(F.col("r") <= most).drop("r")
-
-    entry = [r.node for r in small.orderBy(F.xxhash64("node")).limit(ENTRIES).collect()]
-    own = asked.select("query", F.col("query").alias("node"))
-    start = own.union(own.join(graph.select("node", "near").hint("merge"), "node").select("query", F.col("near").alias("node")))
-    start = start.union(asked.select("query", F.explode(F.array(*map(F.lit, entry)).cast("array<bigint>")).alias("node")))
-    state = written(kept(scored(start.distinct()).withColumn("seen", F.lit(False)), beam), "search")
-    for _ in range(steps):
-        w = Window.partitionBy("query").orderBy("seen", F.desc("score"), "node")
-        turn = state.withColumn("go", ~F.col("seen") & (F.row_number().over(w) <= walk))
-        there = turn.where("go").join(graph.select("node", "near").hint("merge"), "node").select("query", F.col("near").alias("node")).distinct()
-        fresh = there.join(state.select("query", "node").hint("merge"), ["query", "node"], "left_anti")
-        moved = turn.select("query", "node", "score", (F.col("seen") | F.col("go")).alias("seen")).union(scored(fresh).withColumn("seen", F.lit(False)))
-        state = written(kept(moved, beam), "search")
-    last = kept(state, final).select("query", "node").join(nodes.select("node", "v").hint("merge"), "node").join(queries.select("query", "q").hint("merge"), "query")
-    return last.mapInPandas(_exact, FOUND)
+def search(queries: DataFrame, members: DataFrame, most: int) -> DataFrame:
+    """(query, node, score): the `most` best nodes for each query (query, q), among the rows (node, v) of a written table that have v."""
+    n = queries.count()
+    tasks = max(-(-n // QUERIES), min(-(-n // FEWEST), 2 * queries.sparkSession.sparkContext.defaultParallelism), 1)
+    return queries.repartition(tasks).mapInPandas(_scan(members.inputFiles(), most), FOUND)
 
 
 def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -214,13 +122,11 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vec:
     small_batches(vectors.sparkSession)
     ok = written(usable(vectors, key, vec), "vectors")
     nodes, members = nodes_and_members(ok, k + 1)
-    cells = cells_of(nodes)
-    graph = neighbour_graph(cells)
-    nodes = nodes.join(small_of(cells).hint("merge"), "node")
     asked = ok.where(is_query).join(nodes.select("node", "v").hint("merge"), "v").select(F.col("id").alias("query_id"), "node").distinct()
     asked = written(asked, "asked")
-    queries = asked.select("node").distinct().join(nodes.hint("merge"), "node").select(F.col("node").alias("query"), "h", F.col("v").alias("q"))
-    found = search(queries, nodes, graph, final=max(FINAL, 2 * k))
+    queries = written(asked.select("node").distinct().join(nodes.hint("merge"), "node").select(F.col("node").alias("query"), F.col("v").alias("q")), "queries")
+    # The k + 1 best rows of all are rows of the k + 1 best nodes.
+    found = search(queries, nodes, k + 1)
     # The k + 1 nearest rows of a query's node hold the k nearest others of any of its rows.
     rows = found.join(members.hint("merge"), "node").select("query", "id", "score")
     near = rows.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)

@@ -34,6 +34,32 @@ def test_nearest(spark):
     assert few.count() == 2 and neighbours.nearest(table.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def shares_found(spark, v):
+    """Share of the true 20 nearest found, over the rows of v whose number is divisible by 20."""
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(5)
+    got = {(r.query_id, r.vec_id) for r in neighbours.nearest(table, F.col("id") % 20 == 0).collect()}
+    s = v[::20] @ v.T
+    s[np.arange(len(s)), np.arange(len(s)) * 20] = -np.inf
+    want = {(20 * q, int(i)) for q, best in enumerate(np.argsort(-s, axis=1)[:, :20]) for i in best}
+    assert len(got) == len(want)
+    return len(got & want) / len(want)
+
+
+def test_nearest_without_clusters(spark):
+    v = np.random.default_rng(3).standard_normal((6000, 64))
+    assert shares_found(spark, v / np.linalg.norm(v, axis=1)[:, None]) == 1
+
+
+def test_best_of_ties_and_few():
+    rng = np.random.default_rng(4)
+    q, v, ids = rng.integers(-1, 2, (30, 4)).astype(float), rng.integers(-1, 2, (500, 4)).astype(float), rng.permutation(500)
+    for most, cut in ((7, 10), (7, 499), (600, 100)):
+        got, score = neighbours.best_of(q, ((ids[i : i + cut], v[i : i + cut]) for i in range(0, 500, cut)), most)
+        for row, x, s in zip(q, got, score):
+            want = sorted((-float(a @ row), int(i)) for a, i in zip(v, ids))[:most]
+            assert [(-b, a) for a, b in zip(x.tolist(), s.tolist()) if b > -np.inf] == want
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
