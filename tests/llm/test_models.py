@@ -50,6 +50,13 @@ def test_nearest_without_clusters(spark):
     assert shares_found(spark, v / np.linalg.norm(v, axis=1)[:, None]) == 1
 
 
+@pytest.mark.parametrize("noise", [0.1, 0.01])
+def test_nearest_among_near_copies(spark, noise):
+    rng = np.random.default_rng(5)
+    near = rng.standard_normal(64) + noise / 8 * rng.standard_normal((2000, 64))
+    assert shares_found(spark, np.concatenate([near, rng.standard_normal((1000, 64))])) == 1
+
+
 def test_best_of_ties_and_few():
     rng = np.random.default_rng(4)
     q, v, ids = rng.integers(-1, 2, (30, 4)).astype(float), rng.integers(-1, 2, (500, 4)).astype(float), rng.permutation(500)
