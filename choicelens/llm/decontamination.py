@@ -4,15 +4,15 @@ An item's windows, at every offset, get a 64-bit SimHash over their five-word sh
 shingles' bits. Windows have an odd number of shingles, at most half of the item's (1, 3 or 7), so that few sizes serve
 all items. Texts get the same windows on a grid, half a window apart: any passage of two thirds of an item holds at least
 one whole grid window. Fingerprints meet on four 16-bit blocks; of two within three bits at least one block is equal, so
-none within that radius is missed. A candidate gives the place of the whole item in the text; the window of the item's
-size there is compared exactly, by shingles weighted with their multiplicity.
+none within that radius is missed. Once a text and an item have met, all windows of the item's size in the text are
+compared exactly, by shingles weighted with their multiplicity.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SHINGLE, SIMILARITY, WORD, with_shingles, written
@@ -74,13 +74,32 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[in
     return items, written(index, "windows"), sizes
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Sum of the lesser multiplicities over the sum of the greater ones."""
-    plain = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    count = lambda xs, x: F.size(F.filter(xs, lambda y: y == x))
-    total = lambda f: F.aggregate(F.array_union(a, b), F.lit(0), lambda acc, x: acc + f(count(a, x), count(b, x)))
-    single = (F.size(F.array_distinct(a)) == F.size(a)) & (F.size(F.array_distinct(b)) == F.size(b))
-    return F.when(single, plain).otherwise(total(F.least) / total(F.greatest))
+def windows(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start, words, similarity) for the item-sized windows (shorter at the end of a text) among which each
+    pair (doc_id, h, item_id) of hits has its best; docs: (doc_id, h, text). Similarity is the sum of the lesser
+    multiplicities over the sum of the greater ones.
+
+    A shingle that an item has c times counts at place j in the windows that start after its c-th place before j: so each
+    place adds one to a range of starts, and a running sum over the ends of ranges gives what every window shares.
+    """
+    held = lambda d: F.broadcast(d) if d.count() <= BROADCAST_ROWS else d.hint("merge")
+    same = lambda d: F.col("doc_id").eqNullSafe(d["other_id"]) & (F.col("h") == d["other_h"])
+    pairs = held(hits.withColumnsRenamed({"doc_id": "other_id", "h": "other_h"}))
+    rows = docs.join(pairs, same(pairs), "left_semi").dropDuplicates(["doc_id", "h"])
+    rows = with_shingles(rows, "text", "sh").select("doc_id", "h", "sh")
+    at = rows.join(pairs, same(pairs)).select("doc_id", "h", "item_id", F.size("sh").alias("m"), F.posexplode("sh").alias("j", "x"))
+    # Texts under the same item_id are items of their own.
+    counts = items.select("item_id", F.xxhash64("sh").alias("item"), "n", F.explode("sh").alias("x")).groupBy("item_id", "item", "n", "x").agg(F.count("*").cast("int").alias("c"))
+    key = ["doc_id", "h", "item_id", "item", "m", "n"]
+    places = at.join(held(written(counts, "counts")), ["item_id", "x"]).groupBy(*key, "x", "c").agg(F.sort_array(F.collect_list("j")).alias("js"))
+    first = lambda j, i: F.greatest(F.coalesce(F.get("js", i - F.col("c")), F.lit(-1)), j - F.col("n")) + 1
+    ranges = F.transform("js", lambda j, i: F.array(F.struct(first(j, i).alias("s"), F.lit(1).alias("d")), F.struct((j + 1).alias("s"), F.lit(-1).alias("d"))))
+    ends = places.select(*key, F.explode(F.flatten(ranges)).alias("e")).groupBy(*key, F.col("e.s").alias("s")).agg(F.sum("e.d").alias("d"))
+    by = Window.partitionBy(*key).orderBy("s")
+    shared = ends.select(*key, "s", F.sum("d").over(by).alias("shared"), (F.lead("s").over(by) - 1).alias("last")).where("shared > 0")
+    # The windows from s to `last` share as much; at the end of the text the last of them is the shortest.
+    each = shared.withColumn("start", F.explode(F.array("s", "last"))).withColumn("long", F.least("n", F.col("m") - F.col("start")))
+    return each.select("doc_id", "item_id", "start", (F.col("long") + (SHINGLE - 1)).alias("words"), (F.col("shared") / (F.col("long") + F.col("n") - F.col("shared"))).alias("similarity"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -93,7 +112,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     items, index, sizes = benchmark_index(benchmark)
     small = index.count() <= BROADCAST_ROWS
     held = (lambda d: F.broadcast(d)) if small else (lambda d: d.hint("merge"))
-    sh = with_shingles(docs.select("doc_id", "text"), "text", "sh").select("doc_id", "sh")
+    texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    sh = with_shingles(texts, "text", "sh").select("doc_id", "h", "sh")
     # Windows of all sizes of a text are numbered through: the first number of each size comes from the text's length.
     many = [F.greatest(F.lit(0), F.floor((F.size("sh") - w) / stride(w)).cast("int") + 1) for w in sizes]
     ends = [reduce(Column.__add__, many[: i + 1]) for i in range(len(sizes))]
@@ -106,13 +126,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
         below = F.col("i") < F.col(f"e{sizes[k]}")
         first = F.col(f"e{sizes[k - 1]}") if k else F.lit(0)
         w, p = F.when(below, sizes[k]).otherwise(w), F.when(below, (F.col("i") - first) * stride(sizes[k])).otherwise(p)
-    probes = _blocks(_fingerprints(at.select("doc_id", "sh", w.alias("w"), p.alias("p")), sizes))
+    probes = _blocks(_fingerprints(at.select("doc_id", "h", "sh", w.alias("w"), p.alias("p")), sizes))
     near = probes.join(held(index.withColumnRenamed("fp", "other").drop("w")), "block").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
-    placed = near.join(held(items.select("item_id", "n", F.col("sh").alias("item"))), "item_id").withColumn("start", F.greatest(F.lit(0), F.col("p") - F.col("offset")))
-    placed = placed.withColumn("there", F.slice("sh", F.col("start") + 1, F.least("n", F.size("sh") - F.col("start"))))
-    scored = placed.withColumn("similarity", similarity(F.col("there"), F.col("item")))
-    words = F.size("there") + (SHINGLE - 1)
-    best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), words.alias("words"))).alias("b")
+    hits = written(near.select("doc_id", "h", "item_id").distinct(), "hits")
+    scored = windows(texts, items, hits)
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), "words")).alias("b")
     return scored.groupBy("doc_id", "item_id").agg(best).where(F.col("b.similarity") >= least).select("doc_id", "item_id", (-F.col("b.before")).alias("start"), "b.words", "b.similarity")
 
 

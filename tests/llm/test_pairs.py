@@ -145,3 +145,25 @@ def test_decontamination(spark):
     assert all(got[(200 + i, i)] == 1.0 for i in range(36))
     assert decontamination.contaminated(table.limit(0), bench).count() == 0
     assert decontamination.contaminated(table, bench.limit(0)).count() == 0
+
+
+def test_exchanged_halves(spark):
+    """Passages whose parts changed places: the whole of each is a window that shares most shingles with its item."""
+    rng = random.Random(6)
+    word = lambda: f"t{rng.randrange(3000)}"
+    items = [(i, [word() for _ in range(n)]) for i, n in enumerate([45, 59, 120, 200] * 5)]
+    items.append((20, [f"r{k % 12}" for k in range(60)]))
+    rows = []
+    for i, ws in items:
+        cut = len(ws) // 2 if i < 20 else 3
+        rows.append((i, " ".join([word() for _ in range(rng.randrange(70))] + ws[cut:] + ws[:cut] + [word() for _ in range(rng.randrange(70))])))
+    rows += [(0, rows[0][1]), (None, rows[1][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    # Another text under an item's id, of the same length, changes nothing.
+    bench = spark.createDataFrame([(i, " ".join(ws)) for i, ws in [*items, (1, ["twin", *items[1][1][1:]][::-1])]], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontamination.contaminated(docs, bench).collect()}
+    assert set(got) == {(i, i) for i, _ in items} | {(None, 1)}
+    for (d, i), r in got.items():
+        x, y = shingles(rows[1 if d is None else d][1]), shingles(" ".join(items[i][1]))
+        best = [weighted(x[s : s + len(y)], y) for s in range(len(x))]
+        assert r.similarity == pytest.approx(max(best)) and r.start == best.index(max(best)) and r.words == min(len(y), len(x) - r.start) + 4
