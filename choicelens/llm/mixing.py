@@ -17,7 +17,7 @@ BLOCK = 256
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 EPS = 1e-9
-UNIT = "struct<p:double,doc:struct<doc_id:bigint,size:bigint,source:string,whole:int>>"
+UNIT = "struct<p:double,doc:struct<doc_id:bigint,size:bigint,source:string,whole:int,nth:bigint>>"
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -53,13 +53,13 @@ def _uniform(seed: int, *ids: Column) -> Column:
 
 def _fold(units: Column, seed: int) -> Column:
     """(carry, done): the units of one block after each has met what the ones before it left."""
-    unit, done = UNIT, "array<struct<doc:struct<doc_id:bigint,size:bigint,source:string,whole:int>,up:int>>"
+    unit, done = UNIT, "array<struct<doc:struct<doc_id:bigint,size:bigint,source:string,whole:int,nth:bigint>,up:int>>"
     settled = lambda doc, up: F.struct(doc.alias("doc"), F.lit(up).alias("up"))
 
     def meet(acc: Column, b: Column) -> Column:
         a, out = acc["carry"], acc["out"]
         s = a["p"] + b["p"]
-        u = _uniform(seed, a["doc"]["doc_id"], b["doc"]["doc_id"], a["doc"]["size"], b["doc"]["size"])
+        u = _uniform(seed, a["doc"]["doc_id"], b["doc"]["doc_id"], a["doc"]["size"], b["doc"]["size"], a["doc"]["nth"], b["doc"]["nth"])
         # s < 1: one keeps all, the other 0. s >= 1: one becomes 1, the other keeps s - 1.
         a_wins = F.when(s < 1 - EPS, u * s < a["p"]).otherwise(u * (2 - s) < 1 - b["p"])
         p = F.when(s < 1 - EPS, s).otherwise(s - 1)
@@ -88,11 +88,15 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, **how) -> DataFrame
     else:
         goal = goal.hint("merge")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    unit = sized.withColumn("key", key).join(goal.select(key.alias("key"), "source_size", "target"), "key")
+    # Equal rows are numbered through, so that they are dealt over blocks as others are; counting them needs no row apart.
+    equal = sized.groupBy("doc_id", "source", "size").agg(F.count("*").alias("c"))
+    some = equal.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1, F.lit(block).cast("long"))))
+    each = some.withColumn("nth", F.explode(F.sequence(F.col("from"), F.least(F.col("c"), F.col("from") + block) - 1)))
+    unit = each.select("doc_id", "source", "size", "nth").withColumn("key", key).join(goal.select(key.alias("key"), "source_size", "target"), "key")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     whole = F.floor(rate + EPS).cast("int")
     p = F.when(rate - whole > EPS, rate - whole).otherwise(F.lit(0.0))
-    doc = F.struct("doc_id", "size", "source", whole.alias("whole"))
+    doc = F.struct("doc_id", "size", "source", whole.alias("whole"), "nth")
     unit = unit.select("key", F.struct(p.alias("p"), doc.alias("doc")).cast(UNIT).alias("u"))
     sure = unit.where("u.p = 0").select("u.doc", F.lit(0).alias("up"))
     todo, out, n = unit.where("u.p > 0"), [sure], None
@@ -103,7 +107,7 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, **how) -> DataFrame
         many = written(todo.groupBy("key", "band").agg(F.count("*").alias("n")), "blocks")
         n = many.agg(F.max("n")).first()[0] or 0
         many = F.broadcast(many) if many.count() <= 100_000 else many.hint("merge")
-        at = F.pmod(F.xxhash64(F.lit(seed), "u.doc.doc_id", "u.doc.size"), F.ceil(F.col("n") / block))
+        at = F.pmod(F.xxhash64(F.lit(seed), "u.doc.doc_id", "u.doc.size", "u.doc.nth"), F.ceil(F.col("n") / block))
         groups = todo.join(many, ["key", "band"]).groupBy("key", "band", at.alias("block")).agg(
             F.sort_array(F.collect_list(F.struct("u.doc.size", "u.doc.doc_id", "u.p", "u"))).alias("us"))
         met = written(groups.select("key", _fold(F.transform("us", lambda x: x["u"]), seed).alias("r")), "met")
@@ -113,7 +117,7 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, **how) -> DataFrame
         if left <= 1:
             break
         n = left if left > block else 1
-    last = todo.select("u.doc", (_uniform(seed, F.col("u.doc.doc_id"), F.col("u.doc.size")) < F.col("u.p")).cast("int").alias("up"))
+    last = todo.select("u.doc", (_uniform(seed, F.col("u.doc.doc_id"), F.col("u.doc.size"), F.col("u.doc.nth")) < F.col("u.p")).cast("int").alias("up"))
     done = out[0]
     for x in [*out[1:], last]:
         done = done.union(x)

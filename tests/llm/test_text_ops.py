@@ -150,6 +150,26 @@ def test_mixing(spark, docs, corpus):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_repeated_rows(spark, monkeypatch):
+    """Equal rows are spread over blocks."""
+    largest = []
+
+    def spy(df, name):
+        table = common.written(df, name)
+        if name == "met":
+            largest.append(table.agg(F.max(F.size("r.out"))).first()[0])
+        return table
+
+    monkeypatch.setattr(mixing, "written", spy)
+    rows = [(7, "a b c", "hot")] * 1500 + [(None, "x", "hot")] * 900 + [(i, "a b", f"s{i % 2}") for i in range(100)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert collections.Counter((r.doc_id, r.source, r.size) for r in got) == collections.Counter((i, s, len(t.split())) for i, t, s in rows)
+    goal = targets_by_hand({s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("hot", "s0", "s1")})
+    for s in goal:
+        assert abs(sum(r.copies * r.size for r in got if r.source == s) - goal[s]) <= max(3, 0.01 * goal[s])
+    assert max(largest) < 2 * mixing.BLOCK
+
+
 def test_sharding(spark, docs):
     names = [f"n{i}" for i in range(7)]
     table = sharding.fill(names, 101)
