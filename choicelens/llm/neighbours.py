@@ -1,9 +1,14 @@
-"""Nearest neighbours by inner product: an exact scan, in double precision on the original vectors.
+"""Nearest neighbours by inner product: a neighbour graph by NN-descent, queries by greedy search on it.
 
-Equal vectors are one node, so groups of copies are scored once. Queries are dealt over tasks in blocks; a task keeps the
-best nodes of its queries so far and reads all nodes from the shared folder past them, a block at a time. Nothing is
-shuffled but the queries, and a task's memory doesn't depend on the table. Work is queries times nodes, so it grows with
-the square of the table.
+Equal vectors are one node, so groups of copies neither fill the neighbour lists nor hide what lies around them. The graph
+starts from random-projection cells and improves by local joins: a node brings its neighbours, and some of the nodes it is
+a neighbour of, together, and each of them keeps whom it finds nearer. Rounds go on until few neighbours change, and a
+query walks until no node among the best it has found is unvisited; lists and beams widen with the logarithm of the
+number of nodes, since neighbours of neighbours tell less the more nodes there are. Joins carry vectors of two bytes a
+component; the scores of what a search ends with are computed in double precision on the original vectors.
+
+Work in a round is nodes times the square of a list, in tasks that hold one circle at a time. A node that is everybody's
+neighbour lends its vector to many circles: those rows are a plain join, which adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -12,15 +17,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
-import pyarrow.parquet as pq
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small_batches, written
 
-#: Queries that a task holds at once (and fewest worth a task), nodes that it scores at once.
-QUERIES, FEWEST, NODES = 2048, 64, 2048
+#: Neighbours of a node for each doubling of the nodes, and fewest; finds a node keeps from one circle; rows of a cell.
+PER_DOUBLING, LEAST_DEGREE, FINDS, CELL, TREES = 3, 24, 8, 512, 4
+#: The descent ends with a round that changes less than this share of all neighbours, the search with one that walks nowhere.
+SETTLED = 0.02
+#: Nodes a search keeps, as a multiple of the degree; nodes it walks on from at once.
+BEAM, WALK = 2.5, 32
+
+EDGE = "node long, near long, score double"
+FOUND = "query long, node long, score double"
 
 
 def usable(vectors: DataFrame, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
@@ -40,80 +51,168 @@ def nodes_and_members(ok: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     return table.where("r = 1").select("node", "v"), table.select("node", "id")
 
 
-def _blocks(uris: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of the nodes in parquet files (node, v; other rows have no v), up to NODES at once."""
-    ids, vs, n = [], [], 0
-    for uri in uris:
-        fs, path = pafs.FileSystem.from_uri(uri)
-        with fs.open_input_file(path) as f:
-            for b in pq.ParquetFile(f).iter_batches(NODES, columns=["node", "v"]):
-                b = b.filter(b["v"].is_valid())
-                if n and n + len(b) > NODES:
-                    yield np.concatenate(ids), np.concatenate(vs)
-                    ids, vs, n = [], [], 0
-                if len(b):
-                    ids.append(b["node"].to_numpy())
-                    vs.append(b["v"].flatten().to_numpy().astype(float).reshape(len(b), -1))
-                    n += len(b)
-    if n:
-        yield np.concatenate(ids), np.concatenate(vs)
-
-
-def best_of(q: np.ndarray, blocks: Iterator[tuple[np.ndarray, np.ndarray]], most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and scores, by row of q, of the `most` best nodes in all blocks, ties to the lesser id; -inf where there are fewer."""
-    ids, score = np.zeros((len(q), most), np.int64), np.full((len(q), most), -np.inf)
-    for node, v in blocks:
-        s, worst = q @ v.T, score[:, -1]
-        hit = s >= worst[:, None]
-        if np.count_nonzero(hit) > 4 * most * len(q):
-            # No node below the block's own `most` best can stay.
-            worst = np.maximum(worst, np.partition(s, -most, axis=1)[:, -most])
-            hit = s >= worst[:, None]
-        i, j = np.nonzero(hit)
-        rows = np.unique(i)
-        at = np.concatenate([np.repeat(rows, most), i])
-        x, y = np.concatenate([ids[rows].ravel(), node[j]]), np.concatenate([score[rows].ravel(), s[i, j]])
-        order = np.lexsort((x, -y, at))
-        first = np.searchsorted(at[order], rows)
-        keep = order[first[:, None] + np.arange(most)]
-        ids[rows], score[rows] = x[keep], y[keep]
-    return ids, score
+def _packed(x: np.ndarray) -> pa.Array:
+    """A 4-byte scale and two signed bytes for each component."""
+    scale = (np.abs(x).max(1) / 32767).astype("<f4")
+    scale[scale == 0] = np.finfo("<f4").tiny
+    code = np.clip(np.rint(x / scale[:, None].astype(float)), -32767, 32767).astype("<i2")
+    raw = np.concatenate([scale[:, None].view(np.uint8), code.view(np.uint8)], axis=1)
+    return pa.array([r.tobytes() for r in raw], pa.binary())
 
 
-FOUND = "query long, node long, score double"
+def _vectors(rows: pa.Array) -> np.ndarray:
+    """The vectors of packed ones."""
+    if not len(rows):
+        return np.zeros((0, 0), np.float32)
+    starts = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset : rows.offset + len(rows) + 1]
+    raw = np.frombuffer(rows.buffers()[2], np.uint8)[starts[0] : starts[-1]].reshape(len(rows), -1)
+    return raw[:, 4:].copy().view("<i2").astype(np.float32) * raw[:, :4].copy().view("<f4")
 
 
-def _scan(uris: list[str], most: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def found(held: list[pd.DataFrame]) -> pd.DataFrame:
-            b = pd.concat(held)
-            ids, score = best_of(np.array(b["q"].tolist(), float), _blocks(uris), most)
-            i, j = np.nonzero(score > -np.inf)
-            return pd.DataFrame({"query": b["query"].to_numpy()[i], "node": ids[i, j], "score": score[i, j]})
+def _edges(names: tuple[str, ...], found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in map(np.concatenate, zip(*found, strict=True))], names)
+
 
-        held = []
+def _cells(bits: int, dim: int):
+    plane = np.random.default_rng(11).standard_normal((TREES, bits, dim))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if held and sum(map(len, held)) + len(b) > QUERIES:
-                yield found(held)
-                held = []
-            if len(b):
-                held.append(b)
-        if held:
-            yield found(held)
+            x = np.array(b["v"].tolist(), float).reshape(-1, dim)
+            small = _packed(x).to_pylist()
+            for t in range(TREES):
+                code = ((x @ plane[t].T > 0) @ (1 << np.arange(bits))).astype(np.int64)
+                yield pd.DataFrame({"node": b["node"], "tree": t, "code": code, "h": small})
 
     return run
 
 
-def search(queries: DataFrame, members: DataFrame, most: int) -> DataFrame:
-    """(query, node, score): the `most` best nodes for each query (query, q), among the rows (node, v) of a written table that have v."""
-    n = queries.count()
-    tasks = max(-(-n // QUERIES), min(-(-n // FEWEST), 2 * queries.sparkSession.sparkContext.defaultParallelism), 1)
-    return queries.repartition(tasks).mapInPandas(_scan(members.inputFiles(), most), FOUND)
+def _best_of(s: np.ndarray, k: int) -> np.ndarray:
+    return np.argpartition(-s, k - 1, axis=1)[:, :k] if s.shape[1] > k else np.broadcast_to(np.arange(s.shape[1]), s.shape)
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row that `is_query` (a condition on `id`) picks, the k nearest other rows
-    by inner product, fewer where there are no more; ties go to the lesser id.
+def _meet(k: int):
+    """All nodes of a cell (ids, hs) against each other."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = []
+            for ids, hs in zip(b["ids"], b["hs"], strict=True):
+                ids, x = ids.values.to_numpy(), _vectors(hs.values)
+                if len(ids) > 1:
+                    s = x @ x.T
+                    np.fill_diagonal(s, -np.inf)
+                    best = _best_of(s, min(k, len(ids) - 1))
+                    best = best[:, : len(ids) - 1] if best.shape[1] < len(ids) else np.argsort(-s, axis=1)[:, : len(ids) - 1]
+                    found.append((np.repeat(ids, best.shape[1]), ids[best].ravel(), np.take_along_axis(s, best, 1).ravel().astype(float)))
+            yield from _edges(("node", "near", "score"), found)
+
+    return run
+
+
+def _join_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each circle (ids, hs, new, worst): pairs of which one is new there, kept where they beat the receiver's worst neighbour."""
+    for b in batches:
+        found = []
+        for ids, hs, new, worst in zip(b["ids"], b["hs"], b["new"], b["worst"], strict=True):
+            ids, x, new, worst = ids.values.to_numpy(), _vectors(hs.values), new.values.to_numpy(zero_copy_only=False), worst.values.to_numpy()
+            if len(ids) < 2 or not new.any():
+                continue
+            s = (x @ x.T).astype(float)
+            s[~(new[:, None] | new[None, :])] = -np.inf
+            np.fill_diagonal(s, -np.inf)
+            best = _best_of(s, FINDS)
+            got = np.take_along_axis(s, best, 1)
+            i, j = np.nonzero(got > worst[:, None])
+            found.append((ids[i], ids[best[i, j]], got[i, j]))
+        yield from _edges(("node", "near", "score"), found)
+
+
+def _best(edges: DataFrame, k: int, by: str = "node", other: str = "near") -> DataFrame:
+    w = Window.partitionBy(by).orderBy(F.desc("score"), other)
+    return edges.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).drop("r")
+
+
+def degree_of(n: int) -> int:
+    return max(LEAST_DEGREE, PER_DOUBLING * max(1, n).bit_length())
+
+
+def neighbour_graph(nodes: DataFrame, degree: int) -> tuple[DataFrame, DataFrame]:
+    """(node, h), the packed vectors, and (node, near, score), about the `degree` nearest nodes of each of nodes (node, v), by packed vectors."""
+    n, dim = nodes.count(), nodes.select(F.max(F.size("v"))).first()[0] or 1
+    bits = max(0, int(np.ceil(np.log2(max(1, n / CELL)))))
+    cells = written(nodes.mapInPandas(_cells(bits, dim), "node long, tree int, code long, h binary"), "cells")
+    small = cells.where("tree = 0").select("node", "h")
+    # A crowded cell is dealt into several by hash.
+    crowd = cells.groupBy("tree", "code").agg(F.ceil(F.count("*") / CELL).alias("parts"))
+    at = cells.join(crowd.hint("shuffle_hash"), ["tree", "code"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    groups = at.groupBy("tree", "code", "part").agg(F.collect_list("node").alias("ids"), F.collect_list("h").alias("hs"))
+    first = groups.select("ids", "hs").mapInArrow(_meet(degree), EDGE).groupBy("node", "near").agg(F.max("score").alias("score"))
+    graph = written(_best(first, degree).withColumn("new", F.lit(True)), "graph")
+    while True:
+        # Until its list is full, a node takes any neighbour.
+        low = graph.groupBy("node").agg(F.when(F.count("*") >= degree, F.min("score")).otherwise(F.lit(float("-inf"))).alias("worst"))
+        brought = small.join(low.hint("merge"), "node", "left").select(F.col("node").alias("near"), "h", F.coalesce("worst", F.lit(float("-inf"))).alias("worst"))
+        back = graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "new")
+        some = Window.partitionBy("node").orderBy(F.desc("new"), F.xxhash64("near"), "near")
+        back = back.withColumn("r", F.row_number().over(some)).where(F.col("r") <= degree * 2 // 3).drop("r")
+        circle = graph.select("node", "near", "new").union(back).groupBy("node", "near").agg(F.max("new").alias("new"))
+        met = circle.join(brought.hint("merge"), "near").groupBy("node").agg(F.collect_list(F.struct("near", "h", "new", "worst")).alias("c"))
+        circles = met.select(*[F.col(f"c.{x}").alias(y) for x, y in (("near", "ids"), ("h", "hs"), ("new", "new"), ("worst", "worst"))])
+        found = circles.mapInArrow(_join_locally, EDGE).withColumn("new", F.lit(True))
+        both = graph.withColumn("new", F.lit(False)).unionByName(found).groupBy("node", "near").agg(F.max("score").alias("score"), F.min("new").alias("new"))
+        graph = written(_best(both, degree), "graph")
+        fresh, all_ = graph.agg(F.count_if("new"), F.count("*")).first()
+        if fresh <= SETTLED * all_:
+            return small, graph.select("node", "near", "score")
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Scores of (query, node, q, h, low), where above `low`, the worst that the query keeps."""
+    for b in batches:
+        if len(b):
+            s = np.einsum("ij,ij->i", _vectors(b["q"]), _vectors(b["h"])).astype(float)
+            ok = s >= b["low"].to_numpy()
+            yield from _edges(("query", "node", "score"), [(b["query"].to_numpy()[ok], b["node"].to_numpy()[ok], s[ok])])
+
+
+def _exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        if len(b):
+            q, v = np.array(b["q"].tolist(), float), np.array(b["v"].tolist(), float)
+            yield pd.DataFrame({"query": b["query"], "node": b["node"], "score": np.einsum("ij,ij->i", q, v)})
+
+
+def search(queries: DataFrame, nodes: DataFrame, small: DataFrame, graph: DataFrame, beam: int) -> DataFrame:
+    """(query, node, score): the `beam` best nodes that a greedy search finds for each query (query), scored on the vectors of nodes (node, v).
+
+    A query is a node; it starts there and walks on from the best nodes that it hasn't walked on from yet, until its
+    beam has none. small: (node, h), graph: (node, near).
+    """
+    asked = small.join(queries.hint("merge"), F.col("node") == F.col("query"), "left_semi").select(F.col("node").alias("query"), F.col("h").alias("q"))
+    edges = graph.select("node", "near")
+    state = written(asked.select("query", F.col("query").alias("node"), F.lit(float("inf")).alias("score"), F.lit(False).alias("seen")), "search")
+    while True:
+        w = Window.partitionBy("query").orderBy("seen", F.desc("score"), "node")
+        turn = state.withColumn("go", ~F.col("seen") & (F.row_number().over(w) <= WALK))
+        there = turn.where("go").join(edges.hint("merge"), "node").select("query", F.col("near").alias("node")).distinct()
+        fresh = there.join(state.select("query", "node").hint("merge"), ["query", "node"], "left_anti")
+        low = state.groupBy("query").agg(F.when(F.count("*") >= beam, F.min("score")).otherwise(F.lit(float("-inf"))).alias("low"))
+        by = asked.join(low.hint("merge"), "query")
+        scored = fresh.join(small.hint("merge"), "node").join(by.hint("merge"), "query").select("query", "node", "q", "h", "low").mapInArrow(_near, FOUND)
+        moved = turn.select("query", "node", "score", (F.col("seen") | F.col("go")).alias("seen")).union(scored.withColumn("seen", F.lit(False)))
+        state = written(_best(moved, beam, "query", "node"), "search")
+        if state.where("NOT seen").isEmpty():
+            break
+    v = nodes.select("node", "v")
+    last = state.select("query", "node").join(v.hint("merge"), "node").join(v.withColumnsRenamed({"node": "query", "v": "q"}).hint("merge"), "query")
+    return last.select("query", "node", "q", "v").mapInPandas(_exact, FOUND)
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_id", vec: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each row that `is_query` (a condition on `id`) picks, about the k nearest other
+    rows by inner product, fewer where there are no more; ties go to the lesser id.
 
     Null, zero or non-finite vectors, vectors of another length than most, and null ids take no part. Equal vectors are
     found together. An id with several vectors is searched and found by each, its best score counts. Other columns are
@@ -122,15 +221,14 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, key: str = "vec_id", vec:
     small_batches(vectors.sparkSession)
     ok = written(usable(vectors, key, vec), "vectors")
     nodes, members = nodes_and_members(ok, k + 1)
+    degree = degree_of(nodes.count())
+    small, graph = neighbour_graph(nodes, degree)
     asked = ok.where(is_query).join(nodes.select("node", "v").hint("merge"), "v").select(F.col("id").alias("query_id"), "node").distinct()
     asked = written(asked, "asked")
-    queries = written(asked.select("node").distinct().join(nodes.hint("merge"), "node").select(F.col("node").alias("query"), F.col("v").alias("q")), "queries")
-    # The k + 1 best rows of all are rows of the k + 1 best nodes.
-    found = search(queries, nodes, k + 1)
+    found = search(asked.select(F.col("node").alias("query")).distinct(), nodes, small, graph, max(int(BEAM * degree), 2 * k))
     # The k + 1 nearest rows of a query's node hold the k nearest others of any of its rows.
     rows = found.join(members.hint("merge"), "node").select("query", "id", "score")
-    near = rows.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("r") <= k + 1)
-    near = near.groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("near"))
+    near = _best(rows, k + 1, "query", "id").groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("near"))
     each = asked.withColumnRenamed("node", "query").join(near.hint("merge"), "query").select("query_id", F.explode("near").alias("x"))
     each = each.where("query_id != x.id").groupBy("query_id", F.col("x.id").alias("vec_id")).agg((-F.min("x.s")).alias("score"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
