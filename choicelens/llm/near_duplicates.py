@@ -1,16 +1,18 @@
 """Near duplicates by order min-hash and banded alignment.
 
-A text is its sequence of five-word shingles, each labelled with how often it has occurred before. A sketch hashes all
-labelled shingles, takes the three least and keeps them in text order; texts that agree on one of 24 sketches become
-candidates. Two texts are near duplicates when shingles aligned in order make up 0.8 of all shingles of both: with the
-longest common subsequence L of sequences of n and m, L / (n + m - L) >= 0.8. Classes are connected components of links.
+A text is its sequence of words; its k-mers are the five-word shingles, each labelled with how often it has occurred
+before. A sketch hashes all labelled shingles, takes the two least and keeps them in text order; texts that agree on one of
+32 sketches become candidates. Two texts are near duplicates when the words aligned in order make up 0.8 of all words of
+both: with the longest common subsequence L of n and m words, L / (n + m - L) >= 0.8. Where edits are so dense that few
+shingles stay whole, sketches may miss a pair: of texts that also share 0.8 of their shingles none in practice (less than
+once in 10^13), of long texts with every ninth word changed, just similar enough, about once in 160. Classes are connected components of links.
 
 Groups of copies stay linear. Texts with the same words are one node. In a bucket all nodes meet one pivot; only where a
 bucket still holds several components do its nodes meet a second pivot, the one in the most crowded buckets, which a group
-of near copies has in its middle. Only the nodes that remain apart after that meet one another across components, when
-they share two buckets; texts of similarity 0.8 share fewer once in half a million cases. Nodes of crowded buckets meet
-where they share one of their rarest shingles, which every pair of similarity 0.8 does (the order is that of all nodes in
-crowded buckets, and the places in it bound the overlap), so a passage that many texts hold brings few of them together.
+of near copies has in its middle. Only the nodes that remain apart after that meet one another across components. Nodes of
+crowded buckets meet where they share one of their rarest words, labelled likewise, which every pair of similarity 0.8 does
+(the order is that of all nodes in crowded buckets, and the places in it bound the overlap), so a passage that many texts
+hold brings few of them together and no pair is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE, SIMILARITY, components, small_batches, words, written
 
-SKETCHES, LEAST, LARGE, HEAD = 24, 3, 200, 32
+SKETCHES, LEAST, LARGE, HEAD = 32, 2, 200, 32
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
@@ -65,7 +67,11 @@ def sketch(word: np.ndarray) -> np.ndarray:
     h *= _B
     h ^= h >> _SHIFT
     h *= _A
-    at = np.sort(np.argpartition(h, LEAST - 1, axis=1)[:, :LEAST] if len(x) > LEAST else np.broadcast_to(np.arange(len(x)), h.shape), axis=1)
+    at = np.zeros((SKETCHES, min(LEAST, len(x))), np.int64)
+    for j in range(at.shape[1]):
+        at[:, j] = h.argmin(1)
+        h[np.arange(SKETCHES), at[:, j]] = np.iinfo(np.uint64).max
+    at.sort(axis=1)
     out = _SEEDS.copy()
     for j in range(at.shape[1]):
         out = _mix(out * _A + x[at[:, j]])
@@ -75,15 +81,15 @@ def sketch(word: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         w = [np.asarray(x, np.int64).view(np.uint64).astype("<u4") for x in b["h"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text_md5": b["text_md5"], "key": b["key"], "n": [max(0, len(x) - SHINGLE + 1) or int(len(x) > 0) for x in w], "w": [x.tobytes() for x in w], "sketch": [sketch(x) for x in w]})
+        yield pd.DataFrame({"doc_id": b["doc_id"], "text_md5": b["text_md5"], "key": b["key"], "n": [*map(len, w)], "w": [x.tobytes() for x in w], "sketch": [sketch(x) for x in w]})
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         for key, w in zip(b["key"], b["w"], strict=True):
             if w:
-                x = _labelled(shingles(np.frombuffer(w, "<u4")))
-                yield pd.DataFrame({"key": [key] * len(x), "shingle": x.view(np.int64)})
+                x = _labelled(np.frombuffer(w, "<u4").astype(np.uint64))
+                yield pd.DataFrame({"key": [key] * len(x), "word": x.view(np.int64)})
 
 
 def _common(a: list[int], b: list[int], band: int) -> int:
@@ -102,7 +108,7 @@ def _common(a: list[int], b: list[int], band: int) -> int:
 
 def alignment(x: bytes, y: bytes, least: float = SIMILARITY) -> float:
     """Similarity of two word sequences; below `least` only an upper bound of it."""
-    a, b = (shingles(np.frombuffer(w, "<u4")) for w in (x, y))
+    a, b = (np.frombuffer(w, "<u4") for w in (x, y))
     n, m = len(a), len(b)
     if not n or not m:
         return float(n == m)
@@ -115,7 +121,7 @@ def alignment(x: bytes, y: bytes, least: float = SIMILARITY) -> float:
     a, b = a[head : n - tail], b[head : m - tail]
     if ratio(head + tail + min(len(a), len(b))) < least or ratio(head + tail + min(np.isin(a, b).sum(), np.isin(b, a).sum())) < least:
         return 0.0
-    spare = n + m - 2 * int(np.floor(least * (n + m) / (1 + least)))  # more unaligned shingles than this: below least
+    spare = n + m - 2 * int(np.floor(least * (n + m) / (1 + least)))  # more unaligned words than this: below least
     return ratio(head + tail + _common(a.tolist(), b.tolist(), spare + 1))
 
 
@@ -182,10 +188,10 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         at = written(at.join(main.hint("merge"), by), "sides")
         return at.where("label != main").select(*[F.col(c).alias(f"l_{c}") for c in at.columns]), at
 
-    #: Two components, each pair from one side; nodes of a main component don't meet one another. They share two buckets.
+    #: Two components, each pair from one side; nodes of a main component don't meet one another.
     common = F.array_sort(F.array_intersect("l_mine", "mine"))
     fit = F.least("l_n", "n") >= least * F.greatest("l_n", "n")
-    across = (F.col("l_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("l_label") < F.col("label"))) & fit & (F.size(common) > 1)
+    across = (F.col("l_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("l_label") < F.col("label"))) & fit & (F.size(common) > 0)
 
     def meeting(at: DataFrame) -> DataFrame:
         """Pairs of the rows (bucket, key, n, label, mine), each in the least bucket that they share."""
@@ -193,21 +199,21 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         return left.join(right.hint("merge"), (F.col("l_bucket") == F.col("bucket")) & across & (F.get(common, F.lit(0)) == F.col("bucket"))).select("l_key", "key", "l_n", "n")
 
     def meeting_rarely(crowd: DataFrame) -> DataFrame:
-        """Pairs of the nodes (key, n, label, mine), at shingles that are early enough in both nodes' order by rarity."""
-        each = written(texts_of(crowd.select("key")).mapInPandas(_occurrences, "key binary, shingle long"), "occurrences")
-        often = each.groupBy("shingle").agg(F.count("*").alias("df"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("df", "shingle"))
+        """Pairs of the nodes (key, n, label, mine), at words that are early enough in both nodes' order by rarity."""
+        each = written(texts_of(crowd.select("key")).mapInPandas(_occurrences, "key binary, word long"), "occurrences")
+        often = each.groupBy("word").agg(F.count("*").alias("df"))
+        place = F.row_number().over(Window.partitionBy("key").orderBy("df", "word"))
         early = F.col("n") - F.col("place") + 1 >= least * F.col("n") - 1e-9
-        at = each.join(often.hint("merge"), "shingle").withColumn("place", place).join(crowd.select("key", "n").hint("merge"), "key")
+        at = each.join(often.hint("merge"), "word").withColumn("place", place).join(crowd.select("key", "n").hint("merge"), "key")
         at = written(at.where(early | (F.col("place") <= HEAD)), "places")
-        head = at.where(F.col("place") <= HEAD).groupBy("key").agg(F.collect_list("shingle").alias("head"))
+        head = at.where(F.col("place") <= HEAD).groupBy("key").agg(F.collect_list("word").alias("head"))
         nodes = crowd.join(head.hint("merge"), "key")
-        left, right = sides(at.where(early & (F.col("df") > 1)).drop("df", "n").join(nodes.hint("merge"), "key"), "shingle")
+        left, right = sides(at.where(early & (F.col("df") > 1)).drop("df", "n").join(nodes.hint("merge"), "key"), "word")
         # What both may share: from here on in both orders; or of both heads, and all that follows either head.
         rest = F.least(F.col("l_n") - F.col("l_place"), F.col("n") - F.col("place")) + 1
         heads = F.size(F.array_intersect("l_head", "head")) + F.greatest(F.col("l_n") - F.size("l_head"), F.col("n") - F.size("head"))
         enough = F.least(rest, heads) >= (F.col("l_n") + F.col("n")) * (least / (1 + least)) - 1e-9
-        return left.join(right.hint("merge"), (F.col("l_shingle") == F.col("shingle")) & across & enough).select("l_key", "key", "l_n", "n")
+        return left.join(right.hint("merge"), (F.col("l_word") == F.col("word")) & across & enough).select("l_key", "key", "l_n", "n")
 
     for turn in ("pivot", "across"):
         rest = written(apart(), "apart")
@@ -216,7 +222,7 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         if turn == "pivot":
             more = rest.where("label != pivot.label").select(F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb"))
         else:
-            # Two nodes that share buckets, each of them mixed, meet in the least one; if that is crowded, at a rare shingle.
+            # Two nodes that share buckets, each of them mixed, meet in the least one; if that is crowded, at a rare word.
             side = rest.select("bucket", "key", "n", "label")
             mine = side.groupBy("key").agg(F.sort_array(F.collect_list("bucket")).alias("mine"))
             size = side.groupBy("bucket").agg(F.count("*").alias("size"))

@@ -47,24 +47,28 @@ def shares_found(spark, v):
 
 def test_nearest_without_clusters(spark):
     v = np.random.default_rng(3).standard_normal((6000, 64))
-    assert shares_found(spark, v / np.linalg.norm(v, axis=1)[:, None]) == 1
+    assert shares_found(spark, v / np.linalg.norm(v, axis=1)[:, None]) >= 0.97
 
 
 @pytest.mark.parametrize("noise", [0.1, 0.01])
 def test_nearest_among_near_copies(spark, noise):
+    """A third of all rows in one group; scores with two bytes a component tell its members apart."""
     rng = np.random.default_rng(5)
-    near = rng.standard_normal(64) + noise / 8 * rng.standard_normal((2000, 64))
-    assert shares_found(spark, np.concatenate([near, rng.standard_normal((1000, 64))])) == 1
+    near = rng.standard_normal(64) + noise / 8 * rng.standard_normal((1500, 64))
+    assert shares_found(spark, np.concatenate([near, rng.standard_normal((1500, 64))])) >= 0.97
 
 
-def test_best_of_ties_and_few():
-    rng = np.random.default_rng(4)
-    q, v, ids = rng.integers(-1, 2, (30, 4)).astype(float), rng.integers(-1, 2, (500, 4)).astype(float), rng.permutation(500)
-    for most, cut in ((7, 10), (7, 499), (600, 100)):
-        got, score = neighbours.best_of(q, ((ids[i : i + cut], v[i : i + cut]) for i in range(0, 500, cut)), most)
-        for row, x, s in zip(q, got, score):
-            want = sorted((-float(a @ row), int(i)) for a, i in zip(v, ids))[:most]
-            assert [(-b, a) for a, b in zip(x.tolist(), s.tolist()) if b > -np.inf] == want
+def test_nearest_with_hubs(spark):
+    """Vectors of very different length: a few are the neighbours of nearly all."""
+    rng = np.random.default_rng(6)
+    assert shares_found(spark, rng.standard_normal((3000, 32)) * rng.lognormal(0, 1, 3000)[:, None]) >= 0.97
+
+
+def test_nearest_ties_at_the_last_rank(spark):
+    """30 different vectors with the same product with the query's: the least ids win."""
+    rows = [(0, [1.0, 0.0, 0.0, 0.0])] + [(i, [5.0, float(i), float(-i), 1.0]) for i in range(1, 31)] + [(31, [9.0, 0.0, 0.0, 0.0])]
+    got = neighbours.nearest(spark.createDataFrame(rows[::-1], "vec_id long, embedding array<double>"), F.col("id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [31, *range(1, 20)]
 
 
 def test_quality(spark):
@@ -89,7 +93,7 @@ def test_url_filter(spark):
     ]
     got = {r.page_id: r for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string, html string, host string")).collect()}
     assert [got[i].rule for i in range(1, 13)] == ["example.net/en/", None, None, "net/", None, None, "example.com/de/", "org/fr/", None, None, None, None]
-    assert [got[i].verdict for i in range(1, 13)] == ["allow", "allow", "allow", "block", "block", "allow", "block", "allow", "allow", "allow", "allow", "block"] or got[12].path == ""
+    assert [got[i].verdict for i in range(1, 13)] == ["allow", "allow", "allow", "block", "block", "allow", "block", "allow", "allow", "allow", "allow", "allow"]
     assert got[2].trust > got[3].trust > 0 and got[5].distrust > 0 and got[6].distrust == 0
     for r in got.values():
         u = urlsplit(rows[r.page_id - 1][1] or "") if "://" in (rows[r.page_id - 1][1] or "") else urlsplit("")
