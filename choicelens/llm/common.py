@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +13,14 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}]+"
 SHINGLE = 5
 SIMILARITY = 0.8
-_scratch: list[str] = []
+_recorders: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        if not spark.sparkContext.master.startswith("local["):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
@@ -26,31 +28,48 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    _scratch.append(path := f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
     return path
 
 
+@contextmanager
+def recording(made: list[str]) -> Iterator[None]:
+    """Scratch paths that are named meanwhile go to `made` too."""
+    _recorders.append(made)
+    try:
+        yield
+    finally:
+        _recorders.remove(made)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder, read back: lineage ends here and outlives any executor."""
     df.write.parquet(path := new_path(df.sparkSession, name))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession, keep: DataFrame) -> None:
-    """Delete the scratch tables of operators whose results have been written, but none that `keep` reads."""
+def release(spark: SparkSession, paths: list[str], keep: DataFrame) -> None:
+    """Delete scratch tables that the caller made and nobody reads any more, but none that `keep` reads."""
     read = keep.inputFiles()
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for path in [*_scratch]:
+    for path in paths:
         if not any(path.split(":")[-1] in f for f in read):
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(conf).delete(at, True)
-            _scratch.remove(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Python workers of this session get batches of so many rows: whole texts are long, and the default is 10,000."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """What runs meanwhile hands Python workers batches of so many rows: whole texts are long, and the default is 10,000."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def words(text: Column) -> Column:

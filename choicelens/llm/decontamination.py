@@ -5,7 +5,8 @@ shingles' bits. Windows have an odd number of shingles, at most half of the item
 all items. Texts get the same windows on a grid, half a window apart: any passage of two thirds of an item holds at least
 one whole grid window. Fingerprints meet on four 16-bit blocks; of two within three bits at least one block is equal, so
 none within that radius is missed. Once a text and an item have met, all windows of the item's size in the text are
-compared exactly, by shingles weighted with their multiplicity.
+compared exactly, by shingles weighted with their multiplicity. Items of one to four words have no shingle: they are
+found where a text holds just these words in a row.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILARITY, WORD, with_shingles, written
+from .common import SHINGLE, SIMILARITY, WORD, with_shingles, words, written
 
 WINDOWS = (1, 3, 7)
 RADIUS, BLOCKS = 3, 4
@@ -62,7 +63,7 @@ def _blocks(df: DataFrame) -> DataFrame:
 
 
 def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
-    """(items, windows by block, window sizes in use). Items of fewer than five words can't be told from ordinary text and take no part; neither do null ids or texts."""
+    """(items, windows by block, window sizes in use). Items of fewer than five words are left to `short_hits`; null ids or texts take no part."""
     whole = benchmark.where(F.col("item_id").isNotNull() & (F.regexp_count(F.lower("text"), F.lit(WORD)) >= SHINGLE)).select("item_id", "text")
     items = with_shingles(whole.dropDuplicates(), "text", "sh").select("item_id", "sh", F.size("sh").alias("n"))
     items = written(items.withColumn("w", window_of(F.col("n")).cast("int")), "items")
@@ -102,11 +103,24 @@ def windows(docs: DataFrame, items: DataFrame, hits: DataFrame) -> DataFrame:
     return each.select("doc_id", "item_id", "start", (F.col("long") + (SHINGLE - 1)).alias("words"), (F.col("shared") / (F.col("long") + F.col("n") - F.col("shared"))).alias("similarity"))
 
 
+def short_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, start, words, similarity) for items of one to four words and the texts that hold exactly these words."""
+    text = words(F.col("text"))
+    items = benchmark.where("item_id IS NOT NULL").select("item_id", text.alias("ws")).withColumn("words", F.size("ws")).where(F.col("words").between(1, SHINGLE - 1))
+    items = written(items.select("item_id", "words", F.array_join("ws", " ").alias("gram")).distinct(), "short-items")
+    sizes = sorted(r.words for r in items.select("words").distinct().collect())  # 4 at most
+    texts = docs.select("doc_id", text.alias("ws"))
+    grams = [texts.where(F.size("ws") >= n).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i, n=n: F.array_join(F.slice("ws", i + 1, n), " "))).alias("start", "gram")).withColumn("words", F.lit(n)) for n in sizes]
+    none = texts.select("doc_id", F.lit(0).alias("start"), F.lit("").alias("gram"), F.lit(0).alias("words")).limit(0)
+    found = reduce(DataFrame.unionByName, grams, none).groupBy("doc_id", "gram", "words").agg(F.min("start").alias("start"))
+    return found.join(items.hint("shuffle_hash"), ["gram", "words"]).select("doc_id", "item_id", "start", "words", F.lit(1.0).alias("similarity"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, start, words, similarity): for each document and item whose best window reaches `least`, the
     word where it starts (from 0), its length in words and its similarity.
 
-    Texts are whole and of any length; null texts and texts of fewer than five words hold nothing. Rows with equal doc_id
+    Texts are whole and of any length; null texts and texts without words hold nothing. Rows with equal doc_id
     count as one document, null being an id as any other. Other columns are ignored; empty tables give no rows.
     """
     items, index, sizes = benchmark_index(benchmark)
@@ -131,7 +145,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     hits = written(near.select("doc_id", "h", "item_id").distinct(), "hits")
     scored = windows(texts, items, hits)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("before"), "words")).alias("b")
-    return scored.groupBy("doc_id", "item_id").agg(best).where(F.col("b.similarity") >= least).select("doc_id", "item_id", (-F.col("b.before")).alias("start"), "b.words", "b.similarity")
+    long = scored.groupBy("doc_id", "item_id").agg(best).where(F.col("b.similarity") >= least).select("doc_id", "item_id", (-F.col("b.before")).alias("start"), "b.words", "b.similarity")
+    # Texts under one item_id may be short and long.
+    both = long.unionByName(short_hits(docs, benchmark)).groupBy("doc_id", "item_id")
+    return both.agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"), "words")).alias("b")).select("doc_id", "item_id", (-F.col("b.before")).alias("start"), "b.words", "b.similarity")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,11 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     Case, punctuation and white space don't count. Texts without words are copies only of equal texts; null counts as
     empty. Repeated rows fall in one class; a class of null ids has a null class_id. Other columns are ignored.
     """
-    small_batches(docs.sparkSession)
+    with small_batches(docs.sparkSession):
+        return _classes(docs, least)
+
+
+def _classes(docs: DataFrame, least: float) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     w = docs.select("doc_id", F.md5(text.cast("binary")).alias("text_md5"), words(F.col("text")).alias("words"))
     key = F.when(F.size("words") > 0, F.md5(F.concat_ws(" ", "words").cast("binary"))).otherwise(F.concat(F.lit("-"), F.col("text_md5")))

@@ -218,14 +218,14 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     found together. An id with several vectors is searched and found by each, its best score counts. Other columns are
     ignored; an empty table gives no rows.
     """
-    small_batches(vectors.sparkSession)
     ok = written(usable(vectors, key, vec), "vectors")
     nodes, members = nodes_and_members(ok, k + 1)
     degree = degree_of(nodes.count())
-    small, graph = neighbour_graph(nodes, degree)
     asked = ok.where(is_query).join(nodes.select("node", "v").hint("merge"), "v").select(F.col("id").alias("query_id"), "node").distinct()
     asked = written(asked, "asked")
-    found = search(asked.select(F.col("node").alias("query")).distinct(), nodes, small, graph, max(int(BEAM * degree), 2 * k))
+    with small_batches(vectors.sparkSession):
+        small, graph = neighbour_graph(nodes, degree)
+        found = search(asked.select(F.col("node").alias("query")).distinct(), nodes, small, graph, max(int(BEAM * degree), 2 * k))
     # The k + 1 nearest rows of a query's node hold the k nearest others of any of its rows.
     rows = found.join(members.hint("merge"), "node").select("query", "id", "score")
     near = _best(rows, k + 1, "query", "id").groupBy("query").agg(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("id"))).alias("near"))

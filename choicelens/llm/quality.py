@@ -70,12 +70,12 @@ def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, text_md5, x, held_out) of each row."""
-    small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.md5(text.cast("binary")).alias("text_md5"), text.alias("text"))
     out = rows.mapInPandas(_describe, "doc_id long, text_md5 string, x array<double>")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
-    return written(out.withColumn("held_out", fold == 0), "described")
+    with small_batches(docs.sparkSession):
+        return written(out.withColumn("held_out", fold == 0), "described")
 
 
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,15 +157,12 @@ def _fit(x: DataFrame, labels: DataFrame) -> Discriminant:
 
 
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of docs, all columns, whose score reaches the threshold: fitted as in classify, then scored in place, so that
-    whole texts are read twice but never shuffled."""
-    model = _fit(described(docs), labels)
-
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([statistics(t) for t in text], float).reshape(-1, D)))
-
-    return docs.where(score("text") >= threshold)
+    """Rows of docs, all columns, whose score reaches the threshold. A row finds its score by its id, null too, and its
+    text's MD5, so repeated rows stay or go together and each text is described once."""
+    key = {"__id": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "text_md5": F.md5(F.coalesce("text", F.lit("")).cast("binary"))}
+    fine = classify(docs, labels, threshold).where("predicted = 1").select(key["__id"].alias("__id"), F.col("text_md5").alias("__md5")).distinct()
+    at = docs.withColumns({"__id": key["__id"], "__md5": key["text_md5"]})
+    return at.join(fine.hint("shuffle_hash"), ["__id", "__md5"], "left_semi").drop("__id", "__md5")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

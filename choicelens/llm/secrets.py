@@ -7,6 +7,8 @@ each however many paths hold them, and findings are joined back to all paths.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +23,6 @@ RULES = [
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", 0, 1),
 ]
 BASE = [r[0] for r in RULES[:3]]
-VERSION = "1"
 SPAN = "array<struct<start:int,ord:int,kind:string,end:int>>"
 FINDINGS = f"blob string, version string, spans {SPAN}"
 
@@ -42,8 +43,14 @@ def _spans(text: Column, ord_: int, kind: str, pattern: str, group: int, least:
     return F.when(text.rlike(pattern), F.aggregate(pieces, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(SPAN))
 
 
-def scan(blobs: DataFrame, rules: list = RULES, version: str = VERSION) -> DataFrame:
+def version_of(rules: list = RULES) -> str:
+    """The rules' own digest: a ledger tells findings of other rules apart by it."""
+    return hashlib.sha256(repr([tuple(r) for r in rules]).encode()).hexdigest()[:16]
+
+
+def scan(blobs: DataFrame, rules: list = RULES) -> DataFrame:
     """(blob, version, spans) for rows (blob, text)."""
+    version = version_of(rules)
     spans = F.concat(*[_spans(F.col("text"), i, *r) for i, r in enumerate(rules)])
     return blobs.select("blob", F.lit(version).alias("version"), F.array_sort(spans).alias("spans"))
 
@@ -54,28 +61,33 @@ def address(docs: DataFrame, path: str = "doc_id", text: str = "text") -> DataFr
     return docs.withColumn("blob", F.sha2("text", 256))
 
 
-def scan_into(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: list = RULES, version: str = VERSION) -> DataFrame:
+def scan_into(docs: DataFrame, ledger: str, path: str = "doc_id", text: str = "text", rules: list = RULES) -> DataFrame:
     """Scan what the ledger folder lacks, append it there, and return one row (path, blob, spans) per row of docs.
 
-    docs may hold any number of versions of a path. A rerun, or a later batch with old blobs, scans nothing twice. Null
-    paths, repeated rows and columns with any other names are allowed; each row of docs gives one row back.
+    docs may hold any number of versions of a path. A rerun, or a later batch with old blobs, scans nothing twice, and
+    however many rows hold a blob, its text is scanned once. Null paths, repeated rows and columns with any other names
+    are allowed; each row of docs gives one row back.
     """
-    spark = docs.sparkSession
+    spark, version = docs.sparkSession, version_of(rules)
     at = address(docs, path, text)
     known = _ledger(spark, ledger)
     # One path stands for each blob: the scan then shuffles each text once at most and hot blobs send one row a task.
     key = F.coalesce(F.col("path").cast("string"), F.lit(""))
-    one = at.withColumn("key", key).groupBy("blob").agg(F.min("key").alias("key"))
+    at = at.withColumn("key", key)
+    each = at.groupBy("blob", "key").agg(F.count("*").alias("n"))
+    one = each.groupBy("blob").agg(F.min(F.struct("key", "n")).alias("o")).select("blob", "o.key", "o.n")
     if known is not None:
         one = one.join(known.where(F.col("version") == version).select("blob").distinct().hint("merge"), "blob", "left_anti")
-    texts = at.withColumn("key", key).join(one.hint("shuffle_hash"), ["blob", "key"], "left_semi")
-    scan(texts, rules, version).dropDuplicates(["blob"]).where(F.col("blob").isNotNull()).write.mode("append").parquet(ledger)
+    texts = at.join(one.hint("shuffle_hash"), ["blob", "key"]).select("blob", "text", "n")
+    # Only where rows repeat both path and blob is there anything left to drop; both branches read the same shuffle.
+    again = texts.where("n > 1").select("blob", "text").dropDuplicates(["blob"])
+    scan(texts.where("n = 1").select("blob", "text").unionByName(again), rules).write.mode("append").parquet(ledger)
     return findings(at, ledger, version)
 
 
-def findings(at: DataFrame, ledger: str, version: str = VERSION) -> DataFrame:
-    """Join the ledger's findings to all paths; it has one row a blob and version, and blobs without findings need no partner."""
-    found = _ledger(at.sparkSession, ledger).where((F.col("version") == version) & (F.size("spans") > 0))
+def findings(at: DataFrame, ledger: str, version: str) -> DataFrame:
+    """Join the ledger's findings to all paths; blobs without findings need no partner, and what two writers entered at once counts once."""
+    found = _ledger(at.sparkSession, ledger).where((F.col("version") == version) & (F.size("spans") > 0)).dropDuplicates(["blob"])
     return at.select("path", "blob").join(found.select("blob", "spans").hint("merge"), "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 

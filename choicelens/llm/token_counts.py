@@ -7,6 +7,7 @@ frequent pre-tokens (a fixed number) meet their documents through a broadcast ta
 
 from __future__ import annotations
 
+import hashlib
 import sys
 import unicodedata
 from collections import Counter
@@ -25,7 +26,7 @@ from .common import small_batches, written
 MODEL = "byte_bpe_50k.json"
 #: Fixed value: the pre-tokenizer's pattern, as the vocabulary file's kind (byte-level, use_regex) has it.
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Bounds of the broadcast table and of what a task gathers before it hands rows on.
+#: Bounds of the broadcast table (longer pieces stand there by their digest) and of what a task gathers before it hands rows on.
 HEAD, HEAD_CHARS, GATHER = 100_000, 64, 50_000
 
 
@@ -99,23 +100,30 @@ def _pieces(path: str):
     return run
 
 
+def _digest(piece: str) -> str | bytes:
+    return piece if len(piece) <= HEAD_CHARS else hashlib.md5(piece.encode()).digest()
+
+
 def _per_document(path: str, head):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         special, known = _specials(tokenizer(path)), head.value
         for b in batches:
-            key, piece, n = [], [], []
-            for k, text in zip(b["key"], b["text"], strict=True):
+            key, doc, size, piece, n = [], [], [], [], []
+            for k, d, s, text in zip(b["key"], b["doc"], b["n_bytes"], b["text"], strict=True):
                 found, sure = pretokens(text, special, path)
                 got = [*map(known.get, found)]
-                key.append(k)
-                piece.append(None)
-                n.append(sum(filter(None, got)) + sure)
+                rare = {}
                 if None in got:
-                    rare = Counter(p for p, t in zip(found, got, strict=True) if t is None)
-                    key += [k] * len(rare)
-                    piece += rare.keys()
-                    n += rare.values()
-            yield pd.DataFrame({"key": key, "piece": piece, "n": n})
+                    missed = Counter(p for p, t in zip(found, got, strict=True) if t is None)
+                    for p in [p for p in missed if len(p) > HEAD_CHARS and _digest(p) in known]:
+                        sure += known[_digest(p)] * missed.pop(p)
+                    rare = missed
+                key += [k] * (1 + len(rare))
+                doc += [d] + [None] * len(rare)
+                size += [s] + [0] * len(rare)
+                piece += [None, *rare]
+                n += [sum(filter(None, got)) + sure, *rare.values()]
+            yield pd.DataFrame({"key": key, "doc": doc, "n_bytes": size, "piece": piece, "n": n})
 
     return run
 
@@ -126,20 +134,24 @@ def token_counts(docs: DataFrame, model: str = MODEL, limit: int = 1024) -> Data
     Null texts count as empty: 0 bytes, 0 tokens. Repeated rows and null ids keep their own rows; other columns are ignored.
     """
     spark, path = docs.sparkSession, public_tokenizers.path(model)
-    small_batches(spark)
     text = F.coalesce("text", F.lit("")).alias("text")
     freq = docs.select(text).mapInPandas(_frequencies(path), "piece string, freq long").groupBy("piece").agg(F.sum("freq").alias("freq"))
-    counted = written(freq.mapInPandas(_pieces(path), "piece string, freq long, pieces int"), "pieces")
-    top = counted.where(F.length("piece") <= HEAD_CHARS).orderBy(F.desc("freq"), "piece").limit(HEAD)
-    head = spark.sparkContext.broadcast({r.piece: r.pieces for r in top.toLocalIterator()})
-    # A row's key holds for the one job that makes and uses it: splits of the files are numbered alike when a task is rerun.
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", text)
-    parts = rows.mapInPandas(_per_document(path, head), "key long, piece string, n long")
+    with small_batches(spark):
+        counted = written(freq.mapInPandas(_pieces(path), "piece string, freq long, pieces int"), "pieces")
+    top = counted.orderBy(F.desc("freq"), "piece").limit(HEAD)
+    top = top.select("pieces", F.when(F.char_length("piece") <= HEAD_CHARS, F.col("piece")).alias("short"), F.when(F.char_length("piece") > HEAD_CHARS, F.unhex(F.md5(F.col("piece").cast("binary")))).alias("long"))
+    head = spark.sparkContext.broadcast({r.short if r.long is None else bytes(r.long): r.pieces for r in top.toLocalIterator()})
+    # Everything about a row leaves this one pass under one key, so that it doesn't matter how a later pass would number rows.
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col("doc_id").cast("string").alias("doc"), F.octet_length("text").cast("long").alias("n_bytes"), text)
+    rows = rows.withColumn("n_bytes", F.coalesce("n_bytes", F.lit(0).cast("long")))
+    parts = rows.mapInPandas(_per_document(path, head), "key long, doc string, n_bytes long, piece string, n long")
     own = F.concat(F.lit("\0"), F.col("key").cast("string"))  # what the head has counted needs no partner: dealt evenly
-    rare = parts.withColumn("piece", F.coalesce("piece", own)).join(counted.select("piece", "pieces").hint("merge"), "piece", "left")
-    total = rare.groupBy("key").agg(F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
-    ids = rows.select("key", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    return ids.join(total.hint("shuffle_hash"), "key").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    rare = parts.withColumn("by", F.coalesce("piece", own)).join(counted.select(F.col("piece").alias("by"), "pieces").hint("merge"), "by", "left")
+    tokens = F.sum(F.col("n") * F.when(F.col("piece").isNull(), F.lit(1)).otherwise(F.col("pieces")))
+    total = rare.groupBy("key").agg(F.max("doc").alias("doc"), F.sum("n_bytes").alias("n_bytes"), tokens.alias("n_tokens"))
+    kind = docs.schema["doc_id"].dataType
+    with small_batches(spark):
+        return written(total.select(F.col("doc").cast(kind).alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")), "token-counts")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from .token_counts import tokenizer
 
 MODEL, END = "word_bpe_49k.json", 2
 #: Ids in a file and in a partition of the writer at most (but a document stays whole), chunks a worker remembers (twice).
-FILE_IDS, PART_IDS, REMEMBER = 500_000, 16_000_000, 500_000
+FILE_IDS, PART_IDS, REMEMBER = 4_000_000, 16_000_000, 500_000
 MAGIC = b"CSV1"
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
 #: str.split() also cuts at these, which are no white space to the tokenizer.
@@ -166,7 +166,7 @@ def _write(folder: str, rank: np.ndarray):
             head += np.array([d is not None for d in docs], np.uint8).tobytes() + np.array([*map(len, ids)], "<u4").tobytes()
             name = f"shard-{part:06d}-{files:06d}.ids"
             _put(f"{folder}/{name}", head + control + data)
-            out = pd.DataFrame({"file": [name], "docs": [len(docs)], "n": [held]})
+            out = pd.DataFrame({"part": [part], "file": [name], "docs": [len(docs)], "n": [held]})
             files, docs, ids, held = files + 1, [], [], 0
             return out
 
@@ -184,15 +184,21 @@ def _write(folder: str, rank: np.ndarray):
 
 
 def write_ids(docs: DataFrame, folder: str, model: str = MODEL, end: int = END) -> DataFrame:
-    """Encode docs (doc_id, text) into shard files in `folder`, a shared one; return (file, docs, n) of the files.
+    """Encode docs (doc_id, text) into shard files in `folder`, a shared one; return (part, file, docs, n) of the files.
 
     Null texts are empty: the end id alone. Null doc_ids come first, repeated ones stand side by side. Other columns are
     ignored. An empty table leaves a folder with ranks only.
     """
     spark, path = docs.sparkSession, public_tokenizers.path(model)
-    small_batches(spark)
+    with small_batches(spark):
+        return _written_ids(spark, docs, folder, path, end)
+
+
+def _written_ids(spark: SparkSession, docs: DataFrame, folder: str, path: str, end: int) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    enc = written(rows.mapInPandas(_encode(path, end), "doc_id long, n long, ids binary"), "encoded")
+    # Rows are numbered in the written table: rows of one id, or of none, can then be dealt over files too.
+    enc = rows.mapInPandas(_encode(path, end), "doc_id long, n long, ids binary").withColumn("nth", F.monotonically_increasing_id())
+    enc = written(enc, "encoded")
     # As many counts as the vocabulary has ids, at most.
     freq = {r.id: r.n for r in enc.select("ids").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
     by = np.array(sorted(freq, key=lambda i: (-freq[i], i)), np.uint32)
@@ -201,14 +207,15 @@ def write_ids(docs: DataFrame, folder: str, model: str = MODEL, end: int = END)
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
     _put(f"{folder}/ranks", by.astype("<u4").tobytes())
     n = max(1, -(-sum(freq.values()) // PART_IDS), spark.sparkContext.defaultParallelism)
-    ordered = enc.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    return written(ordered.mapInPandas(_write(folder, rank), "file string, docs long, n long"), "shards")
+    order = [F.col("doc_id").asc_nulls_first(), F.col("nth")]
+    ordered = enc.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    return written(ordered.mapInPandas(_write(folder, rank), "part int, file string, docs long, n long"), "shards")
 
 
 def _read(folder: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         by = np.frombuffer(_get(f"{folder}/ranks"), "<u4")
-        for file in (f for b in batches for f in b["file"]):
+        for file, base in ((f, n) for b in batches for f, n in zip(b["file"], b["base"], strict=True)):
             raw = _get(f"{folder}/{file}")
             if raw[:4] != MAGIC:
                 raise ValueError(f"{file} is no shard of token ids")
@@ -223,19 +230,21 @@ def _read(folder: str):
             view, crc = memoryview(ids.tobytes()), []
             for a, k in zip(first.tolist(), n.tolist(), strict=True):
                 crc.append(zlib.crc32(view[4 * a : 4 * (a + k)]))
-            yield pd.DataFrame({"file": file, "doc_id": pd.array(np.where(has, doc, 0), "Int64").copy() if has.all() else pd.array([int(d) if h else None for d, h in zip(doc, has, strict=True)], "Int64"), "first": first, "n_tokens": n, "ids_crc32": np.array(crc, np.int64)})
+            yield pd.DataFrame({"doc_id": pd.array(np.where(has, doc, 0), "Int64").copy() if has.all() else pd.array([int(d) if h else None for d, h in zip(doc, has, strict=True)], "Int64"), "start": base + first, "n_tokens": n, "ids_crc32": np.array(crc, np.int64)})
 
     return run
 
 
 def read_ids(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) from the shard files: start counts the ids of all documents before."""
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    base = files.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    base = F.broadcast(base) if files.count() <= 100_000 else base.hint("merge")
-    spread = files.select("file").repartition(max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism)))
-    got = spread.mapInPandas(_read(folder), "file string, doc_id long, first long, n_tokens long, ids_crc32 long")
-    return got.join(base, "file").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # One row for each partition of the writer, then the files of each.
+    parts = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("first_of"))
+    at = files.join(parts.hint("merge"), "part").select("file", (F.col("first_of") + before(Window.partitionBy("part").orderBy("file"))).alias("base"))
+    spread = at.repartition(max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism)))
+    got = spread.mapInPandas(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    with small_batches(spark):
+        return written(got, "read-back")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
