@@ -1,20 +1,26 @@
 """A training corpus from raw documents: filter, deduplicate, decontaminate, mix and encode.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the docs of
-the next one. All but the last return the columns of documents. A stage begins by deleting the scratch tables of stages
-whose results have been written (none that its docs still read), so other results of this session that still wait to be
-computed from such tables must be written before.
+the next one. All but the last return the columns of documents, also columns that the stages don't know. Rows that repeat
+stay or go together, but for near duplicates, of which one stays; null ids and texts are documents like others; an empty
+table passes through. A stage begins by deleting what the stage before it, on the same sf_dir, left in the shared folder,
+since its result has been written by then; it touches nothing that other queries of the session read.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicelens.llm import decontamination, mixing, near_duplicates, quality, token_output
-from choicelens.llm.common import new_path, release, shared_dir
+from choicelens.llm.common import new_path, recording, release, shared_dir
+
+#: Scratch paths by sf_dir and number of the stage that made them.
+_made: dict[tuple[str, int], list[str]] = {}
 
 
 def _key(name: str) -> Column:
@@ -22,41 +28,54 @@ def _key(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
 
 
+def _stage(number: int) -> Callable:
+    def around(f: Callable) -> Callable:
+        @wraps(f)
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            release(spark, _made.pop((sf_dir, number - 1), []), docs)
+            with recording(_made.setdefault((sf_dir, number), [])):
+                return f(spark, docs, sf_dir)
+
+        return run
+
+    return around
+
+
+@_stage(1)
 def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted to the labels of these documents, doesn't reject."""
-    release(spark, docs)
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+@_stage(2)
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each class; of rows with equal doc_id and text, one."""
-    release(spark, docs)
     found = near_duplicates.near_duplicates(docs)
     stay = found.where("doc_id <=> class_id AND text_md5 = class_text").select(_key("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct()
     at = docs.withColumns({"__id": _key("doc_id"), "__md5": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
     return at.join(stay.hint("shuffle_hash"), ["__id", "__md5"], "left_semi").dropDuplicates(["__id", "__md5"]).drop("__id", "__md5")
 
 
+@_stage(3)
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    release(spark, docs)
     hits = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     hits = hits.select(_key("doc_id").alias("__id")).distinct()
     return docs.withColumn("__id", _key("doc_id")).join(hits.hint("shuffle_hash"), "__id", "left_anti").drop("__id")
 
 
+@_stage(4)
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Rows of equal doc_id and source go together."""
-    release(spark, docs)
     copies = mixing.mix(docs).groupBy(_key("doc_id").alias("__id"), _key("source").alias("__source")).agg(F.max("copies").alias("__copies"))
     at = docs.withColumns({"__id": _key("doc_id"), "__source": _key("source")})
     taken = at.join(copies.where("__copies > 0").hint("shuffle_hash"), ["__id", "__source"])
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__id", "__source", "__copies", "__copy")
 
 
+@_stage(5)
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shard files of token ids in a folder of their own under the shared one; returns what reading them back gives."""
-    release(spark, docs)
     folder = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     return token_output.read_ids(spark, folder, token_output.write_ids(docs, folder))
 
@@ -69,7 +88,7 @@ STAGES = [
     ("token output", write_tokens),
 ]
 
-#: Order min-hash, pivotal rounding and tokenization have no SQL; tests/llm holds the stages against brute force.
+#: Order min-hash, pivotal rounding and tokenization have no SQL; tests/llm holds the stages against brute force on small tables.
 ORACLE_SQL = None
 
 
