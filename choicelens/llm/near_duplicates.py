@@ -151,7 +151,9 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     key = F.when(F.size("words") > 0, F.md5(F.concat_ws(" ", "words").cast("binary"))).otherwise(F.concat(F.lit("-"), F.col("text_md5")))
     w = w.select("doc_id", "text_md5", F.unhex(F.replace(key, F.lit("-"), F.lit("00"))).alias("key"), F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
     base = written(w.mapInPandas(_sketches, "doc_id long, text_md5 string, key binary, n int, w binary, sketch array<long>"), "words")
-    nodes = written(base.groupBy("key").agg(F.min(F.struct("doc_id", "text_md5")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "nodes")
+    # Nodes are numbered in a written table: from here on, tables and shuffles hold a number in place of a hash.
+    nodes = base.groupBy(F.col("key").alias("hash")).agg(F.min(F.struct("doc_id", "text_md5")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = written(nodes.withColumn("key", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("key", "n", F.explode("sketch").alias("bucket"))
     several = written(buckets.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("size")).where("size > 1"), "several")
     shared = written(buckets.join(several.hint("merge"), "bucket"), "shared")
@@ -163,13 +165,15 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
 
     def texts_of(ends: DataFrame) -> DataFrame:
         """(key, w): the words of each node of ends (key)."""
-        one = nodes.select("key", "rep.*").join(ends.hint("merge"), "key", "left_semi")
-        return written(base.select("key", "doc_id", "text_md5", "w").join(one.select("key", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_md5").hint("shuffle_hash"), (base["key"] == one["key"]) & (base["text_md5"] == one["text_md5"]) & (F.coalesce(base["doc_id"].cast("string"), F.lit("")) == F.col("id")), "left_semi").select("key", "w").dropDuplicates(["key"]), "texts")
+        one = nodes.select("key", "hash", "rep.*").join(ends.hint("merge"), "key", "left_semi")
+        rows = base.select(F.col("key").alias("hash"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_md5", "w")
+        one = one.select("key", "hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_md5")
+        return written(rows.join(one.hint("shuffle_hash"), ["hash", "id", "text_md5"]).select("key", "w").dropDuplicates(["key"]), "texts")
 
     def verified(todo: DataFrame) -> DataFrame:
         texts = texts_of(todo.select(F.col("a").alias("key")).union(todo.select("b")).distinct())
         side = lambda x: texts.select(F.col("key").alias(x), F.col("w").alias(f"w{x}")).hint("merge")
-        return written(todo.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verify(least), "a binary, b binary"), "links")
+        return written(todo.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verify(least), "a long, b long"), "links")
 
     n_of = nodes.select(F.col("key").alias("least"), F.col("n").alias("na"))
     first = shared.where("key != least").join(n_of.hint("merge"), "least").select(F.col("least").alias("a"), F.col("key").alias("b"), "na", F.col("n").alias("nb"))
@@ -204,7 +208,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
 
     def meeting_rarely(crowd: DataFrame) -> DataFrame:
         """Pairs of the nodes (key, n, label, mine), at words that are early enough in both nodes' order by rarity."""
-        each = written(texts_of(crowd.select("key")).mapInPandas(_occurrences, "key binary, word long"), "occurrences")
+        each = written(texts_of(crowd.select("key")).mapInPandas(_occurrences, "key long, word long"), "occurrences")
         often = each.groupBy("word").agg(F.count("*").alias("df"))
         place = F.row_number().over(Window.partitionBy("key").orderBy("df", "word"))
         early = F.col("n") - F.col("place") + 1 >= least * F.col("n") - 1e-9
@@ -242,7 +246,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
 
     at = nodes.join(label.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     least_of = at.groupBy("label").agg(F.min("rep").alias("class"))
-    of = written(at.select("key", "label").join(least_of.hint("merge"), "label").select("key", "class"), "classes")
+    of = written(at.select(F.col("hash").alias("key"), "label").join(least_of.hint("merge"), "label").select("key", "class"), "classes")
     got = base.select("doc_id", "text_md5", "key").join(of.hint("merge"), "key")
     return got.select("doc_id", "text_md5", F.col("class.doc_id").alias("class_id"), F.col("class.text_md5").alias("class_text"))
 
