@@ -85,6 +85,7 @@ STAGES = [
     ("checkout", [r"\b(proceed to )?check\s?out\b", r"\bcontinue to (checkout|payment|delivery|shipping)\b", r"\bgo to checkout\b", r"\bsecure checkout\b", r"\bcheckout now\b", r"\bproceed\b", r"\bcontinue\b"]),
     ("order_summary", [r"\bcontinue to (payment|summary|review)\b", r"\breview (your )?order\b", r"\border summary\b", r"\bnext\b"]),
 ]
+# Expressions for totals, promises, money, clocks and programs.
 TOTAL = r"\b(total|subtotal|sub-total|amount payable|grand total|order total|you pay|payable|order summary|amount to pay)\b"
 PROMO = r"free\s+(shipping|delivery|returns?)|orders?\s+(over|above|of)\b|spend\s+(over|above)\b|save\s+up\s+to\b|minimum\s+(order|purchase|spend)\b|on\s+orders?\s+above\b"
 CURRENCY = r"(?:₹|€|£|¥|\$|(?<![A-Za-z])(?:Rs\.?|INR|US\$|A\$|C\$|S\$|USD|EUR|GBP|JPY|AUD|CAD|CHF|SGD|AED|SAR))"
@@ -92,11 +93,30 @@ CODE = r"(?:INR|USD|EUR|GBP|JPY|AUD|CAD|CHF|SGD|AED|SAR)"
 AMOUNT = r"(?:\d{1,3}(?:[,\s ]\d{2,3})+|\d+)(?:\.\d{1,2})?"
 CLOCK = r"\b\d{1,3}\s*:\s*\d{2}(?:\s*:\s*\d{2})?\b"
 EXECUTABLE = r"\.(exe|msi|apk|dmg|pkg|bat|scr|jar)$"
+# What a price row is cleaned of, and labels that name no charge.
+TOTAL_WORDS = r"\b(total|subtotal|sub-total|total amount|amount payable|grand total|order total|you pay|payable now|net payable|amount to pay)\b"
+PERCENT_BADGE = r"\d[\d,.]*\s*%\s*(?:off|discount)?"
+CTA_TAIL = (
+    r"\b(add to (cart|bag|basket|trolley|tote)|buy now|shop now|add to wishlist|view (product|details|item)|quick view|select options|choose options"
+    r"|out of stock|in stock|compare|wishlist)\b.*$"
+)
+ATTRIBUTE_LABELS = ["quantity", "qty", "size", "color", "colour", "availability", "condition", "brand", "category", "sku", "model", "price", "options", "product"]
+NEGATIVE = r"^-|\(-|\bless\b|\bdiscount"
+DISCLOSURE = r"\b(ad|advertisement|sponsored|promoted)\b"
+# The shorter lists of checks that see one page at a time.
+PAGE_URGENCY = [*URGENCY[:13], *URGENCY[14:18], URGENCY[19], r"\bin stock\b"]
+PAGE_GUILT = GUILT[:12]
+PAGE_RECURRING = [RECURRING[0], RECURRING[1], RECURRING[2], RECURRING[4], RECURRING[5], RECURRING[9], RECURRING[6], RECURRING[7], RECURRING[8], RECURRING[10]]
+PAGE_DOUBLE_NEGATIVE = DOUBLE_NEGATIVE[:4]
+PAGE_OPT_OUT = OPT_OUT[:6]
+PAGE_CHARGE = r"₹|insurance|protection|rs\.?\s*\d"
+# Kinds of personal data, in the order in which they are replaced.
 REDACTIONS = [
     ("email", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "[EMAIL_REDACTED]"), ("card", r"\b(?:\d[ -]*?){13,19}\b", "[CARD_REDACTED]"),
     ("id12", r"\b\d{4}[ -]?\d{4}[ -]?\d{4}\b", "[ID_REDACTED]"), ("pan", r"\b[A-Z]{5}\d{4}[A-Z]\b", "[ID_REDACTED]"),
     ("mobile", r"(?:\+?91[\s-]?|\b0)?[6-9](?:[\s-]?\d){9}\b", "[PHONE_REDACTED]"), ("postal", r"(?i)\b(pin|pincode|postal code)\b[\s:-]*\d{6}\b", "[POSTAL_REDACTED]"),
 ]
+# Codes, names and tiers of the guidelines' patterns.
 PATTERNS = {
     "DP-01": ("False Urgency", "corroborated"), "DP-02": ("Basket Sneaking", "provable"), "DP-03": ("Confirm Shaming", "indicative"), "DP-04": ("Forced Action", "provable"),
     "DP-05": ("Subscription Trap", "corroborated"), "DP-06": ("Interface Interference", "corroborated"), "DP-07": ("Bait and Switch", "corroborated"), "DP-08": ("Drip Pricing", "provable"),

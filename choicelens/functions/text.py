@@ -5,6 +5,8 @@ All of them stay inside the JVM. Patterns are literals, so each compiles once; `
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -22,21 +24,41 @@ def quotes(text: Column) -> Column:
     return F.translate(text, "’‘", "''")
 
 
+def literal_of(pattern: str) -> str:
+    """A word of lower-case ASCII letters that every match of the pattern holds, '' if none is plain to see."""
+    rest, before = pattern, None
+    while rest != before:  # innermost groups first, with what makes them optional
+        before, rest = rest, re.sub(r"\((?:[^()\\]|\\.)*\)[?*]?(\{[^}]*\})?", " ", rest)
+    if "|" in rest:
+        return ""
+    rest = re.sub(r"\\.|\[[^\]]*\]|\{[^}]*\}", " ", rest)
+    return max(re.findall("[a-z]+", re.sub(r".[?*]", " ", rest)), key=len, default="")
+
+
+def _low(text: Column) -> Column:
+    return F.translate(F.lower(text), "ſ", "s")
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Whether a pattern matches a text of straight quotes; most texts lack the pattern's word, which is quick to see."""
+    word, test = literal_of(pattern), text.rlike(java(pattern))
+    return _low(text).contains(word) & test if len(word) > 2 else test
+
+
 def hits(text: Column, patterns: list[str]) -> Column:
-    """Whether any pattern matches: one alternation, the quick way to skip most rows."""
-    return F.coalesce(quotes(text).rlike("|".join(f"(?:{java(p)})" for p in patterns)), F.lit(False))
+    """Whether any pattern matches."""
+    return F.coalesce(reduce(Column.__or__, [_matches(quotes(text), p) for p in patterns]), F.lit(False))
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:
     """Span of the first pattern in list order that matches, null if none does."""
-    span = F.coalesce(*[F.regexp_substr(quotes(text), F.lit(java(p))) for p in patterns])
-    return F.when(hits(text, patterns), span)
+    return F.coalesce(*[F.when(_matches(quotes(text), p), F.regexp_substr(quotes(text), F.lit(java(p)))) for p in patterns])
 
 
 def all_matches(text: Column, patterns: list[str]) -> Column:
-    """array<struct<ord,span>> of the patterns that match, in list order."""
-    each = [F.when(quotes(text).rlike(java(p)), F.struct(F.lit(i).alias("ord"), F.regexp_substr(quotes(text), F.lit(java(p))).alias("span"))) for i, p in enumerate(patterns)]
-    return F.when(hits(text, patterns), F.array_compact(F.array(*each))).otherwise(F.array().cast("array<struct<ord:int,span:string>>"))
+    """array<struct<ord,span>> of the patterns that match, in list order; null text matches none."""
+    each = [F.when(_matches(quotes(text), p), F.struct(F.lit(i).alias("ord"), F.regexp_substr(quotes(text), F.lit(java(p))).alias("span"))) for i, p in enumerate(patterns)]
+    return F.array_compact(F.array(*each))
 
 
 def lexicon_scan(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
@@ -44,18 +66,18 @@ def lexicon_scan(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
     return df.withColumn("hit", F.explode(all_matches(F.col(text), patterns))).select(*[c for c in df.columns if c not in ("ord", "span")], "hit.*")
 
 
-_MONEY = java(rf"{lx.CURRENCY}\s*({lx.AMOUNT})|({lx.AMOUNT})\s*/-|({lx.AMOUNT})\s*{lx.CODE}\b").replace(r"[,[\s ] ]", r"[,\s ]")
+MONEY = java(rf"{lx.CURRENCY}\s*({lx.AMOUNT})|({lx.AMOUNT})\s*/-|({lx.AMOUNT})\s*{lx.CODE}\b").replace(r"[,[\s ] ]", r"[,\s ]")
 
 
 def amount(text: Column) -> Column:
     """The first amount of money in a text, null if there is none."""
-    raw = F.coalesce(*[F.nullif(F.regexp_extract(text, _MONEY, g), F.lit("")) for g in (1, 2, 3)])
+    raw = F.coalesce(*[F.nullif(F.regexp_extract(text, MONEY, g), F.lit("")) for g in (1, 2, 3)])
     return F.regexp_replace(raw, r"[,\s ]", "").try_cast("double")
 
 
 def money_mark(text: Column) -> Column:
     """The currency mark of that amount as written, '' if none."""
-    return F.coalesce(F.regexp_substr(F.regexp_substr(text, F.lit(_MONEY)), F.lit(java(lx.CURRENCY))), F.regexp_substr(F.regexp_substr(text, F.lit(_MONEY)), F.lit(java(lx.CODE))), F.lit(""))
+    return F.coalesce(F.regexp_substr(F.regexp_substr(text, F.lit(MONEY)), F.lit(java(lx.CURRENCY))), F.regexp_substr(F.regexp_substr(text, F.lit(MONEY)), F.lit(java(lx.CODE))), F.lit(""))
 
 
 def money_text(value: Column, mark: Column) -> Column:
@@ -86,6 +108,13 @@ def mentions_amount(text: Column, value: Column) -> Column:
     return F.coalesce((value != 0) & reduce(Column.__or__, [there.contains(w) for w in ways]), F.lit(False))
 
 
+def schema_org_price(html: Column) -> Column:
+    """Price of the first JSON-LD block that is an object with an offer's price; broken blocks and lists are passed over."""
+    blocks = F.regexp_extract_all(html, F.lit(r'(?is)<script type="application/ld\+json">(.*?)</script>'), F.lit(1))
+    prices = F.transform(blocks, lambda b: F.get_json_object(b, "$.offers.price").try_cast("double"))
+    return F.get(F.filter(prices, lambda p: p.isNotNull()), F.lit(0))
+
+
 def luminance(colour: Column) -> Column:
     """Relative luminance of rgb(), rgba() or #hex; transparent or unknown counts as 0.5."""
     hex6 = F.when(colour.rlike("^#[0-9A-Fa-f]{3}$"), F.regexp_replace(colour, "([0-9A-Fa-f])", "$1$1")).otherwise(colour)
@@ -102,21 +131,50 @@ def contrast(fg: Column, bg: Column) -> Column:
     return F.round((F.greatest(a, b) + 0.05) / (F.least(a, b) + 0.05), 2)
 
 
+#: What a text must hold for a rule to have anything to do: a cheap test that skips the rule's own expression on most rows.
+_GUARDS = {"email": "@", "card": r"\d[ -]*\d[ -]*\d", "id12": r"\d{4}[ -]?\d{4}", "pan": r"[A-Z]{5}\d", "mobile": r"[6-9][\s-]?\d[\s-]?\d", "postal": r"(?i)pin|postal"}
+
+
 def redact(text: Column) -> Column:
-    return reduce(lambda c, r: F.regexp_replace(c, r[1], r[2]), lx.REDACTIONS, text)
+    for kind, pattern, mark in lx.REDACTIONS:
+        text = F.when(text.rlike(_GUARDS[kind]), F.regexp_replace(text, pattern, mark)).otherwise(text)
+    return text
+
+
+def _redaction(kind: str, pattern: str, mark: str) -> Callable[[Column], Column]:
+    """One rule's step over a struct of the text and the rules' counts."""
+
+    def step(x: Column) -> Column:
+        there = F.coalesce(x["t"].rlike(_GUARDS[kind]), F.lit(False))
+        text = F.when(there, F.regexp_replace(x["t"], pattern, mark)).otherwise(x["t"])
+        n = F.when(there, F.regexp_count(x["t"], F.lit(pattern))).otherwise(F.lit(0))
+        return F.struct(text.alias("t"), *[(n if k == kind else x[k]).alias(k) for k, _, _ in lx.REDACTIONS])
+
+    return step
 
 
 def redact_table(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Redact text columns and count what each kind of rule replaced, in the rules' order."""
+    """Redact text columns and count what each kind of rule replaced, in the rules' order.
+
+    One rule after the other over a struct that a higher-order function carries along, so that each step's text is made once.
+    """
     for c in cols:
-        at, counts = F.col(c), []
+        none = F.struct(F.col(c).alias("t"), *[F.lit(0).alias(k) for k, _, _ in lx.REDACTIONS])
+        state = F.array(none)
         for kind, pattern, mark in lx.REDACTIONS:
-            counts.append(F.coalesce(F.regexp_count(at, F.lit(pattern)), F.lit(0)).alias(kind))
-            at = F.regexp_replace(at, pattern, mark)
-        df = df.withColumns({f"{c}_redactions": F.struct(*counts), c: at})
+            state = F.transform(state, _redaction(kind, pattern, mark))
+        df = df.withColumn("__r", F.get(state, F.lit(0)))
+        df = df.withColumns({f"{c}_redactions": F.struct(*[F.col(f"__r.{k}").alias(k) for k, _, _ in lx.REDACTIONS]), c: F.col("__r.t")}).drop("__r")
     return df
 
 
+def redact_json(json: Column) -> Column:
+    """Redact the string values of JSON text; names and numbers stay as they are."""
+    tokens = F.regexp_extract_all(json, F.lit(r'"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
+    value = lambda x, i: x.startswith('"') & ~F.coalesce(F.get(tokens, i + 1).startswith(":"), F.lit(False))
+    return F.array_join(F.transform(tokens, lambda x, i: F.when(value(x, i), redact(x)).otherwise(x)), "")
+
+
 def button_role(cls: Column) -> Column:
     return F.when(cls.contains("accept"), "accept").when(cls.contains("decline"), "decline").otherwise("neutral")
 
@@ -124,22 +182,42 @@ def button_role(cls: Column) -> Column:
 def modal_signature(id_: Column, cls: Column, text: Column) -> Column:
     """id:, else class: with its words sorted, else text: lower-cased, digits as #, 80 characters."""
     names = F.concat_ws(" ", F.array_sort(F.filter(F.split(F.coalesce(cls, F.lit("")), r"\s+"), lambda x: x != "")))
-    plain = F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), r"\d", "#")
+    plain = F.regexp_replace(F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), r"\d+", "#")
     return F.when(F.coalesce(id_, F.lit("")) != "", F.concat(F.lit("id:"), id_)).when(names != "", F.concat(F.lit("class:"), names)).otherwise(F.concat(F.lit("text:"), F.substring(plain, 1, 80)))
 
 
+def _private_v4(n: list[Column]) -> Column:
+    a, b, c = n[0], n[1], n[2]
+    return (
+        a.isin(0, 10, 127) | (a >= 224) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 172) & b.between(16, 31)) | ((a == 100) & b.between(64, 127))
+        | ((a == 192) & (b == 0) & c.isin(0, 2)) | ((a == 198) & b.isin(18, 19)) | ((a == 198) & (b == 51) & (c == 100)) | ((a == 203) & (b == 0) & (c == 113))
+    )
+
+
+def url_host(url: Column) -> Column:
+    """Host of a url with a scheme, in lower case, without user, port and a closing dot; '' if it has none."""
+    authority = F.regexp_extract(F.coalesce(url, F.lit("")), r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    return F.regexp_replace(F.lower(F.regexp_extract(authority, r"^(?:[^@]*@)?(\[[^\]]*\]|[^:]*)", 1)), r"\.$", "")
+
+
 def screen_url(url: Column) -> Column:
-    """Why a crawl must not follow a url, null if it may."""
-    host = F.lower(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")))
-    scheme = F.lower(F.coalesce(F.try_parse_url(url, F.lit("PROTOCOL")), F.lit("")))
+    """Why a crawl must not follow a url, null if it may. Names aren't resolved; of IPv6 only public unicast may pass."""
+    authority = F.regexp_extract(url, r"(?i)^[a-z][a-z0-9+.-]*://([^/?#]*)", 1)
+    scheme = F.lower(F.regexp_extract(url, r"(?i)^([a-z][a-z0-9+.-]*):", 1))
+    host = url_host(url)
     octets = F.split(host, r"\.")
-    num = lambda i: F.get(octets, F.lit(i)).try_cast("int")
-    literal = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    private = num(0).isin(0, 10, 127) | (num(0) >= 224) | ((num(0) == 192) & (num(1) == 168)) | ((num(0) == 169) & (num(1) == 254)) | ((num(0) == 172) & num(1).between(16, 31)) | ((num(0) == 100) & num(1).between(64, 127))
+    dotted = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    number = host.rlike(r"^(0x[0-9a-f]+|\d+)(\.(0x[0-9a-f]+|\d+))*$")
+    six = host.startswith("[")
+    first, second = (F.conv(F.nullif(F.regexp_extract(host, r"^\[([0-9a-f]{1,4}):([0-9a-f]{0,4})", g), F.lit("")), 16, 10).cast("int") for g in (1, 2))
+    second = F.coalesce(second, F.lit(0))
+    public = first.between(0x2000, 0x3FFF) & ~((first == 0x2001) & ((second < 0x200) | (second == 0xDB8))) & (first != 0x2002) & ~((first == 0x3FFF) & (second < 0x1000))
+    private = F.coalesce(_private_v4([F.get(octets, F.lit(i)).try_cast("int") for i in range(3)]), F.lit(True))
     return (
         F.when(F.coalesce(F.trim(url), F.lit("")) == "", "empty").when(F.length(url) > 2048, "too long").when(~scheme.isin("http", "https"), "scheme")
-        .when(F.try_parse_url(url, F.lit("USERINFO")).isNotNull(), "credentials").when(host == "", "no host")
-        .when((host == "localhost") | (host == "0.0.0.0") | host.endswith(".local"), "local").when(literal & private, "private address")
+        .when(authority.contains("@"), "credentials").when(host == "", "no host")
+        .when((host == "localhost") | (host == "0.0.0.0") | host.endswith(".local"), "local")
+        .when(dotted, F.when(private, "private address")).when(number, "numeric address").when(six & ~F.coalesce(public, F.lit(False)), "private address")
     )
 
 

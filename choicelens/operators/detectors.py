@@ -236,33 +236,60 @@ def ground_and_dedupe(cap: Captures, candidates: DataFrame, ord_: int = 15) -> D
     quote = F.lower(F.trim("quote"))
     df = candidates.join(cap.states.select("trace_id", "step_ord", "full_text"), ["trace_id", "step_ord"])
     df = df.where((quote != "") & F.lower("full_text").contains(quote)).withColumn("__q", quote)
-    w = Window.partitionBy("trace_id", "step_ord", "code", "__q").orderBy("turn", "elem_ord")
+    w = Window.partitionBy("trace_id", "step_ord", "code", "__q").orderBy("turn", "elem_ord", F.desc("conf"), "quote")
     df = df.withColumn("__r", F.row_number().over(w)).where("__r = 1").withColumn("elem_ord", F.col("turn") * 10_000 + F.col("elem_ord"))
     names = reduce(lambda e, c: F.when(F.col("pattern_code") == c, lx.PATTERNS[c][0]).otherwise(e), lx.PATTERNS, F.lit(""))
     out = findings(df, "DP-03", ord_, F.col("tier"), F.col("conf"), F.concat(F.lit("Wording: "), "quote"), {"quoted_text": F.col("quote"), "source": F.col("source"), "pattern": F.col("code")}, layer=3)
     return out.withColumn("pattern_code", F.get_json_object("evidence", "$.pattern")).withColumn("pattern_name", names)
 
 
+def _wording(cap: Captures) -> DataFrame:
+    return ground_and_dedupe(cap, shaming_candidates(cap).union(trick_candidates(cap)))
+
+
+#: Detectors in their order, with the columns without which each finds nothing (one of several after a bar).
+LAYER1 = [
+    (detect_drip_pricing, "price full_text line_items"), (detect_basket_sneaking, "checkboxes"), (detect_fake_urgency, "full_text capture_no"), (detect_reference_pricing, "price full_text"),
+    (detect_immortal_account, "full_text"), (detect_comparison_prevention, "raw_html"), (detect_bait_and_switch, "buttons price"),
+]
+LAYER1_FLOW = [
+    (detect_forced_consent, "checkboxes|form_fields"), (detect_inescapable_overlay, "modals"), (detect_late_recurring_disclosure, "buttons full_text"), (detect_path_asymmetry, "role"), (detect_missing_cancel_route, "buttons full_text"),
+    (detect_nagging, "modals dismissals"), (detect_interruption_volume, "modals dismissals"), (detect_saas_billing, "checkboxes"), (detect_rogue_alert, "modals"), (detect_disguised_executable, "links"),
+]
+LAYER2 = [(detect_interface_interference, "buttons"), (detect_disguised_ad, "disclosure_labels")]
+LAYER3 = [(_wording, "buttons|checkboxes full_text")]
+
+
+def _run(cap: Captures, detectors: list) -> list[DataFrame]:
+    """The detectors that have something to read: each is a branch of the plan, so those without are left out of it."""
+    return [f(cap) for f, needs in detectors if all(any(cap.has(c) for c in one.split("|")) for one in needs.split())]
+
+
+def _all(found: list[DataFrame], cap: Captures) -> DataFrame:
+    return reduce(DataFrame.unionByName, found) if found else detect_immortal_account(cap).limit(0)
+
+
 def run_layer1(cap: Captures) -> DataFrame:
-    return reduce(DataFrame.unionByName, [f(cap) for f in (detect_drip_pricing, detect_basket_sneaking, detect_fake_urgency, detect_reference_pricing, detect_immortal_account, detect_comparison_prevention, detect_bait_and_switch)])
+    return _all(_run(cap, LAYER1), cap)
 
 
 def run_layer1_flow(cap: Captures) -> DataFrame:
-    found = [detect_forced_consent, detect_inescapable_overlay, detect_late_recurring_disclosure, detect_path_asymmetry, detect_missing_cancel_route, detect_saas_billing, detect_rogue_alert, detect_disguised_executable]
-    found += [detect_nagging, detect_interruption_volume] if cap.dismissals is not None else []
-    return reduce(DataFrame.unionByName, [f(cap) for f in found])
+    return _all(_run(cap, LAYER1_FLOW), cap)
 
 
 def run_layer2(cap: Captures) -> DataFrame:
-    return detect_interface_interference(cap).unionByName(detect_disguised_ad(cap))
+    return _all(_run(cap, LAYER2), cap)
 
 
 def run_layer3(cap: Captures, verdicts: DataFrame | None = None) -> DataFrame:
-    c = shaming_candidates(cap).union(trick_candidates(cap))
-    return ground_and_dedupe(cap, c if verdicts is None else c.union(external_candidates(cap, verdicts)))
+    """Wording found here, and verdicts of a model where a table of them is given."""
+    if verdicts is None:
+        return _all(_run(cap, LAYER3), cap)
+    return ground_and_dedupe(cap, shaming_candidates(cap).union(trick_candidates(cap)).union(external_candidates(cap, verdicts)))
 
 
 def audit(cap: Captures, verdicts: DataFrame | None = None, ordered: bool = True) -> DataFrame:
-    """All detectors; strongest first, then in the order of detectors, steps and elements."""
-    every = reduce(DataFrame.unionByName, [run_layer1(cap), run_layer1_flow(cap), run_layer2(cap), run_layer3(cap, verdicts)])
+    """All detectors; strongest first, then in the order of detectors, traces, steps and elements."""
+    found = _run(cap, [*LAYER1, *LAYER1_FLOW, *LAYER2, *([] if verdicts is not None else LAYER3)]) + ([run_layer3(cap, verdicts)] if verdicts is not None else [])
+    every = _all(found, cap)
     return every.orderBy(F.desc("confidence"), "detector_ord", "trace_id", "step_ord", "elem_ord") if ordered else every

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.text import first_match, hits, java, screen_url
+from ..functions.text import first_match, hits, java, redact, screen_url, url_host
 
 
 def forbidden_controls(controls: DataFrame) -> DataFrame:
@@ -32,18 +32,34 @@ def discover_funnels(starts: DataFrame, controls: DataFrame) -> DataFrame:
     df = starts.select(F.col("page_id").alias("start"), "page_id", F.array().cast("array<string>").alias("reached"), F.array().cast("array<string>").alias("skipped"))
     for name, patterns in lx.STAGES:
         step = next_controls(controls, patterns).where("target_page_id IS NOT NULL").select("page_id", "target_page_id")
-        df = df.join(step, "page_id", "left")
+        df = df.join(step.hint("merge"), "page_id", "left")
         found = F.col("target_page_id").isNotNull()
         df = df.select("start", F.coalesce("target_page_id", "page_id").alias("page_id"), F.when(found, F.array_append("reached", F.lit(name))).otherwise(F.col("reached")).alias("reached"), F.when(found, F.col("skipped")).otherwise(F.array_append("skipped", F.lit(name))).alias("skipped"))
     return df
 
 
-def discovery_report(found: DataFrame) -> DataFrame:
-    note = F.when(F.size("reached") == 0, "Only one page could be reached.").when(F.size("skipped") > 0, F.concat(F.lit("Not reached: "), F.array_join("skipped", ", "))).otherwise("All stages reached.")
-    return found.withColumn("note", note)
+def discovery_report(found: DataFrame, pages: DataFrame | None = None, refused: DataFrame | None = None) -> DataFrame:
+    """Add a note on what was not reached. pages (page_id, full_text) tells near-empty start pages, refused (page_id, …) pages
+    with controls that must not be clicked; each may be left out."""
+    flags = [F.lit(False).alias("empty"), F.lit(False).alias("refused")]
+    if pages is not None:
+        empty = pages.where(F.char_length(F.trim(F.coalesce("full_text", F.lit("")))) < 200).select(F.col("page_id").alias("start"), F.lit(True).alias("empty")).distinct()
+        found, flags[0] = found.join(empty.hint("merge"), "start", "left"), F.coalesce("empty", F.lit(False)).alias("empty")
+    if refused is not None:
+        no = refused.select(F.col("page_id").alias("start"), F.lit(True).alias("refused")).distinct()
+        found, flags[1] = found.join(no.hint("merge"), "start", "left"), F.coalesce("refused", F.lit(False)).alias("refused")
+    found = found.select(*[c for c in found.columns if c not in ("empty", "refused")], *flags)
+    one = F.when(F.col("refused"), "Only the first page was seen: what leads on must not be clicked.").otherwise("Only the first page was seen.")
+    reach = F.when(F.size("reached") == 0, one).when(F.size("skipped") > 0, F.concat(F.lit("Not reached: "), F.array_join("skipped", ", "))).otherwise("All stages reached.")
+    return found.withColumn("note", F.concat_ws(" ", F.when(F.col("empty"), "The page held almost no text."), reach)).drop("empty", "refused")
+
+
+def write_discovery(found: DataFrame, path: str) -> None:
+    """One JSON object a start: stages reached and not found, and the redacted note."""
+    found.select("start", F.col("reached").alias("stages_reached"), F.col("skipped").alias("stages_not_found"), redact(F.col("note")).alias("note")).write.mode("overwrite").json(path)
 
 
 def blocked_targets(links: DataFrame) -> DataFrame:
     """(host, reason) of links (href) that a crawl may not follow, once per host; inert schemes are no targets."""
-    df = links.where(~F.lower("href").rlike("^(data|blob|about|javascript):")).select(F.coalesce(F.try_parse_url("href", F.lit("HOST")), F.lit("")).alias("host"), screen_url(F.col("href")).alias("reason"))
+    df = links.where(~F.lower("href").rlike("^(data|blob|about|javascript):")).select(url_host(F.col("href")).alias("host"), screen_url(F.col("href")).alias("reason"))
     return df.where("reason IS NOT NULL").groupBy("host").agg(F.min("reason").alias("reason"))

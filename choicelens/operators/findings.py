@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.text import redact
+from ..functions.text import redact, redact_json
 from ..plans.captures import clamp
 
 
@@ -46,17 +46,20 @@ def tier_counts(findings: DataFrame, by: str) -> DataFrame:
     return counts.select(by, *[F.coalesce(t, F.lit(0)).alias(t) for t in tiers])
 
 
-def coverage_summary(spark: SparkSession) -> DataFrame:
-    return dim_pattern(spark).groupBy("tier").agg(F.count("*").alias("patterns"), F.concat_ws(",", F.sort_array(F.collect_list("pattern_code"))).alias("codes"))
+def coverage_summary(violations: DataFrame) -> DataFrame:
+    """(tier, patterns, codes, findings): what the detectors can say at each tier, and how often they did."""
+    n = violations.groupBy("pattern_code").agg(F.count("*").alias("n"))
+    all_ = dim_pattern(violations.sparkSession).join(n, "pattern_code", "left")
+    return all_.groupBy("tier").agg(F.count("*").alias("patterns"), F.concat_ws(",", F.sort_array(F.collect_list("pattern_code"))).alias("codes"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
 
 
 def list_audits(jobs: DataFrame, violations: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of jobs, newest first, each with its violations; the limit comes before the join."""
+    """A page of jobs, newest first, each with its violations; the limit comes before the join, and 200 ids may be broadcast."""
     if not 1 <= limit <= 200:
         raise ValueError("limit must be 1 to 200")
     page = jobs.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
     held = violations.join(F.broadcast(page.select(F.col("id").alias("job_id"))), "job_id").groupBy("job_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pattern_code", "confidence"))).alias("violations"))
-    return page.join(held, page["id"] == held["job_id"], "left").drop("job_id").withColumn("n", F.coalesce("n", F.lit(0)))
+    return page.join(held, page["id"] == held["job_id"], "left").drop("job_id").withColumn("n", F.coalesce("n", F.lit(0))).orderBy(F.desc("created_at"), F.desc("id"))
 
 
 def get_audit(jobs: DataFrame, violations: DataFrame, id_: int) -> DataFrame:
@@ -79,18 +82,28 @@ def retention_split(jobs: DataFrame, violations: DataFrame, now: Column, days: i
     return jobs.join(gone, "id", "left_anti"), jobs.join(gone, "id", "left_semi"), kept
 
 
-def delete_audit(jobs: DataFrame, violations: DataFrame, id_: int) -> tuple[DataFrame, DataFrame]:
-    return jobs.where(F.col("id") != id_), violations.where(F.col("job_id") != id_)
+def delete_audits(jobs: DataFrame, violations: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(jobs left, violations left, counts (kind, n) of what went) without the jobs of ids (id); unknown ids count nothing."""
+    gone = ids.select("id").distinct()
+    held = gone.withColumnRenamed("id", "job_id")
+    n = lambda df, kind: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n")
+    counts = n(jobs.join(gone, "id", "left_semi"), "jobs").union(n(violations.join(held, "job_id", "left_semi"), "violations"))
+    return jobs.join(gone, "id", "left_anti"), violations.join(held, "job_id", "left_anti"), counts
+
+
+def purge_all(jobs: DataFrame, violations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nothing is left; counts as in delete_audits."""
+    return delete_audits(jobs, violations, jobs)
 
 
 def cases_for_findings(findings: DataFrame, cases: DataFrame) -> DataFrame:
-    """findings ⋈ cases (case_id, pattern_codes array), a short list of cases."""
-    return findings.join(F.broadcast(cases.select("case_id", F.explode("pattern_codes").alias("pattern_code"))), "pattern_code")
+    """findings ⋈ cases (case_id, pattern_codes array)."""
+    return findings.join(cases.select("case_id", F.explode("pattern_codes").alias("pattern_code")).hint("shuffle_hash"), "pattern_code")
 
 
 def crosswalk_findings(findings: DataFrame, crosswalk: DataFrame) -> DataFrame:
-    """findings ⋈ crosswalk (pattern_code, other_codes array)."""
-    return findings.join(F.broadcast(crosswalk), "pattern_code", "left").withColumn("other_code", F.explode_outer("other_codes")).drop("other_codes")
+    """findings ⋈ crosswalk (pattern_code, other_codes array); a finding without an entry stays, with a null code."""
+    return findings.join(crosswalk.hint("shuffle_hash"), "pattern_code", "left").withColumn("other_code", F.explode_outer("other_codes")).drop("other_codes")
 
 
 def run_verdict(states: DataFrame, findings: DataFrame) -> DataFrame:
@@ -127,7 +140,8 @@ def report_rows(findings: DataFrame) -> DataFrame:
 
 
 def redact_findings(findings: DataFrame) -> DataFrame:
-    return findings.withColumns({"explanation": redact(F.col("explanation")), "evidence": redact(F.col("evidence"))})
+    """Explanations and the texts in the evidence; numbers, names and steps stay."""
+    return findings.withColumns({"explanation": redact(F.col("explanation")), "evidence": redact_json(F.col("evidence"))})
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
@@ -139,3 +153,14 @@ def evidence_link(findings: DataFrame, screenshots: DataFrame) -> DataFrame:
     """The screenshot of the first step that a finding names."""
     at = findings.withColumn("__step", F.split("step_name", " -> ")[0])
     return at.join(screenshots.select("trace_id", F.col("step_name").alias("__step"), "path"), ["trace_id", "__step"], "left").drop("__step").withColumn("has_screenshot", F.col("path").isNotNull())
+
+
+def summary_json(states: DataFrame, findings: DataFrame) -> DataFrame:
+    """(trace_id, json): each trace's verdict, number of findings and codes, as one JSON text."""
+    codes = findings.groupBy("trace_id").agg(F.sort_array(F.collect_set("pattern_code")).alias("codes"))
+    got = run_verdict(states, findings).join(codes, "trace_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    return got.select("trace_id", F.to_json(F.struct("verdict", F.col("n").alias("findings"), "codes")).alias("json"))
+
+
+def write_summary_json(states: DataFrame, findings: DataFrame, path: str) -> None:
+    summary_json(states, findings).write.mode("overwrite").json(path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,11 +22,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _one(f: Callable) -> Callable[[Column], Column]:
+    """f as a function of one argument, as transform() wants it."""
+    return lambda e: f(e)
+
+
+def captures(df: DataFrame, dismissals: DataFrame | None = None) -> Captures:
+    return Captures(as_states(df), dismissals, frozenset(df.columns))
+
+
 def as_states(df: DataFrame) -> DataFrame:
     """Fill up to the capture schema: absent strings are '', absent arrays empty, absent numbers null."""
     out = []
     for f in df.sparkSession.createDataFrame([], STATES).schema:
-        if f.name in df.columns:
+        if f.name in df.columns and f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct" and len(df.schema[f.name].dataType.elementType) < len(f.dataType.elementType):
+            have = {x.name for x in df.schema[f.name].dataType.elementType}
+            whole = lambda e, have=frozenset(have), of=f.dataType.elementType: F.struct(*[(e[x.name] if x.name in have else F.lit(None)).cast(x.dataType).alias(x.name) for x in of])
+            out.append(F.transform(F.col(f.name), _one(whole)).alias(f.name))
+        elif f.name in df.columns:
             out.append(F.col(f.name).cast(f.dataType).alias(f.name))
         elif f.dataType.typeName() == "array":
             out.append(F.array().cast(f.dataType).alias(f.name))
@@ -55,7 +70,7 @@ def order_funnels(spark: SparkSession, sf_dir: str) -> Captures:
     none = F.array().cast("array<struct<name:string,price:double>>")
     step = lambda n, name, price, text, rows: F.struct(F.lit(n).alias("step_ord"), F.lit(name).alias("step_name"), (price / 100).alias("price"), text.alias("full_text"), rows.alias("line_items"))
     both = o.select(F.col("o_orderkey").alias("trace_id"), F.explode(F.array(step(1, "listing", F.col("lo"), first, none), step(2, "checkout", F.col("hi"), last, items))).alias("x"))
-    return Captures(as_states(both.select("trace_id", "x.*", F.lit("₹").alias("price_currency"))))
+    return captures(both.select("trace_id", "x.*", F.lit("₹").alias("price_currency")))
 
 
 def customer_controls(spark: SparkSession, sf_dir: str) -> Captures:
@@ -63,7 +78,7 @@ def customer_controls(spark: SparkSession, sf_dir: str) -> Captures:
     label = pick(LABELS, F.col("c_custkey"))
     box = F.struct(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("id"), label.alias("label_text"), (F.col("c_custkey") % 2 == 0).alias("checked"), (F.col("c_custkey") % 2 == 0).alias("is_prechecked"), F.lit("checkbox").alias("input_type"), (F.col("c_custkey") % 3 == 0).alias("required"))
     df = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("trace_id"), F.explode(F.sequence(F.lit(1), F.lit(3))).alias("step_ord"), F.array(box).alias("checkboxes"), label.alias("full_text"))
-    return Captures(as_states(df.withColumn("step_name", F.concat(F.lit("step_"), "step_ord"))))
+    return captures(df.withColumn("step_name", F.concat(F.lit("step_"), "step_ord")))
 
 
 def supplier_buttons(spark: SparkSession, sf_dir: str) -> Captures:
@@ -74,7 +89,7 @@ def supplier_buttons(spark: SparkSession, sf_dir: str) -> Captures:
     no = button(pick(DECLINES, k), "decline", 60 + k % 7 * 10, F.lit(30), 10 + k % 5 * 2, 1 + k % 6)
     df = table(spark, sf_dir, "supplier").select(k.alias("trace_id"), F.explode(F.sequence(F.lit(1), F.lit(2))).alias("step_ord"), yes.alias("yes"), no.alias("no"), pick(DECLINES, k).alias("full_text"), k.alias("k"))
     df = df.withColumns({"step_name": F.concat(F.lit("step_"), "step_ord"), "buttons": F.when(F.col("step_ord") == 1, F.array("yes", "no")).otherwise(F.array().cast(df.select(F.array("yes")).schema[0].dataType)), "price": F.when(F.col("step_ord") == 2, F.col("k") * 10.0 + F.col("k") % 3 * 5)})
-    return Captures(as_states(df))
+    return captures(df)
 
 
 def event_overlays(spark: SparkSession, sf_dir: str) -> Captures:
@@ -83,8 +98,8 @@ def event_overlays(spark: SparkSession, sf_dir: str) -> Captures:
     e = table(spark, sf_dir, "events").withColumns({"step_ord": F.row_number().over(w), "sig": F.concat(F.lit("text:get "), (F.col("event_id") % 3).cast("string"), F.lit("#% off"))})
     e = e.withColumn("step_name", F.concat(F.lit("step_"), "step_ord"))
     modal = F.struct(F.col("sig").alias("signature"), F.lit("Sign up to get a discount").alias("text"), (F.col("event_type") != "view").alias("is_blocking"), F.least(F.col("value") / 400, F.lit(1.0)).alias("viewport_coverage"), F.when(F.col("event_type") == "click", F.array(F.lit("Close"))).otherwise(F.array().cast("array<string>")).alias("dismiss_controls"), F.lit(False).alias("contents_unreadable"))
-    states = as_states(e.select(F.col("user_id").alias("trace_id"), "step_ord", "step_name", F.array(modal).alias("modals")))
-    return Captures(states, e.where("event_type = 'click'").select(F.col("user_id").alias("trace_id"), "step_name", F.col("sig").alias("signature")))
+    states = e.select(F.col("user_id").alias("trace_id"), "step_ord", "step_name", F.array(modal).alias("modals"))
+    return captures(states, e.where("event_type = 'click'").select(F.col("user_id").alias("trace_id"), "step_name", F.col("sig").alias("signature")))
 
 
 def part_reloads(spark: SparkSession, sf_dir: str) -> Captures:
@@ -94,7 +109,7 @@ def part_reloads(spark: SparkSession, sf_dir: str) -> Captures:
     move = F.when(k % 3 == 0, 0).when(k % 3 == 1, -1).otherwise(1)
     text = lambda d: F.when(k % 4 == 0, F.concat(F.lit("Hurry! Only "), (n + 5 + d).cast("string"), F.lit(" left"))).when(k % 4 == 1, clock(n * 20 + 60 + d)).when(k % 4 == 2, F.lit("Sale ends Sunday. Hurry while stocks last")).otherwise(F.concat(F.lit("In stock: "), n.cast("string"), F.lit(" units")))
     df = table(spark, sf_dir, "part").select(k.alias("trace_id"), F.lit("item").alias("step_name"), F.lit(1).alias("step_ord"), F.explode(F.array(F.struct(F.lit(0).alias("capture_no"), text(F.lit(0)).alias("full_text")), F.struct(F.lit(1).alias("capture_no"), text(move).alias("full_text")))).alias("x"))
-    return Captures(as_states(df.select("trace_id", "step_name", "step_ord", "x.*")))
+    return captures(df.select("trace_id", "step_name", "step_ord", "x.*"))
 
 
 def money_strings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,11 @@ class Captures:
 
     all_states: DataFrame
     dismissals: DataFrame | None = None
+    #: Columns of the states that the source fills; all of them, if it doesn't say.
+    given: frozenset[str] | None = None
+
+    def has(self, column: str) -> bool:
+        return self.dismissals is not None if column == "dismissals" else self.given is None or column in self.given
 
     @cached_property
     def states(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from ..operators import findings as r
 from ..sources import html
 from ..streaming import ops as t
 from . import bridge as b
+from . import journeys as jr
 
 KEYS = ["trace_id", "step_name", "pattern_code", "tier", "confidence"]
 
@@ -26,12 +29,9 @@ def _captures(spark: SparkSession, sf: str) -> list[b.Captures]:
 
 
 def audit(spark: SparkSession, sf: str) -> DataFrame:
-    """All detectors over all derived funnels."""
-    out = None
-    for i, cap in enumerate(_captures(spark, sf)):
-        found = keys(d.audit(cap, ordered=False)).withColumn("part", F.lit(i))
-        out = found if out is None else out.union(found)
-    return out
+    """All detectors over all derived funnels, strongest findings first."""
+    found = [d.audit(cap, ordered=False).withColumn("part", F.lit(i)) for i, cap in enumerate(_captures(spark, sf))]
+    return reduce(DataFrame.unionByName, found).orderBy(F.desc("confidence"), "detector_ord", "part", "trace_id", "step_ord", "elem_ord").select(*KEYS, "part")
 
 
 def drip(spark: SparkSession, sf: str) -> DataFrame:
@@ -78,8 +78,9 @@ def events(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def lexicon_docs(spark: SparkSession, sf: str) -> DataFrame:
-    got = tx.lexicon_scan(docs(spark, sf).select("doc_id", "text"), "text", lx.URGENCY + lx.RECURRING)
-    return got.select("doc_id", "ord", "span")
+    """Whole documents, each with a planted wording at its end, against two lists."""
+    planted = F.concat_ws("\n", "text", b.pick(jr.TEXTS + ["Hurry! Only 3 left"], F.col("doc_id")))
+    return tx.lexicon_scan(docs(spark, sf).select("doc_id", planted.alias("text")), "text", lx.URGENCY + lx.RECURRING).select("doc_id", "ord", "span")
 
 
 def retention(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,7 +116,7 @@ QUERIES = {
     "r8_list_audits": lambda s, f: r.list_audits(b.jobs(s, f), b.violations(s, f), 100, 20).select("id", "site_name", "n"),
     "r10_retention": retention,
     "r14_verdict": lambda s, f: (lambda c: r.run_verdict(c.states, d.audit(c, ordered=False)))(b.order_funnels(s, f)),
-    "r15_recall": lambda s, f: r.recall_by_label(docs(s, f).join(b.table(s, f, "labels"), "doc_id"), "quality", F.col("text").rlike(r"[|$%#*]")).select("quality", "n", "hits", F.round("recall", 6).alias("recall")),
+    "r15_recall": lambda s, f: r.recall_by_label(docs(s, f).join(b.table(s, f, "labels"), "doc_id"), "quality", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[%#*]{2,}")) >= 2).select("quality", "n", "hits", F.round("recall", 6).alias("recall")),
     "t2_first_price_drip": lambda s, f: t.first_price_drip(events(s, f).withColumn("day", F.to_date("ts")), "user_id", "value").select("event_id", "first_price"),
     "t3_debounced": lambda s, f: t.debounced_snapshots(events(s, f), "user_id", "30 minutes"),
     "t7_admission": lambda s, f: t.admit_events(events(s, f).select(F.col("user_id").alias("key"), "ts", "event_id"), 2, 3600.0),
@@ -186,8 +187,72 @@ SELECT id, CASE WHEN id % 8 IN (0, 2, 4, 7) THEN c / 100.0::DOUBLE WHEN id % 8 I
     "r8_list_audits": f"SELECT id, site_name, (SELECT count(*) FROM lineitem WHERE l_orderkey = id) AS n FROM (SELECT * FROM ({_JOBS}) ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 20)",
     "r10_retention": f"""WITH j AS ({_JOBS}), g AS (SELECT id FROM j WHERE created_at < TIMESTAMP '1998-08-01' - INTERVAL 365 DAY UNION SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n FROM j) WHERE n > 5000)
 SELECT 'kept' AS kind, count(*) AS n FROM j WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'purged', count(*) FROM g UNION ALL SELECT 'violations kept', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM g)""",
-    "r15_recall": "SELECT quality, count(*) AS n, CAST(sum(CAST(regexp_matches(text, '[|$%#*]') AS INT)) AS BIGINT) AS hits, round(avg(CAST(regexp_matches(text, '[|$%#*]') AS INT)), 6) AS recall FROM documents JOIN labels USING (doc_id) GROUP BY 1",
+    "r15_recall": "SELECT quality, count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS recall FROM (SELECT quality, len(regexp_extract_all(coalesce(text, ''), '[%#*]{2,}')) >= 2 AS hit FROM documents JOIN labels USING (doc_id)) GROUP BY 1",
     "t2_first_price_drip": "SELECT event_id, first_price FROM (SELECT *, first_value(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS first_price FROM events) WHERE value > first_price * 1.02",
     "t3_debounced": f"""SELECT user_id, min(ts) AS start, arg_max(event_id, (ts, event_id)) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM ({_EV})) GROUP BY user_id, r""",
     "t9_live_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+
+
+def _span(col: str, patterns: list[str]) -> str:
+    return "coalesce(" + ", ".join(f"nullif(regexp_extract({col}, '(?i){p.replace(chr(39), chr(39) * 2)}', 0), '')" for p in patterns) + ")"
+
+
+_TEXTS = ["View details", "Add to cart", "Checkout now", "Review your order", "Pay now", "About us", "Subscribe"]
+_CONTROLS = f"c AS (SELECT page_id, o, {_pick(_TEXTS, '(page_id + o * 3)')} AS text, CASE WHEN (page_id + o) % 4 <> 0 THEN page_id + o + 1 END AS target FROM pages, (SELECT unnest(range(5)) AS o))"
+
+
+def _stage(i: int) -> str:
+    intent = " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN {n}" for n, p in enumerate(lx.STAGES[i][1]) if "(?=" not in p)
+    return f"n{i} AS (SELECT page_id, arg_min(text, (i, o)) AS text, CASE WHEN bool_or(true) THEN (min_by(struct_pack(t := target), (i, o))).t END AS target FROM (SELECT *, CASE {intent} END AS i FROM c WHERE NOT {_any('text', lx.NEVER_CLICK)}) WHERE i IS NOT NULL GROUP BY page_id)"
+
+
+def _walk() -> str:
+    out, at = [_CONTROLS, *map(_stage, range(4))], "SELECT page_id AS start, page_id, '' AS reached, '' AS skipped FROM pages"
+    for i, (name, _) in enumerate(lx.STAGES):
+        at = f"SELECT start, coalesce(n.target, a.page_id) AS page_id, CASE WHEN n.target IS NOT NULL THEN reached || ',{name}' ELSE reached END AS reached, CASE WHEN n.target IS NULL THEN skipped || ',{name}' ELSE skipped END AS skipped FROM ({at}) a LEFT JOIN n{i} n ON n.page_id = a.page_id"
+    return f"WITH {', '.join(out)} SELECT start, page_id, ltrim(reached, ',') AS reached, ltrim(skipped, ',') AS skipped FROM ({at})"
+
+
+_SCAN = " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, regexp_extract(t, '(?i){p}', 0) AS span FROM x WHERE regexp_matches(t, '(?i){p}')" for i, p in enumerate(lx.URGENCY + lx.RECURRING))
+_FUNNEL = """i AS (SELECT l_orderkey AS k, string_agg('Item ' || translate(CAST(l_partkey AS VARCHAR), '0123456789', 'abcdefghij'), chr(10)) AS names, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS s FROM lineitem GROUP BY 1),
+f AS (SELECT o_orderkey AS k, length(names) + CASE WHEN o_custkey % 3 = 0 THEN 21 ELSE 0 END + CASE WHEN o_custkey % 5 = 0 THEN 9 + length(CAST(((s + CASE WHEN o_orderpriority = '1-URGENT' THEN 6000 ELSE 0 END) // 100) AS VARCHAR)) + 3 ELSE 0 END >= 200 AS long FROM orders JOIN i ON k = o_orderkey)"""
+_DIM = ", ".join(f"('{c}', '{tier}')" for c, (_, tier) in lx.PATTERNS.items())
+_URLS = ", ".join("'" + u.replace("'", "''") + "'" for u in jr.BAD_URLS)
+_WHY = ", ".join("NULL" if why is None else f"'{why}'" for why in jr.BAD_REASONS)
+
+
+def _part(name: str, part: int) -> str:
+    return f"SELECT trace_id, step_name, pattern_code, tier, confidence, {part} AS part FROM ({ORACLES[name]})"
+
+
+QUERIES |= jr.QUERIES
+ORACLES |= jr.ORACLES
+ORACLES |= {
+    "l6_lexicon_scan": f"WITH x AS (SELECT doc_id, concat_ws(chr(10), text, {_pick(jr.TEXTS + ['Hurry! Only 3 left'], 'doc_id')}) AS t FROM documents) {_SCAN}",
+    "w1_forbidden": f"WITH {_CONTROLS} SELECT page_id, CAST(min(o) AS INTEGER) AS control_ord, {_span('low', lx.NEVER_CLICK)} AS matched FROM (SELECT *, lower(trim(text)) AS low FROM c) WHERE {_any('low', lx.NEVER_CLICK)} GROUP BY page_id, low",
+    "w2_next_controls": f"WITH {_CONTROLS}, {_stage(2)} SELECT page_id, text, target AS target_page_id FROM n2",
+    "w3_discovery": _walk(),
+    "w5_blocked_targets": f"""WITH x AS (SELECT [{_URLS}][page_id % {len(jr.BAD_URLS)} + 1] AS u, [{_WHY}][page_id % {len(jr.BAD_URLS)} + 1] AS reason FROM pages) SELECT rtrim(lower(regexp_extract(u, '^[a-zA-Z]+://(?:[^/?#]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1)), '.') AS host, min(reason) AS reason FROM x WHERE reason IS NOT NULL AND NOT starts_with(u, 'javascript:') GROUP BY 1""",
+    "r7_coverage": f"SELECT tier, count(*) AS patterns, string_agg(code, ',' ORDER BY code) AS codes, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings FROM (VALUES {_DIM}) AS p(code, tier) LEFT JOIN (SELECT pattern_code, count(*) AS n FROM ({_VIOL}) GROUP BY 1) ON pattern_code = code GROUP BY 1",
+    "r14_verdict": f"WITH {_FUNNEL}, h AS (SELECT trace_id FROM ({ORACLES['d08_drip_pricing']})) SELECT k AS trace_id, CASE WHEN NOT long THEN 'INCONCLUSIVE' WHEN k IN (FROM h) THEN 'FINDINGS' ELSE 'CLEAN' END AS verdict, CAST(k IN (FROM h) AS BIGINT) AS n FROM f",
+    "r16_false_positives": f"SELECT count(*) AS traces, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS rate FROM (SELECT pre AND {_any('label', lx.RECURRING)} AS hit FROM ({_BOX}) JOIN customer ON c_custkey = trace_id WHERE c_acctbal > 0)",
+    "t1_page_flags": jr._flags_sql(),
+    "t7_admission": """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+r AS (SELECT user_id, n, event_id, true AS admitted, [ts] AS acc FROM o WHERE n = 1 UNION ALL SELECT user_id, n, event_id, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, ts) ELSE live END FROM (SELECT o.user_id, o.n, o.event_id, o.ts, list_filter(r.acc, lambda x: x > o.ts - INTERVAL 1 HOUR) AS live FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1))
+SELECT user_id AS key, event_id, admitted FROM r""",
+    "d10b_events": f"""WITH o AS ({_OVERLAY}), x AS (SELECT user_id, max(o) AS o FROM o WHERE event_type <> 'view' GROUP BY 1 HAVING count(DISTINCT g) >= 3), nag AS (SELECT DISTINCT a.user_id, a.g FROM o a JOIN o z ON z.user_id = a.user_id AND z.g = a.g AND z.event_type = 'click' AND z.o < a.o)
+SELECT user_id AS trace_id, 'step_' || CAST(o AS VARCHAR) AS step_name, {_who('DP-10', 'indicative', 0.4)} FROM x WHERE NOT EXISTS (SELECT 1 FROM nag JOIN o y ON y.user_id = nag.user_id AND y.g = nag.g AND y.event_type <> 'view' WHERE nag.user_id = x.user_id)""",
+}
+QUERIES["d10b_events"] = lambda s, f: keys(d.detect_interruption_volume(b.event_overlays(s, f)))
+ORACLES["d08_findings"] = f"SELECT trace_id, 'listing -> checkout' AS step_name, {_who('DP-08', 'provable', 1.0)} FROM ({ORACLES['d08_drip_pricing']})"
+QUERIES["d08_findings"] = lambda s, f: keys(d.detect_drip_pricing(b.order_funnels(s, f)))
+_WORDING = ORACLES["d03_d11_wording"].split("UNION ALL")
+ORACLES["audit"] = " UNION ALL ".join([
+    _part("d08_findings", 0), *[_part(n, 1) for n in ("d02_basket_sneaking", "d04a_forced_consent", "d12_saas_billing")], f"SELECT *, 1 AS part FROM ({_WORDING[0]})", f"SELECT *, 2 AS part FROM ({_WORDING[1]})",
+    *[_part(n, 2) for n in ("d06_interference", "d07_bait_and_switch")], *[_part(n, 3) for n in ("d04b_overlay", "d10a_nagging", "d10b_events")], _part("d01_fake_urgency", 4)])
+_READS = "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE 1 END AS move, p_size AS n FROM part"
+_SAID = "CASE WHEN k % 4 = 0 THEN 'Hurry! Only ' || (n + 5 + d) || ' left' WHEN k % 4 = 1 THEN 'Offer ends in: 00:' || lpad(CAST((n * 20 + 60 + d) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((n * 20 + 60 + d) % 60 AS VARCHAR), 2, '0') WHEN k % 4 = 2 THEN 'Sale ends Sunday. Hurry while stocks last' ELSE 'In stock: ' || n || ' units' END"
+_HITS = ", ".join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{i}' END" for i, p in enumerate(lx.URGENCY))
+ORACLES["e16_urgency_hits"] = f"SELECT trace_id, capture_no, concat_ws(',', {_HITS}) AS hits FROM (SELECT k AS trace_id, capture_no, {_SAID} AS t FROM (SELECT k, n, 0 AS capture_no, 0 AS d FROM ({_READS}) UNION ALL SELECT k, n, 1, move FROM ({_READS})))"
+ORACLES["s9_evidence_link"] = f"SELECT trace_id, step_name, CASE WHEN trace_id % 3 <> 0 AND 'step_' || (trace_id % 5 + 1) = string_split(step_name, ' -> ')[1] THEN '/shots/' || trace_id END AS path, trace_id % 3 <> 0 AND 'step_' || (trace_id % 5 + 1) = string_split(step_name, ' -> ')[1] AS has_screenshot FROM ({ORACLES['d05a_late_disclosure']})"

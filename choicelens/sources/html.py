@@ -3,71 +3,112 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexicon as lx
+from ..operators.extraction import line_items, resolve_price
+
 PAGE = """page_id bigint, url string, title string, full_text string, links array<struct<text:string,href:string>>,
 checkboxes array<struct<id:string,label_text:string,is_prechecked:boolean,input_type:string,required:boolean>>,
 buttons array<struct<text:string,role:string>>, form_fields array<struct<name:string,label_text:string,field_type:string,required:boolean>>,
-data_price string, line_items array<struct<name:string,price:double>>, schema_price string, error string"""
+data_price string, line_items array<struct<name:string,price:double>>, money_rows array<string>, schema_price string, error string"""
+WITH_HTML = PAGE + ", raw_html string"
 BLOCK = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "ul", "ol", "table", "nav", "footer", "header", "form", "title"}
 SILENT = {"script", "style", "noscript", "template"}
 
 
+VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+_MONEY = re.compile(rf"{lx.CURRENCY}\s*[\d,]|\d[\d,\s]*/-", re.IGNORECASE)
+_AMOUNT = re.compile(rf"{lx.PERCENT_BADGE}|{lx.CURRENCY}\s*\d[\d,\s]*(?:\.\d{{1,2}})?|[\d,]+\s*/-", re.IGNORECASE)
+#: Longest text of a row that pairs a label with an amount, and of its label.
+ROW, LABEL = 220, 80
+
+
+def is_money_row(text: str) -> bool:
+    if len(text) > ROW or not _MONEY.search(text):
+        return False
+    label = " ".join(_AMOUNT.sub(" ", text).split())
+    return len(label) <= LABEL and any(c.isascii() and c.isalpha() for c in label)
+
+
 class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.text, self.quiet, self.open, self.title = [], 0, [], ""
-        self.links, self.inputs, self.buttons, self.labels, self.items, self.price, self.json = [], [], [], {}, [], None, []
+        self.text, self.size, self.quiet, self.open, self.title = [], 0, 0, [], ""
+        self.links, self.inputs, self.buttons, self.labels, self.items, self.price, self.json, self.rows = [], [], [], {}, [], None, [], []
         self.ld = False
 
+    def _say(self, text):
+        self.text.append(text)
+        self.size += len(text)
+
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
         if tag in SILENT:
             self.ld = tag == "script" and a.get("type") == "application/ld+json"
             self.quiet += 1
         if tag in BLOCK:
-            self.text.append("\n")
+            self._say("\n")
         if "data-price" in a:
             self.price = self.price or a["data-price"]
             try:
                 self.items.append((a["data-name"], float(a["data-price"])))
             except (KeyError, ValueError):
                 pass
-        if tag in ("a", "button", "label", "title"):
-            self.open.append((tag, a, len(self.text)))
         if tag == "input":
-            self.inputs.append((a, len(self.text)))
+            self.inputs.append(a)
+            if self.open:
+                self.open[-1][4].append(a)
+        if tag not in VOID:
+            self.open.append((tag, a, len(self.text), self.size, [], len(self.rows)))
 
     def handle_endtag(self, tag):
         if tag in SILENT:
             self.quiet, self.ld = max(0, self.quiet - 1), False
+        if any(x[0] == tag for x in self.open):
+            while self._end() != tag:
+                pass
         if tag in BLOCK:
-            self.text.append("\n")
-        for i in reversed(range(len(self.open))):
-            if self.open[i][0] == tag:
-                _, a, at = self.open.pop(i)
-                said = " ".join("".join(self.text[at:]).split())
-                if tag == "a" and "href" in a:
-                    self.links.append((said[:200], a["href"]))
-                elif tag == "button" and said:
-                    c = a.get("class", "")
-                    self.buttons.append((said, "accept" if "accept" in c else "decline" if "decline" in c else "neutral"))
-                elif tag == "label":
-                    self.labels[a.get("for", "")] = said
-                elif tag == "title":
-                    self.title = said
-                break
+            self._say("\n")
+
+    def _end(self):
+        """The innermost open element ends here."""
+        tag, a, at, size, inputs, rows = self.open.pop()
+        named = tag in ("a", "button", "label", "title")
+        if named or inputs or self.size - size <= 4 * ROW:
+            said = " ".join("".join(self.text[at:]).split())
+            if tag == "a" and "href" in a:
+                self.links.append((said[:200], a["href"]))
+            elif tag == "button" and said:
+                c = a.get("class", "")
+                self.buttons.append((said, "accept" if "accept" in c else "decline" if "decline" in c else "neutral"))
+            elif tag == "label":
+                self.labels[a.get("for", "")] = said
+            elif tag == "title":
+                self.title = said
+            for x in inputs:
+                x["parent text"] = said
+            # The innermost element with a label and an amount is the row.
+            if len(self.rows) == rows and is_money_row(said):
+                self.rows.append(said)
+        return tag
+
+    def close(self):
+        super().close()
+        while self.open:
+            self._end()
 
     def handle_data(self, data):
         if self.ld:
             self.json.append(data)
         elif not self.quiet:
-            self.text.append(data)
+            self._say(data)
 
 
 def _schema_price(blocks: list[str]) -> str | None:
@@ -91,24 +132,52 @@ def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             except Exception as e:  # a corrupt page becomes a row that says so, never a failed task
                 error = f"{type(e).__name__}: {e}"
             boxes, fields = [], []
-            for a, _ in p.inputs:
+            for a in p.inputs:
                 kind, must = a.get("type", "text"), "required" in a or a.get("aria-required") == "true"
-                label = p.labels.get(a.get("id", ""), "")
+                label = p.labels.get(a["id"], "") if a.get("id") else ""
+                label = label or a.get("parent text", "")
                 if kind in ("checkbox", "radio"):
                     boxes.append({"id": a.get("id", ""), "label_text": label, "is_prechecked": "checked" in a, "input_type": kind, "required": must})
                 elif must:
                     fields.append({"name": a.get("name", ""), "label_text": label[:200], "field_type": kind, "required": True})
             lines = (" ".join(x.split()) for x in "".join(p.text).split("\n"))
-            rows.append((page_id, url, p.title, "\n".join(x for x in lines if x), [{"text": t, "href": h} for t, h in p.links], boxes, [{"text": t, "role": r} for t, r in p.buttons], fields, p.price, [{"name": n, "price": v} for n, v in p.items], _schema_price(p.json), error))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("page_id url title full_text links checkboxes buttons form_fields data_price line_items schema_price error").split()])
+            rows.append((page_id, url, p.title, "\n".join(x for x in lines if x), [{"text": t, "href": h} for t, h in p.links], boxes, [{"text": t, "role": r} for t, r in p.buttons], fields, p.price, [{"name": n, "price": v} for n, v in p.items], [*dict.fromkeys(p.rows)], _schema_price(p.json), error, html))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ("page_id url title full_text links checkboxes buttons form_fields data_price line_items money_rows schema_price error raw_html").split()])
+
 
+def _read_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in _read(batches):
+        yield b.drop(columns="raw_html")
 
-def extract_states(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) to page states. Rendered geometry stays unknown: only a crawler supplies it."""
-    return pages.select("page_id", "url", "html").mapInPandas(_read, PAGE)
+
+def extract_states(pages: DataFrame, keep_html: bool = False) -> DataFrame:
+    """(page_id, url, html) to page states. Rendered geometry stays unknown: only a crawler supplies it. Null pages are
+    empty ones, broken pages say so in `error`, repeated rows stay."""
+    pages = pages.select("page_id", "url", "html")
+    return pages.mapInPandas(_read, WITH_HTML) if keep_html else pages.mapInPandas(_read_facts, PAGE)
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """Raw pages (page_id, url, html) as captured states, one trace of one step for each, with prices and charges resolved.
+
+    The first reading of a page is its pre-ticked state; nothing is known of overlays, fonts and colours.
+    """
+    s = line_items(resolve_price(extract_states(pages, keep_html=True)))
+    boxes = F.transform("checkboxes", lambda x: F.struct(x["id"].alias("id"), x["label_text"].alias("label_text"), x["is_prechecked"].alias("checked"), x["is_prechecked"].alias("is_prechecked"), x["input_type"].alias("input_type"), x["required"].alias("required")))
+    return s.select(
+        F.col("page_id").alias("trace_id"), F.lit(1).alias("step_ord"), F.lit("page").alias("step_name"), F.lit(0).alias("capture_no"), F.split("url", "/")[2].alias("site_name"), "url", "price", "price_source",
+        "full_text", "raw_html", "line_items", boxes.alias("checkboxes"), "buttons", "links", "form_fields")
 
 
 def adhoc_steps(urls: DataFrame) -> DataFrame:
     """(trace_id, urls array) to funnel steps (trace_id, site_name, step_ord, step_name, url)."""
     at = urls.select("trace_id", F.posexplode("urls").alias("pos", "url"))
     return at.select("trace_id", F.split("url", "/")[2].alias("site_name"), (F.col("pos") + 1).alias("step_ord"), F.concat(F.lit("step_"), F.col("pos") + 1).alias("step_name"), "url")
+
+
+LABELLED = "text string, label string"
+
+
+def read_labelled_csv(spark: SparkSession, path: str, schema: str = LABELLED) -> DataFrame:
+    """Labelled texts from CSV with a header; texts may hold line breaks and quotes, broken rows have null columns."""
+    return spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"')

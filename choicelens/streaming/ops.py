@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import lexicon as lx
-from ..functions.text import all_matches, redact
+from ..functions.text import first_match, hits, java, quotes, redact, redact_json
 
 
 def _timed(events: DataFrame) -> DataFrame:
@@ -19,9 +19,26 @@ def _timed(events: DataFrame) -> DataFrame:
 
 
 def page_flags(snapshots: DataFrame) -> DataFrame:
-    """Stateless page checks: (id, ts, urgency, recurring, guilt), the number of patterns of each list that occur."""
-    n = lambda ws, name: F.size(all_matches(F.col("text"), ws)).alias(name)
-    return snapshots.select("id", "ts", n(lx.URGENCY, "urgency"), n(lx.RECURRING, "recurring"), n(lx.GUILT, "guilt"))
+    """Checks that one page can answer, on batch or stream: snapshots (id, …, full_text, checkboxes, buttons, links) to rows
+    (…, pattern_code, ord, quote). They are weaker than the detectors: urgency is unverified, and guilt counts on any
+    button or link. Null arrays hold nothing."""
+    keep = [c for c in snapshots.columns if c not in ("full_text", "checkboxes", "buttons", "links")]
+    flag = lambda code, ord_, quote: F.struct(F.lit(code).alias("pattern_code"), F.lit(ord_).cast("int").alias("ord") if isinstance(ord_, int) else ord_.cast("int").alias("ord"), quote.alias("quote"))
+    none = F.array().cast("array<struct<pattern_code:string,ord:int,quote:string>>")
+    label = lambda x: quotes(F.coalesce(x["label_text"], F.lit("")))
+    ticked = lambda x: F.coalesce(x["is_prechecked"], F.lit(False))
+    each = lambda test, code, quote: F.transform(F.filter("checkboxes", test), lambda x: flag(code, 0, quote(x)))
+    said = F.concat(*[F.transform(F.coalesce(c, F.array().cast(snapshots.schema[c].dataType)), lambda x: x["text"]) for c in ("buttons", "links")])
+    numbered = F.transform(said, lambda x, i: F.struct(x.alias("text"), i.alias("i")))
+    urgent = [F.when(quotes(F.col("full_text")).rlike(java(p)), flag("DP-01", i, F.regexp_substr(quotes(F.col("full_text")), F.lit(java(p))))) for i, p in enumerate(lx.PAGE_URGENCY)]
+    found = [
+        each(lambda x: ticked(x) & label(x).rlike(java(lx.PAGE_CHARGE)), "DP-02", lambda x: x["label_text"]),
+        each(lambda x: ticked(x) & hits(label(x), lx.PAGE_RECURRING), "DP-12", lambda x: first_match(label(x), lx.PAGE_RECURRING)),
+        each(lambda x: hits(label(x), lx.PAGE_DOUBLE_NEGATIVE) | (ticked(x) & hits(label(x), lx.PAGE_OPT_OUT)), "DP-11", lambda x: x["label_text"]),
+        F.transform(F.filter(numbered, lambda x: (F.char_length(x["text"]) > 8) & hits(x["text"], lx.PAGE_GUILT)), lambda x: flag("DP-03", x["i"], x["text"])),
+        F.when(hits(F.col("full_text"), lx.PAGE_URGENCY), F.array_compact(F.array(*urgent))),
+    ]
+    return snapshots.select(*keep, F.explode(F.concat(*[F.coalesce(f, none) for f in found])).alias("f")).select(*keep, "f.*")
 
 
 def live_pattern_counts(events: DataFrame, kind: str, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -93,12 +110,16 @@ def admit_events(events: DataFrame, limit: int, window: float) -> DataFrame:
     return runs.groupBy("key", "run").applyInPandas(_admit(limit, window), "key long, event_id long, admitted boolean")
 
 
-def route_limits(requests: DataFrame, rules: list[tuple[str, str, int]]) -> DataFrame:
-    """Add the limit of the first rule (method, path prefix, limit) that fits, else the default one."""
-    out = F.lit(60)
-    for method, prefix, limit in reversed(rules):
-        out = F.when((F.col("method") == method) & F.col("path").startswith(prefix), limit).otherwise(out)
-    return requests.withColumn("limit", out)
+def route_limits(requests: DataFrame, rules: list[tuple[str, str, int, int, str]], default: tuple[int, int] = (60, 60), trust_forwarded: bool = False) -> DataFrame:
+    """Add limit, window (seconds), bucket and client: those of the first rule (method, path prefix, limit, window, bucket)
+    that fits; all else shares one default bucket. The client is the first forwarded address only where that may be trusted."""
+    out = F.struct(F.lit(default[0]).alias("limit"), F.lit(default[1]).alias("window"), F.lit("default").alias("bucket"))
+    for method, prefix, limit, window, bucket in reversed(rules):
+        rule = F.struct(F.lit(limit).alias("limit"), F.lit(window).alias("window"), F.lit(bucket).alias("bucket"))
+        out = F.when((F.col("method") == method) & F.col("path").startswith(prefix), rule).otherwise(out)
+    first = F.nullif(F.trim(F.split("forwarded", ",")[0]), F.lit("")) if trust_forwarded else F.lit(None).cast("string")
+    got = requests.withColumns({"__rule": out, "client": F.coalesce(first, F.col("ip"), F.lit("unknown"))})
+    return got.withColumns({c: F.col(f"__rule.{c}") for c in ("limit", "window", "bucket")}).drop("__rule")
 
 
 def reload_staleness(first: DataFrame, second: DataFrame, within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
@@ -110,10 +131,10 @@ def reload_staleness(first: DataFrame, second: DataFrame, within: str = "10 minu
 
 
 def findings_sink(path: str):
-    """foreachBatch writer: redacted, one folder per batch id, so a repeated batch replaces itself."""
+    """foreachBatch writer: explanation and evidence redacted, one folder per batch id, so a repeated batch replaces itself."""
 
     def write(df: DataFrame, batch: int) -> None:
-        text = [c for c, t in df.dtypes if t == "string"]
-        df.withColumns({c: redact(F.col(c)) for c in text}).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        free = {c: f for c, f in (("explanation", redact), ("evidence", redact_json)) if c in df.columns}
+        df.withColumns({c: f(F.col(c)) for c, f in free.items()}).write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
     return write

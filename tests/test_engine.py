@@ -161,7 +161,7 @@ def test_admission(spark):
 @pytest.mark.parametrize("name", sorted(set(q.QUERIES) & set(q.ORACLES)))
 def test_oracle(spark, name):
     sf, con = "/root/testdata/sf0.001", duckdb.connect()
-    for table in "region nation customer supplier part orders lineitem events documents pages labels".split():
+    for table in "region nation customer supplier part orders lineitem events documents pages labels conversations".split():
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     found = __spark_entry__.queries()[name](spark, sf)
     cols = sorted(found.columns)
