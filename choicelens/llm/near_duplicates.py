@@ -163,15 +163,13 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         fit = F.least("na", "nb") >= least * F.greatest("na", "nb")
         return rows.where(fit & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def texts_of(ends: DataFrame) -> DataFrame:
-        """(key, w): the words of each node of ends (key)."""
-        one = nodes.select("key", "hash", "rep.*").join(ends.hint("merge"), "key", "left_semi")
-        rows = base.select(F.col("key").alias("hash"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_md5", "w")
-        one = one.select("key", "hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_md5")
-        return written(rows.join(one.hint("shuffle_hash"), ["hash", "id", "text_md5"]).select("key", "w").dropDuplicates(["key"]), "texts")
+    # The words of nodes that share a bucket, one text each: no other text is ever compared.
+    one = nodes.join(shared.select("key").distinct().hint("merge"), "key", "left_semi").select("key", "hash", "rep.*")
+    one = one.select("key", "hash", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_md5")
+    rows = base.select(F.col("key").alias("hash"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text_md5", "w")
+    texts = written(rows.join(one.hint("shuffle_hash"), ["hash", "id", "text_md5"]).select("key", "w").dropDuplicates(["key"]), "texts")
 
     def verified(todo: DataFrame) -> DataFrame:
-        texts = texts_of(todo.select(F.col("a").alias("key")).union(todo.select("b")).distinct())
         side = lambda x: texts.select(F.col("key").alias(x), F.col("w").alias(f"w{x}")).hint("merge")
         return written(todo.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verify(least), "a long, b long"), "links")
 
@@ -208,14 +206,15 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
 
     def meeting_rarely(crowd: DataFrame) -> DataFrame:
         """Pairs of the nodes (key, n, label, mine), at words that are early enough in both nodes' order by rarity."""
-        each = written(texts_of(crowd.select("key")).mapInPandas(_occurrences, "key long, word long"), "occurrences")
+        each = written(texts.join(crowd.select("key").hint("merge"), "key", "left_semi").mapInPandas(_occurrences, "key long, word long"), "occurrences")
         often = each.groupBy("word").agg(F.count("*").alias("df"))
         place = F.row_number().over(Window.partitionBy("key").orderBy("df", "word"))
         early = F.col("n") - F.col("place") + 1 >= least * F.col("n") - 1e-9
         at = each.join(often.hint("merge"), "word").withColumn("place", place).join(crowd.select("key", "n").hint("merge"), "key")
         at = written(at.where(early | (F.col("place") <= HEAD)), "places")
-        head = at.where(F.col("place") <= HEAD).groupBy("key").agg(F.collect_list("word").alias("head"))
-        nodes = crowd.join(head.hint("merge"), "key")
+        head = at.where(F.col("place") <= HEAD).groupBy("key").agg(F.collect_list(F.hash("word")).alias("head"))
+        # Hashes of four bytes: two that meet by chance only let a pair through to the comparison.
+        nodes = crowd.withColumn("mine", F.transform("mine", lambda x: F.hash(x))).join(head.hint("merge"), "key")
         left, right = sides(at.where(early & (F.col("df") > 1)).drop("df", "n").join(nodes.hint("merge"), "key"), "word")
         # What both may share: from here on in both orders; or of both heads, and all that follows either head.
         rest = F.least(F.col("l_n") - F.col("l_place"), F.col("n") - F.col("place")) + 1
