@@ -48,12 +48,20 @@ def _majority(df: DataFrame, bits: list[str], out: str) -> DataFrame:
     return df.withColumn(out, F.col(bits[0])).drop(*own, *[f"__{x}{i}" for x in "sc" for i in range(made)])
 
 
-def _fingerprints(df: DataFrame, sizes: list[int]) -> DataFrame:
-    """Add `fp` to rows with shingles `sh` and a window of `w` of them from `p` on. Smaller windows are filled up with as
-    many zeros as ones, which leaves the majority as it is."""
-    most = max(sizes)
-    xs = {f"__x{k}": F.when(F.col("w") > k, F.coalesce(F.get("sh", F.col("p") + k), F.lit(0).cast("long"))).otherwise(F.lit(-(k % 2)).cast("long")) for k in range(most)}
-    return _majority(df.withColumns(xs), [*xs], "fp")
+def _windows(rows: DataFrame, keys: list[str], sizes: list[int], step) -> DataFrame:
+    """(keys, p, w, fp): the fingerprint of each window of w shingles, for w in sizes, that starts at a multiple of step(w).
+
+    One row for each place of `sh` with the shingles from there on; the array itself goes no further, so work is linear.
+    """
+    shifted = F.arrays_zip(*[F.slice("sh", k + 1, F.size("sh")) for k in range(max(sizes))])
+    at = rows.select(*keys, F.posexplode(shifted).alias("p", "z"))
+    names = [f.name for f in at.schema["z"].dataType]
+    at = at.select(*keys, "p", *[F.col("z").getField(n).alias(f"__x{k}") for k, n in enumerate(names)])
+    for w in sizes:
+        at = at.withColumns({f"__w{w}_{k}": F.col(f"__x{k}") for k in range(w)})
+        at = _majority(at, [f"__w{w}_{k}" for k in range(w)], f"__fp{w}")
+    each = [F.when(F.col(f"__x{w - 1}").isNotNull() & (F.col("p") % step(w) == 0), F.struct(F.lit(w).alias("w"), F.col(f"__fp{w}").alias("fp"))) for w in sizes]
+    return at.select(*keys, "p", F.explode(F.array_compact(F.array(*each))).alias("f")).select(*keys, "p", "f.w", "f.fp")
 
 
 def _blocks(df: DataFrame) -> DataFrame:
@@ -70,8 +78,8 @@ def benchmark_index(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[in
     sizes = sorted(r.w for r in items.select("w").distinct().collect())  # 3 at most
     if not sizes:
         return items, items.selectExpr("item_id", "w", "n AS offset", "0L AS fp", "0L AS block"), [1]
-    at = items.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("w"))))
-    index = _blocks(_fingerprints(at, sizes)).select("item_id", "w", F.col("p").alias("offset"), "fp", "block")
+    at = _windows(items.select("item_id", "sh", F.col("w").alias("own")), ["item_id", "own"], sizes, lambda w: 1).where("w = own")
+    index = _blocks(at).select("item_id", "w", F.col("p").alias("offset"), "fp", "block")
     return items, written(index, "windows"), sizes
 
 
@@ -128,19 +136,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARIT
     held = (lambda d: F.broadcast(d)) if small else (lambda d: d.hint("merge"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
     sh = with_shingles(texts, "text", "sh").select("doc_id", "h", "sh")
-    # Windows of all sizes of a text are numbered through: the first number of each size comes from the text's length.
-    many = [F.greatest(F.lit(0), F.floor((F.size("sh") - w) / stride(w)).cast("int") + 1) for w in sizes]
-    ends = [reduce(Column.__add__, many[: i + 1]) for i in range(len(sizes))]
-    sh = sh.withColumns({f"e{w}": e for w, e in zip(sizes, ends, strict=True)})
-    # No filter on what is computed here: pushed below, it would compute the shingles over and over.
-    all_ = F.col(f"e{sizes[-1]}")
-    at = sh.withColumn("i", F.explode(F.when(all_ > 0, F.sequence(F.lit(0), all_ - 1)).otherwise(F.array().cast("array<int>"))))
-    w, p = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for k in reversed(range(len(sizes))):
-        below = F.col("i") < F.col(f"e{sizes[k]}")
-        first = F.col(f"e{sizes[k - 1]}") if k else F.lit(0)
-        w, p = F.when(below, sizes[k]).otherwise(w), F.when(below, (F.col("i") - first) * stride(sizes[k])).otherwise(p)
-    probes = _blocks(_fingerprints(at.select("doc_id", "h", "sh", w.alias("w"), p.alias("p")), sizes))
+    probes = _blocks(_windows(sh, ["doc_id", "h"], sizes, stride)).drop("p")
     near = probes.join(held(index.withColumnRenamed("fp", "other").drop("w")), "block").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= RADIUS)
     hits = written(near.select("doc_id", "h", "item_id").distinct(), "hits")
     scored = windows(texts, items, hits)

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 BLOCK = 256
+#: Rows of the lists of sources and of blocks that may be broadcast; longer lists are joined by shuffling.
+FEW_SOURCES, FEW_BLOCKS = 10_000, 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 EPS = 1e-9
@@ -83,7 +85,7 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, **how) -> DataFrame
     """
     sized = written(sizes(docs), "sizes")
     goal = written(targets(sized, **how), "targets")
-    if (n := goal.count()) <= 10_000:  # a list of sources this short may be broadcast
+    if goal.count() <= FEW_SOURCES:
         goal = F.broadcast(goal)
     else:
         goal = goal.hint("merge")
@@ -106,7 +108,7 @@ def mix(docs: DataFrame, seed: int = 17, block: int = BLOCK, **how) -> DataFrame
         todo = todo.withColumn("band", band.cast("int"))
         many = written(todo.groupBy("key", "band").agg(F.count("*").alias("n")), "blocks")
         n = many.agg(F.max("n")).first()[0] or 0
-        many = F.broadcast(many) if many.count() <= 100_000 else many.hint("merge")
+        many = F.broadcast(many) if many.count() <= FEW_BLOCKS else many.hint("merge")
         at = F.pmod(F.xxhash64(F.lit(seed), "u.doc.doc_id", "u.doc.size", "u.doc.nth"), F.ceil(F.col("n") / block))
         groups = todo.join(many, ["key", "band"]).groupBy("key", "band", at.alias("block")).agg(
             F.sort_array(F.collect_list(F.struct("u.doc.size", "u.doc.doc_id", "u.p", "u"))).alias("us"))
