@@ -241,16 +241,15 @@ ORACLES |= {
     "t7_admission": """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT user_id, n, event_id, true AS admitted, [ts] AS acc FROM o WHERE n = 1 UNION ALL SELECT user_id, n, event_id, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, ts) ELSE live END FROM (SELECT o.user_id, o.n, o.event_id, o.ts, list_filter(r.acc, lambda x: x > o.ts - INTERVAL 1 HOUR) AS live FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1))
 SELECT user_id AS key, event_id, admitted FROM r""",
-    "d10b_events": f"""WITH o AS ({_OVERLAY}), x AS (SELECT user_id, max(o) AS o FROM o WHERE event_type <> 'view' GROUP BY 1 HAVING count(DISTINCT g) >= 3), nag AS (SELECT DISTINCT a.user_id, a.g FROM o a JOIN o z ON z.user_id = a.user_id AND z.g = a.g AND z.event_type = 'click' AND z.o < a.o)
-SELECT user_id AS trace_id, 'step_' || CAST(o AS VARCHAR) AS step_name, {_who('DP-10', 'indicative', 0.4)} FROM x WHERE NOT EXISTS (SELECT 1 FROM nag JOIN o y ON y.user_id = nag.user_id AND y.g = nag.g AND y.event_type <> 'view' WHERE nag.user_id = x.user_id)""",
 }
-QUERIES["d10b_events"] = lambda s, f: keys(d.detect_interruption_volume(b.event_overlays(s, f)))
+_D10B = f"""WITH o AS ({_OVERLAY}), x AS (SELECT user_id, max(o) AS o FROM o WHERE event_type <> 'view' GROUP BY 1 HAVING count(DISTINCT g) >= 3), nag AS (SELECT DISTINCT a.user_id, a.g FROM o a JOIN o z ON z.user_id = a.user_id AND z.g = a.g AND z.event_type = 'click' AND z.o < a.o)
+SELECT user_id AS trace_id, 'step_' || CAST(o AS VARCHAR) AS step_name, {_who('DP-10', 'indicative', 0.4)} FROM x WHERE NOT EXISTS (SELECT 1 FROM nag JOIN o y ON y.user_id = nag.user_id AND y.g = nag.g AND y.event_type <> 'view' WHERE nag.user_id = x.user_id)"""
 ORACLES["d08_findings"] = f"SELECT trace_id, 'listing -> checkout' AS step_name, {_who('DP-08', 'provable', 1.0)} FROM ({ORACLES['d08_drip_pricing']})"
 QUERIES["d08_findings"] = lambda s, f: keys(d.detect_drip_pricing(b.order_funnels(s, f)))
 _WORDING = ORACLES["d03_d11_wording"].split("UNION ALL")
 ORACLES["audit"] = " UNION ALL ".join([
     _part("d08_findings", 0), *[_part(n, 1) for n in ("d02_basket_sneaking", "d04a_forced_consent", "d12_saas_billing")], f"SELECT *, 1 AS part FROM ({_WORDING[0]})", f"SELECT *, 2 AS part FROM ({_WORDING[1]})",
-    *[_part(n, 2) for n in ("d06_interference", "d07_bait_and_switch")], *[_part(n, 3) for n in ("d04b_overlay", "d10a_nagging", "d10b_events")], _part("d01_fake_urgency", 4)])
+    *[_part(n, 2) for n in ("d06_interference", "d07_bait_and_switch")], *[_part(n, 3) for n in ("d04b_overlay", "d10a_nagging")], f"SELECT *, 3 AS part FROM ({_D10B})", _part("d01_fake_urgency", 4)])
 _READS = "SELECT p_partkey AS k, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN -1 ELSE 1 END AS move, p_size AS n FROM part"
 _SAID = "CASE WHEN k % 4 = 0 THEN 'Hurry! Only ' || (n + 5 + d) || ' left' WHEN k % 4 = 1 THEN 'Offer ends in: 00:' || lpad(CAST((n * 20 + 60 + d) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST((n * 20 + 60 + d) % 60 AS VARCHAR), 2, '0') WHEN k % 4 = 2 THEN 'Sale ends Sunday. Hurry while stocks last' ELSE 'In stock: ' || n || ' units' END"
 _HITS = ", ".join(f"CASE WHEN regexp_matches(t, '(?i){p}') THEN '{i}' END" for i, p in enumerate(lx.URGENCY))

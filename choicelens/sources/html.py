@@ -165,14 +165,14 @@ def page_captures(pages: DataFrame) -> DataFrame:
     s = line_items(resolve_price(extract_states(pages, keep_html=True)))
     boxes = F.transform("checkboxes", lambda x: F.struct(x["id"].alias("id"), x["label_text"].alias("label_text"), x["is_prechecked"].alias("checked"), x["is_prechecked"].alias("is_prechecked"), x["input_type"].alias("input_type"), x["required"].alias("required")))
     return s.select(
-        F.col("page_id").alias("trace_id"), F.lit(1).alias("step_ord"), F.lit("page").alias("step_name"), F.lit(0).alias("capture_no"), F.split("url", "/")[2].alias("site_name"), "url", "price", "price_source",
+        F.col("page_id").alias("trace_id"), F.lit(1).alias("step_ord"), F.lit("page").alias("step_name"), F.lit(0).alias("capture_no"), F.get(F.split("url", "/"), F.lit(2)).alias("site_name"), "url", "price", "price_source",
         "full_text", "raw_html", "line_items", boxes.alias("checkboxes"), "buttons", "links", "form_fields")
 
 
 def adhoc_steps(urls: DataFrame) -> DataFrame:
     """(trace_id, urls array) to funnel steps (trace_id, site_name, step_ord, step_name, url)."""
     at = urls.select("trace_id", F.posexplode("urls").alias("pos", "url"))
-    return at.select("trace_id", F.split("url", "/")[2].alias("site_name"), (F.col("pos") + 1).alias("step_ord"), F.concat(F.lit("step_"), F.col("pos") + 1).alias("step_name"), "url")
+    return at.select("trace_id", F.get(F.split("url", "/"), F.lit(2)).alias("site_name"), (F.col("pos") + 1).alias("step_ord"), F.concat(F.lit("step_"), F.col("pos") + 1).alias("step_name"), "url")
 
 
 LABELLED = "text string, label string"

@@ -83,17 +83,24 @@ def first_price_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame
     return df.groupBy("key").applyInPandasWithState(_drip, "key long, event_id long, price double, first_price double", "first double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def _admitted(times: list[float], limit: int, window: float, taken: list[float]) -> tuple[list[bool], list[float]]:
+    """Flags of events in order of time, and the latest admitted times, `limit` at most: no more are ever looked at."""
+    flags = []
+    for t in times:
+        taken = [x for x in taken[-limit:] if x > t - window]
+        flags.append(len(taken) < limit)
+        if flags[-1]:
+            taken.append(t)
+    return flags, taken[-limit:]
+
+
+ADMITTED = "key long, event_id long, admitted boolean"
+
+
 def _admit(limit: int, window: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        taken: list[float] = []
-        flags = []
-        for t in pdf["ts"].astype("int64") / {"s": 1, "ms": 1e3, "us": 1e6, "ns": 1e9}[pd.api.types.pandas_dtype(pdf["ts"].dtype).name.split("[")[1][:-1]]:
-            taken = [x for x in taken[-limit:] if x > t - window]
-            flags.append(len(taken) < limit)
-            if flags[-1]:
-                taken.append(t)
-        return pdf.assign(admitted=flags)[["key", "event_id", "admitted"]]
+        pdf = pdf.sort_values(["at", "event_id"])
+        return pdf.assign(admitted=_admitted((pdf["at"] / 1e6).tolist(), limit, window, [])[0])[["key", "event_id", "admitted"]]
 
     return run
 
@@ -101,13 +108,70 @@ def _admit(limit: int, window: float):
 def admit_events(events: DataFrame, limit: int, window: float) -> DataFrame:
     """(key, event_id, admitted) of (key, ts, event_id): at most `limit` admitted in any `window` seconds; denied ones don't count.
 
-    A key's events are cut where it pauses for longer than the window, since nothing carries over: a hot key becomes many
-    groups.
+    A key's events are cut where it pauses for as long as the window, since nothing carries over: a hot key becomes many
+    groups, and groups of no more than `limit` events are all admitted without being looked at. Null keys are one key.
     """
-    w = Window.partitionBy("key").orderBy("ts", "event_id")
-    gap = F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(w) >= window * 1e6, F.lit(False))
-    runs = events.select("key", "ts", "event_id").withColumn("run", F.sum(gap.cast("int")).over(w))
-    return runs.groupBy("key", "run").applyInPandas(_admit(limit, window), "key long, event_id long, admitted boolean")
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    w = Window.partitionBy("key").orderBy("at", "event_id")
+    gap = F.coalesce(F.col("at") - F.lag("at").over(w) >= window * 1e6, F.lit(False))
+    runs = events.select("key", at, "event_id").withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(w))
+    runs = runs.withColumn("n", F.count("*").over(Window.partitionBy("key", "run"))).drop("gap")
+    few = runs.where(F.col("n") <= limit).select("key", "event_id", F.lit(True).alias("admitted"))
+    return few.union(runs.where(F.col("n") > limit).groupBy("key", "run").applyInPandas(_admit(limit, window), ADMITTED))
+
+
+def _admit_on(limit: int, window: float):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([*batches]).sort_values(["ts", "event_id"])
+        times = [x.timestamp() for x in rows["ts"]]
+        flags, taken = _admitted(times, limit, window, [*state.get[0]] if state.exists else [])
+        state.update((taken,))
+        state.setTimeoutTimestamp(int(max(times[-1] * 1000, state.getCurrentWatermarkMs()) + window * 1000) + 1)
+        yield rows.assign(admitted=flags)[["key", "event_id", "admitted"]]
+
+    return run
+
+
+def admit_stream(events: DataFrame, limit: int, window: float, late: str = "10 minutes") -> DataFrame:
+    """Streaming twin: a key keeps its latest admitted times and is forgotten a window of event time after its last event.
+    Within a batch a key's events are taken in order of time."""
+    df = _timed(events).withWatermark("ts", late)
+    return df.groupBy("key").applyInPandasWithState(_admit_on(limit, window), ADMITTED, "taken array<double>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+AGAIN = "trace_id long, step_ord int, signature string, gone_at array<int>"
+
+
+def _nag(ttl: int):
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        names, places = state.get if state.exists else ([], [])
+        gone = {n: [*p] for n, p in zip(names, places, strict=True)}
+        rows, out = pd.concat([*batches]).sort_values("step_ord"), []
+        for r in rows.itertuples():
+            before = [int(x) for x in gone.get(r.signature, []) if x < r.step_ord]
+            if before:
+                out.append((r.trace_id, int(r.step_ord), r.signature, before))
+            if r.dismissed:
+                gone.setdefault(r.signature, []).append(int(r.step_ord))
+        state.update(([*gone], [*gone.values()]))
+        last = max(int(x.timestamp() * 1000) for x in rows["ts"])
+        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl * 1000)
+        yield pd.DataFrame(out, columns=["trace_id", "step_ord", "signature", "gone_at"])
+
+    return run
+
+
+def nagging_stream(seen: DataFrame, ttl: int = 3600, late: str = "10 minutes") -> DataFrame:
+    """Overlays (trace_id, ts, step_ord, signature, dismissed) that come back after an earlier step dismissed them:
+    (trace_id, step_ord, signature, gone_at). A funnel's dismissals are kept until `ttl` seconds of event time after its last step."""
+    df = _timed(seen).withWatermark("ts", late)
+    return df.groupBy("trace_id").applyInPandasWithState(_nag(ttl), AGAIN, "names array<string>, places array<array<int>>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def route_limits(requests: DataFrame, rules: list[tuple[str, str, int, int, str]], default: tuple[int, int] = (60, 60), trust_forwarded: bool = False) -> DataFrame:
