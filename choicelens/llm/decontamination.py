@@ -118,9 +118,13 @@ def short_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = written(items.select("item_id", "words", F.array_join("ws", " ").alias("gram")).distinct(), "short-items")
     sizes = sorted(r.words for r in items.select("words").distinct().collect())  # 4 at most
     texts = docs.select("doc_id", text.alias("ws"))
-    grams = [texts.where(F.size("ws") >= n).select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i, n=n: F.array_join(F.slice("ws", i + 1, n), " "))).alias("start", "gram")).withColumn("words", F.lit(n)) for n in sizes]
+
+    def grams_of(n: int) -> DataFrame:
+        grams = F.transform(F.sequence(F.lit(0), F.size("ws") - n), lambda i: F.array_join(F.slice("ws", i + 1, n), " "))
+        return texts.where(F.size("ws") >= n).select("doc_id", F.posexplode(grams).alias("start", "gram")).withColumn("words", F.lit(n))
+
     none = texts.select("doc_id", F.lit(0).alias("start"), F.lit("").alias("gram"), F.lit(0).alias("words")).limit(0)
-    found = reduce(DataFrame.unionByName, grams, none).groupBy("doc_id", "gram", "words").agg(F.min("start").alias("start"))
+    found = reduce(DataFrame.unionByName, map(grams_of, sizes), none).groupBy("doc_id", "gram", "words").agg(F.min("start").alias("start"))
     return found.join(items.hint("shuffle_hash"), ["gram", "words"]).select("doc_id", "item_id", "start", "words", F.lit(1.0).alias("similarity"))
 
 
