@@ -72,6 +72,16 @@ def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df doesn't have, for columns that come and go."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        out.append(stem)
+    return out
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits; null text has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))

@@ -152,7 +152,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     w = w.select("doc_id", "text_md5", F.unhex(F.replace(key, F.lit("-"), F.lit("00"))).alias("key"), F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
     base = written(w.mapInPandas(_sketches, "doc_id long, text_md5 string, key binary, n int, w binary, sketch array<long>"), "words")
     # Nodes are numbered in a written table: from here on, tables and shuffles hold a number in place of a hash.
-    nodes = base.groupBy(F.col("key").alias("hash")).agg(F.min(F.struct("doc_id", "text_md5")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = base.groupBy(F.col("key").alias("hash")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     nodes = written(nodes.withColumn("key", F.monotonically_increasing_id()), "nodes")
     buckets = nodes.select("key", "n", F.explode("sketch").alias("bucket"))
     several = written(buckets.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("size")).where("size > 1"), "several")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import free_names, small_batches, written
 
 #: Shrinkage towards the common covariance and towards the identity; a temper below 1 allows for statistics that are no
 #: independent normals; standardised statistics are clipped.
@@ -159,10 +159,11 @@ def _fit(x: DataFrame, labels: DataFrame) -> Discriminant:
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of docs, all columns, whose score reaches the threshold. A row finds its score by its id, null too, and its
     text's MD5, so repeated rows stay or go together and each text is described once."""
-    key = {"__id": F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), "text_md5": F.md5(F.coalesce("text", F.lit("")).cast("binary"))}
-    fine = classify(docs, labels, threshold).where("predicted = 1").select(key["__id"].alias("__id"), F.col("text_md5").alias("__md5")).distinct()
-    at = docs.withColumns({"__id": key["__id"], "__md5": key["text_md5"]})
-    return at.join(fine.hint("shuffle_hash"), ["__id", "__md5"], "left_semi").drop("__id", "__md5")
+    id_, md5 = free_names(docs, "__id", "__md5")
+    key = F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit(""))
+    fine = classify(docs, labels, threshold).where("predicted = 1").select(key.alias(id_), F.col("text_md5").alias(md5)).distinct()
+    at = docs.withColumns({id_: key, md5: F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
+    return at.join(fine.hint("shuffle_hash"), [id_, md5], "left_semi").drop(id_, md5)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import free_names
+
 #: A prime. The table is broadcast, so it and the number of shards are bounded.
 SLOTS, MOST_SLOTS = 4099, 1 << 20
 SHARDS = [f"shard-{i:02d}" for i in range(40)]
@@ -24,17 +26,20 @@ def _digits(name: str, salt: str, n: int) -> int:
 
 
 def fill(shards: list[str], slots: int = SLOTS, weights: dict[str, int] | None = None) -> np.ndarray:
-    """Index of a shard for each slot. A shard of weight w claims w slots a turn."""
+    """Index of a shard for each slot. A shard of weight w claims w slots a turn, one of weight 0 none."""
     if not shards or len(set(shards)) < len(shards) or len(shards) > slots or slots > MOST_SLOTS:
         raise ValueError("need 1 to `slots` distinct shards and at most 2^20 slots")
     if slots < 2 or any(slots % d == 0 for d in range(2, int(slots**0.5) + 1)):
         raise ValueError("the number of slots must be prime: every stride then reaches every slot")
+    weight = [(weights or {}).get(s, 1) for s in shards]
+    if set(weights or {}) - set(shards) or min(weight) < 0 or not any(weight):
+        raise ValueError("weights must be of the shards, none negative, not all 0")
     at = [_digits(s, "offset", slots) for s in shards]
     stride = [_digits(s, "stride", slots - 1) + 1 for s in shards]
     table, free = np.full(slots, -1, np.int32), slots
     while free:
         for i, s in enumerate(shards):
-            for _ in range((weights or {}).get(s, 1)):
+            for _ in range(weight[i]):
                 if not free:
                     break
                 while table[at[i]] >= 0:
@@ -53,20 +58,22 @@ def place(df: DataFrame, key: Column, shards: list[str] = SHARDS, slots: int = S
     """Add `slot` and `shard`. Rows with equal keys share a shard, unless `hot` > 0 and the key has more than that share
     of all rows: then `spread` joins its key, so that no shard gets a third of the table from one source.
 
-    Empty tables give empty tables, other columns pass through; `slot` and `shard` replace columns of these names.
+    Null keys share a shard, repeated rows too. Empty tables give empty tables, other columns pass through; `slot` and
+    `shard` replace columns of these names.
     """
     spark = df.sparkSession
     df = df.drop("slot", "shard")
+    key_, hot_ = free_names(df, "__key", "__hot")
     if hot > 0:
         kept = key.cast("string")
         total = df.count()
         # At most 1/hot keys can be hot: the list is short enough to broadcast.
-        heavy = df.groupBy(kept.alias("__key")).count().where(F.col("count") > hot * total).select("__key", F.lit(True).alias("__hot"))
-        df = df.withColumn("__key", kept).join(F.broadcast(heavy), "__key", "left")
-        key = F.when(F.col("__hot"), F.concat_ws("/", F.col("__key"), spread.cast("string"))).otherwise(F.col("__key"))
+        heavy = df.groupBy(kept.alias(key_)).count().where(F.col("count") > hot * total).select(key_, F.lit(True).alias(hot_))
+        df = df.withColumn(key_, kept).join(F.broadcast(heavy), key_, "left")
+        key = F.when(F.col(hot_), F.concat_ws("/", F.col(key_), spread.cast("string"))).otherwise(F.col(key_))
     table = fill(shards, slots, weights)
     lookup = F.broadcast(spark.createDataFrame([(i, shards[s]) for i, s in enumerate(table.tolist())], "slot long, shard string"))
-    return df.withColumn("slot", slot(key, slots)).join(lookup, "slot").drop("__key", "__hot")
+    return df.withColumn("slot", slot(key, slots)).join(lookup, "slot").drop(key_, hot_)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -194,3 +194,16 @@ def test_sharding(spark, docs):
     assert sharding.place(docs.limit(0), F.col("doc_id")).count() == 0
     with pytest.raises(ValueError):
         sharding.fill(names, 100)
+
+
+def test_sharding_weights_and_names(spark):
+    table = sharding.fill(["a", "b", "c"], 101, {"b": 3, "c": 0})
+    assert np.bincount(table).tolist() == [26, 75]
+    for bad in ({"a": 0, "b": 0, "c": 0}, {"a": -1}, {"d": 1}):
+        with pytest.raises(ValueError):
+            sharding.fill(["a", "b", "c"], 101, bad)
+    rows = [(i, "hot" if i % 3 else None, "x", "y", "old") for i in range(90)] + [(1, "hot", "x", "y", "old")] * 2
+    df = spark.createDataFrame(rows, "id long, k string, __key string, __hot string, shard string")
+    got = sharding.place(df, F.col("k"), spread=F.col("id"), hot=0.5)
+    assert {*got.columns} == {*df.columns, "slot"} and got.count() == len(rows) and got.where("__key != 'x' OR __hot != 'y' OR shard = 'old'").count() == 0
+    assert got.where("k IS NULL").select("shard").distinct().count() == 1 < got.where("k = 'hot'").select("shard").distinct().count()
