@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from choicelens.llm import decontamination, mixing, near_duplicates, quality, token_output
-from choicelens.llm.common import new_path, recording, release, shared_dir
+from choicelens.llm.common import free_names, new_path, recording, release, shared_dir
 
 #: Scratch paths by sf_dir and number of the stage that made them.
 _made: dict[tuple[str, int], list[str]] = {}
@@ -50,27 +50,30 @@ def filter_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 @_stage(2)
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each class; of rows with equal doc_id and text, one."""
+    id_, md5 = free_names(docs, "__id", "__md5")
     found = near_duplicates.near_duplicates(docs)
-    stay = found.where("doc_id <=> class_id AND text_md5 = class_text").select(_key("doc_id").alias("__id"), F.col("text_md5").alias("__md5")).distinct()
-    at = docs.withColumns({"__id": _key("doc_id"), "__md5": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
-    return at.join(stay.hint("shuffle_hash"), ["__id", "__md5"], "left_semi").dropDuplicates(["__id", "__md5"]).drop("__id", "__md5")
+    stay = found.where("doc_id <=> class_id AND text_md5 = class_text").select(_key("doc_id").alias(id_), F.col("text_md5").alias(md5)).distinct()
+    at = docs.withColumns({id_: _key("doc_id"), md5: F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
+    return at.join(stay.hint("shuffle_hash"), [id_, md5], "left_semi").dropDuplicates([id_, md5]).drop(id_, md5)
 
 
 @_stage(3)
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    [id_] = free_names(docs, "__id")
     hits = decontamination.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hits = hits.select(_key("doc_id").alias("__id")).distinct()
-    return docs.withColumn("__id", _key("doc_id")).join(hits.hint("shuffle_hash"), "__id", "left_anti").drop("__id")
+    hits = hits.select(_key("doc_id").alias(id_)).distinct()
+    return docs.withColumn(id_, _key("doc_id")).join(hits.hint("shuffle_hash"), id_, "left_anti").drop(id_)
 
 
 @_stage(4)
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it: not at all, once or twice. Rows of equal doc_id and source go together."""
-    copies = mixing.mix(docs).groupBy(_key("doc_id").alias("__id"), _key("source").alias("__source")).agg(F.max("copies").alias("__copies"))
-    at = docs.withColumns({"__id": _key("doc_id"), "__source": _key("source")})
-    taken = at.join(copies.where("__copies > 0").hint("shuffle_hash"), ["__id", "__source"])
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__id", "__source", "__copies", "__copy")
+    id_, source, copies, copy = names = free_names(docs, "__id", "__source", "__copies", "__copy")
+    mixed = mixing.mix(docs).groupBy(_key("doc_id").alias(id_), _key("source").alias(source)).agg(F.max("copies").alias(copies))
+    at = docs.withColumns({id_: _key("doc_id"), source: _key("source")})
+    taken = at.join(mixed.where(F.col(copies) > 0).hint("shuffle_hash"), [id_, source])
+    return taken.withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).drop(*names)
 
 
 @_stage(5)
