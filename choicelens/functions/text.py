@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from functools import reduce
+from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ def quotes(text: Column) -> Column:
     return F.translate(text, "’‘", "''")
 
 
+@cache
 def literal_of(pattern: str) -> str:
     """A word of lower-case ASCII letters that every match of the pattern holds, '' if none is plain to see."""
     rest, before = pattern, None
@@ -39,25 +40,31 @@ def _low(text: Column) -> Column:
     return F.translate(F.lower(text), "ſ", "s")
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Whether a pattern matches a text of straight quotes; most texts lack the pattern's word, which is quick to see."""
-    word, test = literal_of(pattern), text.rlike(java(pattern))
-    return _low(text).contains(word) & test if len(word) > 2 else test
+def _matches(text: Column, patterns: list[str]) -> list[Column]:
+    """Whether each pattern matches a text; most texts lack the pattern's word, which is quick to see."""
+    text = quotes(text)
+    low, out = _low(text), []
+    for p in patterns:
+        word, test = literal_of(p), text.rlike(java(p))
+        out.append(low.contains(word) & test if len(word) > 2 else test)
+    return out
 
 
 def hits(text: Column, patterns: list[str]) -> Column:
     """Whether any pattern matches."""
-    return F.coalesce(reduce(Column.__or__, [_matches(quotes(text), p) for p in patterns]), F.lit(False))
+    return F.coalesce(reduce(Column.__or__, _matches(text, patterns)), F.lit(False))
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:
     """Span of the first pattern in list order that matches, null if none does."""
-    return F.coalesce(*[F.when(_matches(quotes(text), p), F.regexp_substr(quotes(text), F.lit(java(p)))) for p in patterns])
+    straight = quotes(text)
+    return F.coalesce(*[F.when(m, F.regexp_substr(straight, F.lit(java(p)))) for p, m in zip(patterns, _matches(text, patterns), strict=True)])
 
 
 def all_matches(text: Column, patterns: list[str]) -> Column:
     """array<struct<ord,span>> of the patterns that match, in list order; null text matches none."""
-    each = [F.when(_matches(quotes(text), p), F.struct(F.lit(i).alias("ord"), F.regexp_substr(quotes(text), F.lit(java(p))).alias("span"))) for i, p in enumerate(patterns)]
+    straight = quotes(text)
+    each = [F.when(m, F.struct(F.lit(i).alias("ord"), F.regexp_substr(straight, F.lit(java(p))).alias("span"))) for i, (p, m) in enumerate(zip(patterns, _matches(text, patterns), strict=True))]
     return F.array_compact(F.array(*each))
 
 

@@ -292,4 +292,5 @@ def audit(cap: Captures, verdicts: DataFrame | None = None, ordered: bool = True
     """All detectors; strongest first, then in the order of detectors, traces, steps and elements."""
     found = _run(cap, [*LAYER1, *LAYER1_FLOW, *LAYER2, *([] if verdicts is not None else LAYER3)]) + ([run_layer3(cap, verdicts)] if verdicts is not None else [])
     every = _all(found, cap)
-    return every.orderBy(F.desc("confidence"), "detector_ord", "trace_id", "step_ord", "elem_ord") if ordered else every
+    # Dealt first: the sort samples its input, and would run every detector again for that.
+    return every.repartition("trace_id").orderBy(F.desc("confidence"), "detector_ord", "trace_id", "step_ord", "elem_ord") if ordered else every

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .captures import STATES, Captures
 
@@ -34,7 +35,7 @@ def captures(df: DataFrame, dismissals: DataFrame | None = None) -> Captures:
 def as_states(df: DataFrame) -> DataFrame:
     """Fill up to the capture schema: absent strings are '', absent arrays empty, absent numbers null."""
     out = []
-    for f in df.sparkSession.createDataFrame([], STATES).schema:
+    for f in StructType.fromDDL(STATES):
         if f.name in df.columns and f.dataType.typeName() == "array" and f.dataType.elementType.typeName() == "struct" and len(df.schema[f.name].dataType.elementType) < len(f.dataType.elementType):
             have = {x.name for x in df.schema[f.name].dataType.elementType}
             whole = lambda e, have=frozenset(have), of=f.dataType.elementType: F.struct(*[(e[x.name] if x.name in have else F.lit(None)).cast(x.dataType).alias(x.name) for x in of])

@@ -31,7 +31,8 @@ def _captures(spark: SparkSession, sf: str) -> list[b.Captures]:
 def audit(spark: SparkSession, sf: str) -> DataFrame:
     """All detectors over all derived funnels, strongest findings first."""
     found = [d.audit(cap, ordered=False).withColumn("part", F.lit(i)) for i, cap in enumerate(_captures(spark, sf))]
-    return reduce(DataFrame.unionByName, found).orderBy(F.desc("confidence"), "detector_ord", "part", "trace_id", "step_ord", "elem_ord").select(*KEYS, "part")
+    # Dealt first: the sort samples its input, and would run every detector again for that.
+    return reduce(DataFrame.unionByName, found).repartition("trace_id").orderBy(F.desc("confidence"), "detector_ord", "part", "trace_id", "step_ord", "elem_ord").select(*KEYS, "part")
 
 
 def drip(spark: SparkSession, sf: str) -> DataFrame:
