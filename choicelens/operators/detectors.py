@@ -1,4 +1,9 @@
-"""Detectors: captured funnels in, findings out. Each is one plan over the states or their exploded children."""
+"""Detectors: captured funnels in, findings out. Each is one plan over the states or their exploded children.
+
+Null texts hit no list, null prices, sizes and flags prove nothing, empty tables give no findings. Order in a trace is that
+of step_ord, then of the element; step_ord names a state of a trace, and states that repeat it may repeat findings.
+Columns of other names pass by unread.
+"""
 
 from __future__ import annotations
 
@@ -73,7 +78,7 @@ def detect_fake_urgency(cap: Captures) -> DataFrame:
     spans = F.array_compact(F.array(*[F.regexp_substr(quotes(F.col("full_text")), F.lit(java(p))) for p in lx.URGENCY]))
     one = cap.states.where(hits(F.col("full_text"), lx.URGENCY)).select("trace_id", "step_ord", "step_name", F.lit(0).alias("elem_ord"), urgency_values(F.col("full_text")).alias("u"), spans.alias("spans"))
     two = cap.reloads.where(hits(F.col("full_text"), lx.URGENCY)).select("trace_id", "step_name", urgency_values(F.col("full_text")).alias("v"))
-    df = one.where("u.value != ''").join(two, ["trace_id", "step_name"])
+    df = one.where("u.value != ''").join(two.hint("merge"), ["trace_id", "step_name"])
     stuck = (F.col("u.kind") == "countdown") & (seconds(F.col("v.value")) >= seconds(F.col("u.value")))
     same = (F.col("u.kind") == "count") & (F.col("u.value") == F.col("v.value"))
     df = df.where(stuck | same).withColumn("kind", F.col("u.kind"))
@@ -131,7 +136,7 @@ def first_commitment_state(cap: Captures) -> DataFrame:
 def detect_late_recurring_disclosure(cap: Captures) -> DataFrame:
     offer = first_commitment_state(cap).where(~hits(F.col("full_text"), lx.RECURRING)).select("trace_id", F.col("step_ord").alias("from_ord"), F.col("step_name").alias("offer"))
     later = cap.states.where(hits(F.col("full_text"), lx.RECURRING)).select("trace_id", "step_ord", "step_name", first_match(F.col("full_text"), lx.RECURRING).alias("quote"))
-    df = offer.join(later, "trace_id").where("step_ord > from_ord").groupBy("trace_id", "offer").agg(F.min_by(F.struct("step_ord", "step_name", "quote"), "step_ord").alias("d"))
+    df = offer.join(later.hint("merge"), "trace_id").where("step_ord > from_ord").groupBy("trace_id", "offer").agg(F.min_by(F.struct("step_ord", "step_name", "quote"), "step_ord").alias("d"))
     df = df.select("trace_id", "offer", "d.*", F.lit(0).alias("elem_ord"))
     return findings(df, "DP-05", 9, "corroborated", 0.85, F.concat(F.lit("Recurring charge first stated at "), "step_name"), {"offer_step": F.col("offer"), "offer_step_disclosed_recurring": F.lit(False), "disclosure_step": F.col("step_name"), "quoted_text": F.col("quote")}, step=F.concat("offer", F.lit(" -> "), "step_name"))
 
@@ -148,16 +153,16 @@ def detect_path_asymmetry(cap: Captures) -> DataFrame:
 def detect_missing_cancel_route(cap: Captures) -> DataFrame:
     text = F.concat_ws("\n", "full_text", F.transform("links", lambda x: x["text"]))
     whole = cap.states.groupBy("trace_id").agg(F.bool_or(hits(F.col("full_text"), lx.RECURRING)).alias("recurs"), F.bool_or(hits(text, lx.CANCEL_ROUTE) | F.coalesce(F.col("role") == "cancel", F.lit(False))).alias("way"), F.max_by("step_name", "step_ord").alias("step_name"), F.max("step_ord").alias("step_ord"), F.transform(F.array_sort(F.collect_list(F.struct("step_ord", "step_name"))), lambda x: x["step_name"]).alias("steps"))
-    df = whole.where("recurs AND NOT way").join(first_commitment_state(cap).select("trace_id"), "trace_id", "left_semi").withColumn("elem_ord", F.lit(0))
+    df = whole.where("recurs AND NOT way").join(first_commitment_state(cap).select("trace_id").hint("merge"), "trace_id", "left_semi").withColumn("elem_ord", F.lit(0))
     return findings(df, "DP-05", 9, "indicative", 0.45, F.lit("No way to cancel was seen."), {"recurring_commitment_present": F.lit(True), "cancellation_route_found": F.lit(False), "steps_searched": F.col("steps")})
 
 
 def detect_nagging(cap: Captures) -> DataFrame:
     """An overlay dismissed at an earlier step that comes back. A repeated step name stands for its last occurrence."""
     at = cap.states.groupBy("trace_id", "step_name").agg(F.max("step_ord").alias("gone_ord"))
-    gone = cap.dismissals.join(at, ["trace_id", "step_name"]).select("trace_id", "signature", "gone_ord", F.col("step_name").alias("gone_step"))
+    gone = cap.dismissals.join(at.hint("merge"), ["trace_id", "step_name"]).select("trace_id", "signature", "gone_ord", F.col("step_name").alias("gone_step"))
     seen = cap.child("modals").select("trace_id", "step_ord", "step_name", "elem_ord", F.col("e.signature").alias("signature"), F.substring("e.text", 1, 200).alias("quote"))
-    df = seen.join(gone, ["trace_id", "signature"]).where("gone_ord < step_ord").groupBy("trace_id", "step_ord", "step_name", "elem_ord", "signature", "quote").agg(F.transform(F.array_sort(F.collect_list(F.struct("gone_ord", "gone_step"))), lambda x: x["gone_step"]).alias("gone"))
+    df = seen.join(gone.hint("merge"), ["trace_id", "signature"]).where("gone_ord < step_ord").groupBy("trace_id", "step_ord", "step_name", "elem_ord", "signature", "quote").agg(F.transform(F.array_sort(F.collect_list(F.struct("gone_ord", "gone_step"))), lambda x: x["gone_step"]).alias("gone"))
     return findings(df, "DP-10", 10, "provable", 1.0, F.concat(F.lit("Dismissed before: "), "signature"), {"modal_signature": F.col("signature"), "dismissed_at_steps": F.col("gone"), "reappeared_at_step": F.col("step_name"), "quoted_text": F.col("quote")})
 
 
@@ -165,7 +170,7 @@ def detect_interruption_volume(cap: Captures) -> DataFrame:
     """Three or more different blocking overlays, none of which is reported as nagging."""
     sets = cap.child("modals").where("e.is_blocking").groupBy("trace_id").agg(F.array_sort(F.collect_set("e.signature")).alias("s"), F.max("step_ord").alias("step_ord"), F.max_by("step_name", "step_ord").alias("step_name")).where("size(s) >= 3")
     nag = detect_nagging(cap).select("trace_id", F.get_json_object("evidence", "$.modal_signature").alias("g")).groupBy("trace_id").agg(F.collect_set("g").alias("g"))
-    df = sets.join(nag, "trace_id", "left").where(~F.coalesce(F.arrays_overlap("s", "g"), F.lit(False))).withColumn("elem_ord", F.lit(0))
+    df = sets.join(nag.hint("merge"), "trace_id", "left").where(~F.coalesce(F.arrays_overlap("s", "g"), F.lit(False))).withColumn("elem_ord", F.lit(0))
     return findings(df, "DP-10", 10, "indicative", 0.4, F.lit("Repeated blocking interruptions."), {"distinct_blocking_interruptions": F.size("s"), "signatures": F.col("s")})
 
 
@@ -227,14 +232,14 @@ def external_candidates(cap: Captures, verdicts: DataFrame) -> DataFrame:
     conf = F.col("confidence").try_cast("double")
     sane = F.when(conf.isNull() | F.isnan(conf), 0.6).otherwise(F.least(F.greatest(conf, F.lit(0.0)), F.lit(1.0)))
     df = verdicts.withColumn("code", F.coalesce(F.nullif("pattern_code", F.lit("")), F.lit("DP-03"))).withColumn("tier", known).where("tier IS NOT NULL")
-    df = df.join(cap.states.select("trace_id", "step_ord", "step_name"), ["trace_id", "step_ord"])
+    df = df.join(cap.states.select("trace_id", "step_ord", "step_name").hint("merge"), ["trace_id", "step_ord"])
     return df.select("trace_id", "step_ord", "step_name", F.lit(0).alias("elem_ord"), "code", "tier", sane.alias("conf"), F.col("quoted_text").alias("quote"), F.lit("external").alias("source"), F.lit(3).alias("turn"))
 
 
 def ground_and_dedupe(cap: Captures, candidates: DataFrame, ord_: int = 15) -> DataFrame:
     """Keep candidates whose quote the page's text holds, the first of each (step, code, quote); what was found offline comes first."""
     quote = F.lower(F.trim("quote"))
-    df = candidates.join(cap.states.select("trace_id", "step_ord", "full_text"), ["trace_id", "step_ord"])
+    df = candidates.join(cap.states.select("trace_id", "step_ord", "full_text").hint("merge"), ["trace_id", "step_ord"])
     df = df.where((quote != "") & F.lower("full_text").contains(quote)).withColumn("__q", quote)
     w = Window.partitionBy("trace_id", "step_ord", "code", "__q").orderBy("turn", "elem_ord", F.desc("conf"), "quote")
     df = df.withColumn("__r", F.row_number().over(w)).where("__r = 1").withColumn("elem_ord", F.col("turn") * 10_000 + F.col("elem_ord"))

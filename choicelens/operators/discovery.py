@@ -1,4 +1,8 @@
-"""Funnel discovery over tables of controls: (page_id, control_ord, text, target_page_id)."""
+"""Funnel discovery over tables of controls: (page_id, control_ord, text, target_page_id).
+
+Null texts are no controls, null targets lead nowhere, ties go to the earlier control, repeated controls count once, and
+empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Relational operators over findings, jobs and their dimensions."""
+"""Relational operators over findings, jobs and their dimensions.
+
+Null keys join nothing, repeated rows count as often as they stand, ties go by id or code, and empty tables give empty
+results (counts of 0 where a total is asked for). Columns that an operator doesn't name pass through or are left out whole.
+"""
 
 from __future__ import annotations
 
@@ -110,7 +114,7 @@ def run_verdict(states: DataFrame, findings: DataFrame) -> DataFrame:
     """(trace_id, verdict, n): INCONCLUSIVE without a page of 200 characters, PARTIAL without a price, CLEAN, or FINDINGS."""
     seen = states.groupBy("trace_id").agg(F.bool_or(F.length("full_text") >= 200).alias("text"), F.bool_or(F.col("price").isNotNull()).alias("priced"))
     n = findings.groupBy("trace_id").agg(F.count("*").alias("n"))
-    got = seen.join(n, "trace_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    got = seen.join(n.hint("merge"), "trace_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return got.select("trace_id", F.when(~F.coalesce("text", F.lit(False)), "INCONCLUSIVE").when(~F.col("priced"), "PARTIAL").when(F.col("n") == 0, "CLEAN").otherwise("FINDINGS").alias("verdict"), "n")
 
 
@@ -158,7 +162,7 @@ def evidence_link(findings: DataFrame, screenshots: DataFrame) -> DataFrame:
 def summary_json(states: DataFrame, findings: DataFrame) -> DataFrame:
     """(trace_id, json): each trace's verdict, number of findings and codes, as one JSON text."""
     codes = findings.groupBy("trace_id").agg(F.sort_array(F.collect_set("pattern_code")).alias("codes"))
-    got = run_verdict(states, findings).join(codes, "trace_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    got = run_verdict(states, findings).join(codes.hint("merge"), "trace_id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
     return got.select("trace_id", F.to_json(F.struct("verdict", F.col("n").alias("findings"), "codes")).alias("json"))
 
 
