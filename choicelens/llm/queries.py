@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_duplicates, neighbours, quality, secrets, sharding, token_counts, token_output, url_filters
+from . import decontamination, manifest, mixing, near_duplicates, neighbours, quality, secrets, sharding, token_counts, token_output, url_filters
 
 QUERIES = {
     "op1_nearest": neighbours.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_token_output": token_output.query,
     "op10_token_counts": token_counts.query,
+    "op12_manifest": manifest.query,
 }
-ORACLES = {"op2_shard_placement": sharding.oracle()}
+ORACLES = {"op2_shard_placement": sharding.oracle(), "op12_manifest": manifest.oracle()}
