@@ -12,14 +12,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import ranked, written
 
 FAN, DIGITS = 8, 3
 BLOCK = FAN**DIGITS
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 PATH = "array<struct<left:string,right:string>>"
-#: Rows of the table of ranges (one for each group and partition) that may be broadcast; a longer one is joined by shuffling.
-FEW_RANGES = 100_000
 
 
 def digest(values: list[Column]) -> Column:
@@ -34,22 +32,6 @@ def leaves(docs: DataFrame, fields: tuple[str, ...] = FIELDS, group: str = "lang
     return docs.select(tree.alias("tree"), F.col(order).alias("ord"), digest([F.col(f) for f in fields]).alias("hash"), *[c.alias(k) for k, c in more.items()])
 
 
-def ranked(rows: DataFrame) -> DataFrame:
-    """rows (tree, ord, hash, …) with their rank in the tree, from 0, and the tree's size n. Null ords come first; rows of
-    one ord stand by hash, and rows equal in all are interchangeable, so they may be dealt over partitions."""
-    at = [F.col("tree"), F.col("ord").asc_nulls_first(), F.col("hash"), F.col("nth")]
-    rows = rows.withColumn("nth", F.monotonically_increasing_id()).repartitionByRange(*at).sortWithinPartitions(*at)
-    rows = written(rows.withColumn("nth", F.monotonically_increasing_id()), "sorted")
-    # Partitions follow one another in order, and a tree's rows stand side by side: one row for each tree and partition.
-    part = F.shiftright("nth", 33).alias("part")
-    ranges = rows.groupBy("tree", part).agg(F.min("nth").alias("first"), F.count("*").alias("rows"))
-    sums = ranges.groupBy("tree").agg(F.sum("rows").alias("n"), F.sort_array(F.collect_list(F.struct("part", "first", "rows"))).alias("ranges"))
-    before = F.transform("ranges", lambda x, i: F.struct(x["part"].alias("part"), (F.aggregate(F.slice("ranges", 1, i), F.lit(0).cast("long"), lambda a, y: a + y["rows"]) - x["first"]).alias("shift")))
-    ranges = written(sums.select("tree", "n", F.explode(before).alias("x")).select("tree", "n", "x.*"), "ranges")
-    ranges = F.broadcast(ranges) if ranges.count() <= FEW_RANGES else ranges.hint("merge")
-    return rows.withColumn("part", part).join(ranges, ["tree", "part"]).withColumn("rank", F.col("nth") + F.col("shift")).drop("part", "shift", "nth", "ord")
-
-
 def _joined(kids: Column) -> Column:
     return F.concat_ws("", F.transform(kids, lambda x: x["hash"]))
 

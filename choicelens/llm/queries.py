@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, manifest, mixing, near_duplicates, neighbours, quality, secrets, sharding, token_counts, token_output, url_filters
+from . import decontamination, lexical_search, manifest, mixing, near_duplicates, neighbours, quality, secrets, sharding, token_counts, token_output, url_filters
 
 QUERIES = {
     "op1_nearest": neighbours.query,
@@ -16,5 +16,6 @@ QUERIES = {
     "op9_token_output": token_output.query,
     "op10_token_counts": token_counts.query,
     "op12_manifest": manifest.query,
+    "op13_lexical_search": lexical_search.query,
 }
-ORACLES = {"op2_shard_placement": sharding.oracle(), "op12_manifest": manifest.oracle()}
+ORACLES = {"op2_shard_placement": sharding.oracle(), "op12_manifest": manifest.oracle(), "op13_lexical_search": lexical_search.oracle()}
