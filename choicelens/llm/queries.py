@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, lexical_search, manifest, mixing, near_duplicates, neighbours, quality, secrets, sharding, token_counts, token_output, url_filters
+from . import decontamination, lexical_search, manifest, mixing, near_duplicates, neighbours, quality, secrets, sharding, substrings, token_counts, token_output, url_filters
 
 QUERIES = {
     "op1_nearest": neighbours.query,
@@ -15,7 +15,13 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_token_output": token_output.query,
     "op10_token_counts": token_counts.query,
+    "op11_substring_dedup": substrings.query,
     "op12_manifest": manifest.query,
     "op13_lexical_search": lexical_search.query,
 }
-ORACLES = {"op2_shard_placement": sharding.oracle(), "op12_manifest": manifest.oracle(), "op13_lexical_search": lexical_search.oracle()}
+ORACLES = {
+    "op2_shard_placement": sharding.oracle(),
+    "op11_substring_dedup": substrings.oracle(),
+    "op12_manifest": manifest.oracle(),
+    "op13_lexical_search": lexical_search.oracle(),
+}
