@@ -52,8 +52,8 @@ def _slice_hashes(raw: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(word)
     place = at - np.repeat(begin, size)
     v = _BYTES[place & 31, raw[at]]
-    if size.max() > 32:
-        v = _mix(v + (place >> 5).astype(np.uint64) * _A)
+    if len(far := np.flatnonzero(place > 31)):
+        v[far] = _mix(v[far] + (place[far] >> 5).astype(np.uint64) * _A)
     return _mix(np.add.reduceat(v, np.cumsum(size) - size) + size.astype(np.uint64) * _A)
 
 
