@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import ranked, small_batches, written
 
-#: Documents of a block and items of a group: what one cogrouped pair of groups can hold.
-DOCS, GROUP = 4096, 256
+#: Documents of a block and items of a group: what one cogrouped pair of groups can hold. Documents selected for an item.
+DOCS, GROUP, TOP = 4096, 256, 50
 #: A term belongs to the first owner whose share of the documents its document frequency doesn't exceed.
 OWNERS = (1 / 1000, 1 / 100, 1 / 10, 1.0)
 #: Bounds of what is broadcast: terms of a slice of the vocabulary, items with bounds.
@@ -47,7 +47,7 @@ def _item_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "none", "term"])
 
 
-def _postings(vocabulary):
+def _postings(vocabulary, size: int, most: int):
     """Lists of one block's documents for each term, and one row of the documents themselves (tid -1)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,15 +70,15 @@ def _postings(vocabulary):
 
         for b in batches:
             for nth, id_, none, text in zip(b["nth"].tolist(), b["id"].tolist(), b["none"].tolist(), b["text"], strict=True):
-                if docs and (nth // DOCS != block or held > HELD):
+                if docs and (nth // size != block or held > most):
                     yield flush()
-                block = nth // DOCS
+                block = nth // size
                 found = terms(text)
-                docs.append((nth % DOCS, len(found), id_, none))
+                docs.append((nth % size, len(found), id_, none))
                 mine = np.array([x for x in map(tid.get, found) if x is not None], np.int64)
                 if len(mine):
                     t, tf = np.unique(mine, return_counts=True)
-                    parts.append((t, tf, np.full(len(t), nth % DOCS)))
+                    parts.append((t, tf, np.full(len(t), nth % size)))
                     held += len(t)
         if docs:
             yield flush()
@@ -86,10 +86,10 @@ def _postings(vocabulary):
     return run
 
 
-def _visit(n_docs: int, n_terms: int, closed, last: int):
+def _visit(n_docs: int, n_terms: int, closed, top: int, last: bool):
     """One owner's stage for the bundles (left) and postings (right) of one block and group of items.
 
-    closed: (group, slot) of items that take no new documents. last: how many documents each block selects in the end, 0 before."""
+    closed: (group, slot) of items that take no new documents. At the last stage each block selects its `top` documents."""
 
     def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         block, grp = int(key[0]), int(key[1])
@@ -115,9 +115,9 @@ def _visit(n_docs: int, n_terms: int, closed, last: int):
             at = np.flatnonzero(acc[s])
             score = acc[s, at]
             if not last:
-                rows.append((block, grp, s, at.astype("<u2").tobytes(), score.astype("<i8").tobytes(), np.sort(score)[::-1][:TOP].tolist()))
+                rows.append((block, grp, s, at.astype("<u2").tobytes(), score.astype("<i8").tobytes(), np.sort(score)[::-1][:top].tolist()))
                 continue
-            order = np.lexsort((ids[at], nulls[at], -score))[:last]
+            order = np.lexsort((ids[at], nulls[at], -score))[:top]
             rows += [(grp, s, ids[d], nulls[d], acc[s, d]) for d in at[order]]
         return pd.DataFrame(rows, columns=["grp", "slot", "id", "none", "score"] if last else ["block", "grp", "slot", "docs", "scores", "top"])
 
@@ -141,18 +141,15 @@ def _leave(bounds):
     return run
 
 
-TOP = 50
-
-
-def search(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, rank, doc_id, score): each item's 50 best documents with a score above 0, ties by doc_id, null ids last.
+def search(docs: DataFrame, items: DataFrame, top: int = TOP, block: int = DOCS, held: int = HELD) -> DataFrame:
+    """(item_id, rank, doc_id, score): each item's `top` best documents with a score above 0, ties by doc_id, null ids last.
 
     docs (doc_id, text), items (item_id, text). Null texts have no terms; an item without terms, or whose terms no document
     holds, has no rows. Rows of one item_id are one item, null too, with the terms of all. Repeated documents are documents
     of their own. Other columns are ignored; empty tables give no rows. Very long texts count whole.
     """
     with small_batches(docs.sparkSession):
-        return _search(docs, items)
+        return _search(docs, items, top, block, held)
 
 
 def _key(df: DataFrame, id_: str) -> list:
@@ -160,14 +157,14 @@ def _key(df: DataFrame, id_: str) -> list:
     return [F.coalesce(F.col(id_).cast("long"), F.lit(0).cast("long")).alias("id"), F.col(id_).isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text")]
 
 
-def _search(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _search(docs: DataFrame, items: DataFrame, top: int, block: int, held: int) -> DataFrame:
     spark = docs.sparkSession
     has = written(items.select(*_key(items, "item_id")).mapInPandas(_item_terms, "id long, none boolean, term string").distinct(), "item-terms")
     each = ranked(has.select("id", "none").distinct().select(F.lit("").alias("tree"), F.struct("none", "id").alias("ord"), F.lit("").alias("hash"), "id", "none"))
     each = written(each.select("id", "none", F.expr(f"rank div {GROUP}").alias("grp"), F.expr(f"cast(rank % {GROUP} as int)").alias("slot")), "items")
     n_items = each.count()
     words = written(has.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "terms")
-    posts, n_docs, n_terms = _posted(docs, words)
+    posts, n_docs, n_terms = _posted(docs, words, block, held)
     if not n_docs or not n_items:
         return spark.createDataFrame([], "item_id long, rank int, doc_id long, score long")
     # Weights, owners and places of the terms.
@@ -190,24 +187,24 @@ def _search(docs: DataFrame, items: DataFrame) -> DataFrame:
         mine = lists.where(F.col("owner") == stage).drop("owner")
         met = posts.where("tid >= 0").join(F.broadcast(mine) if few else mine.hint("merge"), "tid").select(cols)
         right = met.unionByName(own.select(cols))
-        last = TOP if stage + 1 == len(OWNERS) else 0
+        last = stage + 1 == len(OWNERS)
         pairs = bundles.groupBy("block", "grp").cogroup(right.groupBy("block", "grp"))
-        got = pairs.applyInPandas(_visit(n_docs, n_terms, closed, last), "grp long, slot int, id long, none boolean, score long" if last else BUNDLE)
+        got = pairs.applyInPandas(_visit(n_docs, n_terms, closed, top, last), "grp long, slot int, id long, none boolean, score long" if last else BUNDLE)
         if last:
             break
         bundles = written(got, "bundles")
-        least, closed = _bounds(bundles, at, stage) if n_items <= FEW_ITEMS else (None, None)
+        least, closed = _bounds(bundles, at, stage, top) if n_items <= FEW_ITEMS else (None, None)
         bundles = bundles.drop("top")
         if least:
             bundles = bundles.mapInPandas(_leave(least), BUNDLE.replace(", top array<long>", ""))
     best = Window.partitionBy("grp", "slot").orderBy(F.desc("score"), "none", "id")
-    top = got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= TOP)
-    top = top.withColumnsRenamed({"id": "doc", "none": "doc_none"}).join(each.hint("merge"), ["grp", "slot"])
+    best = got.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
+    best = best.withColumnsRenamed({"id": "doc", "none": "doc_none"}).join(each.hint("merge"), ["grp", "slot"])
     null = lambda c, none: F.when(~F.col(none), F.col(c))
-    return top.select(null("id", "none").alias("item_id"), "rank", null("doc", "doc_none").alias("doc_id"), "score")
+    return best.select(null("id", "none").alias("item_id"), "rank", null("doc", "doc_none").alias("doc_id"), "score")
 
 
-def _posted(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, int, int]:
+def _posted(docs: DataFrame, words: DataFrame, block: int, held: int) -> tuple[DataFrame, int, int]:
     """Postings of all terms, the number of documents with terms, and that of their terms."""
     spark, rows = docs.sparkSession, docs.select(*_key(docs, "doc_id")).withColumn("nth", F.monotonically_increasing_id())
     slices = max(1, -(-words.count() // FEW_TERMS))
@@ -217,17 +214,17 @@ def _posted(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, int, int]:
     for k in range(slices):
         part = words.where(F.pmod(F.xxhash64("term"), F.lit(slices)) == k) if slices > 1 else words
         vocabulary = spark.sparkContext.broadcast({r.term.encode(): r.tid for r in part.toLocalIterator()})
-        got = written(rows.mapInPandas(_postings(vocabulary), POSTINGS), "postings")
+        got = written(rows.mapInPandas(_postings(vocabulary, block, held), POSTINGS), "postings")
         if out is None:
             n = got.where("tid < 0").agg(F.sum("n_docs"), F.sum("n_terms")).first()
         out = got if out is None else out.union(got.where("tid >= 0"))
     return out, n[0] or 0, n[1] or 0
 
 
-def _bounds(bundles: DataFrame, at: DataFrame, stage: int):
+def _bounds(bundles: DataFrame, at: DataFrame, stage: int, top: int):
     """Broadcast, by item: the least score that can still get among the best, and the items that no new document can enter."""
     nth = Window.partitionBy("grp", "slot").orderBy(F.desc("v"))
-    theta = bundles.select("grp", "slot", F.explode("top").alias("v")).withColumn("nth", F.row_number().over(nth)).where(F.col("nth") == TOP).select("grp", "slot", "v")
+    theta = bundles.select("grp", "slot", F.explode("top").alias("v")).withColumn("nth", F.row_number().over(nth)).where(F.col("nth") == top).select("grp", "slot", "v")
     ahead = at.groupBy("grp", "slot").agg(F.sum(F.when(F.col("owner") > stage, F.col("most")).otherwise(F.lit(0))).alias("ahead"))
     rows = theta.join(ahead.hint("merge"), ["grp", "slot"]).collect()
     share = bundles.sparkSession.sparkContext.broadcast

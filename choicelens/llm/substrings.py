@@ -4,11 +4,12 @@ A count-min sketch says which windows may be repeated. Each window is counted by
 once for a run of windows that share it (a quarter of the entries, and never less than the window's own count). Partitions
 sketch what they read as sorted cells, at most two a cell; the cells are merged by segments, and of the merged table one bit a
 cell is broadcast: counted twice or more. A second pass over the texts keeps only windows that all rows of the sketch take for
-repeated, and groups those exactly, by 96 bits of hash: each block of documents sends a window once, with the least id it
-has there, so a passage that a third of all documents hold is as many rows as there are blocks.
+repeated, and groups those exactly, by 96 bits of hash: each block of windows sends one once, with the least id it has there,
+so a passage that a third of all documents hold is as many rows as there are blocks. What comes back is a few places for each
+document, and texts are shuffled once, to meet them.
 
-The sketch has at least four cells for an entry up to 2^28 cells a row (two bitmaps of 32 MB); beyond, some 1.6 billion
-words, it lets more and more windows through to the exact pass, and loses none. `most_bits` raises the bound.
+The sketch has eight cells for an entry up to 2^28 cells a row (two bitmaps of 32 MB); beyond, some 800 million words, it
+lets more and more windows through to the exact pass, and loses none. `most_bits` raises the bound.
 """
 
 from __future__ import annotations
@@ -22,19 +23,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, written
+from .common import small_batches, written
 
 WINDOW, GRAM = 13, 7
 ROWS, LEAST_BITS, MOST_BITS, SEGMENT = 2, 16, 28, 16
-#: Bytes of text (roughly) for an entry of the sketch; a block's documents and bytes; bytes hashed, and entries held, at once.
-PER_ENTRY, BLOCK_DOCS, BLOCK_BYTES, SLICE, HELD = 24, 4096, 4 << 20, 1 << 20, 2_000_000
+#: Bytes of text (roughly) for an entry of the sketch, and cells for each; bytes hashed, entries held and windows of a block at once.
+PER_ENTRY, PER_CELL, SLICE, HELD, BLOCK = 24, 8, 1 << 20, 2_000_000, 1_000_000
 _RNG = np.random.default_rng(11)
 _BYTES = _RNG.integers(0, 2**64, (32, 256), dtype=np.uint64)
 _ODD = _RNG.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _A, _B, _HALF = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-READ = "chunk long, id long, none boolean, n_words long, digest string, text binary, at binary, nth binary, h1 array<long>, h2 array<int>, least array<long>"
+READ = "block long, id long, md5 binary, at binary, nth binary, h1 array<long>, h2 array<int>, least array<long>"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -168,7 +169,7 @@ def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def sketch(rows: DataFrame, most_bits: int = MOST_BITS) -> tuple[list[np.ndarray], int]:
     """A bitmap for each row of the sketch over rows (text), and the bits of a cell's number."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = int(np.clip(np.ceil(np.log2(max(1, 4 * size / PER_ENTRY))), LEAST_BITS, most_bits))
+    bits = int(np.clip(np.ceil(np.log2(max(1, PER_CELL * size / PER_ENTRY))), LEAST_BITS, most_bits))
     cells = rows.select("text").mapInPandas(_sketch(bits), "row int, segment int, cells binary")
     full = cells.repartition("row", "segment").mapInPandas(_merged, "row int, segment int, bits binary")
     maps = [np.zeros(1 << (bits - 3), np.uint8) for _ in range(ROWS)]
@@ -186,79 +187,50 @@ def maybe_repeated(m: np.ndarray, maps: list[np.ndarray], bits: int) -> np.ndarr
     return out
 
 
-def _kept(text: bytes, at: np.ndarray) -> tuple[int, str]:
-    """Number of words that windows from the places `at` cover, and the digest of the others."""
-    words = text.split()
-    if not len(at):
-        return 0, hashlib.sha256(b" ".join(words)).hexdigest()
-    depth = np.zeros(len(words) + 1, np.int64)
-    np.add.at(depth, at, 1)
-    np.add.at(depth, at + WINDOW, -1)
-    stay = np.cumsum(depth)[:-1] == 0
-    return int((~stay).sum()), hashlib.sha256(b" ".join([w for w, s in zip(words, stay.tolist(), strict=True) if s])).hexdigest()
-
-
-def _read(shared, bits: int):
-    """Rows of documents (with text and windows where some may be repeated, else with their digest), and one row for each
-    block of its distinct windows. `nth` is a window's number in the block, or -1 where the block itself has it earlier."""
+def _read(shared, bits: int, windows: int):
+    """Windows that may be repeated: rows of documents (at: their places, nth: their numbers in the block, or -1 where the block
+    itself has one earlier), and one row for each block of its distinct windows with the least id of each."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        maps, ctx, number = shared.value, TaskContext.get(), 0
-        ids, none, texts, size = [], [], [], 0
+        maps, ctx, number, held, ids, keys, size = shared.value, TaskContext.get(), 0, [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            nonlocal ids, none, texts, size, number
-            chunk, number = (ctx.partitionId() << 32) + number, number + 1
-            n, places, h1, h2, docs, base = [], [], [], [], [], 0
-            for part in _portions(texts):
+            nonlocal number, held, ids, keys, size
+            block, number = (ctx.partitionId() << 32) + number, number + 1
+            h1, h2, places, docs = (np.concatenate(x) for x in zip(*held, strict=True))
+            own = np.array(ids, np.int64)
+            order = np.lexsort((h2, h1))
+            a, b = h1[order], h2[order]
+            cuts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+            # Numbers follow the first places, so that they mostly go up by one and pack well.
+            turn = np.argsort(np.minimum.reduceat(order, cuts), kind="stable")
+            least, one, rank = np.minimum.reduceat(own[docs[order]], cuts)[turn], cuts[turn], np.empty(len(cuts), np.int64)
+            rank[turn] = np.arange(len(cuts))
+            nth = np.empty(len(order), np.int64)
+            nth[order] = np.repeat(rank, np.diff(np.r_[cuts, len(order)]))
+            nth[own[docs] > least[nth]] = -1
+            rows = [(block, None, None, None, None, a[one].view(np.int64), b[one].view(np.int32), least)]
+            cut = np.searchsorted(docs, np.arange(len(ids) + 1))
+            rows += [(block, i, k, _packed(places[x:y]), _packed(nth[x:y]), None, None, None) for i, k, x, y in zip(ids, keys, cut[:-1], cut[1:], strict=True) if y > x]
+            held, ids, keys, size = [], [], [], 0
+            return pd.DataFrame(rows, columns=["block", "id", "md5", "at", "nth", "h1", "h2", "least"], dtype=object)
+
+        for b in batches:
+            base = 0
+            for part in _portions(x.encode("utf-8", "replace") for x in b["text"]):
                 count, h, at, doc, m = _windows(part)
                 begin = _entries(m, doc)
                 some = np.repeat(maybe_repeated(m[begin], maps, bits), np.diff(np.r_[begin, len(m)]))
-                some &= ~np.array(none[base : base + len(part)], bool)[doc] if len(doc) else some
                 at, doc = at[some], doc[some]
-                h1.append(_runs(h, WINDOW, _A)[at])
-                h2.append((_runs(h, WINDOW, _B)[at] >> _HALF).astype(np.uint32))
-                places.append(at - (np.cumsum(count) - count)[doc])
-                docs.append(doc + base)
-                n += count
+                if len(at):
+                    held.append((_runs(h, WINDOW, _A)[at], (_runs(h, WINDOW, _B)[at] >> _HALF).astype(np.uint32), at - (np.cumsum(count) - count)[doc], doc + len(ids)))
+                    size += len(at)
+                ids += b["id"].iloc[base : base + len(part)].tolist()
+                keys += b["md5"].iloc[base : base + len(part)].tolist()
                 base += len(part)
-            h1, h2, places, docs = (np.concatenate(x) for x in (h1, h2, places, docs))
-            ids_at = np.array(ids, np.int64)
-            order = np.lexsort((h2, h1))
-            a, b = h1[order], h2[order]
-            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(order)]
-            cuts = np.flatnonzero(new)
-            rows = []
-            nth = np.zeros(len(order), np.int64)
-            if len(order):
-                least = np.minimum.reduceat(ids_at[docs[order]], cuts)
-                # Numbers follow the first places, so that they mostly go up by one and pack well.
-                turn = np.argsort(np.minimum.reduceat(order, cuts), kind="stable")
-                rank = np.empty(len(cuts), np.int64)
-                rank[turn] = np.arange(len(cuts))
-                nth[order] = np.repeat(rank, np.diff(np.r_[cuts, len(order)]))
-                nth[ids_at[docs] > least[turn][nth]] = -1
-                one = cuts[turn]
-                rows.append((chunk, None, None, None, None, None, None, None, a[one].view(np.int64), b[one].view(np.int32), least[turn]))
-            cut = np.searchsorted(docs, np.arange(len(texts) + 1))
-            for i, text in enumerate(texts):
-                p, k = places[cut[i] : cut[i + 1]], nth[cut[i] : cut[i + 1]]
-                if len(p):
-                    rows.append((chunk, ids[i], none[i], n[i], None, text, _packed(p), _packed(k), None, None, None))
-                else:
-                    rows.append((chunk, ids[i], none[i], n[i], _kept(text, p)[1], None, None, None, None, None, None))
-            ids, none, texts, size = [], [], [], 0
-            return pd.DataFrame(rows, columns=["chunk", "id", "none", "n_words", "digest", "text", "at", "nth", "h1", "h2", "least"], dtype=object)
-
-        for b in batches:
-            for i, x, text in zip(b["id"].tolist(), b["none"].tolist(), b["text"], strict=True):
-                ids.append(i)
-                none.append(x)
-                texts.append(text.encode("utf-8", "replace"))
-                size += len(texts[-1])
-                if len(texts) >= BLOCK_DOCS or size > BLOCK_BYTES:
+                if size > windows:
                     yield flush()
-        if texts:
+        if held:
             yield flush()
 
     return run
@@ -272,17 +244,35 @@ def _unpacked(x: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(x, "<i4").astype(np.int64))
 
 
-def _removed(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Documents of one block without the words that earlier windows cover; right: numbers of windows that other blocks have earlier."""
+def _covered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Places of windows that are removed in the documents of one block; right: numbers of windows that other blocks have earlier."""
     elsewhere = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in right["nths"]]])
     rows = []
-    for i, none, n, text, at, nth in zip(left["id"], left["none"], left["n_words"], left["text"], left["at"], left["nth"], strict=True):
+    for i, key, at, nth in zip(left["id"], left["md5"], left["at"], left["nth"], strict=True):
         nth = _unpacked(nth)
-        rows.append((i, none, n, *_kept(text, _unpacked(at)[(nth < 0) | np.isin(nth, elsewhere)])))
-    return pd.DataFrame(rows, columns=["id", "none", "n_words", "n_removed", "kept_sha256"])
+        gone = (nth < 0) | np.isin(nth, elsewhere)
+        if gone.any():
+            rows.append((i, key, _packed(_unpacked(at)[gone])))
+    return pd.DataFrame(rows, columns=["id", "md5", "at"])
 
 
-def deduplicated(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
+def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        rows = []
+        for i, none, text, at in zip(b["id"], b["none"], b["text"], b["at"], strict=True):
+            words = text.encode("utf-8", "replace").split()
+            depth = np.zeros(len(words) + 1, np.int64)
+            if at is not None:
+                begin = _unpacked(at)
+                np.add.at(depth, begin, 1)
+                np.add.at(depth, begin + WINDOW, -1)
+            stay = np.cumsum(depth)[:-1] == 0
+            kept = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
+            rows.append((i, none, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()))
+        yield pd.DataFrame(rows, columns=["id", "none", "n_words", "n_removed", "kept_sha256"])
+
+
+def deduplicated(docs: DataFrame, most_bits: int = MOST_BITS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256), one row per row of docs.
 
     Null texts have no words. A null doc_id comes neither before nor after another: such rows lose nothing, and nothing is
@@ -290,25 +280,27 @@ def deduplicated(docs: DataFrame, most_bits: int = MOST_BITS) -> DataFrame:
     than 13 words lose nothing. Other columns are ignored; an empty table gives no rows.
     """
     with small_batches(docs.sparkSession):
-        return _deduplicated(docs, most_bits)
+        return _deduplicated(docs, most_bits, block)
 
 
-def _deduplicated(docs: DataFrame, most_bits: int) -> DataFrame:
+def _deduplicated(docs: DataFrame, most_bits: int, block: int) -> DataFrame:
     spark = docs.sparkSession
-    # Ids keep out of pandas' floats: a null id is a 0 with a mark.
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id"), F.col("doc_id").isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"))
-    maps, bits = sketch(rows.where("NOT none"), most_bits)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("md5"), text.alias("text"))
+    some = rows.where("id IS NOT NULL")
+    maps, bits = sketch(some, most_bits)
     shared = spark.sparkContext.broadcast(maps)
-    read = rows.mapInPandas(_read(shared, bits), READ)
-    read.write.option("compression", "zstd").parquet(path := new_path(spark, "windows"))
-    read = spark.read.schema(READ).parquet(path)
-    each = read.where("id IS NULL").select("chunk", F.posexplode(F.arrays_zip("h1", "h2", "least")).alias("nth", "x")).select("chunk", "nth", "x.*")
+    read = written(some.mapInPandas(_read(shared, bits, block), READ), "windows")
+    each = read.where("id IS NULL").select("block", F.posexplode(F.arrays_zip("h1", "h2", "least")).alias("nth", "x")).select("block", "nth", "x.*")
     first = F.min("least").over(Window.partitionBy("h1", "h2"))
-    later = each.withColumn("first", first).where("least > first").groupBy("chunk").agg(F.collect_list("nth").alias("nths"))
-    some = read.where("text IS NOT NULL").select("chunk", "id", "none", "n_words", "text", "at", "nth")
-    cut = some.groupBy("chunk").cogroup(later.groupBy("chunk")).applyInPandas(_removed, "id long, none boolean, n_words long, n_removed long, kept_sha256 string")
-    rest = read.where("digest IS NOT NULL").select("id", "none", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256"))
-    got = written(cut.unionByName(rest), "deduplicated")
+    later = each.withColumn("first", first).where("least > first").groupBy("block").agg(F.collect_list("nth").alias("nths"))
+    mine = read.where("id IS NOT NULL").select("block", "id", "md5", "at", "nth")
+    gone = mine.groupBy("block").cogroup(later.groupBy("block")).applyInPandas(_covered, "id long, md5 binary, at binary")
+    # Rows equal in id and text have equal places; rows without an id meet none. Ids keep out of pandas' floats.
+    gone = written(gone, "covered").dropDuplicates(["id", "md5"])
+    met = rows.join(gone.hint("shuffle_hash"), ["id", "md5"], "left")
+    met = met.select(F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNull().alias("none"), "text", "at")
+    got = written(met.mapInPandas(_kept, "id long, none boolean, n_words long, n_removed long, kept_sha256 string"), "deduplicated")
     return got.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 

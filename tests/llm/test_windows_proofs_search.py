@@ -60,10 +60,9 @@ def kept_by_hand(rows):
     return out
 
 
-def test_substrings(corpus, odd, monkeypatch):
-    monkeypatch.setattr(substrings, "BLOCK_DOCS", 20)
+def test_substrings(corpus, odd):
     for t in (odd, corpus):
-        got = collections.Counter(map(tuple, substrings.deduplicated(t).collect()))
+        got = collections.Counter(map(tuple, substrings.deduplicated(t, block=200).collect()))
         want = kept_by_hand(t.collect())
         assert got == want
         assert sum(n * r[2] for r, n in want.items()) > 500
@@ -190,14 +189,13 @@ def ranks_by_hand(docs, items, top=50):
 def test_search(spark, corpus, odd, monkeypatch):
     given = spark.read.parquet(f"{SF}/benchmark.parquet")
     own = spark.createDataFrame([(1, "w3 W7 naïve", 1, "x"), (1, "w9", 1, "x"), (None, "w3 É 数字", 1, "x"), (2, None, 1, "x"), (3, "...", 1, "x"), (BIG, "Ab9 y", 1, "x"), (5, "nowhere", 1, "x")], "item_id long, text string, slot int, term string")
-    monkeypatch.setattr(lexical_search, "DOCS", 32)
     for d, i in ((odd, own), (corpus, given)):
-        got = [*map(tuple, lexical_search.search(d, i).collect())]
+        got = [*map(tuple, lexical_search.search(d, i, block=32).collect())]
         assert len(got) == len({*got}) and {*got} == ranks_by_hand(d.collect(), i.collect())
     # More terms than one slice of the vocabulary, more items than a group, no bounds, no broadcast: the same rows.
-    for name, value in (("FEW_TERMS", 300), ("GROUP", 8), ("FEW_ITEMS", 0), ("HELD", 500)):
+    for name, value in (("FEW_TERMS", 300), ("GROUP", 8), ("FEW_ITEMS", 0)):
         monkeypatch.setattr(lexical_search, name, value)
-    assert {*map(tuple, lexical_search.search(corpus, given).collect())} == {*got}
+    assert {*map(tuple, lexical_search.search(corpus, given, held=500).collect())} == {*got}
     for d, i in ((odd.limit(0), given), (corpus, given.limit(0)), (odd.where("text IS NULL"), given)):
         assert lexical_search.search(d, i).count() == 0
 
@@ -205,7 +203,6 @@ def test_search(spark, corpus, odd, monkeypatch):
 def test_bounds_drop_only_what_cannot_win(spark, corpus, monkeypatch):
     """With few documents to select, items close early and bundles shrink; the best stay the same."""
     given, sizes, own = spark.read.parquet(f"{SF}/benchmark.parquet"), [], lexical_search._bounds
-    monkeypatch.setattr(lexical_search, "TOP", 2)
     monkeypatch.setattr(lexical_search, "OWNERS", (0.02, 0.1, 1.0))
 
     def spy(*a):
@@ -214,7 +211,7 @@ def test_bounds_drop_only_what_cannot_win(spark, corpus, monkeypatch):
         return least, closed
 
     monkeypatch.setattr(lexical_search, "_bounds", spy)
-    got = {*map(tuple, lexical_search.search(corpus, given).collect())}
+    got = {*map(tuple, lexical_search.search(corpus, given, 2, 64).collect())}
     assert got == ranks_by_hand(corpus.collect(), given.collect(), 2) and max(sizes) > 0
 
 
