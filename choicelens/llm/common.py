@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Rows of the table of ranges (one for each group and partition) that may be broadcast; a longer one is joined by shuffling.
 FEW_RANGES = 100_000
-_recorders: list[list[str]] = []
+#: Lists that take down scratch paths, each thread its own.
+_recorders: ContextVar[tuple] = ContextVar("recorders", default=())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    for made in _recorders:
+    for made in _recorders.get():
         made.append(path)
     return path
 
@@ -39,11 +41,11 @@ def new_path(spark: SparkSession, name: str) -> str:
 @contextmanager
 def recording(made: list[str]) -> Iterator[None]:
     """Scratch paths that are named meanwhile go to `made` too."""
-    _recorders.append(made)
+    before = _recorders.set((*_recorders.get(), made))
     try:
         yield
     finally:
-        _recorders.remove(made)
+        _recorders.reset(before)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -84,6 +86,15 @@ def free_names(df: DataFrame, *stems: str) -> list[str]:
     return out
 
 
+def id_columns(name: str = "doc_id") -> list[Column]:
+    """An id on its way through pandas, where a null would turn its neighbours into floats: a number and a mark."""
+    return [F.coalesce(F.col(name).cast("long"), F.lit(0).cast("long")).alias("id"), F.col(name).isNull().alias("none")]
+
+
+def id_back(name: str = "doc_id") -> Column:
+    return F.when(~F.col("none"), F.col("id")).alias(name)
+
+
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits; null text has none."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ranked, small_batches, written
+from .common import id_columns, ranked, small_batches, written
 
 #: Documents of a block and items of a group: what one cogrouped pair of groups can hold. Documents selected for an item.
 DOCS, GROUP, TOP = 4096, 256, 50
@@ -152,14 +152,9 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, block: int = DOCS,
         return _search(docs, items, top, block, held)
 
 
-def _key(df: DataFrame, id_: str) -> list:
-    # Ids keep out of pandas' floats: a null id is a 0 with a mark.
-    return [F.coalesce(F.col(id_).cast("long"), F.lit(0).cast("long")).alias("id"), F.col(id_).isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text")]
-
-
 def _search(docs: DataFrame, items: DataFrame, top: int, block: int, held: int) -> DataFrame:
     spark = docs.sparkSession
-    has = written(items.select(*_key(items, "item_id")).mapInPandas(_item_terms, "id long, none boolean, term string").distinct(), "item-terms")
+    has = written(items.select(*id_columns("item_id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(_item_terms, "id long, none boolean, term string").distinct(), "item-terms")
     each = ranked(has.select("id", "none").distinct().select(F.lit("").alias("tree"), F.struct("none", "id").alias("ord"), F.lit("").alias("hash"), "id", "none"))
     each = written(each.select("id", "none", F.expr(f"rank div {GROUP}").alias("grp"), F.expr(f"cast(rank % {GROUP} as int)").alias("slot")), "items")
     n_items = each.count()
@@ -206,7 +201,7 @@ def _search(docs: DataFrame, items: DataFrame, top: int, block: int, held: int)
 
 def _posted(docs: DataFrame, words: DataFrame, block: int, held: int) -> tuple[DataFrame, int, int]:
     """Postings of all terms, the number of documents with terms, and that of their terms."""
-    spark, rows = docs.sparkSession, docs.select(*_key(docs, "doc_id")).withColumn("nth", F.monotonically_increasing_id())
+    spark, rows = docs.sparkSession, docs.select(*id_columns(), F.coalesce("text", F.lit("")).alias("text")).withColumn("nth", F.monotonically_increasing_id())
     slices = max(1, -(-words.count() // FEW_TERMS))
     if slices > 1:  # texts are read once for each slice of the vocabulary, under the same numbers
         rows = written(rows, "numbered")

@@ -3,8 +3,9 @@
 A text is its sequence of words; its k-mers are the five-word shingles, each labelled with how often it has occurred
 before. A sketch hashes all labelled shingles, takes the two least and keeps them in text order; texts that agree on one of
 32 sketches become candidates. Two texts are near duplicates when the words aligned in order make up 0.8 of all words of
-both: with the longest common subsequence L of n and m words, L / (n + m - L) >= 0.8. Where edits are so dense that few
-shingles stay whole, sketches may miss a pair: of texts that also share 0.8 of their shingles none in practice (less than
+both: with the longest common subsequence L of n and m words, L / (n + m - L) >= 0.8. Texts of up to 32 words also meet
+at pairs of their rarest words, which every such pair of texts shares, so of pairs with a text of up to 25 words none is missed. In
+longer ones, where edits are so dense that few shingles stay whole, sketches may miss a pair: of texts that also share 0.8 of their shingles none in practice (less than
 once in 10^13), of long texts with every ninth word changed, just similar enough, about once in 160. Classes are connected components of links.
 
 Groups of copies stay linear. Texts with the same words are one node. In a bucket all nodes meet one pivot; only where a
@@ -24,9 +25,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, SIMILARITY, components, small_batches, words, written
+from .common import SHINGLE, SIMILARITY, components, id_back, id_columns, small_batches, words, written
 
 SKETCHES, LEAST, LARGE, HEAD = 32, 2, 200, 32
+#: Texts of so many words also meet by pairs of rare words, exactly: edits leave them too few whole shingles.
+SHORT = 32
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCHES, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SHIFT = np.uint64(32)
@@ -81,7 +84,7 @@ def sketch(word: np.ndarray) -> np.ndarray:
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         w = [np.asarray(x, np.int64).view(np.uint64).astype("<u4") for x in b["h"]]
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text_md5": b["text_md5"], "key": b["key"], "n": [*map(len, w)], "w": [x.tobytes() for x in w], "sketch": [sketch(x) for x in w]})
+        yield pd.DataFrame({"id": b["id"], "none": b["none"], "text_md5": b["text_md5"], "key": b["key"], "n": [*map(len, w)], "w": [x.tobytes() for x in w], "sketch": [sketch(x) for x in w]})
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,6 +137,20 @@ def _verify(least: float):
     return run
 
 
+def _rare_pairs(nodes: DataFrame, least: float) -> DataFrame:
+    """Buckets (key, n, bucket) of short texts, by pairs of their rarest words: no pair of texts of that similarity shares none.
+
+    A partner has at least c = least * n of a text's n words in common with it. With words in one order by rarity, the first
+    n - c + 2 of both then share two words; those, as a pair, are a bucket of both."""
+    each = written(nodes.select("key", "w").mapInPandas(_occurrences, "key long, word long"), "short-words")
+    often = each.groupBy("word").agg(F.count("*").alias("df"))
+    by = each.join(often.hint("merge"), "word").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("by"))
+    n = F.size("by")
+    head = by.select("key", n.alias("n"), F.slice("by", 1, n - F.ceil(least * n - 1e-9).cast("int") + 2).alias("head"))
+    both = lambda x, i: F.transform(F.slice("head", i + 2, SHORT), lambda y: F.xxhash64(x["word"], y["word"]))
+    return head.select("key", "n", F.explode(F.flatten(F.transform("head", both))).alias("bucket"))
+
+
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, text_md5, class_id, class_text), one row per row of docs: class_id is the least doc_id of the class, class_text
     the least MD5 of its texts under that id (they name one row, but for repeated ones).
@@ -147,14 +164,15 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
 def _classes(docs: DataFrame, least: float) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
-    w = docs.select("doc_id", F.md5(text.cast("binary")).alias("text_md5"), words(F.col("text")).alias("words"))
+    w = docs.select(*id_columns(), F.md5(text.cast("binary")).alias("text_md5"), words(F.col("text")).alias("words"))
     key = F.when(F.size("words") > 0, F.md5(F.concat_ws(" ", "words").cast("binary"))).otherwise(F.concat(F.lit("-"), F.col("text_md5")))
-    w = w.select("doc_id", "text_md5", F.unhex(F.replace(key, F.lit("-"), F.lit("00"))).alias("key"), F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
-    base = written(w.mapInPandas(_sketches, "doc_id long, text_md5 string, key binary, n int, w binary, sketch array<long>"), "words")
+    w = w.select("id", "none", "text_md5", F.unhex(F.replace(key, F.lit("-"), F.lit("00"))).alias("key"), F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
+    base = w.mapInPandas(_sketches, "id long, none boolean, text_md5 string, key binary, n int, w binary, sketch array<long>")
+    base = written(base.select(id_back(), "text_md5", "key", "n", "w", "sketch"), "words")
     # Nodes are numbered in a written table: from here on, tables and shuffles hold a number in place of a hash.
-    nodes = base.groupBy(F.col("key").alias("hash")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    nodes = base.groupBy(F.col("key").alias("hash")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first(F.when(F.col("n") <= SHORT, F.col("w"))).alias("w"))
     nodes = written(nodes.withColumn("key", F.monotonically_increasing_id()), "nodes")
-    buckets = nodes.select("key", "n", F.explode("sketch").alias("bucket"))
+    buckets = nodes.select("key", "n", F.explode("sketch").alias("bucket")).unionByName(_rare_pairs(nodes.where("n BETWEEN 2 AND " + str(SHORT)), least))
     several = written(buckets.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("size")).where("size > 1"), "several")
     shared = written(buckets.join(several.hint("merge"), "bucket"), "shared")
 

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_names, small_batches, written
+from .common import free_names, id_back, id_columns, small_batches, written
 
 #: Shrinkage towards the common covariance and towards the identity; a temper below 1 allows for statistics that are no
 #: independent normals; standardised statistics are clipped.
@@ -65,14 +65,14 @@ def statistics(text: str | None) -> list[float]:
 
 def _describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield pd.DataFrame({"doc_id": b["doc_id"], "text_md5": b["text_md5"], "x": [[float(v) for v in statistics(t)] for t in b["text"]]})
+        yield pd.DataFrame({"id": b["id"], "none": b["none"], "text_md5": b["text_md5"], "x": [[float(v) for v in statistics(t)] for t in b["text"]]})
 
 
 def described(docs: DataFrame) -> DataFrame:
     """(doc_id, text_md5, x, held_out) of each row."""
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.md5(text.cast("binary")).alias("text_md5"), text.alias("text"))
-    out = rows.mapInPandas(_describe, "doc_id long, text_md5 string, x array<double>")
+    rows = docs.select(*id_columns(), F.md5(text.cast("binary")).alias("text_md5"), text.alias("text"))
+    out = rows.mapInPandas(_describe, "id long, none boolean, text_md5 string, x array<double>").select(id_back(), "text_md5", "x")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5
     with small_batches(docs.sparkSession):
         return written(out.withColumn("held_out", fold == 0), "described")
@@ -134,7 +134,7 @@ def _score(model: Discriminant):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array(b["x"].tolist()).reshape(-1, D)
-            yield b[["doc_id", "text_md5", "held_out"]].assign(score=model.score(x))
+            yield b[["id", "none", "text_md5", "held_out"]].assign(score=model.score(x))
 
     return run
 
@@ -147,8 +147,9 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     scores. Columns of any other name are ignored; without labels every score is 0.5.
     """
     x = described(docs)
-    got = x.mapInPandas(_score(_fit(x, labels)), "doc_id long, text_md5 string, held_out boolean, score double")
-    return got.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    rows = x.select(*id_columns(), "text_md5", "held_out", "x")
+    got = rows.mapInPandas(_score(_fit(x, labels)), "id long, none boolean, text_md5 string, held_out boolean, score double")
+    return got.select(id_back(), "text_md5", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def _fit(x: DataFrame, labels: DataFrame) -> Discriminant:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, written
+from .common import id_back, id_columns, small_batches, written
 
 WINDOW, GRAM = 13, 7
 ROWS, LEAST_BITS, MOST_BITS, SEGMENT = 2, 16, 28, 16
@@ -296,12 +296,12 @@ def _deduplicated(docs: DataFrame, most_bits: int, block: int) -> DataFrame:
     later = each.withColumn("first", first).where("least > first").groupBy("block").agg(F.collect_list("nth").alias("nths"))
     mine = read.where("id IS NOT NULL").select("block", "id", "md5", "at", "nth")
     gone = mine.groupBy("block").cogroup(later.groupBy("block")).applyInPandas(_covered, "id long, md5 binary, at binary")
-    # Rows equal in id and text have equal places; rows without an id meet none. Ids keep out of pandas' floats.
+    # Rows equal in id and text have equal places; rows without an id meet none.
     gone = written(gone, "covered").dropDuplicates(["id", "md5"])
     met = rows.join(gone.hint("shuffle_hash"), ["id", "md5"], "left")
-    met = met.select(F.coalesce("id", F.lit(0).cast("long")).alias("id"), F.col("id").isNull().alias("none"), "text", "at")
+    met = met.select(*id_columns("id"), "text", "at")
     got = written(met.mapInPandas(_kept, "id long, none boolean, n_words long, n_removed long, kept_sha256 string"), "deduplicated")
-    return got.select(F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+    return got.select(id_back(), "n_words", "n_removed", "kept_sha256")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

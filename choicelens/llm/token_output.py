@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_path, small_batches, written
+from .common import id_back, id_columns, new_path, small_batches, written
 from .token_counts import tokenizer
 
 MODEL, END = "word_bpe_49k.json", 2
@@ -88,7 +88,7 @@ def _encode(path: str, end: int):
             for i in range(0, len(b), 300):
                 x = b.iloc[i : i + 300]
                 got = [g + tail for g in ids(x["text"].tolist())]
-                yield pd.DataFrame({"doc_id": x["doc_id"], "n": [len(g) // 4 for g in got], "ids": [_narrow(g) for g in got]})
+                yield pd.DataFrame({"id": x["id"], "none": x["none"], "n": [len(g) // 4 for g in got], "ids": [_narrow(g) for g in got]})
 
     return run
 
@@ -157,22 +157,23 @@ def _get(uri: str, size: int | None = None) -> bytes:
 
 def _write(folder: str, rank: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, files, docs, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+        part, files, docs, none, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush() -> pd.DataFrame:
-            nonlocal files, docs, ids, held
+            nonlocal files, docs, none, ids, held
             control, data = pack(rank[np.concatenate(ids)])
-            head = MAGIC + np.array([len(docs), held], "<u8").tobytes() + np.array([0 if d is None else d for d in docs], "<i8").tobytes()
-            head += np.array([d is not None for d in docs], np.uint8).tobytes() + np.array([*map(len, ids)], "<u4").tobytes()
+            head = MAGIC + np.array([len(docs), held], "<u8").tobytes() + np.array(docs, "<i8").tobytes()
+            head += (~np.array(none, bool)).astype(np.uint8).tobytes() + np.array([*map(len, ids)], "<u4").tobytes()
             name = f"shard-{part:06d}-{files:06d}.ids"
             _put(f"{folder}/{name}", head + control + data)
             out = pd.DataFrame({"part": [part], "file": [name], "docs": [len(docs)], "n": [held]})
-            files, docs, ids, held = files + 1, [], [], 0
+            files, docs, none, ids, held = files + 1, [], [], [], 0
             return out
 
         for b in batches:
-            for d, x in zip(b["doc_id"], b["ids"], strict=True):
-                docs.append(None if pd.isna(d) else int(d))
+            for d, null, x in zip(b["id"].tolist(), b["none"].tolist(), b["ids"], strict=True):
+                docs.append(d)
+                none.append(null)
                 ids.append(_wide(x))
                 held += len(ids[-1])
                 if held >= FILE_IDS:
@@ -195,9 +196,9 @@ def write_ids(docs: DataFrame, folder: str, model: str = MODEL, end: int = END)
 
 
 def _written_ids(spark: SparkSession, docs: DataFrame, folder: str, path: str, end: int) -> DataFrame:
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select(*id_columns(), F.coalesce("text", F.lit("")).alias("text"))
     # Rows are numbered in the written table: rows of one id, or of none, can then be dealt over files too.
-    enc = rows.mapInPandas(_encode(path, end), "doc_id long, n long, ids binary").withColumn("nth", F.monotonically_increasing_id())
+    enc = rows.mapInPandas(_encode(path, end), "id long, none boolean, n long, ids binary").withColumn("nth", F.monotonically_increasing_id())
     enc = written(enc, "encoded")
     # As many counts as the vocabulary has ids, at most.
     freq = {r.id: r.n for r in enc.select("ids").mapInPandas(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
@@ -207,8 +208,8 @@ def _written_ids(spark: SparkSession, docs: DataFrame, folder: str, path: str, e
     spark._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(folder))
     _put(f"{folder}/ranks", by.astype("<u4").tobytes())
     n = max(1, -(-sum(freq.values()) // PART_IDS), spark.sparkContext.defaultParallelism)
-    order = [F.col("doc_id").asc_nulls_first(), F.col("nth")]
-    ordered = enc.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    order = [F.col("none").desc(), F.col("id"), F.col("nth")]
+    ordered = enc.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "none", "ids")
     return written(ordered.mapInPandas(_write(folder, rank), "part int, file string, docs long, n long"), "shards")
 
 
@@ -230,7 +231,7 @@ def _read(folder: str):
             view, crc = memoryview(ids.tobytes()), []
             for a, k in zip(first.tolist(), n.tolist(), strict=True):
                 crc.append(zlib.crc32(view[4 * a : 4 * (a + k)]))
-            yield pd.DataFrame({"doc_id": pd.array(np.where(has, doc, 0), "Int64").copy() if has.all() else pd.array([int(d) if h else None for d, h in zip(doc, has, strict=True)], "Int64"), "start": base + first, "n_tokens": n, "ids_crc32": np.array(crc, np.int64)})
+            yield pd.DataFrame({"id": doc, "none": ~has, "start": base + first, "n_tokens": n, "ids_crc32": np.array(crc, np.int64)})
 
     return run
 
@@ -242,7 +243,7 @@ def read_ids(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     parts = files.groupBy("part").agg(F.sum("n").alias("n")).select("part", before(Window.orderBy("part")).alias("first_of"))
     at = files.join(parts.hint("merge"), "part").select("file", (F.col("first_of") + before(Window.partitionBy("part").orderBy("file"))).alias("base"))
     spread = at.repartition(max(1, min(files.count(), 4 * spark.sparkContext.defaultParallelism)))
-    got = spread.mapInPandas(_read(folder), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    got = spread.mapInPandas(_read(folder), "id long, none boolean, start long, n_tokens long, ids_crc32 long").select(id_back(), "start", "n_tokens", "ids_crc32")
     with small_batches(spark):
         return written(got, "read-back")
 

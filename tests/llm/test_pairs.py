@@ -120,6 +120,25 @@ def test_crowded_buckets(spark, texts, monkeypatch):
     test_near_duplicates(spark, texts)
 
 
+def test_short_texts_by_length(spark):
+    """All pairs of similarity 0.8 or more are found among texts of up to 25 words, by two edits at most here."""
+    rng, rows, want = random.Random(12), [], {}
+    for n in range(3, 41):
+        for edits in (1, 2):
+            for _ in range(12):
+                a = [f"{n}x{rng.randrange(10**6)}" if rng.random() < 0.7 else f"the{rng.randrange(5)}" for _ in range(n)]
+                b = variant(rng, a, edits).split()
+                if a != b and b:
+                    i = len(rows)
+                    rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+                    want[i] = (n, aligned(a, b) >= 0.8)
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for i, (n, near) in want.items():
+        assert (got[i] == got[i + 1]) == near or n > 25, (rows[i], rows[i + 1])
+    far = [got[i] == got[i + 1] for i, (n, near) in want.items() if near and n > 25]
+    assert sum(want[i][1] for i in want if want[i][0] <= 25) > 200 and sum(far) >= 0.95 * len(far)
+
+
 def test_alignment():
     rng = random.Random(4)
     for _ in range(200):

@@ -54,7 +54,7 @@ def test_secrets(spark, docs, corpus, tmp_path):
         before = spark.read.parquet(f"{tmp_path}/ledger{n}").count()
         secrets.scan_into(table, f"{tmp_path}/ledger{n}").count()
         assert spark.read.parquet(f"{tmp_path}/ledger{n}").count() == before
-        secrets.scan_into(table, f"{tmp_path}/ledger{n}", version="2").count()
+        secrets.scan_into(table, f"{tmp_path}/ledger{n}", rules=[*secrets.RULES, ("pgp", "-----BEGIN PGP", 0, 1)]).count()
         assert spark.read.parquet(f"{tmp_path}/ledger{n}").count() == 2 * before
     assert secrets.scan_into(docs.limit(0), f"{tmp_path}/none").count() == 0
 
