@@ -246,11 +246,14 @@ def _unpacked(x: bytes) -> np.ndarray:
 
 def _covered(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     """Places of windows that are removed in the documents of one block; right: numbers of windows that other blocks have earlier."""
-    elsewhere = np.concatenate([np.zeros(0, np.int64), *[np.asarray(x, np.int64) for x in right["nths"]]])
+    mine = [_unpacked(x) for x in left["nth"]]
+    earlier = np.zeros(max((int(x.max()) for x in mine), default=-1) + 2, bool)
+    for nths in right["nths"]:
+        earlier[np.asarray(nths, np.int64)] = True
+    earlier[-1] = True  # for -1
     rows = []
-    for i, key, at, nth in zip(left["id"], left["md5"], left["at"], left["nth"], strict=True):
-        nth = _unpacked(nth)
-        gone = (nth < 0) | np.isin(nth, elsewhere)
+    for i, key, at, nth in zip(left["id"], left["md5"], left["at"], mine, strict=True):
+        gone = earlier[nth]
         if gone.any():
             rows.append((i, key, _packed(_unpacked(at)[gone])))
     return pd.DataFrame(rows, columns=["id", "md5", "at"])
