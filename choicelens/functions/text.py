@@ -36,36 +36,65 @@ def literal_of(pattern: str) -> str:
     return max(re.findall("[a-z]+", re.sub(r".[?*]", " ", rest)), key=len, default="")
 
 
+@cache
+def whole_word(pattern: str) -> bool:
+    """Whether that word stands in every match between a boundary, white space or a slash on either side: a text's words then tell of it."""
+    word = literal_of(pattern)
+    return bool(word) and bool(re.search(rf"(?:\\b|\\s\+| |/){word}(?:\\b|\\s\+| |/)", pattern))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body over a value that is made once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _low(text: Column) -> Column:
     return F.translate(F.lower(text), "ſ", "s")
 
 
-def _matches(text: Column, patterns: list[str]) -> list[Column]:
-    """Whether each pattern matches a text; most texts lack the pattern's word, which is quick to see."""
-    text = quotes(text)
-    low, out = _low(text), []
-    for p in patterns:
-        word, test = literal_of(p), text.rlike(java(p))
-        out.append(low.contains(word) & test if len(word) > 2 else test)
-    return out
+#: From so many patterns of whole words on, a text is split into its words once, and these meet the table of the patterns' words.
+INDEXED = 12
+
+
+def _screened(text: Column, patterns: list[str], body: Callable[[Column, list[Column]], Column]) -> Column:
+    """body(straight text, whether each pattern matches): most texts lack a pattern's word, which is quick to see.
+
+    An inverted index: the text's distinct words are looked up in a table of the words that patterns need, so what a text
+    costs hardly grows with the list; a word that may be part of another is looked for in the lower-case text. Only patterns whose word is
+    there run their expression."""
+    index = sorted({literal_of(p) for p in patterns if whole_word(p)})
+    straight = quotes(text)
+    parts = [straight.alias("t"), _low(straight).alias("low")]
+
+    def tests(s: Column) -> Column:
+        out = []
+        for p in patterns:
+            word, test = literal_of(p), s["t"].rlike(java(p))
+            there = F.array_contains(s["w"], word) if len(index) >= INDEXED and word in index else s["low"].contains(word)
+            out.append(there & test if len(word) > 2 else test)
+        return body(s["t"], out)
+
+    if len(index) < INDEXED:
+        return let(F.struct(*parts), tests)
+    found = lambda s: F.array_intersect(F.array(*map(F.lit, index)), F.regexp_extract_all(s["low"], F.lit("[a-z]+"), F.lit(0)))
+    return let(F.struct(*parts), lambda s: let(F.struct(s["t"].alias("t"), s["low"].alias("low"), found(s).alias("w")), tests))
 
 
 def hits(text: Column, patterns: list[str]) -> Column:
     """Whether any pattern matches."""
-    return F.coalesce(reduce(Column.__or__, _matches(text, patterns)), F.lit(False))
+    return F.coalesce(_screened(text, patterns, lambda _, tests: reduce(Column.__or__, tests)), F.lit(False))
 
 
 def first_match(text: Column, patterns: list[str]) -> Column:
     """Span of the first pattern in list order that matches, null if none does."""
-    straight = quotes(text)
-    return F.coalesce(*[F.when(m, F.regexp_substr(straight, F.lit(java(p)))) for p, m in zip(patterns, _matches(text, patterns), strict=True)])
+    span = lambda t, p: F.regexp_substr(t, F.lit(java(p)))
+    return _screened(text, patterns, lambda t, tests: F.coalesce(*[F.when(m, span(t, p)) for p, m in zip(patterns, tests, strict=True)]))
 
 
 def all_matches(text: Column, patterns: list[str]) -> Column:
     """array<struct<ord,span>> of the patterns that match, in list order; null text matches none."""
-    straight = quotes(text)
-    each = [F.when(m, F.struct(F.lit(i).alias("ord"), F.regexp_substr(straight, F.lit(java(p))).alias("span"))) for i, (p, m) in enumerate(zip(patterns, _matches(text, patterns), strict=True))]
-    return F.array_compact(F.array(*each))
+    found = lambda t, i, p: F.struct(F.lit(i).alias("ord"), F.regexp_substr(t, F.lit(java(p))).alias("span"))
+    return _screened(text, patterns, lambda t, tests: F.array_compact(F.array(*[F.when(m, found(t, i, p)) for i, (p, m) in enumerate(zip(patterns, tests, strict=True))])))
 
 
 def lexicon_scan(df: DataFrame, text: str, patterns: list[str]) -> DataFrame:
