@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import id_back, id_columns, small_batches, written
+from .common import id_back, id_columns, recording, release, small_batches, written
 
 WINDOW, GRAM = 13, 7
 ROWS, LEAST_BITS, MOST_BITS, SEGMENT = 2, 16, 28, 16
@@ -293,14 +293,18 @@ def _deduplicated(docs: DataFrame, most_bits: int, block: int) -> DataFrame:
     some = rows.where("id IS NOT NULL")
     maps, bits = sketch(some, most_bits)
     shared = spark.sparkContext.broadcast(maps)
-    read = written(some.mapInPandas(_read(shared, bits, block), READ), "windows")
+    scratch: list[str] = []
+    with recording(scratch):
+        read = written(some.mapInPandas(_read(shared, bits, block), READ), "windows")
     each = read.where("id IS NULL").select("block", F.posexplode(F.arrays_zip("h1", "h2", "least")).alias("nth", "x")).select("block", "nth", "x.*")
     first = F.min("least").over(Window.partitionBy("h1", "h2"))
     later = each.withColumn("first", first).where("least > first").groupBy("block").agg(F.collect_list("nth").alias("nths"))
     mine = read.where("id IS NOT NULL").select("block", "id", "md5", "at", "nth")
     gone = mine.groupBy("block").cogroup(later.groupBy("block")).applyInPandas(_covered, "id long, md5 binary, at binary")
+    gone = written(gone, "covered")
+    release(spark, scratch, gone)  # before texts are shuffled
     # Rows equal in id and text have equal places; rows without an id meet none.
-    gone = written(gone, "covered").dropDuplicates(["id", "md5"])
+    gone = gone.dropDuplicates(["id", "md5"])
     met = rows.join(gone.hint("shuffle_hash"), ["id", "md5"], "left")
     met = met.select(*id_columns("id"), "text", "at")
     got = written(met.mapInPandas(_kept, "id long, none boolean, n_words long, n_removed long, kept_sha256 string"), "deduplicated")
