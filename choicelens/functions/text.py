@@ -63,9 +63,6 @@ def _screened(text: Column, patterns: list[str], body: Callable[[Column, list[Co
     costs hardly grows with the list; a word that may be part of another is looked for in the lower-case text. Only patterns whose word is
     there run their expression."""
     index = sorted({literal_of(p) for p in patterns if whole_word(p)})
-    straight = quotes(text)
-    parts = [straight.alias("t"), _low(straight).alias("low")]
-
     def tests(s: Column) -> Column:
         out = []
         for p in patterns:
@@ -74,10 +71,13 @@ def _screened(text: Column, patterns: list[str], body: Callable[[Column, list[Co
             out.append(there & test if len(word) > 2 else test)
         return body(s["t"], out)
 
-    if len(index) < INDEXED:
-        return let(F.struct(*parts), tests)
-    found = lambda s: F.array_intersect(F.array(*map(F.lit, index)), F.regexp_extract_all(s["low"], F.lit("[a-z]+"), F.lit(0)))
-    return let(F.struct(*parts), lambda s: let(F.struct(s["t"].alias("t"), s["low"].alias("low"), found(s).alias("w")), tests))
+    def parts(t: Column) -> Column:
+        if len(index) < INDEXED:
+            return let(F.struct(t.alias("t"), _low(t).alias("low")), tests)
+        found = lambda low: F.array_intersect(F.array(*map(F.lit, index)), F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)))
+        return let(_low(t), lambda low: let(F.struct(t.alias("t"), low.alias("low"), found(low).alias("w")), tests))
+
+    return let(quotes(text), parts)
 
 
 def hits(text: Column, patterns: list[str]) -> Column:

@@ -207,8 +207,12 @@ def _requests(s: SparkSession, f: str) -> DataFrame:
 
 
 def _stale(s: SparkSession, f: str) -> DataFrame:
-    e = b.table(s, f, "events").select(F.col("user_id").alias("key"), "ts", (F.col("event_id") % 3).alias("value"), "event_type")
-    return t.reload_staleness(e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'click'").drop("event_type"), within="6 hours")
+    """Views as first loads, clicks as reloads of the user's page: a count, a countdown or no claim, by the event's number."""
+    k = F.col("event_id")
+    clock = F.concat(F.lit("Offer ends in: 00:0"), (k % 3).cast("string"), F.lit(":"), F.lpad((k % 60).cast("string"), 2, "0"))
+    text = F.when(k % 4 < 2, F.concat(F.lit("Hurry! Only "), (k % 5 + 1).cast("string"), F.lit(" left"))).when(k % 4 == 2, clock).otherwise("In stock")
+    e = b.table(s, f, "events").select(F.col("user_id").alias("trace_id"), F.lit("item").alias("step_name"), "ts", text.alias("full_text"), "event_type")
+    return t.reload_staleness(e.where("event_type = 'view'").drop("event_type"), e.where("event_type = 'click'").drop("event_type"), within="48 hours")
 
 
 QUERIES = {
@@ -373,7 +377,10 @@ SELECT unnest(['jobs', 'violations', 'jobs left', 'violations left']) AS kind, u
     "r17_tier_caps": "SELECT 'DP-' || lpad(l_linenumber::VARCHAR, 2, '0') AS pattern_code, count(*) AS n FROM lineitem WHERE 1 - l_discount > CASE WHEN l_linenumber IN (2, 4, 8, 10, 12) THEN 1.0 WHEN l_linenumber IN (1, 5, 6, 7, 9, 11) THEN 0.9 ELSE 0.6 END GROUP BY 1",
     "r18_run_diff": "WITH v AS (SELECT l_orderkey AS job_id, 'DP-' || lpad(l_linenumber::VARCHAR, 2, '0') AS pattern_code, l_returnflag AS f FROM lineitem), x AS (SELECT job_id, pattern_code, bool_or(f <> 'A') AS a, bool_or(f <> 'R') AS b FROM v GROUP BY ALL) SELECT job_id, pattern_code, CASE WHEN a THEN 'disappeared' ELSE 'appeared' END AS change FROM x WHERE a <> b",
     "t4_dedupe": "SELECT DISTINCT user_id, event_type FROM events",
-    "t5_staleness": "SELECT a.user_id AS key, a.ts, a.event_id % 3 AS value, b.ts AS again FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'view' AND b.event_type = 'click' AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 6 HOUR AND a.event_id % 3 = b.event_id % 3",
+    "t5_staleness": """WITH x AS (SELECT user_id, ts, event_type, CASE WHEN event_id % 4 < 2 THEN 'count' ELSE 'countdown' END AS kind, event_id % 3 * 60 + event_id % 60 AS sec,
+  CASE WHEN event_id % 4 < 2 THEN CAST(event_id % 5 + 1 AS VARCHAR) ELSE '00:0' || CAST(event_id % 3 AS VARCHAR) || ':' || lpad(CAST(event_id % 60 AS VARCHAR), 2, '0') END AS v FROM events WHERE event_id % 4 < 3)
+SELECT a.user_id AS trace_id, 'item' AS step_name, a.ts, a.kind, a.v AS value, z.v AS again, z.ts AS again_at FROM x a JOIN x z ON a.user_id = z.user_id AND a.event_type = 'view' AND z.event_type = 'click' AND z.ts > a.ts AND z.ts <= a.ts + INTERVAL 48 HOUR
+WHERE (a.kind = 'count' AND a.v = z.v) OR (a.kind = 'countdown' AND z.kind = 'countdown' AND z.sec >= a.sec)""",
     "t8_route_limits": f"""WITH q AS (SELECT event_id, {_pick(METHODS, 'event_id')} AS method, {_pick(PATHS, 'user_id')} AS path, CASE WHEN event_id % 4 = 0 THEN '203.0.113.' || (user_id % 7) ELSE '10.0.0.' || (user_id % 9) END AS client FROM events), x AS (SELECT event_id, client, CASE {_ROUTE} ELSE {{'l': 60, 'w': 60, 'b': 'default'}} END AS r FROM q)
 SELECT event_id, CAST(r.l AS INTEGER) AS "limit", CAST(r.w AS INTEGER) AS "window", r.b AS bucket, client FROM x""",
 }

@@ -7,10 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions import lexicon as lx
 from ..functions.text import first_match, hits, java, quotes, redact, redact_json
+from ..operators.detectors import unchanged, urgency_claims, urgency_said
 
 
 def _timed(events: DataFrame) -> DataFrame:
@@ -63,24 +64,76 @@ def first_price_drip(events: DataFrame, key: str, price: str, session_day: str =
     return events.withColumn("first_price", F.first(price).over(w)).where(F.col(price) > F.col("first_price") * 1.02)
 
 
-def _drip(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
-    first, last = state.get if state.exists else (None, 0)
-    rows = pd.concat([*batches]).sort_values(["ts", "event_id"])
-    if first is None and len(rows):
-        first = float(rows["price"].iloc[0])
-    last = max([last, *(int(x.timestamp() * 1000) for x in rows["ts"])])
-    state.update((first, last))
-    state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + 3_600_000)
-    yield rows[rows["price"] > first * 1.02].assign(first_price=first)[["key", "event_id", "price", "first_price"]]
+def _as_text(events: DataFrame, *ids: str) -> DataFrame:
+    """Ids on their way through pandas as text: beside a null, numbers would turn into floats."""
+    return events.withColumns({c: F.col(c).cast("string") for c in ids})
 
 
-def first_price_stream(events: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Streaming twin for (key, ts, event_id, price): a key's first price is kept for an hour of event time after its last event."""
-    df = _timed(events).withWatermark("ts", late)
-    return df.groupBy("key").applyInPandasWithState(_drip, "key long, event_id long, price double, first_price double", "first double, last long", "append", GroupStateTimeout.EventTimeTimeout)
+def _micros(x: pd.Timestamp) -> int:
+    return int(x.value // 1000) if x.unit == "ns" else int(x.as_unit("us").value)
+
+
+def _keyed(events: DataFrame, late: str, keys: list[str], ids: list[str], processor: StatefulProcessor, out: str, types: dict[str, str]) -> DataFrame:
+    """A processor over keyed state with event-time timers. The session must name a state store that knows them:
+    spark.sql.streaming.stateStore.providerClass = ...RocksDBStateStoreProvider (STATE_STORE)."""
+    df = _as_text(_timed(events), *ids).withWatermark("ts", late)
+    got = df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=out, outputMode="Append", timeMode="EventTime")
+    return got.select(*[F.col(c).cast(types[c]).alias(c) if c in types else F.col(c) for c in got.columns])
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Expiring(StatefulProcessor):
+    """State of a key that goes `ttl` milliseconds of event time after its last event: one timer for each key, moved on."""
+
+    ttl: int
+
+    def _stay(self, rows: pd.DataFrame, watermark: int) -> None:
+        until = max([watermark, *(_micros(x) // 1000 for x in rows["ts"])]) + self.ttl
+        timers = [*self.handle.listTimers()]
+        if not timers or max(timers) < until:
+            for t in timers:
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(until)
+
+    def _order(self, rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+        rows = pd.concat([*rows])
+        return rows.assign(_n=[-1 if x is None or x != x else int(x) for x in rows[by[-1]]]).sort_values([*by[:-1], "_n"], kind="stable")
+
+
+class _FirstPrice(_Expiring):
+    """ValueState: a key's first price."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.first = handle, handle.getValueState("first", "price double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = self._order(rows, "ts", "event_id")
+        if not self.first.exists():
+            known = rows["price"].dropna()
+            if len(known):
+                self.first.update((float(known.iloc[0]),))
+        self._stay(rows, timerValues.getCurrentWatermarkInMs())
+        if self.first.exists():
+            first = self.first.get()[0]
+            yield rows[rows["price"] > first * 1.02].assign(first_price=first)[["key", "event_id", "price", "first_price"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def first_price_stream(events: DataFrame, late: str = "10 minutes", ttl: int = 3600) -> DataFrame:
+    """Streaming twin for (key, ts, event_id, price): a key's first price is kept for `ttl` seconds of event time after its last
+    event. Null prices are passed over; null keys are one key."""
+    return _keyed(events, late, ["key"], ["key", "event_id"], _FirstPrice(ttl * 1000), "key string, event_id string, price double, first_price double", {"key": "long", "event_id": "long"})
 
 
 def _admitted(times: list[float], limit: int, window: float, taken: list[float]) -> tuple[list[bool], list[float]]:
@@ -94,12 +147,12 @@ def _admitted(times: list[float], limit: int, window: float, taken: list[float])
     return flags, taken[-limit:]
 
 
-ADMITTED = "key long, event_id long, admitted boolean"
+ADMITTED = "key string, event_id string, admitted boolean"
 
 
 def _admit(limit: int, window: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"])
+        pdf = pdf.sort_values(["at", "nth"])
         return pdf.assign(admitted=_admitted((pdf["at"] / 1e6).tolist(), limit, window, [])[0])[["key", "event_id", "admitted"]]
 
     return run
@@ -117,61 +170,84 @@ def admit_events(events: DataFrame, limit: int, window: float) -> DataFrame:
     runs = events.select("key", at, "event_id").withColumn("gap", gap.cast("int")).withColumn("run", F.sum("gap").over(w))
     runs = runs.withColumn("n", F.count("*").over(Window.partitionBy("key", "run"))).drop("gap")
     few = runs.where(F.col("n") <= limit).select("key", "event_id", F.lit(True).alias("admitted"))
-    return few.union(runs.where(F.col("n") > limit).groupBy("key", "run").applyInPandas(_admit(limit, window), ADMITTED))
-
-
-def _admit_on(limit: int, window: float):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([*batches]).sort_values(["ts", "event_id"])
-        times = [x.timestamp() for x in rows["ts"]]
-        flags, taken = _admitted(times, limit, window, [*state.get[0]] if state.exists else [])
-        state.update((taken,))
-        state.setTimeoutTimestamp(int(max(times[-1] * 1000, state.getCurrentWatermarkMs()) + window * 1000) + 1)
+    nth = F.row_number().over(Window.partitionBy("key", "run").orderBy("at", "event_id")).alias("nth")
+    many = _as_text(runs.where(F.col("n") > limit).select("key", "run", "at", "event_id", nth), "key", "event_id").groupBy("key", "run").applyInPandas(_admit(limit, window), ADMITTED)
+    kinds = {c: few.schema[c].dataType for c in ("key", "event_id")}
+    return few.union(many.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()], "admitted"))
+
+
+class _Admission(_Expiring):
+    """ListState: the latest admitted times of a key, `limit` at most."""
+
+    def __init__(self, limit: int, window: float):
+        self.limit, self.window, self.ttl = limit, window, int(window * 1000) + 1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.taken = handle, handle.getListState("taken", "at double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows = self._order(rows, "ts", "event_id")
+        before = [x[0] for x in self.taken.get()] if self.taken.exists() else []
+        flags, taken = _admitted([_micros(x) / 1e6 for x in rows["ts"]], self.limit, self.window, before)
+        if taken != before:
+            self.taken.put([(x,) for x in taken])
+        self._stay(rows, timerValues.getCurrentWatermarkInMs())
         yield rows.assign(admitted=flags)[["key", "event_id", "admitted"]]
 
-    return run
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.taken.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def admit_stream(events: DataFrame, limit: int, window: float, late: str = "10 minutes") -> DataFrame:
     """Streaming twin: a key keeps its latest admitted times and is forgotten a window of event time after its last event.
     Within a batch a key's events are taken in order of time."""
-    df = _timed(events).withWatermark("ts", late)
-    return df.groupBy("key").applyInPandasWithState(_admit_on(limit, window), ADMITTED, "taken array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-AGAIN = "trace_id long, step_ord int, signature string, gone_at array<int>"
-
-
-def _nag(ttl: int):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        names, places = state.get if state.exists else ([], [])
-        gone = {n: [*p] for n, p in zip(names, places, strict=True)}
-        rows, out = pd.concat([*batches]).sort_values("step_ord"), []
-        for r in rows.itertuples():
-            before = [int(x) for x in gone.get(r.signature, []) if x < r.step_ord]
-            if before:
-                out.append((r.trace_id, int(r.step_ord), r.signature, before))
-            if r.dismissed:
-                gone.setdefault(r.signature, []).append(int(r.step_ord))
-        state.update(([*gone], [*gone.values()]))
-        last = max(int(x.timestamp() * 1000) for x in rows["ts"])
-        state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + ttl * 1000)
-        yield pd.DataFrame(out, columns=["trace_id", "step_ord", "signature", "gone_at"])
+    return _keyed(events.select("key", "ts", "event_id"), late, ["key"], ["key", "event_id"], _Admission(limit, window), ADMITTED, {"key": "long", "event_id": "long"})
 
-    return run
+
+class _Nagging(_Expiring):
+    """MapState: by signature, where it was dismissed first and last, and how often, also at that last step; only signatures
+    that a batch holds are read and written."""
+
+    def __init__(self, ttl: int):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.gone = handle, handle.getMapState("gone", "signature string", "first int, last int, at_last int, times int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        rows, out = self._order(rows, "step_ord"), []
+        for name, own in rows[rows["signature"].notna()].groupby("signature", sort=False):
+            first, last, at_last, times = self.gone.getValue((name,)) if self.gone.containsKey((name,)) else (-1, -1, 0, 0)
+            was = times
+            for step, gone in zip(own["step_ord"].tolist(), own["dismissed"].tolist(), strict=True):
+                before = times if step > last else times - at_last
+                if before:
+                    out.append((key[0], step, name, first, before))
+                if gone:
+                    first, last, at_last, times = first if times else step, step, at_last + 1 if step == last else 1, times + 1
+            if times != was:
+                self.gone.updateValue((name,), (first, last, at_last, times))
+        self._stay(rows, timerValues.getCurrentWatermarkInMs())
+        yield pd.DataFrame(out, columns=["trace_id", "step_ord", "signature", "first_gone", "times"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.gone.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def nagging_stream(seen: DataFrame, ttl: int = 3600, late: str = "10 minutes") -> DataFrame:
-    """Overlays (trace_id, ts, step_ord, signature, dismissed) that come back after an earlier step dismissed them:
-    (trace_id, step_ord, signature, gone_at). A funnel's dismissals are kept until `ttl` seconds of event time after its last step."""
-    df = _timed(seen).withWatermark("ts", late)
-    return df.groupBy("trace_id").applyInPandasWithState(_nag(ttl), AGAIN, "names array<string>, places array<array<int>>", "append", GroupStateTimeout.EventTimeTimeout)
+    """Overlays (trace_id, ts, step_ord, signature, dismissed) that come back after an earlier step dismissed them: (trace_id,
+    step_ord, signature, first_gone, times). Steps of a funnel come in order, at least from batch to batch; its dismissals are kept until
+    `ttl` seconds of event time after its last step."""
+    out = "trace_id string, step_ord int, signature string, first_gone int, times long"
+    return _keyed(seen, late, ["trace_id"], ["trace_id"], _Nagging(ttl * 1000), out, {"trace_id": "long"})
 
 
 def route_limits(requests: DataFrame, rules: list[tuple[str, str, int, int, str]], default: tuple[int, int] = (60, 60), trust_forwarded: bool = False) -> DataFrame:
@@ -187,11 +263,21 @@ def route_limits(requests: DataFrame, rules: list[tuple[str, str, int, int, str]
 
 
 def reload_staleness(first: DataFrame, second: DataFrame, within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
-    """Pairs (key, ts, value, again) of a step's captures where the later one, in time, says the same."""
-    a = _timed(first).withWatermark("ts", late).alias("a")
-    b = _timed(second).withWatermark("ts", late).alias("b")
+    """Urgency that a reload proves false, on batch or stream: captures (trace_id, step_name, ts, full_text) of first loads and
+    reloads to (trace_id, step_name, ts, kind, value, again, again_at).
+
+    Each capture carries its claim; a first load meets the reloads of its step that follow `within` that time, and the pair
+    stays if the countdown hasn't gone down or the count is the same. Both sides have watermarks, so state is
+    bounded; captures without a claim never enter it. Later than the watermark is dropped."""
+    def side(df: DataFrame, name: str, keep: str) -> DataFrame:
+        said = urgency_said(urgency_claims(F.col("full_text")))
+        df = _timed(df).select("trace_id", "step_name", "ts", said.alias("u")).where("u.value != ''")
+        return df.select("trace_id", "step_name", "ts", *([F.col("u.kind").alias("kind")] if keep == "value" else []), F.col("u.value").alias(keep)).withWatermark("ts", late).alias(name)
+
     near = F.expr(f"b.ts > a.ts AND b.ts <= a.ts + INTERVAL {within}")
-    return a.join(b, (F.col("a.key") == F.col("b.key")) & near).where("a.value = b.value").select(F.col("a.key").alias("key"), F.col("a.ts").alias("ts"), F.col("a.value").alias("value"), F.col("b.ts").alias("again"))
+    same = (F.col("a.trace_id") == F.col("b.trace_id")) & (F.col("a.step_name") == F.col("b.step_name"))
+    df = side(first, "a", "value").join(side(second, "b", "again"), same & near).where(unchanged(F.col("kind"), F.col("value"), F.col("again")))
+    return df.select("a.trace_id", "a.step_name", "a.ts", "kind", "value", "again", F.col("b.ts").alias("again_at"))
 
 
 def findings_sink(path: str):

@@ -141,8 +141,10 @@ def test_streams_equal_batches(spark, tmp_path):
         return sorted(map(tuple, spark.table(name).collect()))
 
     assert run(t.live_pattern_counts(stream(), "event_type"), "live", "complete") == sorted(map(tuple, t.live_pattern_counts(e, "event_type").collect()))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", t.STATE_STORE)
     got = run(t.first_price_stream(stream().selectExpr("user_id AS key", "ts", "event_id", "value AS price")), "drip", "append")
     want = t.first_price_drip(e.withColumn("day", F.lit(1)), "user_id", "value").select("user_id", "event_id", "value", "first_price")
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert got == sorted(map(tuple, want.collect()))
 
 

@@ -162,17 +162,100 @@ def _stream(spark, tmp_path, df, name, run, mode="append"):
     return spark.table(name)
 
 
-def test_keyed_streams_equal_batches(spark, tmp_path):
+@pytest.fixture
+def state_store(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, t.STATE_STORE)
+    yield
+    spark.conf.unset(key)
+
+
+def _restarted(spark, tmp_path, df, name, run, parts=4):
+    """Rows of a stream over `parts` files in order of time, a micro-batch each, stopped half-way and begun again from its checkpoint."""
+    at, order = f"{tmp_path}/{name}", df.select("ts").collect()
+    cuts = sorted(x.ts for x in order)
+    cuts = [cuts[len(cuts) * i // parts] for i in range(1, parts)]
+    part = sum(((F.col("ts") >= F.lit(c)).cast("int") for c in cuts), F.lit(0))
+    for i in range(parts):
+        df.where(part == i).repartition(1).write.mode("append").parquet(f"{at}/in")
+        if i in (parts // 2 - 1, parts - 1):
+            out = run(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"))
+            q = out.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/c").trigger(availableNow=True).start()
+            q.awaitTermination()
+            assert len([x for x in q.recentProgress if x["numInputRows"]]) >= parts // 2
+    return spark.read.parquet(f"{at}/out"), q
+
+
+def test_keyed_streams_equal_batches(spark, tmp_path, state_store):
+    """First prices, admission and nagging over several micro-batches and a restart say what their batch twins say."""
     e = spark.read.parquet(f"{SF}/events.parquet")
-    some = e.selectExpr("user_id % 5 AS key", "ts", "event_id")
-    got = _stream(spark, tmp_path, some, "admit", lambda s: t.admit_stream(s, 3, 20 * 3600.0))
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, t.admit_events(some, 3, 20 * 3600.0).collect()))
+    some = e.selectExpr("IF(user_id % 5 = 4, NULL, user_id % 5 + 4611686018427387905) AS key", "ts", "event_id + 4611686018427387905 AS event_id", "value AS price")
+    text = lambda df: sorted(map(str, df.collect()))
+    got, _ = _restarted(spark, tmp_path, some.drop("price"), "admit", lambda s: t.admit_stream(s, 3, 20 * 3600.0))
+    assert text(got) == text(t.admit_events(some.drop("price"), 3, 20 * 3600.0))
+    got, q = _restarted(spark, tmp_path, some, "drip", lambda s: t.first_price_stream(s, ttl=86400 * 400))
+    want = t.first_price_drip(some.withColumn("day", F.lit(1)), "key", "price").select("key", "event_id", "price", "first_price")
+    assert text(got) == text(want) and got.count() > 100
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] >= 5  # one price for each key
     cap = b.event_overlays(spark, SF)
     step = cap.states.select("trace_id", "step_ord", "step_name", F.col("modals")[0]["signature"].alias("signature")).join(cap.dismissals.select("trace_id", "step_name", F.lit(True).alias("dismissed")), ["trace_id", "step_name"], "left")
     seen = step.select("trace_id", (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.col("step_ord"))).alias("ts"), "step_ord", "signature", F.coalesce("dismissed", F.lit(False)).alias("dismissed"))
-    got = _stream(spark, tmp_path, seen, "nag", t.nagging_stream)
-    want = d.detect_nagging(cap).select("trace_id", "step_ord", F.get_json_object("evidence", "$.modal_signature").alias("signature"))
-    assert sorted(map(tuple, got.select("trace_id", "step_ord", "signature").collect())) == sorted(map(tuple, want.collect())) != []
+    got, _ = _restarted(spark, tmp_path, seen, "nag", t.nagging_stream)
+    j = lambda k: F.get_json_object("evidence", f"$.{k}")
+    first = F.regexp_extract(j("dismissed_at_steps[0]"), r"(\d+)$", 1).cast("int")
+    want = d.detect_nagging(cap).select("trace_id", "step_ord", j("modal_signature").alias("signature"), first.alias("first_gone"), j("times_dismissed").cast("long").alias("times"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) != []
+
+
+def test_state_expires(spark, tmp_path, state_store):
+    """A key that is silent for longer than its time starts anew, and its state is gone."""
+    rows = [(1, "2024-01-01 00:00:00", 1, 10.0), (2, "2024-01-01 00:01:00", 2, 5.0), (2, "2024-01-01 06:00:00", 3, 5.0), (1, "2024-01-01 12:00:00", 4, 20.0), (1, "2024-01-01 12:00:01", 5, 30.0), (2, "2024-01-02 12:00:00", 6, 1.0)]
+    df = spark.createDataFrame(rows, "key long, ts string, event_id long, price double").withColumn("ts", F.col("ts").cast("timestamp"))
+    got, q = _restarted(spark, tmp_path, df, "gone", lambda s: t.first_price_stream(s, late="1 minute", ttl=3600), parts=6)
+    assert [tuple(x) for x in got.collect()] == [(1, 5, 30.0, 20.0)]
+
+
+def test_reload_stream_equals_batch(spark, tmp_path):
+    say = lambda what, n: {"count": f"Hurry! Only {n} left", "clock": f"Offer ends in: 00:01:{n:02d}", "none": "In stock"}[what]
+    rows = [(i % 3, f"step_{i % 2}", f"2024-01-01 0{i // 20}:{i % 20 * 3:02d}:00", say(("count", "clock", "none")[i % 3], i % 4 + 1), i % 5 < 2) for i in range(120)]
+    df = spark.createDataFrame([*rows, (1, "step_1", "2024-01-01 00:00:00", None, True)], "trace_id long, step_name string, ts string, full_text string, again boolean").withColumn("ts", F.col("ts").cast("timestamp"))
+    both = lambda s: t.reload_staleness(s.where("NOT again").drop("again"), s.where("again").drop("again"), within="3 hours", late="30 minutes")
+    want = sorted(map(str, both(df).collect()))
+    got, _ = _restarted(spark, tmp_path, df, "reload", both)
+    assert sorted(map(str, got.collect())) == want and len(want) > 10
+    kinds = {(x.kind, x.value == x.again) for x in both(df).collect()}
+    assert ("count", True) in kinds and ("countdown", False) in kinds and ("count", False) not in kinds
+
+
+def test_overlays_of_a_long_trace(spark):
+    """100,000 overlays and as many dismissals of one trace: one sort, no pairs."""
+    n = 100_000
+    steps = spark.range(n).select(F.lit(1).cast("long").alias("trace_id"), F.col("id").cast("int").alias("step_ord"), F.concat(F.lit("s"), "id").alias("step_name"), F.array(F.struct(F.concat(F.lit("sig"), (F.col("id") % 3).cast("string")).alias("signature"), F.lit("x").alias("text"), F.lit(True).alias("is_blocking"))).alias("modals"))
+    gone = spark.range(n).select(F.lit(1).cast("long").alias("trace_id"), F.concat(F.lit("s"), "id").alias("step_name"), F.concat(F.lit("sig"), (F.col("id") % 3).cast("string")).alias("signature"))
+    cap = b.captures(steps, gone)
+    got = d.detect_nagging(cap).agg(F.count("*").alias("n"), F.max(F.get_json_object("evidence", "$.times_dismissed").cast("long")).alias("most")).first()
+    assert (got.n, got.most) == (n - 3, (n - 1) // 3)
+    assert d.detect_interruption_volume(cap).count() == 0
+
+
+def test_patterns_are_screened_once(spark):
+    """The plan makes the straight and the lower-case text once, however long the list."""
+    def made(ps):
+        plan = spark.createDataFrame([("x",)], "s string").select(tx.all_matches(F.col("s"), ps).alias("a"))._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("translate("), plan.count("lower(")
+
+    assert made(lx.URGENCY + lx.RECURRING) == made((lx.URGENCY + lx.RECURRING) * 3) == made(lx.URGENCY[:2]) == (2, 1)
+    texts = ["commonly 3 left", "Only 3 left", "resubscribe monthly-ish", "per  month", "free trial then ₹5", "bi-monthly", "monthlyx", "émonthly", "auto renewals", None, ""]
+    df = spark.createDataFrame([(x,) for x in texts], "s string")
+    ps = lx.URGENCY + lx.RECURRING
+    bare = F.array_compact(F.array(*[F.when(tx.quotes(F.col("s")).rlike(tx.java(p)), F.lit(i)) for i, p in enumerate(ps)]))
+    assert df.where(~F.transform(tx.all_matches(F.col("s"), ps), lambda x: x["ord"]).eqNullSafe(F.when(F.col("s").isNotNull(), bare)) & F.col("s").isNotNull()).count() == 0
+
+
+def test_an_audit_scans_states_once(spark):
+    for cap in (b.order_funnels(spark, SF), b.customer_controls(spark, SF), b.supplier_buttons(spark, SF)):
+        plan = d.audit(cap, ordered=False)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == cap.all_states._jdf.queryExecution().executedPlan().toString().count("FileScan")
 
 
 def test_streams_of_columns(spark, tmp_path):
