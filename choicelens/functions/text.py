@@ -257,6 +257,28 @@ def screen_url(url: Column) -> Column:
     )
 
 
+def url_key(url: Column) -> Column:
+    """What names a page, however a link writes its url: host in lower case without a default port, path without dots and a
+    closing slash, and query; neither scheme nor fragment. Null where there is no host."""
+    parts = [F.regexp_extract(url, r"(?i)^https?://(?:[^/?#]*@)?([^/?#]*)([^?#]*)(\?[^#]*)?", i) for i in (1, 2, 3)]
+    host = F.regexp_replace(F.regexp_replace(F.lower(parts[0]), r":(80|443)?$", ""), r"\.$", "")
+    def walk(acc: Column, s: Column) -> Column:
+        return F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when((s == ".") | (s == ""), acc).otherwise(F.array_append(acc, s))
+    path = F.array_join(F.aggregate(F.split(parts[1], "/"), F.array().cast("array<string>"), walk), "/")
+    return F.when(host != "", F.concat(host, F.lit("/"), path, parts[2]))
+
+
+def resolve_url(href: Column, base: Column) -> Column:
+    """The url that a link on the page `base` leads to; null for links that lead to no page (mailto:, javascript:, none)."""
+    h, b = F.trim(href), F.regexp_replace(base, "#.*", "")
+    origin, folder = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1), F.regexp_replace(F.regexp_replace(b, r"\?.*", ""), r"(://[^/]*)$|(?<=[^/:]/)[^/]*$", "$1")
+    return (
+        F.when(h.isNull(), F.lit(None)).when(h.rlike(r"(?i)^https?://"), h).when(h.startswith("//"), F.concat(F.lit("https:"), h)).when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when((h == "") | h.startswith("#"), b).when(h.startswith("/"), F.concat(origin, h)).when(h.startswith("?"), F.concat(F.regexp_replace(b, r"\?.*", ""), h))
+        .when(folder.endswith("/"), F.concat(folder, h)).otherwise(F.concat(folder, F.lit("/"), h))
+    )
+
+
 def normalise_url(url: Column, origin: Column) -> Column:
     """Trimmed; /path under the origin; a given scheme stays (host:port has none); else https://. Null if nothing is left."""
     u = F.trim(F.coalesce(url, F.lit("")))

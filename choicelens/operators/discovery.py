@@ -12,7 +12,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
-from ..functions.text import first_match, hits, java, redact, screen_url, url_host
+from ..functions.text import first_match, hits, java, redact, resolve_url, screen_url, url_host, url_key
+
+
+def page_controls(states: DataFrame) -> DataFrame:
+    """Controls of read pages (page_id, url, links, buttons): (page_id, control_ord, text, href, target_page_id).
+
+    A link's href is resolved against its page and leads to the page that has the same url_key, the least page_id of several; links that
+    leave the table and buttons lead nowhere. Links come first, in their order. A page that all others link to is one row of
+    the index, so a hot target's links can be split."""
+    none = F.array().cast("array<struct<text:string,href:string>>")
+    buttons = F.transform(F.coalesce("buttons", F.array().cast(states.schema["buttons"].dataType)), lambda x: F.struct(x["text"].alias("text"), F.lit(None).cast("string").alias("href")))
+    links = F.transform(F.coalesce("links", F.array().cast(states.schema["links"].dataType)), lambda x: F.struct(x["text"].alias("text"), x["href"].alias("href")))
+    at = states.select("page_id", "url", F.posexplode(F.concat(none, links, buttons)).alias("control_ord", "c")).select("page_id", "control_ord", "c.text", "c.href", url_key(resolve_url(F.col("c.href"), F.col("url"))).alias("key"))
+    index = states.select(url_key(F.col("url")).alias("key"), "page_id").where("key IS NOT NULL").groupBy("key").agg(F.min("page_id").alias("target_page_id"))
+    return at.join(index.hint("merge"), "key", "left").select("page_id", "control_ord", "text", "href", "target_page_id")
 
 
 def forbidden_controls(controls: DataFrame) -> DataFrame:
@@ -32,14 +46,18 @@ def next_controls(controls: DataFrame, patterns: list[str]) -> DataFrame:
 
 
 def discover_funnels(starts: DataFrame, controls: DataFrame) -> DataFrame:
-    """(start, page_id at the end, reached, skipped): four bounded joins; a stage without a control that leads on is skipped."""
-    df = starts.select(F.col("page_id").alias("start"), "page_id", F.array().cast("array<string>").alias("reached"), F.array().cast("array<string>").alias("skipped"))
+    """(start, page_id at the end, reached, skipped): four bounded joins; a stage without a control that leads on is skipped.
+
+    Each page is walked from once, however many starts name it. controls are read once for each stage: hand over a written table
+    where they come from parsed pages."""
+    walked = starts.select("page_id").distinct()
+    df = walked.select(F.col("page_id").alias("start"), "page_id", F.array().cast("array<string>").alias("reached"), F.array().cast("array<string>").alias("skipped"))
     for name, patterns in lx.STAGES:
         step = next_controls(controls, patterns).where("target_page_id IS NOT NULL").select("page_id", "target_page_id")
         df = df.join(step.hint("merge"), "page_id", "left")
         found = F.col("target_page_id").isNotNull()
         df = df.select("start", F.coalesce("target_page_id", "page_id").alias("page_id"), F.when(found, F.array_append("reached", F.lit(name))).otherwise(F.col("reached")).alias("reached"), F.when(found, F.col("skipped")).otherwise(F.array_append("skipped", F.lit(name))).alias("skipped"))
-    return df
+    return starts.select(F.col("page_id").alias("start")).join(df.hint("merge"), "start")
 
 
 def discovery_report(found: DataFrame, pages: DataFrame | None = None, refused: DataFrame | None = None) -> DataFrame:

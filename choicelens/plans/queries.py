@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,16 +63,31 @@ def page_states(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("page_id", F.size("links").cast("long").alias("n_links"), F.col("error").isNull().alias("fine"))
 
 
-def controls(spark: SparkSession, sf: str) -> DataFrame:
-    """Derived controls: five on each page, with stage and never-click wording by number, leading to the next pages."""
+def shop_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The given pages, each with five links ahead of its own: stage and never-click wording by number, to the urls of the next
+    pages as sites write them (with a fragment, without the scheme, by a host in capitals, through a folder and back), every fourth to no page."""
     texts = ["View details", "Add to cart", "Checkout now", "Review your order", "Pay now", "About us", "Subscribe"]
-    p = b.table(spark, sf, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("control_ord"))
-    return p.select("page_id", "control_ord", b.pick(texts, F.col("page_id") + F.col("control_ord") * 3).alias("text"), F.when((F.col("page_id") + F.col("control_ord")) % 4 != 0, F.col("page_id") + F.col("control_ord") + 1).alias("target_page_id"))
+    p = b.table(spark, sf, "pages")
+    nth = p.select("page_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("o"), (F.col("page_id") + F.col("o") + 1).alias("to"))
+    ways = [F.col("u"), F.concat(F.regexp_replace("u", "#.*", ""), F.lit("#reviews")), F.regexp_replace("u", "^https?:", ""), F.concat(F.lit("HTTPS://"), F.upper(F.regexp_extract("u", "^https?://([^/]*)", 1)), F.regexp_extract("u", "^https?://[^/]*(.*)", 1)), F.regexp_replace("u", "^(https?://[^/]*)/", "$1/old/./../")]
+    href = F.when((F.col("page_id") + F.col("o")) % 4 == 0, "mailto:shop@a.example")
+    for i, way in enumerate(ways):
+        href = href.when(F.col("o") == i, F.coalesce(way, F.lit("/gone")))
+    link = F.concat(F.lit('<a href="'), href, F.lit('">'), b.pick(texts, F.col("page_id") + F.col("o") * 3), F.lit("</a> "))
+    nav = nth.join(p.select(F.col("page_id").alias("to"), F.col("url").alias("u")).hint("merge"), "to", "left").groupBy("page_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", link.alias("a")))), lambda x: x["a"]), "").alias("nav"))
+    return p.join(nav.hint("merge"), "page_id").select("page_id", "url", F.concat("nav", F.coalesce("html", F.lit(""))).alias("html"))
+
+
+def controls(spark: SparkSession, sf: str) -> DataFrame:
+    """All links and buttons of those pages, read from their HTML and joined to the pages that they lead to."""
+    return w.page_controls(html.extract_states(shop_pages(spark, sf)))
 
 
 def discovery(spark: SparkSession, sf: str) -> DataFrame:
-    found = w.discovery_report(w.discover_funnels(b.table(spark, sf, "pages").select("page_id"), controls(spark, sf)))
-    return found.select("start", "page_id", F.array_join("reached", ",").alias("reached"), F.array_join("skipped", ",").alias("skipped"))
+    states = html.extract_states(shop_pages(spark, sf)).select("page_id", "url", "full_text", "links", "buttons").persist(StorageLevel.DISK_ONLY)
+    c = w.page_controls(states)
+    found = w.discovery_report(w.discover_funnels(states.select("page_id"), c), states, w.forbidden_controls(c))
+    return found.select("start", "page_id", "note", F.array_join("reached", ",").alias("reached"), F.array_join("skipped", ",").alias("skipped"))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,7 +216,8 @@ def _span(col: str, patterns: list[str]) -> str:
 
 
 _TEXTS = ["View details", "Add to cart", "Checkout now", "Review your order", "Pay now", "About us", "Subscribe"]
-_CONTROLS = f"c AS (SELECT page_id, o, {_pick(_TEXTS, '(page_id + o * 3)')} AS text, CASE WHEN (page_id + o) % 4 <> 0 THEN page_id + o + 1 END AS target FROM pages, (SELECT unnest(range(5)) AS o))"
+_KEY = "lower(regexp_extract(url, '^https?://([^/?#]*)', 1)) || rtrim(regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1), '/') || regexp_extract(url, '^https?://[^?#]*(\\?[^#]*)', 1)"
+_CONTROLS = f"k AS (SELECT page_id, {_KEY} AS k, html FROM pages), i AS (SELECT k, min(page_id) AS target FROM k GROUP BY 1), c AS (SELECT x.page_id, o, {_pick(_TEXTS, '(x.page_id + o * 3)')} AS text, i.target FROM k x CROSS JOIN (SELECT unnest(range(5)) AS o) LEFT JOIN k z ON z.page_id = x.page_id + o + 1 AND (x.page_id + o) % 4 <> 0 LEFT JOIN i ON i.k = z.k)"
 
 
 def _stage(i: int) -> str:
@@ -212,7 +229,9 @@ def _walk() -> str:
     out, at = [_CONTROLS, *map(_stage, range(4))], "SELECT page_id AS start, page_id, '' AS reached, '' AS skipped FROM pages"
     for i, (name, _) in enumerate(lx.STAGES):
         at = f"SELECT start, coalesce(n.target, a.page_id) AS page_id, CASE WHEN n.target IS NOT NULL THEN reached || ',{name}' ELSE reached END AS reached, CASE WHEN n.target IS NULL THEN skipped || ',{name}' ELSE skipped END AS skipped FROM ({at}) a LEFT JOIN n{i} n ON n.page_id = a.page_id"
-    return f"WITH {', '.join(out)} SELECT start, page_id, ltrim(reached, ',') AS reached, ltrim(skipped, ',') AS skipped FROM ({at})"
+    no = f"SELECT DISTINCT page_id AS p FROM c WHERE {_any('lower(trim(text))', lx.NEVER_CLICK)}"
+    note = "CASE WHEN reached = '' THEN 'Only the first page was seen' || CASE WHEN start IN (FROM no) THEN ': what leads on must not be clicked.' ELSE '.' END WHEN skipped <> '' THEN 'Not reached: ' || replace(ltrim(skipped, ','), ',', ', ') ELSE 'All stages reached.' END"
+    return f"WITH {', '.join(out)}, no AS ({no}) SELECT start, page_id, ltrim(reached, ',') AS reached, ltrim(skipped, ',') AS skipped, {note} AS note FROM ({at})"
 
 
 _SCAN = " UNION ALL ".join(f"SELECT doc_id, {i} AS ord, regexp_extract(t, '(?i){p}', 0) AS span FROM x WHERE regexp_matches(t, '(?i){p}')" for i, p in enumerate(lx.URGENCY + lx.RECURRING))
