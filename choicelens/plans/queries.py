@@ -78,6 +78,16 @@ def shop_pages(spark: SparkSession, sf: str) -> DataFrame:
     return p.join(nav.hint("merge"), "page_id").select("page_id", "url", F.concat("nav", F.coalesce("html", F.lit(""))).alias("html"))
 
 
+def page_funnels(spark: SparkSession, sf: str) -> DataFrame:
+    """Walks of three steps over those pages, by their urls, with what was read of each step's page: its planted links by text."""
+    p = shop_pages(spark, sf)
+    u = p.select(F.col("page_id").alias("at"), "url")
+    walks = p.select(F.col("page_id").alias("trace_id"), F.explode(F.array(*[F.col("page_id") + i for i in range(3)])).alias("at")).join(u.hint("merge"), "at")
+    steps = html.adhoc_steps(walks.groupBy("trace_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "url"))), lambda x: x["url"]).alias("urls")))
+    got = html.funnel_captures(steps, p)
+    return got.select("trace_id", "step_ord", "step_name", "site_name", F.size("links").cast("long").alias("n_links"), F.array_join(F.transform(F.slice("links", 1, 5), lambda x: x["text"]), "|").alias("said"))
+
+
 def controls(spark: SparkSession, sf: str) -> DataFrame:
     """All links and buttons of those pages, read from their HTML and joined to the pages that they lead to."""
     return w.page_controls(html.extract_states(shop_pages(spark, sf)))
@@ -124,6 +134,7 @@ QUERIES = {
     "r3_redaction": redaction,
     "e19_screen_urls": screened,
     "s2_page_states": page_states,
+    "s3_page_funnels": page_funnels,
     "w3_discovery": discovery,
     "w1_forbidden": lambda s, f: w.forbidden_controls(controls(s, f)).select("page_id", "control_ord", "matched"),
     "r1_clamp": lambda s, f: r.clamp_confidence(b.violations(s, f)).groupBy("pattern_code", "tier").agg(F.count("*").alias("n"), F.round(F.sum("confidence"), 2).alias("total")),
@@ -253,6 +264,9 @@ ORACLES |= {
     "w1_forbidden": f"WITH {_CONTROLS} SELECT page_id, CAST(min(o) AS INTEGER) AS control_ord, {_span('low', lx.NEVER_CLICK)} AS matched FROM (SELECT *, lower(trim(text)) AS low FROM c) WHERE {_any('low', lx.NEVER_CLICK)} GROUP BY page_id, low",
     "w2_next_controls": f"WITH {_CONTROLS}, {_stage(2)} SELECT page_id, text, target AS target_page_id FROM n2",
     "w3_discovery": _walk(),
+    "s3_page_funnels": f"""WITH {_CONTROLS}, said AS (SELECT page_id, string_agg(text, '|' ORDER BY o) AS said FROM c GROUP BY 1), f AS (SELECT p.page_id AS trace_id, s + 1 AS step_ord, q.page_id AS at, q.url FROM pages p, (SELECT unnest(range(3)) AS s), pages q WHERE q.page_id = p.page_id + s),
+g AS (SELECT trace_id, CAST(row_number() OVER (PARTITION BY trace_id ORDER BY step_ord) AS INTEGER) AS step_ord, k.k, string_split(f.url, '/')[3] AS site_name FROM f JOIN k ON k.page_id = f.at)
+SELECT trace_id, step_ord, 'step_' || step_ord AS step_name, site_name, CAST(5 + len(regexp_extract_all(k.html, '<a [^>]*href=')) AS BIGINT) AS n_links, said FROM g JOIN i ON i.k = g.k JOIN k ON k.page_id = i.target JOIN said ON said.page_id = i.target""",
     "w5_blocked_targets": f"""WITH x AS (SELECT [{_URLS}][page_id % {len(jr.BAD_URLS)} + 1] AS u, [{_WHY}][page_id % {len(jr.BAD_URLS)} + 1] AS reason FROM pages) SELECT rtrim(lower(regexp_extract(u, '^[a-zA-Z]+://(?:[^/?#]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1)), '.') AS host, min(reason) AS reason FROM x WHERE reason IS NOT NULL AND NOT starts_with(u, 'javascript:') GROUP BY 1""",
     "r7_coverage": f"SELECT tier, count(*) AS patterns, string_agg(code, ',' ORDER BY code) AS codes, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings FROM (VALUES {_DIM}) AS p(code, tier) LEFT JOIN (SELECT pattern_code, count(*) AS n FROM ({_VIOL}) GROUP BY 1) ON pattern_code = code GROUP BY 1",
     "r14_verdict": f"WITH {_FUNNEL}, h AS (SELECT trace_id FROM ({ORACLES['d08_drip_pricing']})) SELECT k AS trace_id, CASE WHEN NOT long THEN 'INCONCLUSIVE' WHEN k IN (FROM h) THEN 'FINDINGS' ELSE 'CLEAN' END AS verdict, CAST(k IN (FROM h) AS BIGINT) AS n FROM f",

@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as lx
+from ..functions.text import url_key
 from ..operators.extraction import line_items, resolve_price
 
-PAGE = """page_id bigint, url string, title string, full_text string, links array<struct<text:string,href:string>>,
+PAGE = """page_id string, url string, title string, full_text string, links array<struct<text:string,href:string>>,
 checkboxes array<struct<id:string,label_text:string,is_prechecked:boolean,input_type:string,required:boolean>>,
 buttons array<struct<text:string,role:string>>, form_fields array<struct<name:string,label_text:string,field_type:string,required:boolean>>,
 data_price string, line_items array<struct<name:string,price:double>>, money_rows array<string>, schema_price string, error string"""
@@ -153,8 +154,9 @@ def _read_facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def extract_states(pages: DataFrame, keep_html: bool = False) -> DataFrame:
     """(page_id, url, html) to page states. Rendered geometry stays unknown: only a crawler supplies it. Null pages are
     empty ones, broken pages say so in `error`, repeated rows stay."""
-    pages = pages.select("page_id", "url", "html")
-    return pages.mapInPandas(_read, WITH_HTML) if keep_html else pages.mapInPandas(_read_facts, PAGE)
+    pages = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html")  # as text: beside a null, pandas turns numbers into floats
+    got = pages.mapInPandas(_read, WITH_HTML) if keep_html else pages.mapInPandas(_read_facts, PAGE)
+    return got.withColumn("page_id", F.col("page_id").cast("long"))
 
 
 def page_captures(pages: DataFrame) -> DataFrame:
@@ -162,11 +164,27 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
     The first reading of a page is its pre-ticked state; nothing is known of overlays, fonts and colours.
     """
+    s = _captured(pages).withColumns({"trace_id": F.col("page_id"), "step_ord": F.lit(1), "step_name": F.lit("page"), "site_name": F.get(F.split("url", "/"), F.lit(2)), "role": F.lit(None).cast("string")})
+    return s.select(*CAPTURED).drop("role")
+
+
+CAPTURED = ["trace_id", "step_ord", "step_name", "capture_no", "site_name", "role", "url", "price", "price_source", "full_text", "raw_html", "line_items", "checkboxes", "buttons", "links", "form_fields"]
+
+
+def funnel_captures(steps: DataFrame, pages: DataFrame) -> DataFrame:
+    """Funnels from raw pages: steps (trace_id, site_name, step_ord, step_name, url, and role, if there) with the states of the
+    pages that their urls name, however they are written; steps without a page are left out. A page of several steps is read
+    once; of several pages of one url the one of least page_id counts."""
+    s = _captured(pages).withColumn("key", url_key(F.col("url"))).where("key IS NOT NULL").groupBy("key").agg(F.min_by(F.struct("*"), F.coalesce("page_id", F.lit(2**63 - 1))).alias("s"))
+    role = F.col("role") if "role" in steps.columns else F.lit(None).cast("string").alias("role")
+    at = steps.select("trace_id", "site_name", "step_ord", "step_name", role, url_key(F.col("url")).alias("key"))
+    return at.join(s.hint("merge"), "key").select(*[F.col(c) if c in ("trace_id", "site_name", "step_ord", "step_name", "role") else F.col(f"s.{c}").alias(c) for c in CAPTURED])
+
+
+def _captured(pages: DataFrame) -> DataFrame:
     s = line_items(resolve_price(extract_states(pages, keep_html=True)))
     boxes = F.transform("checkboxes", lambda x: F.struct(x["id"].alias("id"), x["label_text"].alias("label_text"), x["is_prechecked"].alias("checked"), x["is_prechecked"].alias("is_prechecked"), x["input_type"].alias("input_type"), x["required"].alias("required")))
-    return s.select(
-        F.col("page_id").alias("trace_id"), F.lit(1).alias("step_ord"), F.lit("page").alias("step_name"), F.lit(0).alias("capture_no"), F.get(F.split("url", "/"), F.lit(2)).alias("site_name"), "url", "price", "price_source",
-        "full_text", "raw_html", "line_items", boxes.alias("checkboxes"), "buttons", "links", "form_fields")
+    return s.select("page_id", F.lit(0).alias("capture_no"), "url", "price", "price_source", "full_text", "raw_html", "line_items", boxes.alias("checkboxes"), "buttons", "links", "form_fields")
 
 
 def adhoc_steps(urls: DataFrame) -> DataFrame:

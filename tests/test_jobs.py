@@ -268,3 +268,30 @@ def test_streams_of_columns(spark, tmp_path):
     assert got.select("key", "value").distinct().count() == got.count() == t.dedupe_evaluations(e, ["key", "value"]).count()
     empty = spark.sql("SELECT 1L AS id, CAST(NULL AS STRING) AS full_text, * FROM (SELECT CAST(NULL AS array<struct<label_text:string,is_prechecked:boolean>>) AS checkboxes, CAST(NULL AS array<struct<text:string>>) AS buttons, CAST(NULL AS array<struct<text:string>>) AS links)")
     assert t.page_flags(empty).count() == 0
+
+
+def test_links_between_pages(spark):
+    base = "https://Shop.example:443/a/b.html?x=1#top"
+    links = [("//shop.example/c/", "shop.example/c"), ("/c", "shop.example/c"), ("d", "shop.example/a/d"), ("../e?y=2#z", "shop.example/e?y=2"), ("?q", "shop.example/a/b.html?q"), ("#f", "shop.example/a/b.html?x=1"), ("", "shop.example/a/b.html?x=1"), ("http://OTHER.example", "other.example/"), ("./../../../g", "shop.example/g"), ("mailto:a@b.in", None), ("javascript:void(0)", None), (None, None)]
+    df = spark.createDataFrame([(h, w) for h, w in links], "h string, want string")
+    got = df.select("h", "want", tx.url_key(tx.resolve_url(F.col("h"), F.lit(base))).alias("got")).collect()
+    assert [(x.h, x.got) for x in got if x.got != x.want] == []
+    big = 2**62 + 1
+    page = lambda *hrefs: "".join(f'<a href="{h}">to {i}</a>' for i, h in enumerate(hrefs)) + "<button>Pay now</button>"
+    rows = [(big, "http://s.example/a", page("b", "#x", "/none")), (big + 1, "https://S.example/b/", page("/a?")), (big + 2, "https://s.example/b", None), (None, "http://s.example/c", page("a"))]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, key string").coalesce(1)
+    got = {(x.page_id, x.control_ord): (x.text, x.target_page_id) for x in w.page_controls(html.extract_states(pages)).collect()}
+    assert got == {(big, 0): ("to 0", big + 1), (big, 1): ("to 1", big), (big, 2): ("to 2", None), (big, 3): ("Pay now", None), (big + 1, 0): ("to 0", None), (big + 1, 1): ("Pay now", None), (None, 0): ("to 0", big), (None, 1): ("Pay now", None)}
+    steps = html.adhoc_steps(spark.createDataFrame([(7, ["http://s.example/a", "http://s.example/b", "http://s.example/nowhere", "http://s.example/a#again"])], "trace_id long, urls array<string>"))
+    got = html.funnel_captures(steps, pages).orderBy("step_ord").collect()
+    assert [(x.trace_id, x.step_ord, x.url) for x in got] == [(7, 1, "http://s.example/a"), (7, 2, "https://S.example/b/"), (7, 4, "http://s.example/a")]
+    assert w.page_controls(html.extract_states(pages.limit(0))).count() == 0
+
+
+def test_funnels_of_raw_pages(spark):
+    """Detectors that compare steps see pages that were only given as HTML."""
+    shop = lambda path, body: (hash(path) % 1000, f"https://s.example/{path}", f"<html><body>{body}</body></html>")
+    pages = spark.createDataFrame([shop("list", "<div><p>Blue Top</p><p>₹ 1,000</p></div>"), shop("pay", "<table><tr><td>Blue Top</td><td>₹ 1,000</td></tr><tr><td>Handling fee</td><td>₹ 90</td></tr><tr><td>Total</td><td>₹ 1,090</td></tr></table>")], "page_id long, url string, html string")
+    steps = html.adhoc_steps(spark.createDataFrame([(1, ["https://s.example/list", "https://s.example/pay"])], "trace_id long, urls array<string>"))
+    found = d.audit(b.captures(html.funnel_captures(steps, pages))).collect()
+    assert [(f.pattern_code, f.step_name) for f in found] == [("DP-08", "step_1 -> step_2")]
