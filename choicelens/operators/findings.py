@@ -14,6 +14,64 @@ from ..functions.text import redact, redact_json
 from ..plans.captures import clamp
 
 
+#: Rows of a dimension that is broadcast; a longer one is met by salted keys. Bins of one round of a cut.
+FEW, BINS = 10_000, 4096
+
+
+def _meet(rows: DataFrame, dim: DataFrame, key: str, how: str) -> DataFrame:
+    """rows ⋈ dim on one key with few values, of which one may hold most rows.
+
+    A dimension of few rows (counted) is broadcast. Beyond that the rows are counted by key; a key that holds more than
+    a partition's fair share is dealt over as many salts as it fills, and its dimension rows are repeated for each."""
+    if dim.limit(FEW + 1).count() <= FEW:
+        return rows.join(F.broadcast(dim), key, how)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = rows.groupBy(key).agg(F.count("*").alias("n"))
+    total = by.agg(F.sum("n")).first()[0] or 1
+    # Fewer keys than partitions can hold more than a fair share each: the table of salts is small by that.
+    salts = by.where(F.col("n") * parts > total).select(key, F.ceil(F.col("n") * parts / F.lit(total)).cast("int").alias("__salts"))
+    salts = F.broadcast(salts)
+    of = F.coalesce("__salts", F.lit(1))
+    salted = rows.join(salts, key, "left").withColumn("__salt", F.pmod(F.xxhash64(*rows.columns) + F.spark_partition_id(), of).cast("int")).drop("__salts")
+    again = dim.join(salts, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), of - 1))).drop("__salts")
+    return salted.join(again.hint("merge"), [key, "__salt"], how).drop("__salt")
+
+
+def _cut(df: DataFrame, by: str, k: int) -> tuple[int | None, int]:
+    """(v, above): the k-th greatest value of a long column, 1-based, and how many rows exceed it; (None, n) if there are fewer than k.
+
+    Rounds of counting in at most 4,096 equal bins, each inside the bin where the k-th lies: no sort, and nothing but counts
+    comes to the driver."""
+    low, high, n = df.agg(F.min(by), F.max(by), F.count(by)).first()
+    if n < k:
+        return None, n
+    above = 0
+    while low < high:
+        width = -(-(high - low + 1) // BINS)
+        counts = df.where(F.col(by).between(low, high)).groupBy(F.expr(f"(cast({by} as decimal(38,0)) - {low}) div {width}").alias("bin")).agg(F.count("*").alias("n")).collect()
+        for r in sorted(counts, key=lambda r: -r.bin):
+            if above + r.n >= k:
+                low, high = low + int(r.bin) * width, min(high, low + (int(r.bin) + 1) * width - 1)
+                break
+            above += r.n
+    return low, above
+
+
+def newest(jobs: DataFrame, k: int) -> Column:
+    """Whether a job is among the newest k by (created_at, id), both as numbers; null times are the oldest, null ids the least of their time.
+
+    The border is found by counting, so k may be any size; no task sorts or holds k rows."""
+    least = F.lit(-(2**63))
+    at = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), least)
+    id_ = F.coalesce(F.col("id").cast("long"), least)
+    keyed = jobs.select(at.alias("at"), id_.alias("key"))
+    v, above = _cut(keyed, "at", k)
+    if v is None:
+        return F.lit(True)
+    w, _ = _cut(keyed.where(F.col("at") == v), "key", k - above)
+    return (at > v) | ((at == v) & (id_ >= w))
+
+
 def dim_pattern(spark: SparkSession) -> DataFrame:
     """Thirteen rows: fit to broadcast."""
     return spark.createDataFrame([(c, *v) for c, v in lx.PATTERNS.items()], "pattern_code string, pattern_name string, tier string")
@@ -57,11 +115,17 @@ def coverage_summary(violations: DataFrame) -> DataFrame:
     return all_.groupBy("tier").agg(F.count("*").alias("patterns"), F.concat_ws(",", F.sort_array(F.collect_list("pattern_code"))).alias("codes"), F.coalesce(F.sum("n"), F.lit(0)).alias("findings"))
 
 
-def list_audits(jobs: DataFrame, violations: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of jobs, newest first, each with its violations; the limit comes before the join, and 200 ids may be broadcast."""
+def list_audits(jobs: DataFrame, violations: DataFrame, limit: int = 50, offset: int = 0, after: tuple | None = None) -> DataFrame:
+    """A page of jobs, newest first, each with its violations; the limit comes before the join, and 200 ids may be broadcast.
+
+    A page begins `offset` jobs from the newest one, or behind the job `after` (created_at, id), the last of the page before:
+    either way no task holds more than a page."""
     if not 1 <= limit <= 200:
         raise ValueError("limit must be 1 to 200")
-    page = jobs.orderBy(F.desc("created_at"), F.desc("id")).offset(offset).limit(limit)
+    rest = jobs.where(~newest(jobs, offset)) if offset else jobs
+    if after is not None:
+        rest = rest.where(F.struct("created_at", "id") < F.struct(F.lit(after[0]).cast(jobs.schema["created_at"].dataType), F.lit(after[1]).cast(jobs.schema["id"].dataType)))
+    page = rest.orderBy(F.desc("created_at"), F.desc("id")).limit(limit)
     held = violations.join(F.broadcast(page.select(F.col("id").alias("job_id"))), "job_id").groupBy("job_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("pattern_code", "confidence"))).alias("violations"))
     return page.join(held, page["id"] == held["job_id"], "left").drop("job_id").withColumn("n", F.coalesce("n", F.lit(0))).orderBy(F.desc("created_at"), F.desc("id"))
 
@@ -75,8 +139,7 @@ def expired_jobs(jobs: DataFrame, now: Column, days: int, cap: int) -> DataFrame
     old = jobs.where(F.col("created_at") < now - F.make_dt_interval(F.lit(days))) if days else jobs.limit(0)
     if not cap:
         return old.select("id").distinct()
-    newest = jobs.orderBy(F.desc("created_at"), F.desc("id")).limit(cap).select("id")
-    return old.select("id").union(jobs.select("id").join(newest, "id", "left_anti")).distinct()
+    return old.select("id").union(jobs.where(~newest(jobs, cap)).select("id")).distinct()
 
 
 def retention_split(jobs: DataFrame, violations: DataFrame, now: Column, days: int, cap: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -102,12 +165,12 @@ def purge_all(jobs: DataFrame, violations: DataFrame) -> tuple[DataFrame, DataFr
 
 def cases_for_findings(findings: DataFrame, cases: DataFrame) -> DataFrame:
     """findings ⋈ cases (case_id, pattern_codes array)."""
-    return findings.join(cases.select("case_id", F.explode("pattern_codes").alias("pattern_code")).hint("shuffle_hash"), "pattern_code")
+    return _meet(findings, cases.select("case_id", F.explode("pattern_codes").alias("pattern_code")), "pattern_code", "inner")
 
 
 def crosswalk_findings(findings: DataFrame, crosswalk: DataFrame) -> DataFrame:
     """findings ⋈ crosswalk (pattern_code, other_codes array); a finding without an entry stays, with a null code."""
-    return findings.join(crosswalk.hint("shuffle_hash"), "pattern_code", "left").withColumn("other_code", F.explode_outer("other_codes")).drop("other_codes")
+    return _meet(findings, crosswalk, "pattern_code", "left").withColumn("other_code", F.explode_outer("other_codes")).drop("other_codes")
 
 
 def run_verdict(states: DataFrame, findings: DataFrame) -> DataFrame:
@@ -123,7 +186,7 @@ def recall_by_label(labelled: DataFrame, label: str, hit: Column) -> DataFrame:
 
 
 def false_positive_rate(findings: DataFrame, clean: DataFrame) -> DataFrame:
-    hit = clean.join(findings.select("trace_id").distinct().withColumn("hit", F.lit(1)), "trace_id", "left")
+    hit = clean.join(findings.select("trace_id").distinct().withColumn("hit", F.lit(1)).hint("merge"), "trace_id", "left")
     return hit.agg(F.count("*").alias("traces"), F.coalesce(F.sum("hit"), F.lit(0)).alias("hits"), F.coalesce(F.sum("hit") / F.count("*"), F.lit(0.0)).alias("rate"))
 
 
@@ -156,7 +219,7 @@ def write_findings(findings: DataFrame, path: str) -> None:
 def evidence_link(findings: DataFrame, screenshots: DataFrame) -> DataFrame:
     """The screenshot of the first step that a finding names."""
     at = findings.withColumn("__step", F.split("step_name", " -> ")[0])
-    return at.join(screenshots.select("trace_id", F.col("step_name").alias("__step"), "path"), ["trace_id", "__step"], "left").drop("__step").withColumn("has_screenshot", F.col("path").isNotNull())
+    return at.join(screenshots.select("trace_id", F.col("step_name").alias("__step"), "path").hint("merge"), ["trace_id", "__step"], "left").drop("__step").withColumn("has_screenshot", F.col("path").isNotNull())
 
 
 def summary_json(states: DataFrame, findings: DataFrame) -> DataFrame:

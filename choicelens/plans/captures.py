@@ -7,6 +7,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import lexicon as lx
 
@@ -23,9 +24,39 @@ DISMISSALS = "trace_id bigint, step_name string, signature string"
 FINDING = ["trace_id", "step_name", "pattern_code", "pattern_name", "layer", "tier", "confidence", "evidence", "explanation", "detector_ord", "step_ord", "elem_ord"]
 
 
-def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Captured states; order comes from step_ord, never from the files."""
-    return spark.read.schema(STATES).format(fmt).load(path)
+#: Versions of the capture schema that this reader knows; version 1 called a state's text `text`.
+VERSIONS = (1, 2)
+
+
+def read_captures(spark: SparkSession, path: str, fmt: str = "parquet") -> tuple[DataFrame, DataFrame]:
+    """(states, quarantine) of captures in JSON lines, or in another format of the capture schema; order comes from step_ord,
+    never from the files. What can't be used is in the quarantine, with the reason, and no row is in both or in neither."""
+    if fmt == "json":
+        return parse_captures(spark.read.text(path))
+    rows = spark.read.schema(f"schema_version int, {STATES}").format(fmt).load(path)
+    return _sorted_out(rows.withColumn("schema_version", F.coalesce("schema_version", F.lit(VERSIONS[-1]))), F.to_json(F.struct("*")))
+
+
+def parse_captures(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(states, quarantine) of JSON texts (value). quarantine: (value, reason). A line without a version is of the latest one;
+    unknown fields are ignored, blank lines are no captures."""
+    schema = f"schema_version int, text string, {STATES}, _broken string"
+    at = lines.where(F.trim("value") != "").select("value", F.from_json("value", schema, {"columnNameOfCorruptRecord": "_broken", "mode": "PERMISSIVE"}).alias("c"))
+    rows = at.select("value", "c.*").withColumn("schema_version", F.coalesce("schema_version", F.lit(VERSIONS[-1])))
+    rows = rows.withColumn("full_text", F.when(F.col("schema_version") == 1, F.coalesce("full_text", "text")).otherwise(F.col("full_text")))
+    return _sorted_out(rows, F.col("value"))
+
+
+def _sorted_out(rows: DataFrame, value: Column) -> tuple[DataFrame, DataFrame]:
+    broken = F.col("_broken").isNotNull() if "_broken" in rows.columns else F.lit(False)
+    reason = (
+        F.when(broken, "not readable").when(~F.col("schema_version").isin(*VERSIONS), "unknown version").when(F.col("trace_id").isNull(), "no trace")
+        .when(F.col("step_ord").isNull(), "no place in the trace").when(~F.coalesce("capture_no", F.lit(0)).isin(0, 1), "no first or second capture")
+    )
+    rows = rows.withColumn("reason", reason)
+    names = [f.name for f in StructType.fromDDL(STATES).fields]
+    good = rows.where("reason IS NULL").withColumn("capture_no", F.coalesce("capture_no", F.lit(0))).select(names)
+    return good, rows.where("reason IS NOT NULL").select(value.alias("value"), "reason")
 
 
 @dataclass

@@ -18,7 +18,7 @@ from ..operators import findings as r
 from ..sources import html
 from ..streaming import ops as t
 from . import bridge as b
-from .captures import Captures
+from .captures import Captures, parse_captures
 
 TEXTS = [
     "Great offer on our premium plan", "The plan renews and is billed monthly", "Subscribe to our newsletter for updates", "Free shipping on all orders", "Was ₹5000 before, special price today", "MRP: 900 only",
@@ -185,6 +185,17 @@ def _false_positives(s: SparkSession, f: str) -> DataFrame:
     return r.false_positive_rate(d.detect_saas_billing(b.customer_controls(s, f)), clean).select("traces", "hits", F.round("rate", 6).alias("rate"))
 
 
+def _read_lines(s: SparkSession, f: str) -> DataFrame:
+    """Captures as JSON lines of both versions, every eleventh cut off, others of unknown versions or without a trace or place: what is read, and what is put aside why."""
+    k = F.col("o_orderkey")
+    fields = {"schema_version": F.when(k % 7 == 0, 9).when(k % 3 == 0, 1).when(k % 3 == 1, 2), "trace_id": F.when(k % 13 != 0, k), "step_ord": F.when(k % 17 != 0, F.lit(1)), "capture_no": F.when(k % 19 == 0, 5), "price": F.col("o_totalprice")}
+    text = F.concat(F.lit("Order "), F.col("o_orderpriority"))
+    line = F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()], F.when(k % 3 == 0, text).alias("text"), F.when(k % 3 != 0, text).alias("full_text")))
+    lines = b.table(s, f, "orders").select(F.when(k % 11 == 0, F.substring(line, 1, 25)).when(k % 23 == 0, " ").otherwise(line).alias("value"))
+    good, bad = parse_captures(lines)
+    return good.select(F.lit("read").alias("what"), "full_text").union(bad.select("reason", F.lit(None).cast("string"))).groupBy("what", "full_text").agg(F.count("*").alias("n"))
+
+
 def _blocked(s: SparkSession, f: str) -> DataFrame:
     links = b.table(s, f, "pages").select(F.explode(F.array(b.pick(BAD_URLS, F.col("page_id")), F.col("url"))).alias("href"))
     return w.blocked_targets(links)
@@ -233,6 +244,7 @@ QUERIES = {
     "e16_urgency_hits": lambda s, f: b.part_reloads(s, f).all_states.select("trace_id", "capture_no", F.array_join(x.urgency_hits(F.col("full_text")), ",").alias("hits")),
     "e18_profile": _profile,
     "e20_normalise_urls": given_urls,
+    "s1_read_captures": _read_lines,
     "s1_page_captures": lambda s, f: html.page_captures(b.table(s, f, "pages")).select("trace_id", F.size("links").cast("long").alias("links"), F.size("line_items").alias("items"), "price_source", (F.char_length("full_text") > 0).alias("read")),
     "s3_adhoc_steps": lambda s, f: steps_of_pages(s, f).select("trace_id", "site_name", "step_name", "url"),
     "s6_summary_json": lambda s, f: (lambda c: r.summary_json(c.states, d.run_layer2(c)))(journeys(s, f)),
@@ -364,6 +376,8 @@ y AS (SELECT *, row_number() OVER (PARTITION BY k, s, code, q ORDER BY c DESC, q
     "e15_geometry": f"WITH {_O} SELECT event_id, place IN ('fixed', 'sticky') OR (place = 'absolute' AND coalesce(TRY_CAST(z AS INTEGER), 0) > 0) AS is_blocking, round(coalesce(CASE WHEN h IS NOT NULL THEN least(w * h / (1280.0 * 900.0), 1.0) END, 0.0), 3)::DOUBLE AS viewport_coverage, coalesce(frame, true) AS contents_unreadable FROM o WHERE {_WALL}",
     "e18_profile": _profile_sql(),
     "e20_normalise_urls": f"SELECT page_id, n, CASE WHEN u = '' THEN NULL WHEN starts_with(u, '/') THEN 'https://shop.example' || u WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN u ELSE 'https://' || u END AS url FROM (SELECT page_id, 0 AS n, trim({_pick(GIVEN_URLS, 'page_id')}) AS u FROM pages UNION ALL SELECT page_id, 1, trim(url) FROM pages)",
+    "s1_read_captures": """SELECT what, CASE WHEN what = 'read' THEN 'Order ' || o_orderpriority END AS full_text, count(*) AS n FROM (SELECT *, CASE WHEN k % 11 = 0 THEN 'not readable' WHEN k % 7 = 0 THEN 'unknown version' WHEN k % 13 = 0 THEN 'no trace' WHEN k % 17 = 0 THEN 'no place in the trace' WHEN k % 19 = 0 THEN 'no first or second capture' ELSE 'read' END AS what
+FROM (SELECT o_orderkey AS k, o_orderpriority FROM orders) WHERE k % 11 = 0 OR k % 23 <> 0) GROUP BY ALL""",
     "s1_page_captures": "SELECT page_id AS trace_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=')) AS BIGINT) AS links, 0 AS items, 'not_found' AS price_source, length(html) > 0 AS read FROM pages",
     "s3_adhoc_steps": "SELECT page_id // 3 AS trace_id, string_split(url, '/')[3] AS site_name, 'step_' || row_number() OVER (PARTITION BY page_id // 3 ORDER BY page_id) AS step_name, url FROM pages",
     "s6_summary_json": f"""WITH {_J}, x AS (SELECT k, bool_or(price IS NOT NULL) AS priced, count(*) FILTER (contrast < 4.5 OR (font < 10 AND font <> 0)) AS n, bool_or(length(text) >= 200) AS long FROM j GROUP BY k)

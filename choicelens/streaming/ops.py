@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import lexicon as lx
 from ..functions.text import first_match, hits, java, quotes, redact, redact_json
 from ..operators.detectors import unchanged, urgency_claims, urgency_said
+from ..sources.committed import commit_batch
 
 
 def _timed(events: DataFrame) -> DataFrame:
@@ -281,10 +282,10 @@ def reload_staleness(first: DataFrame, second: DataFrame, within: str = "10 minu
 
 
 def findings_sink(path: str):
-    """foreachBatch writer: explanation and evidence redacted, one folder per batch id, so a repeated batch replaces itself."""
+    """foreachBatch writer: explanation and evidence redacted, each batch committed by its id, so a repeated one changes nothing."""
 
     def write(df: DataFrame, batch: int) -> None:
         free = {c: f for c, f in (("explanation", redact), ("evidence", redact_json)) if c in df.columns}
-        df.withColumns({c: f(F.col(c)) for c, f in free.items()}).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        commit_batch(df.withColumns({c: f(F.col(c)) for c, f in free.items()}), path, str(batch))
 
     return write

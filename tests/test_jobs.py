@@ -16,8 +16,9 @@ from choicelens.operators import discovery as w
 from choicelens.operators import extraction as x
 from choicelens.operators import findings as r
 from choicelens.plans import bridge as b
+from choicelens.plans import captures
 from choicelens.plans import journeys as j
-from choicelens.sources import html
+from choicelens.sources import committed, html
 from choicelens.streaming import ops as t
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -98,7 +99,7 @@ def test_typed_redaction(spark, tmp_path):
     write = t.findings_sink(f"{tmp_path}/sink")
     for _ in range(2):
         write(df, 3)
-    assert sorted(y.step_name for y in spark.read.parquet(f"{tmp_path}/sink").collect()) == ["9876543210 step", "s"]
+    assert sorted(y.step_name for y in committed.read_batches(spark, f"{tmp_path}/sink").collect()) == ["9876543210 step", "s"]
 
 
 def test_redaction_guards(spark):
@@ -295,3 +296,70 @@ def test_funnels_of_raw_pages(spark):
     steps = html.adhoc_steps(spark.createDataFrame([(1, ["https://s.example/list", "https://s.example/pay"])], "trace_id long, urls array<string>"))
     found = d.audit(b.captures(html.funnel_captures(steps, pages))).collect()
     assert [(f.pattern_code, f.step_name) for f in found] == [("DP-08", "step_1 -> step_2")]
+
+
+def test_committed_batches(spark, tmp_path):
+    at = f"{tmp_path}/t"
+    df = lambda *r: spark.createDataFrame([*r], "a long, b string")
+    assert committed.read_batches(spark, at) is None
+    assert committed.commit_batch(df((1, "x"), (2, "y")), at, "0") and not committed.commit_batch(df((9, "other")), at, "0")
+    # A writer that was killed before it committed left rows and half a commit file behind.
+    df((7, "lost")).write.parquet(f"{at}/data/1-lost")
+    open(f"{at}/commits/.1-lost", "w").write("1-lo")
+    assert committed.committed(spark, at) == ["0"]
+    assert committed.commit_batch(df((3, "z")).withColumn("c", F.lit(5)), at, "1", sort_by="b") and committed.commit_batch(df().withColumn("c", F.lit(5)), at, "10")
+    assert committed.committed(spark, at) == ["0", "1", "10"]
+    assert sorted(map(tuple, committed.read_batches(spark, at).collect())) == [(1, "x", None), (2, "y", None), (3, "z", 5)]
+    assert [tuple(y) for y in committed.read_batches(spark, at, ["1"]).collect()] == [(3, "z", 5)]
+    with pytest.raises(ValueError):
+        committed.commit_batch(df(), at, "a/b")
+    # Two writers of one batch: the second to commit loses, and its rows are not read.
+    df((8, "late")).write.parquet(f"{at}/data/10-late")
+    assert not committed._publish(spark, at, "10", "10-late", df().schema) and committed.read_batches(spark, at).count() == 3
+
+
+def test_reader_with_a_quarantine(spark, tmp_path):
+    lines = ['{"trace_id": 1, "step_ord": 1, "full_text": "new", "unknown": [1]}', '{"schema_version": 1, "trace_id": 2, "step_ord": 2, "text": "old"}', '{"schema_version": 3, "trace_id": 3, "step_ord": 1}', '{"trace_id": 4', '{"trace_id": "x", "step_ord": 1}', '{"step_ord": 1}', '{"trace_id": 5}', '{"trace_id": 6, "step_ord": 1, "capture_no": 2}', "", "  ", "[]"]
+    (tmp_path / "c.json").write_text("\n".join(lines))
+    good, bad = captures.read_captures(spark, f"{tmp_path}/c.json", "json")
+    assert sorted((y.trace_id, y.full_text, y.capture_no) for y in good.collect()) == [(1, "new", 0), (2, "old", 0)]
+    why = {y.value: y.reason for y in bad.collect()}
+    assert [why[x] for x in lines[2:8]] == ["unknown version", "not readable", "not readable", "no trace", "no place in the trace", "no first or second capture"] and len(why) + good.count() == 9
+    good.write.parquet(f"{tmp_path}/p")
+    again, none = captures.read_captures(spark, f"{tmp_path}/p")
+    assert again.schema == good.schema and again.count() == 2 and none.count() == 0
+
+
+def test_newest_by_counting(spark, monkeypatch):
+    rows = [(i * 7919 % 1000, None if i % 50 == 0 else f"2024-01-{1 + i % 9:02d} 00:00:{i % 4:02d}") for i in range(1000)]
+    jobs = spark.createDataFrame(rows, "id long, created_at string").withColumn("created_at", F.col("created_at").cast("timestamp"))
+    order = [y.id for y in jobs.orderBy(F.desc("created_at"), F.desc("id")).collect()]
+    for bins in (2, 4096):
+        monkeypatch.setattr(r, "BINS", bins)
+        for k in (1, 2, 333, 985, 1000, 2000) if bins > 2 else (333,):
+            assert {y.id for y in jobs.where(r.newest(jobs, k)).collect()} == {*order[:k]}, (bins, k)
+    v = spark.createDataFrame([(order[3], "DP-01", 1.0)], "job_id long, pattern_code string, confidence double")
+    page = r.list_audits(jobs, v, 5, 400).collect()
+    assert [y.id for y in page] == order[400:405]
+    after = r.list_audits(jobs, v, 5, after=(page[-1].created_at, page[-1].id)).collect()
+    assert [y.id for y in after] == order[405:410]
+    assert jobs.limit(0).where(r.newest(jobs.limit(0), 3)).count() == 0
+
+
+def test_dimensions_of_hot_codes(spark, monkeypatch):
+    """One code holds 90 % of the findings: salted, the largest task of the join has its fair share."""
+    f = spark.range(20_000).select("id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("DP-"), F.col("id") % 7)).otherwise("DP-hot").alias("pattern_code"))
+    dim = spark.createDataFrame([("DP-hot", i) for i in range(3)] + [("DP-1", 7), ("DP-none", 8)], "pattern_code string, other int")
+    want = sorted(map(str, f.join(dim, "pattern_code", "left").collect()))
+    assert sorted(map(str, r._meet(f, dim, "pattern_code", "left").collect())) == want
+    monkeypatch.setattr(r, "FEW", 0)
+    got = r._meet(f, dim, "pattern_code", "left")
+    assert sorted(map(str, got.collect())) == want and {*got.columns} == {"pattern_code", "id", "other"}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        sizes = [y.n for y in r._meet(f, dim, "pattern_code", "inner").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert max(sizes) < 0.4 * sum(sizes)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.enabled")
