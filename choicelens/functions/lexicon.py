@@ -104,11 +104,30 @@ ATTRIBUTE_LABELS = ["quantity", "qty", "size", "color", "colour", "availability"
 NEGATIVE = r"^-|\(-|\bless\b|\bdiscount"
 DISCLOSURE = r"\b(ad|advertisement|sponsored|promoted)\b"
 # The shorter lists of checks that see one page at a time.
-PAGE_URGENCY = [*URGENCY[:13], *URGENCY[14:18], URGENCY[19], r"\bin stock\b"]
-PAGE_GUILT = GUILT[:12]
-PAGE_RECURRING = [RECURRING[0], RECURRING[1], RECURRING[2], RECURRING[4], RECURRING[5], RECURRING[9], RECURRING[6], RECURRING[7], RECURRING[8], RECURRING[10]]
-PAGE_DOUBLE_NEGATIVE = DOUBLE_NEGATIVE[:4]
-PAGE_OPT_OUT = OPT_OUT[:6]
+PAGE_URGENCY = [
+    r"only\s+\d+\s+(left|remaining|seats?|units?|at this price)", r"hurry", r"offer ends?", r"limited time",
+    r"\d+\s+people (are\s+)?(viewing|booked|bought|seeing)", r"selling fast", r"sell(ing)? out (fast|quickly)", r"\bwill sell out\b",
+    r"high[\s-]?demand", r"strong demand", r"in high demand", r"\d+\s+claimed", r"claimed!", r"low(\s+in)? stock", r"limited stock",
+    r"reserved for \d+", r"sale ends? (once|when)", r"\d+[^.\n]{0,20}(left|in stock|remaining)", r"\bin stock\b",
+]
+PAGE_GUILT = [
+    r"\bi don'?t (like|want|need|care about|mind|hate|despise)\b", r"\bi'?d?\s*(rather|prefer)\s*(to\s*)?(not\s+)?(pay|have|save|win)\b",
+    r"\bi don'?t feel lucky\b", r"\bi want to pay (more|the full price)\b", r"\bi do not want\b", r"\baccept (all )?(the )?risk\b",
+    r"\bwithout (a )?(protection|insurance|discount)\b", r"\bi'?ll (risk|let this offer|be the last)\b", r"pay(ing)?\s*full price",
+    r"like (paying )?full price", r"don'?t (mind )?miss(ing)? out", r"don'?t want \d+%",
+]
+PAGE_RECURRING = [
+    r"\bauto[\s-]?renew(s|al|ing)?\b", r"\brecurring\b", r"\bsubscription\b", r"\bper\s+(month|year|week)\b", r"/\s*(mo|month|yr|year|week)\b",
+    r"\bbilled\s+(monthly|annually|yearly)\b", r"\bmonthly\b", r"\byearly\b", r"\bannually\b", r"\bfree trial\b",
+]
+PAGE_DOUBLE_NEGATIVE = [
+    r"\bunche?ck\b[^.]{0,60}\b(if|to)\b[^.]{0,40}\b(not|don'?t|do not|no longer|never)\b",
+    r"\buntick\b[^.]{0,60}\b(if|to)\b[^.]{0,40}\b(not|don'?t|do not)\b", r"\b(do not|don'?t)\b[^.]{0,40}\b(unche?ck|untick|opt out)\b",
+    r"\b(not|never)\b[^.]{0,30}\bdisagree\b",
+]
+PAGE_OPT_OUT = [
+    r"\bdo not\b", r"\bdon'?t\b", r"\bopt out\b", r"\bunsubscribe\b", r"\bno longer\b", r"\bstop (sending|receiving)\b",
+]
 PAGE_CHARGE = r"₹|insurance|protection|rs\.?\s*\d"
 # Kinds of personal data, in the order in which they are replaced.
 REDACTIONS = [

@@ -110,6 +110,26 @@ def lexicon_docs(spark: SparkSession, sf: str) -> DataFrame:
     return tx.lexicon_scan(docs(spark, sf).select("doc_id", planted.alias("text")), "text", lx.URGENCY + lx.RECURRING).select("doc_id", "ord", "span")
 
 
+def recall(spark: SparkSession, sf: str) -> DataFrame:
+    """How many labelled documents the urgency list finds, by label: whole texts, each with a planted wording, or a near miss, at its end."""
+    labelled = b.table(spark, sf, "labels").join(docs(spark, sf).select("doc_id", F.concat_ws("\n", "text", b.pick(jr.TEXTS + ["Hurry! Only 3 left"], F.col("doc_id"))).alias("said")), "doc_id")
+    return r.recall_by_label(labelled, "quality", tx.hits(F.col("said"), lx.URGENCY)).select("quality", "n", "hits", F.round("recall", 6).alias("recall"))
+
+
+def page_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """What is read of charges and controls in the given pages, each with a form, a priced element and a row of money ahead of its own content."""
+    k = F.col("page_id").cast("string")
+    form = F.concat(F.lit('<form><label><input type="checkbox" checked> Add cover for ₹'), k, F.lit('</label><input type="radio" id="r'), k, F.lit('" required><label for="r'), k, F.lit('">Annual plan</label><input name="mail" aria-required="true"></form>'))
+    priced = F.concat(F.lit('<div data-name="Tea '), k, F.lit('" data-price="'), (F.col("page_id") % 9).cast("string"), F.lit('.5">Tea</div><div data-name="Free" data-price="none">Free</div>'))
+    row = F.concat(F.lit("<table><tr><td>Service tax</td><td>₹ "), k, F.lit('</td></tr></table><button class="btn accept">Yes</button><button class="decline">No</button>'))
+    p = b.table(spark, sf, "pages").select("page_id", "url", F.concat(form, priced, row, F.coalesce("html", F.lit(""))).alias("html"))
+    s = html.extract_states(p)
+    text = lambda name, get: F.array_join(F.transform(F.slice(name, 1, 2), get), "|")
+    return s.select(
+        "page_id", text("checkboxes", lambda x: F.concat_ws(",", x["label_text"], x["is_prechecked"].cast("string"), x["required"].cast("string"))).alias("boxes"), text("buttons", lambda x: F.concat_ws(",", x["text"], x["role"])).alias("said"),
+        F.col("form_fields")[0]["name"].alias("field"), F.array_join(F.transform("line_items", lambda x: F.concat_ws(",", x["name"], x["price"].cast("string"))), "|").alias("items"), F.exists("money_rows", lambda x: x == F.concat(F.lit("Service tax₹ "), F.col("page_id").cast("string"))).alias("row"))
+
+
 def retention(spark: SparkSession, sf: str) -> DataFrame:
     now = F.lit("1998-08-01").cast("timestamp_ntz")
     kept, gone, held = r.retention_split(b.jobs(spark, sf), b.violations(spark, sf), now, 365, 5000)
@@ -144,7 +164,9 @@ QUERIES = {
     "r8_list_audits": lambda s, f: r.list_audits(b.jobs(s, f), b.violations(s, f), 100, 20).select("id", "site_name", "n"),
     "r10_retention": retention,
     "r14_verdict": lambda s, f: (lambda c: r.run_verdict(c.states, d.audit(c, ordered=False)))(b.order_funnels(s, f)),
-    "r15_recall": lambda s, f: r.recall_by_label(docs(s, f).join(b.table(s, f, "labels"), "doc_id"), "quality", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[%#*]{2,}")) >= 2).select("quality", "n", "hits", F.round("recall", 6).alias("recall")),
+    "r15_recall": recall,
+    "e7_e9_page_facts": page_facts,
+    "e17_quotes": lambda s, f: b.table(s, f, "supplier").select("s_suppkey", tx.first_match(F.replace(b.pick(b.DECLINES, F.col("s_suppkey")), F.lit("'"), b.pick(["’", "‘", "'"], F.col("s_suppkey"))), lx.GUILT).alias("span")),
     "t2_first_price_drip": lambda s, f: t.first_price_drip(events(s, f).withColumn("day", F.to_date("ts")), "user_id", "value").select("event_id", "first_price"),
     "t3_debounced": lambda s, f: t.debounced_snapshots(events(s, f), "user_id", "30 minutes"),
     "t7_admission": lambda s, f: t.admit_events(events(s, f).select(F.col("user_id").alias("key"), "ts", "event_id"), 2, 3600.0),
@@ -215,7 +237,6 @@ SELECT id, CASE WHEN id % 8 IN (0, 2, 4, 7) THEN c / 100.0::DOUBLE WHEN id % 8 I
     "r8_list_audits": f"SELECT id, site_name, (SELECT count(*) FROM lineitem WHERE l_orderkey = id) AS n FROM (SELECT * FROM ({_JOBS}) ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 20)",
     "r10_retention": f"""WITH j AS ({_JOBS}), g AS (SELECT id FROM j WHERE created_at < TIMESTAMP '1998-08-01' - INTERVAL 365 DAY UNION SELECT id FROM (SELECT id, row_number() OVER (ORDER BY created_at DESC, id DESC) AS n FROM j) WHERE n > 5000)
 SELECT 'kept' AS kind, count(*) AS n FROM j WHERE id NOT IN (SELECT id FROM g) UNION ALL SELECT 'purged', count(*) FROM g UNION ALL SELECT 'violations kept', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT id FROM g)""",
-    "r15_recall": "SELECT quality, count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS recall FROM (SELECT quality, len(regexp_extract_all(coalesce(text, ''), '[%#*]{2,}')) >= 2 AS hit FROM documents JOIN labels USING (doc_id)) GROUP BY 1",
     "t2_first_price_drip": "SELECT event_id, first_price FROM (SELECT *, first_value(value) OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS first_price FROM events) WHERE value > first_price * 1.02",
     "t3_debounced": f"""SELECT user_id, min(ts) AS start, arg_max(event_id, (ts, event_id)) AS last, count(*) AS n FROM (SELECT *, sum(CASE WHEN p IS NULL OR ts > p + INTERVAL 30 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM ({_EV})) GROUP BY user_id, r""",
     "t9_live_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
@@ -261,6 +282,9 @@ QUERIES |= jr.QUERIES
 ORACLES |= jr.ORACLES
 ORACLES |= {
     "l6_lexicon_scan": f"WITH x AS (SELECT doc_id, concat_ws(chr(10), text, {_pick(jr.TEXTS + ['Hurry! Only 3 left'], 'doc_id')}) AS t FROM documents) {_SCAN}",
+    "r15_recall": f"SELECT quality, count(*) AS n, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS recall FROM (SELECT quality, {_any('said', lx.URGENCY)} AS hit FROM (SELECT quality, concat_ws(chr(10), text, {_pick(jr.TEXTS + ['Hurry! Only 3 left'], 'doc_id')}) AS said FROM documents JOIN labels USING (doc_id))) GROUP BY 1",
+    "e7_e9_page_facts": "SELECT page_id, 'Add cover for ₹' || page_id || ',true,false|Annual plan,false,true' AS boxes, 'Yes,accept|No,decline' AS said, 'mail' AS field, 'Tea ' || page_id || ',' || (page_id % 9) || '.5' AS items, true AS row FROM pages",
+    "e17_quotes": f"SELECT s_suppkey, {_span('said', lx.GUILT)} AS span FROM (SELECT s_suppkey, {_pick(b.DECLINES, 's_suppkey')} AS said FROM supplier)",
     "w1_forbidden": f"WITH {_CONTROLS} SELECT page_id, CAST(min(o) AS INTEGER) AS control_ord, {_span('low', lx.NEVER_CLICK)} AS matched FROM (SELECT *, lower(trim(text)) AS low FROM c) WHERE {_any('low', lx.NEVER_CLICK)} GROUP BY page_id, low",
     "w2_next_controls": f"WITH {_CONTROLS}, {_stage(2)} SELECT page_id, text, target AS target_page_id FROM n2",
     "w3_discovery": _walk(),
@@ -270,7 +294,7 @@ SELECT trace_id, step_ord, 'step_' || step_ord AS step_name, site_name, CAST(5 +
     "w5_blocked_targets": f"""WITH x AS (SELECT [{_URLS}][page_id % {len(jr.BAD_URLS)} + 1] AS u, [{_WHY}][page_id % {len(jr.BAD_URLS)} + 1] AS reason FROM pages) SELECT rtrim(lower(regexp_extract(u, '^[a-zA-Z]+://(?:[^/?#]*@)?(\\[[^\\]]*\\]|[^/?#:]*)', 1)), '.') AS host, min(reason) AS reason FROM x WHERE reason IS NOT NULL AND NOT starts_with(u, 'javascript:') GROUP BY 1""",
     "r7_coverage": f"SELECT tier, count(*) AS patterns, string_agg(code, ',' ORDER BY code) AS codes, CAST(coalesce(sum(n), 0) AS BIGINT) AS findings FROM (VALUES {_DIM}) AS p(code, tier) LEFT JOIN (SELECT pattern_code, count(*) AS n FROM ({_VIOL}) GROUP BY 1) ON pattern_code = code GROUP BY 1",
     "r14_verdict": f"WITH {_FUNNEL}, h AS (SELECT trace_id FROM ({ORACLES['d08_drip_pricing']})) SELECT k AS trace_id, CASE WHEN NOT long THEN 'INCONCLUSIVE' WHEN k IN (FROM h) THEN 'FINDINGS' ELSE 'CLEAN' END AS verdict, CAST(k IN (FROM h) AS BIGINT) AS n FROM f",
-    "r16_false_positives": f"SELECT count(*) AS traces, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / count(*), 6) AS rate FROM (SELECT pre AND {_any('label', lx.RECURRING)} AS hit FROM ({_BOX}) JOIN customer ON c_custkey = trace_id WHERE c_acctbal > 0)",
+    "r16_false_positives": f"SELECT count(*) AS traces, count(*) FILTER (hit) AS hits, CAST(round(count(*) FILTER (hit) / count(*), 6) AS DOUBLE) AS rate FROM (SELECT pre AND ({_any('label', lx.RECURRING)} OR regexp_matches(label, '(?i)[₹$€£¥]|insurance|protection')) AS hit FROM ({_BOX}) WHERE NOT pre)",
     "t1_page_flags": jr._flags_sql(),
     "t7_admission": """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 r AS (SELECT user_id, n, event_id, true AS admitted, [ts] AS acc FROM o WHERE n = 1 UNION ALL SELECT user_id, n, event_id, len(live) < 2, CASE WHEN len(live) < 2 THEN list_append(live, ts) ELSE live END FROM (SELECT o.user_id, o.n, o.event_id, o.ts, list_filter(r.acc, lambda x: x > o.ts - INTERVAL 1 HOUR) AS live FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1))

@@ -25,9 +25,9 @@ SILENT = {"script", "style", "noscript", "template"}
 
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
+# What makes a row one of money, and the longest row and label.
 _MONEY = re.compile(rf"{lx.CURRENCY}\s*[\d,]|\d[\d,\s]*/-", re.IGNORECASE)
 _AMOUNT = re.compile(rf"{lx.PERCENT_BADGE}|{lx.CURRENCY}\s*\d[\d,\s]*(?:\.\d{{1,2}})?|[\d,]+\s*/-", re.IGNORECASE)
-#: Longest text of a row that pairs a label with an amount, and of its label.
 ROW, LABEL = 220, 80
 
 
