@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SHINGLE, SIMILARITY, components, id_back, id_columns, small_batches, words, written
@@ -81,10 +81,15 @@ def sketch(word: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _bits(w: np.ndarray) -> int:
+    """A bit for each word, of 64: what one text has and another lacks is at least the bits that it alone has."""
+    return int(np.bitwise_or.reduce(np.uint64(1) << (w.astype(np.uint64) & np.uint64(63)), initial=np.uint64(0)).view(np.int64))
+
+
 def _sketches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         w = [np.asarray(x, np.int64).view(np.uint64).astype("<u4") for x in b["h"]]
-        yield pd.DataFrame({"id": b["id"], "none": b["none"], "text_md5": b["text_md5"], "key": b["key"], "n": [*map(len, w)], "w": [x.tobytes() for x in w], "sketch": [sketch(x) for x in w]})
+        yield pd.DataFrame({"id": b["id"], "none": b["none"], "text_md5": b["text_md5"], "key": b["key"], "n": [*map(len, w)], "w": [x.tobytes() for x in w], "bits": [_bits(x) for x in w], "sketch": [sketch(x) for x in w]})
 
 
 def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -137,18 +142,27 @@ def _verify(least: float):
     return run
 
 
+def _may_align(n: str, m: str, x: str, y: str, least: float) -> Column:
+    """Whether texts of n and m words with these bits may be that similar: neither may have more words of its own than that leaves."""
+    n, m, x, y = map(F.col, (n, m, x, y))
+    common = (n + m) * (least / (1 + least)) - 1e-9
+    own = lambda a, b: F.bit_count(a.bitwiseAND(F.bitwise_not(b)))
+    return (F.least(n, m) >= least * F.greatest(n, m)) & (own(x, y) <= n - common) & (own(y, x) <= m - common)
+
+
 def _rare_pairs(nodes: DataFrame, least: float) -> DataFrame:
     """Buckets (key, n, bucket) of short texts, by pairs of their rarest words: no pair of texts of that similarity shares none.
 
     A partner has at least c = least * n of a text's n words in common with it. With words in one order by rarity, the first
     n - c + 2 of both then share two words; those, as a pair, are a bucket of both."""
+    of = nodes.select("key", "bits")
     each = written(nodes.select("key", "w").mapInPandas(_occurrences, "key long, word long"), "short-words")
     often = each.groupBy("word").agg(F.count("*").alias("df"))
     by = each.join(often.hint("merge"), "word").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("by"))
     n = F.size("by")
     head = by.select("key", n.alias("n"), F.slice("by", 1, n - F.ceil(least * n - 1e-9).cast("int") + 2).alias("head"))
     both = lambda x, i: F.transform(F.slice("head", i + 2, SHORT), lambda y: F.xxhash64(x["word"], y["word"]))
-    return head.select("key", "n", F.explode(F.flatten(F.transform("head", both))).alias("bucket"))
+    return head.join(of.hint("merge"), "key").select("key", "n", "bits", F.explode(F.flatten(F.transform("head", both))).alias("bucket"))
 
 
 def near_duplicates(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
@@ -167,19 +181,18 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     w = docs.select(*id_columns(), F.md5(text.cast("binary")).alias("text_md5"), words(F.col("text")).alias("words"))
     key = F.when(F.size("words") > 0, F.md5(F.concat_ws(" ", "words").cast("binary"))).otherwise(F.concat(F.lit("-"), F.col("text_md5")))
     w = w.select("id", "none", "text_md5", F.unhex(F.replace(key, F.lit("-"), F.lit("00"))).alias("key"), F.transform("words", lambda x: F.xxhash64(x)).alias("h"))
-    base = w.mapInPandas(_sketches, "id long, none boolean, text_md5 string, key binary, n int, w binary, sketch array<long>")
-    base = written(base.select(id_back(), "text_md5", "key", "n", "w", "sketch"), "words")
+    base = w.mapInPandas(_sketches, "id long, none boolean, text_md5 string, key binary, n int, w binary, bits long, sketch array<long>")
+    base = written(base.select(id_back(), "text_md5", "key", "n", "w", "bits", "sketch"), "words")
     # Nodes are numbered in a written table: from here on, tables and shuffles hold a number in place of a hash.
-    nodes = base.groupBy(F.col("key").alias("hash")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first(F.when(F.col("n") <= SHORT, F.col("w"))).alias("w"))
+    nodes = base.groupBy(F.col("key").alias("hash")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_md5")).alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sketch").alias("sketch"), F.first(F.when(F.col("n") <= SHORT, F.col("w"))).alias("w"))
     nodes = written(nodes.withColumn("key", F.monotonically_increasing_id()), "nodes")
-    buckets = nodes.select("key", "n", F.explode("sketch").alias("bucket")).unionByName(_rare_pairs(nodes.where("n BETWEEN 2 AND " + str(SHORT)), least))
+    buckets = nodes.select("key", "n", "bits", F.explode("sketch").alias("bucket")).unionByName(_rare_pairs(nodes.where(F.col("n").between(2, SHORT)), least))
     several = written(buckets.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("size")).where("size > 1"), "several")
     shared = written(buckets.join(several.hint("merge"), "bucket"), "shared")
 
     def pairs(rows: DataFrame) -> DataFrame:
-        """rows (a, b, na, nb) whose lengths allow the similarity, each pair once."""
-        fit = F.least("na", "nb") >= least * F.greatest("na", "nb")
-        return rows.where(fit & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        """rows (a, b, na, nb, sa, sb) whose lengths and words' bits allow the similarity, each pair once."""
+        return rows.where(_may_align("na", "nb", "sa", "sb", least) & (F.col("a") != F.col("b"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     # The words of nodes that share a bucket, one text each: no other text is ever compared.
     one = nodes.join(shared.select("key").distinct().hint("merge"), "key", "left_semi").select("key", "hash", "rep.*")
@@ -191,8 +204,8 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         side = lambda x: texts.select(F.col("key").alias(x), F.col("w").alias(f"w{x}")).hint("merge")
         return written(todo.join(side("b"), "b").join(side("a"), "a").mapInPandas(_verify(least), "a long, b long"), "links")
 
-    n_of = nodes.select(F.col("key").alias("least"), F.col("n").alias("na"))
-    first = shared.where("key != least").join(n_of.hint("merge"), "least").select(F.col("least").alias("a"), F.col("key").alias("b"), "na", F.col("n").alias("nb"))
+    n_of = nodes.select(F.col("key").alias("least"), F.col("n").alias("na"), F.col("bits").alias("sa"))
+    first = shared.where("key != least").join(n_of.hint("merge"), "least").select(F.col("least").alias("a"), F.col("key").alias("b"), "na", F.col("n").alias("nb"), "sa", F.col("bits").alias("sb"))
     tried = written(pairs(first), "pairs")
     links = verified(tried)
     label = components(links, "near")
@@ -203,7 +216,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         """Rows of buckets that hold several components yet: (bucket, key, n, label, size)."""
         at = shared.join(reach.hint("merge"), "key").join(label.withColumnRenamed("node", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         at = written(at.drop("least"), "labelled")
-        mixed = written(at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("reach", "key", "n", "label")).alias("pivot")).where("lo != hi").select("bucket", "pivot"), "mixed")
+        mixed = written(at.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.struct("reach", "key", "n", "label", "bits")).alias("pivot")).where("lo != hi").select("bucket", "pivot"), "mixed")
         return at.join(mixed.hint("merge"), "bucket")
 
     def sides(at: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
@@ -214,13 +227,13 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
 
     #: Two components, each pair from one side; nodes of a main component don't meet one another.
     common = F.array_sort(F.array_intersect("l_mine", "mine"))
-    fit = F.least("l_n", "n") >= least * F.greatest("l_n", "n")
+    fit = _may_align("l_n", "n", "l_bits", "bits", least)
     across = (F.col("l_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("l_label") < F.col("label"))) & fit & (F.size(common) > 0)
 
     def meeting(at: DataFrame) -> DataFrame:
         """Pairs of the rows (bucket, key, n, label, mine), each in the least bucket that they share."""
         left, right = sides(at, "bucket")
-        return left.join(right.hint("merge"), (F.col("l_bucket") == F.col("bucket")) & across & (F.get(common, F.lit(0)) == F.col("bucket"))).select("l_key", "key", "l_n", "n")
+        return left.join(right.hint("merge"), (F.col("l_bucket") == F.col("bucket")) & across & (F.get(common, F.lit(0)) == F.col("bucket"))).select("l_key", "key", "l_n", "n", "l_bits", "bits")
 
     def meeting_rarely(crowd: DataFrame) -> DataFrame:
         """Pairs of the nodes (key, n, label, mine), at words that are early enough in both nodes' order by rarity."""
@@ -238,24 +251,24 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         rest = F.least(F.col("l_n") - F.col("l_place"), F.col("n") - F.col("place")) + 1
         heads = F.size(F.array_intersect("l_head", "head")) + F.greatest(F.col("l_n") - F.size("l_head"), F.col("n") - F.size("head"))
         enough = F.least(rest, heads) >= (F.col("l_n") + F.col("n")) * (least / (1 + least)) - 1e-9
-        return left.join(right.hint("merge"), (F.col("l_word") == F.col("word")) & across & enough).select("l_key", "key", "l_n", "n")
+        return left.join(right.hint("merge"), (F.col("l_word") == F.col("word")) & across & enough).select("l_key", "key", "l_n", "n", "l_bits", "bits")
 
     for turn in ("pivot", "across"):
         rest = written(apart(), "apart")
         if rest.isEmpty():
             break
         if turn == "pivot":
-            more = rest.where("label != pivot.label").select(F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb"))
+            more = rest.where("label != pivot.label").select(F.col("pivot.key").alias("a"), F.col("key").alias("b"), F.col("pivot.n").alias("na"), F.col("n").alias("nb"), F.col("pivot.bits").alias("sa"), F.col("bits").alias("sb"))
         else:
             # Two nodes that share buckets, each of them mixed, meet in the least one; if that is crowded, at a rare word.
-            side = rest.select("bucket", "key", "n", "label")
+            side = rest.select("bucket", "key", "n", "label", "bits")
             mine = side.groupBy("key").agg(F.sort_array(F.collect_list("bucket")).alias("mine"))
             size = side.groupBy("bucket").agg(F.count("*").alias("size"))
             side = written(side.join(mine.hint("merge"), "key").join(size.hint("merge"), "bucket"), "mixed-nodes")
             both = meeting(side.where(F.col("size") <= LARGE).drop("size"))
-            crowd = side.where(F.col("size") > LARGE).select("key", "n", "label", "mine").dropDuplicates(["key"])
+            crowd = side.where(F.col("size") > LARGE).select("key", "n", "label", "bits", "mine").dropDuplicates(["key"])
             both = both.unionByName(meeting_rarely(crowd))
-            more = both.select(F.col("l_key").alias("a"), F.col("key").alias("b"), F.col("l_n").alias("na"), F.col("n").alias("nb"))
+            more = both.select(F.col("l_key").alias("a"), F.col("key").alias("b"), F.col("l_n").alias("na"), F.col("n").alias("nb"), F.col("l_bits").alias("sa"), F.col("bits").alias("sb"))
         fresh = written(pairs(more).join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(fresh)
         links = links.union(verified(fresh))
