@@ -14,12 +14,14 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import cache
+from string import punctuation
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,19 +30,17 @@ from .common import id_back, id_columns, new_path, small_batches, written
 from .token_counts import tokenizer
 
 MODEL, END = "word_bpe_49k.json", 2
-#: Ids in a file and in a partition of the writer at most (but a document stays whole), chunks a worker remembers (twice).
-FILE_IDS, PART_IDS, REMEMBER = 4_000_000, 16_000_000, 500_000
+#: Ids in a file and in a partition of the writer at most (but a document stays whole), chunks a worker remembers (twice),
+#: characters of text that it cuts at a time (but a text stays whole), chunks that it puts together at a time.
+FILE_IDS, PART_IDS, REMEMBER, CUT, TOGETHER = 4_000_000, 16_000_000, 340_000, 8_000_000, 200_000
 MAGIC = b"CSV1"
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
-#: str.split() also cuts at these, which are no white space to the tokenizer.
-ODD = regex.compile("[\x1c-\x1f]")
-SPACE = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 class Chunks(dict):
     """Ids of the chunks between white space, as bytes. This tokenizer drops white space and merges nothing across it, so
-    a chunk is encoded when it is first met; nor does it merge letters with punctuation, so a word and the comma or stop
-    behind it are encoded apart."""
+    a chunk is encoded when it is first met; nor does it merge letters with punctuation, so a word and the marks
+    behind it are encoded apart. A form of a word is remembered once its word has been met before."""
 
     def __init__(self, path: str):
         super().__init__()
@@ -49,6 +49,7 @@ class Chunks(dict):
         letters = [c for c in map(chr, range(256)) if c.isalpha() and c.islower() and c not in "ªº"]
         self.table = {ord(c): self.tok.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in letters}
         self.plain = frozenset(letters)
+        self.latin = self.plain.union(c for c in map(chr, range(256)) if c.lower() != c and c.lower() in self.plain)
 
     def _encode(self, c: str) -> bytes:
         if self.plain.issuperset(c):
@@ -57,22 +58,42 @@ class Chunks(dict):
 
     def __missing__(self, c: str) -> bytes:
         if (got := self.old.get(c)) is None:
-            low = c.lower() if c.isascii() and "<|" not in c else c  # ASCII capitals only: special strings keep theirs
-            if low != c:
-                got = self[low]
-            elif low[-1] in ",." and low[:-1].isalpha():
-                got = self[low[:-1]] + self[low[-1]]
+            word = rest if (rest := c.rstrip(punctuation)).isalpha() else c
+            mark = c[len(word) :]
+            # Capitals of Latin words, and of other ASCII chunks: special strings keep theirs.
+            if self.latin.issuperset(word) or (word.isascii() and "<|" not in word):
+                word = word.lower()
+            if word == c:
+                got = self._encode(c)
             else:
-                got = self._encode(low)
+                known = word in self or word in self.old
+                got = self[word] + (self[mark] if mark else b"")
+                if not known:
+                    return got
         if len(self) >= REMEMBER:  # what is in use comes back from the old ones
             self.old = dict(self)
             self.clear()
         self[c] = got
         return got
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = ([x for x in SPACE.split(t) if x] if ODD.search(t) else t.split() for t in texts)
-        return [b"".join(map(self.__getitem__, x)) for x in cut]
+    def __call__(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text. Arrow cuts the texts and finds their distinct chunks; only these are looked up here. It cuts
+        at ASCII white space; a chunk that holds other white space is encoded whole, which comes to the same."""
+        low = pa.array([t.lower() if t.isascii() and "<|" not in t else t for t in texts], pa.large_string())
+        cut = pc.ascii_split_whitespace(low)
+        ends, chunks = cut.offsets.to_numpy(), cut.flatten().dictionary_encode()
+        ids = [self[c] for c in chunks.dictionary.to_pylist()]
+        size = np.array([len(x) // 4 for x in ids], np.int64)
+        first, flat, at = np.cumsum(size) - size, np.frombuffer(b"".join(ids), np.uint32), chunks.indices.to_numpy()
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            yield np.concatenate([_gather(flat, first, size, at[i : min(b, i + TOGETHER)]) for i in range(a, max(b, a + 1), TOGETHER)])
+
+
+def _gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """flat[first : first + size] of each of `at`, one after the other."""
+    n = size[at]
+    end = np.cumsum(n)
+    return flat[np.repeat(first[at] - end + n, n) + np.arange(end[-1] if len(end) else 0)]
 
 
 @cache
@@ -83,20 +104,30 @@ def _chunks(path: str) -> Chunks:
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, tail = _chunks(path), np.array([end], "<u4").tobytes()
+        ids, tail, held, size = _chunks(path), np.array([end], np.uint32), [], 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal held, size
+            x, held, size = pd.concat(held), [], 0
+            got = [_narrow(np.concatenate([g, tail])) for g in ids(x["text"].tolist())]
+            return pd.DataFrame({"id": x["id"], "none": x["none"], "n": [len(g) // g[0] for g in got], "ids": got})
+
         for b in batches:
-            for i in range(0, len(b), 300):
-                x = b.iloc[i : i + 300]
-                got = [g + tail for g in ids(x["text"].tolist())]
-                yield pd.DataFrame({"id": x["id"], "none": x["none"], "n": [len(g) // 4 for g in got], "ids": [_narrow(g) for g in got]})
+            # Rows whose texts start in the same stretch of CUT characters.
+            for _, x in b.groupby((b["text"].str.len().cumsum() - b["text"].str.len()) // CUT):
+                held.append(x)
+                size += int(x["text"].str.len().sum())
+                if size >= CUT:
+                    yield flush()
+        if held:
+            yield flush()
 
     return run
 
 
-def _narrow(ids: bytes) -> bytes:
+def _narrow(ids: np.ndarray) -> bytes:
     """Two bytes an id where all fit; the first byte says which."""
-    a = np.frombuffer(ids, "<u4")
-    return b"\2" + a.astype("<u2").tobytes() if a.max() < 65536 else b"\4" + ids
+    return b"\2" + ids.astype("<u2").tobytes() if ids.max() < 65536 else b"\4" + ids.astype("<u4").tobytes()
 
 
 def _wide(x: bytes) -> np.ndarray:

@@ -102,10 +102,24 @@ def test_chunks_of_every_character():
     chars = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
     texts = [f"a{c}B{c} {c}c" for c in chars]
     want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
-    got = [np.frombuffer(x, "<u4").tolist() for x in ours(texts)]
+    got = [x.tolist() for x in ours(texts)]
     assert [c for c, a, b in zip(chars, got, want) if a != b] == []
 
 
+def test_chunks_of_words_and_marks():
+    """Words in all letter cases with runs of marks behind, within and before, special strings and all kinds of white space."""
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), np.random.default_rng(4)
+    words = ["Word", "word", "WORD", "Éeauè", "Ñandú", "straße", "ÿ", "µm", "İx", "a\u0301b", "Москва", "日本", "x1", "don't", "we'll", "rock'", "'s", "<|endoftext|>", "<|x", "|>", "", "Ǆ"]
+    marks = ["", ",", ".", "!!", ",%%%", "***", "'s", "''", "\u0338", ">\u0338", "…", "<|", "|>"]
+    spaces = [" ", "  ", "\n", "\u00a0", "\u2003", "\x1c", "\x0b", "\u3000"]
+    of = lambda xs: xs[rng.integers(len(xs))]
+    texts = ["".join(of(words) + of(marks) + of(spaces) for _ in range(rng.integers(0, 40))) for _ in range(2000)]
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    ours = token_output.Chunks(path)
+    for _ in range(2):  # the second time from memory
+        assert [t for t, x, y in zip(texts, ours(texts), want, strict=True) if x.tolist() != y] == []
+
+
 def test_codes():
     rng = np.random.default_rng(1)
     for n in (0, 1, 3, 4, 1000):
