@@ -137,8 +137,8 @@ def _wide(x: bytes) -> np.ndarray:
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     total = np.zeros(0, np.int64)
     for b in batches:
-        for x in b["ids"]:
-            c = np.bincount(_wide(x))
+        for i in range(0, len(b), TOGETHER // 2000):  # a count is as long as the vocabulary, so one for many rows
+            c = np.bincount(np.concatenate([*map(_wide, b["ids"].iloc[i : i + TOGETHER // 2000])]))
             if len(c) > len(total):
                 total, c = c, total
             total[: len(c)] += c
@@ -154,7 +154,7 @@ def pack(values: np.ndarray) -> tuple[bytes, bytes]:
     four[: len(v)] = n - 1
     control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8)
     at, data = np.cumsum(n) - n, np.zeros(int(n.sum()), np.uint8)
-    for k in range(4):
+    for k in range(n.max(initial=0)):
         m = n > k
         data[at[m] + k] = (v[m] >> np.uint32(8 * k)) & np.uint32(0xFF)
     return control.tobytes(), data.tobytes()
@@ -164,7 +164,7 @@ def unpack(control: bytes, data: bytes, count: int) -> np.ndarray:
     n = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:count]
     at, raw = np.cumsum(n) - n, np.frombuffer(data, np.uint8)
     v = np.zeros(count, np.uint32)
-    for k in range(4):
+    for k in range(n.max(initial=0)):
         m = n > k
         v[m] |= raw[at[m] + k].astype(np.uint32) << np.uint32(8 * k)
     return v
