@@ -1,6 +1,9 @@
 """Work that must grow no faster than the tables do."""
 
 from choicelens.operators import findings as r
+from choicelens.plans import journeys
+
+SMALL = "/root/testdata/sf0.001"
 
 
 def test_cases_are_counted_by_code(spark, monkeypatch):
@@ -11,3 +14,9 @@ def test_cases_are_counted_by_code(spark, monkeypatch):
     monkeypatch.setattr(r, "_meet", lambda rows, dim, *how: met.append((rows.count(), dim.count())) or meet(rows, dim, *how))
     assert {(x.case_id, x.n) for x in r.case_counts(found, cases).collect()} == want == {("a", 43), ("b", 6)}
     assert met == [(5, 4)]  # the cases' codes meet one row a code
+
+
+def test_false_positives_meet_funnels_that_pre_select(spark):
+    (got,) = journeys.QUERIES["r16_false_positives"](spark, SMALL).collect()
+    assert got.traces == spark.read.parquet(f"{SMALL}/customer.parquet").where("c_acctbal > 0").count()
+    assert 0 < got.hits < got.traces and got.rate == round(got.hits / got.traces, 6)
