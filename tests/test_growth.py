@@ -1,6 +1,9 @@
 """Work that must grow no faster than the tables do."""
 
+from pyspark.sql import functions as F
+
 from choicelens.operators import findings as r
+from choicelens.plans import bridge as b
 from choicelens.plans import journeys
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,3 +23,11 @@ def test_false_positives_meet_funnels_that_pre_select(spark):
     (got,) = journeys.QUERIES["r16_false_positives"](spark, SMALL).collect()
     assert got.traces == spark.read.parquet(f"{SMALL}/customer.parquet").where("c_acctbal > 0").count()
     assert 0 < got.hits < got.traces and got.rate == round(got.hits / got.traces, 6)
+
+
+def test_few_row_groups_become_many_tasks(spark):
+    """Each small table comes in one row group: what is derived from it is dealt over all shuffle partitions, and gathering a trace needs no other shuffle."""
+    for cap in (journeys.journeys, b.customer_controls, b.supplier_buttons, b.part_reloads):
+        assert cap(spark, SMALL).states.select(F.spark_partition_id().alias("p")).distinct().count() > 1, cap
+    plan = journeys.QUERIES["f1_commitment"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
