@@ -1,10 +1,14 @@
 """Work that must grow no faster than the tables do."""
 
+import pandas as pd
 from pyspark.sql import functions as F
 
+from choicelens.operators import extraction
 from choicelens.operators import findings as r
 from choicelens.plans import bridge as b
 from choicelens.plans import journeys
+from choicelens.sources import html
+from choicelens.streaming import ops
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -31,3 +35,32 @@ def test_few_row_groups_become_many_tasks(spark):
         assert cap(spark, SMALL).states.select(F.spark_partition_id().alias("p")).distinct().count() > 1, cap
     plan = journeys.QUERIES["f1_commitment"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_pages_are_read_in_pieces():
+    """However many pages a batch holds, a worker holds the facts of a bounded part of them."""
+    pages = pd.DataFrame({"page_id": [str(i) for i in range(9)], "url": "u", "html": ["x" * html.CHARS, None, "", *["<p>" + "y" * (html.CHARS // 3)] * 5, "z" * 3 * html.CHARS]})
+    got = [*html._read(iter([pages, pages.iloc[:0], pages.iloc[:1]]))]
+    assert [y for x in got for y in x["page_id"]] == [*map(str, range(9)), "0"]
+    assert all(len(x) == 1 or x["raw_html"].str.len().sum() <= html.CHARS for x in got) and max(map(len, got)) < 4
+
+
+def test_admission_carries_over_batches(spark):
+    rows = [(None if i % 3 == 0 else i % 3, f"2024-01-01 00:00:{i % 60:02d}", i) for i in range(90)] + [(7, "2024-01-01 00:00:00", 90)]
+    e = spark.createDataFrame(rows, "key long, ts string, event_id long").withColumn("ts", F.to_timestamp("ts"))
+    read = lambda: sorted(map(str, ops.admit_events(e, 2, 20.0).collect()))
+    want = read()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        assert read() == want and len(want) == 91
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = ops.admit_events(e, 2, 20.0)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_a_charge_is_worked_out_once(spark):
+    """A row's amount and label are made once, not again for each test on them."""
+    df = spark.createDataFrame([(["Airline Taxes ₹5", "Total ₹7", "-Bag ₹3", "no amount"],)], "rows array<string>").select(extraction.line_items_from_rows(F.col("rows")).alias("i"))
+    assert [tuple(x) for x in df.first().i] == [("Airline Taxes", 5.0), ("Bag", -3.0)]
+    assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") < 12
