@@ -1,12 +1,13 @@
 """Work that must grow no faster than the tables do."""
 
+import duckdb
 import pandas as pd
 from pyspark.sql import functions as F
 
 from choicelens.operators import extraction
 from choicelens.operators import findings as r
 from choicelens.plans import bridge as b
-from choicelens.plans import journeys
+from choicelens.plans import journeys, queries
 from choicelens.sources import html
 from choicelens.streaming import ops
 
@@ -64,3 +65,18 @@ def test_a_charge_is_worked_out_once(spark):
     df = spark.createDataFrame([(["Airline Taxes ₹5", "Total ₹7", "-Bag ₹3", "no amount"],)], "rows array<string>").select(extraction.line_items_from_rows(F.col("rows")).alias("i"))
     assert [tuple(x) for x in df.first().i] == [("Airline Taxes", 5.0), ("Bag", -3.0)]
     assert df._jdf.queryExecution().analyzed().toString().count("regexp_replace") < 12
+
+
+def test_sql_states_prices_and_short_pages(spark, tmp_path):
+    """Pages that state a price, a charge or almost nothing: the SQL has the rule that the query has."""
+    said = ["<p>nothing</p>", "<p>word$$$ 9 more</p>", "<p>fee $ 0</p>", "<p>Delivery fee ₹40</p><p>Delivery fee ₹40</p>", "<!-- $ 5 --><script>x = '$ 5'</script><p>a&amp;b</p>", "<p>key7cad0227</p>", "<p>free shipping, $ 5</p>", "", "<p>" + "long " * 60 + "</p><a href=\"/x\">Next</a>"]
+    rows = [(i, f"https://s.example/{i}", x) for i, x in enumerate(said)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    for name in ("s1_page_captures", "w3_discovery"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        got = [tuple(x) for x in df.collect()]
+        assert sorted(got) == sorted(con.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES[name]})").fetchall()), name
+        if name == "w3_discovery":
+            assert any(x[2].startswith("The page held almost no text.") for x in got)
