@@ -12,8 +12,9 @@ Groups of copies stay linear. Texts with the same words are one node. In a bucke
 bucket still holds several components do its nodes meet a second pivot, the one in the most crowded buckets, which a group
 of near copies has in its middle. Only the nodes that remain apart after that meet one another across components. Nodes of
 crowded buckets meet where they share one of their rarest words, labelled likewise, which every pair of similarity 0.8 does
-(the order is that of all nodes in crowded buckets, and the places in it bound the overlap), so a passage that many texts
-hold brings few of them together and no pair is lost.
+(the order is that of all nodes in crowded buckets, by counts of their words in BINS bins, and the places in it bound the overlap), so a
+passage that many texts hold brings few of them together and no pair is lost: any one order of all words would do. Of all words that
+two nodes share they meet at the first one only, which is the earliest in both.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import SHINGLE, SIMILARITY, components, id_back, id_columns, small_batches, words, written
 
 SKETCHES, LEAST, LARGE, HEAD = 32, 2, 200, 32
+#: Bins in which the words of crowded nodes are counted; a word's order by rarity is that of its bin, then its own.
+BINS = 1 << 20
 #: Texts of so many words also meet by pairs of rare words, exactly: edits leave them too few whole shingles.
 SHORT = 32
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCHES, dtype=np.uint64)
@@ -100,6 +103,41 @@ def _occurrences(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"key": [key] * len(x), "word": x.view(np.int64)})
 
 
+def _short_ids(w: bytes) -> np.ndarray:
+    """A text's words, labelled, as numbers of four bytes. Two that fall together do so in all texts, which only lets more pairs meet."""
+    return (_labelled(np.frombuffer(w, "<u4").astype(np.uint64)) >> _SHIFT).astype(np.int64)
+
+
+def _binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How often each bin occurs in a partition: one row a bin, not one a word."""
+    count = np.zeros(BINS, np.int64)
+    for b in batches:
+        for w in b["w"]:
+            np.add.at(count, _short_ids(w) & (BINS - 1), 1)
+    bins = np.flatnonzero(count)
+    yield pd.DataFrame({"bin": bins.astype(np.int32), "n": count[bins]})
+
+
+def _placed(count: np.ndarray, least: float):
+    """A node's first words by rarity, and those early enough for a partner to share one of them, with their places from 1."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            head, at = [], []
+            for w in b["w"]:
+                x = _short_ids(w)
+                often = count[x & (BINS - 1)]
+                order = np.lexsort((x, often))
+                x, often = x[order].astype("<u4").view("<i4"), often[order]
+                early = min(len(x), int(len(x) + 1 - least * len(x) + 1e-9))
+                # What heads share counts each number once: a text that holds one twice goes without, and meets at all words.
+                head.append(x[:HEAD] if len(np.unique(x)) == len(x) else x[:0])
+                at.append([{"place": int(i) + 1, "word": int(x[i])} for i in np.flatnonzero(often[:early] > 1)])
+            yield pd.DataFrame({"key": b["key"], "head": head, "at": at})
+
+    return run
+
+
 def _common(a: list[int], b: list[int], band: int) -> int:
     """Length of the longest common subsequence whose pairs are at most `band` apart: one row of bits for each of b."""
     at: dict[int, int] = {}
@@ -220,9 +258,11 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         return at.join(mixed.hint("merge"), "bucket")
 
     def sides(at: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
-        """The nodes of each place outside its main component, with l_ before their columns, and all of them with `main`."""
-        main = at.groupBy(by, "label").agg(F.count("*").alias("of")).groupBy(by).agg(F.max_by("label", F.struct("of", "label")).alias("main"))
-        at = written(at.join(main.hint("merge"), by), "sides")
+        """The nodes of each place outside its main component, with l_ before their columns, and all of them with `main`; places of one component are left out."""
+        here, own = Window.partitionBy(by), Window.partitionBy(by, "label")
+        at = at.repartition(by).withColumn("of", F.count("*").over(own))
+        at = at.withColumns({"main": F.max(F.struct("of", "label")).over(here)["label"], "lo": F.min("label").over(here), "hi": F.max("label").over(here)})
+        at = written(at.where("lo != hi").drop("of", "lo", "hi"), "sides")
         return at.where("label != main").select(*[F.col(c).alias(f"l_{c}") for c in at.columns]), at
 
     #: Two components, each pair from one side; nodes of a main component don't meet one another.
@@ -237,21 +277,21 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
 
     def meeting_rarely(crowd: DataFrame) -> DataFrame:
         """Pairs of the nodes (key, n, label, mine), at words that are early enough in both nodes' order by rarity."""
-        each = written(texts.join(crowd.select("key").hint("merge"), "key", "left_semi").mapInPandas(_occurrences, "key long, word long"), "occurrences")
-        often = each.groupBy("word").agg(F.count("*").alias("df"))
-        place = F.row_number().over(Window.partitionBy("key").orderBy("df", "word"))
-        early = F.col("n") - F.col("place") + 1 >= least * F.col("n") - 1e-9
-        at = each.join(often.hint("merge"), "word").withColumn("place", place).join(crowd.select("key", "n").hint("merge"), "key")
-        at = written(at.where(early | (F.col("place") <= HEAD)), "places")
-        head = at.where(F.col("place") <= HEAD).groupBy("key").agg(F.collect_list(F.hash("word")).alias("head"))
-        # Hashes of four bytes: two that meet by chance only let a pair through to the comparison.
-        nodes = crowd.withColumn("mine", F.transform("mine", lambda x: F.hash(x))).join(head.hint("merge"), "key")
-        left, right = sides(at.where(early & (F.col("df") > 1)).drop("df", "n").join(nodes.hint("merge"), "key"), "word")
+        # The order is made where a text's words are: no row for each word of a node is shuffled, but for those early ones.
+        of = written(texts.join(crowd.select("key").hint("merge"), "key", "left_semi").where("length(w) > 0"), "crowded")
+        count = np.zeros(BINS, np.int64)
+        often = of.select("w").mapInPandas(_binned, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+        count[often["bin"].to_numpy(np.int64)] = often["n"].to_numpy(np.int64)
+        at = of.mapInPandas(_placed(count, least), "key long, head array<int>, at array<struct<place:int,word:int>>")
+        nodes = crowd.withColumn("mine", F.transform("mine", lambda x: F.hash(x))).join(at.hint("merge"), "key")
+        left, right = sides(nodes.select("key", "n", "label", "bits", "mine", "head", F.explode("at").alias("x")).select("*", "x.*").drop("x"), "word")
         # What both may share: from here on in both orders; or of both heads, and all that follows either head.
         rest = F.least(F.col("l_n") - F.col("l_place"), F.col("n") - F.col("place")) + 1
         heads = F.size(F.array_intersect("l_head", "head")) + F.greatest(F.col("l_n") - F.size("l_head"), F.col("n") - F.size("head"))
         enough = F.least(rest, heads) >= (F.col("l_n") + F.col("n")) * (least / (1 + least)) - 1e-9
-        return left.join(right.hint("merge"), (F.col("l_word") == F.col("word")) & across & enough).select("l_key", "key", "l_n", "n", "l_bits", "bits")
+        # Where both heads share words, the first of them is the first that the nodes share at all, and the earliest in both.
+        first = F.get(F.array_intersect("l_head", "head"), F.lit(0))
+        return left.join(right.hint("merge"), (F.col("l_word") == F.col("word")) & across & enough & F.coalesce(first == F.col("word"), F.lit(True))).select("l_key", "key", "l_n", "n", "l_bits", "bits")
 
     for turn in ("pivot", "across"):
         rest = written(apart(), "apart")

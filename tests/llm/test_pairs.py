@@ -207,3 +207,26 @@ def test_exchanged_halves(spark):
         x, y = shingles(rows[1 if d is None else d][1]), shingles(" ".join(items[i][1]))
         best = [weighted(x[s : s + len(y)], y) for s in range(len(x))]
         assert r.similarity == pytest.approx(max(best)) and r.start == best.index(max(best)) and r.words == min(len(y), len(x) - r.start) + 4
+
+
+def test_similar_texts_meet_at_their_first_shared_word(monkeypatch):
+    """op5, pipeline: texts of similarity 0.8 share an early word, also where few bins count all words; the first word that heads share is one of them."""
+    import numpy as np
+    import pandas as pd
+
+    monkeypatch.setattr(near_duplicates, "BINS", 64)
+    rng = np.random.default_rng(3)
+    for n in (6, 20, 60, 300):
+        a = rng.integers(0, 2 * n, n).astype("<u4")
+        b = a.copy()
+        b[rng.choice(n, n // 9, replace=False)] = rng.integers(5 * n, 6 * n, n // 9)
+        assert near_duplicates.alignment(a.tobytes(), b.tobytes()) >= 0.8
+        two = pd.DataFrame({"key": [1, 2], "w": [a.tobytes(), b.tobytes()]})
+        [c] = near_duplicates._binned(iter([two]))
+        count = np.zeros(64, np.int64)
+        count[c["bin"]] = c["n"]
+        assert count.sum() == 2 * n
+        [got] = near_duplicates._placed(count, 0.8)(iter([two]))
+        x, y = ({r["word"] for r in at} for at in got["at"])
+        shared = [w for w in got["head"][0] if w in set(got["head"][1])]
+        assert x & y and (not shared or shared[0] in x & y)
