@@ -14,7 +14,8 @@ of near copies has in its middle. Only the nodes that remain apart after that me
 crowded buckets meet where they share one of their rarest words, labelled likewise, which every pair of similarity 0.8 does
 (the order is that of all nodes in crowded buckets, by counts of their words in BINS bins, and the places in it bound the overlap), so a
 passage that many texts hold brings few of them together and no pair is lost: any one order of all words would do. Of all words that
-two nodes share they meet at the first one only, which is the earliest in both.
+two nodes share they meet at the first one only, which is the earliest in both; where that lies beyond the heads that nodes carry, also at a later one
+that follows many words of which they share none. They meet only if the parities of their words in PARITY bins, which count no word that both have, allow the similarity.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ from .common import SHINGLE, SIMILARITY, components, id_back, id_columns, small_
 SKETCHES, LEAST, LARGE, HEAD = 32, 2, 200, 32
 #: Bins in which the words of crowded nodes are counted; a word's order by rarity is that of its bin, then its own.
 BINS = 1 << 20
+#: Bits of a node's parities, and the words before a place that go with it.
+PARITY, BEFORE = 1024, 16
 #: Texts of so many words also meet by pairs of rare words, exactly: edits leave them too few whole shingles.
 SHORT = 32
 _SEEDS = np.random.default_rng(5).integers(1, 2**63, SKETCHES, dtype=np.uint64)
@@ -108,6 +111,11 @@ def _short_ids(w: bytes) -> np.ndarray:
     return (_labelled(np.frombuffer(w, "<u4").astype(np.uint64)) >> _SHIFT).astype(np.int64)
 
 
+def _parities(x: np.ndarray) -> list[int]:
+    """For each bin, whether it holds an odd number of these words, as numbers of 64 bits: texts differ in no more bits than words that only one of them has."""
+    return np.packbits(np.bincount(x & (PARITY - 1), minlength=PARITY) & 1).view("<i8").tolist()
+
+
 def _binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """How often each bin occurs in a partition: one row a bin, not one a word."""
     count = np.zeros(BINS, np.int64)
@@ -119,21 +127,22 @@ def _binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _placed(count: np.ndarray, least: float):
-    """A node's first words by rarity, and those early enough for a partner to share one of them, with their places from 1."""
+    """A node's parities, its first words by rarity, and those early enough for a partner to share one of them, with their places from 1 and the words before."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            head, at = [], []
+            head, at, parity = [], [], []
             for w in b["w"]:
                 x = _short_ids(w)
+                parity.append(_parities(x))
                 often = count[x & (BINS - 1)]
                 order = np.lexsort((x, often))
                 x, often = x[order].astype("<u4").view("<i4"), often[order]
                 early = min(len(x), int(len(x) + 1 - least * len(x) + 1e-9))
                 # What heads share counts each number once: a text that holds one twice goes without, and meets at all words.
                 head.append(x[:HEAD] if len(np.unique(x)) == len(x) else x[:0])
-                at.append([{"place": int(i) + 1, "word": int(x[i])} for i in np.flatnonzero(often[:early] > 1)])
-            yield pd.DataFrame({"key": b["key"], "head": head, "at": at})
+                at.append([{"place": int(i) + 1, "word": int(x[i]), "before": x[max(0, i - BEFORE) : i]} for i in np.flatnonzero(often[:early] > 1)])
+            yield pd.DataFrame({"key": b["key"], "parity": parity, "head": head, "at": at})
 
     return run
 
@@ -268,7 +277,7 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     #: Two components, each pair from one side; nodes of a main component don't meet one another.
     common = F.array_sort(F.array_intersect("l_mine", "mine"))
     fit = _may_align("l_n", "n", "l_bits", "bits", least)
-    across = (F.col("l_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("l_label") < F.col("label"))) & fit & (F.size(common) > 0)
+    across = (F.col("l_label") != F.col("label")) & ((F.col("label") == F.col("main")) | (F.col("l_label") < F.col("label"))) & fit
 
     def meeting(at: DataFrame) -> DataFrame:
         """Pairs of the rows (bucket, key, n, label, mine), each in the least bucket that they share."""
@@ -282,16 +291,19 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
         count = np.zeros(BINS, np.int64)
         often = of.select("w").mapInPandas(_binned, "bin int, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
         count[often["bin"].to_numpy(np.int64)] = often["n"].to_numpy(np.int64)
-        at = of.mapInPandas(_placed(count, least), "key long, head array<int>, at array<struct<place:int,word:int>>")
+        at = of.mapInPandas(_placed(count, least), "key long, parity array<long>, head array<int>, at array<struct<place:int,word:int,before:array<int>>>")
         nodes = crowd.withColumn("mine", F.transform("mine", lambda x: F.hash(x))).join(at.hint("merge"), "key")
-        left, right = sides(nodes.select("key", "n", "label", "bits", "mine", "head", F.explode("at").alias("x")).select("*", "x.*").drop("x"), "word")
-        # What both may share: from here on in both orders; or of both heads, and all that follows either head.
+        left, right = sides(nodes.select("key", "n", "label", "bits", "mine", "parity", "head", F.explode("at").alias("x")).select("*", "x.*").drop("x"), "word")
+        # What both may share: from here on in both orders; and no fewer words are in one of them only than bits in which they differ.
+        both = (F.col("l_n") + F.col("n")) * (least / (1 + least)) - 1e-9
         rest = F.least(F.col("l_n") - F.col("l_place"), F.col("n") - F.col("place")) + 1
-        heads = F.size(F.array_intersect("l_head", "head")) + F.greatest(F.col("l_n") - F.size("l_head"), F.col("n") - F.size("head"))
-        enough = F.least(rest, heads) >= (F.col("l_n") + F.col("n")) * (least / (1 + least)) - 1e-9
-        # Where both heads share words, the first of them is the first that the nodes share at all, and the earliest in both.
+        own = sum(F.bit_count(F.get("l_parity", F.lit(i)).bitwiseXOR(F.get("parity", F.lit(i)))) for i in range(PARITY // 64))
+        enough = (rest >= both) & (own <= F.col("l_n") + F.col("n") - 2 * both)
+        # Of the words that the nodes share they meet at the first, which is early in both: never after another one that both have
+        # shortly before; and where both heads share words, at the first of them only.
         first = F.get(F.array_intersect("l_head", "head"), F.lit(0))
-        return left.join(right.hint("merge"), (F.col("l_word") == F.col("word")) & across & enough & F.coalesce(first == F.col("word"), F.lit(True))).select("l_key", "key", "l_n", "n", "l_bits", "bits")
+        here = ~F.arrays_overlap("l_before", "before") & F.coalesce(first == F.col("word"), F.lit(True))
+        return left.join(right.hint("merge"), (F.col("l_word") == F.col("word")) & across & enough & here & F.arrays_overlap("l_mine", "mine")).select("l_key", "key", "l_n", "n", "l_bits", "bits")
 
     for turn in ("pivot", "across"):
         rest = written(apart(), "apart")

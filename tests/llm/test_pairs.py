@@ -230,3 +230,43 @@ def test_similar_texts_meet_at_their_first_shared_word(monkeypatch):
         x, y = ({r["word"] for r in at} for at in got["at"])
         shared = [w for w in got["head"][0] if w in set(got["head"][1])]
         assert x & y and (not shared or shared[0] in x & y)
+
+
+def test_texts_just_too_far_apart_do_not_meet(spark, monkeypatch):
+    """op5, pipeline: of a crowd of texts at similarity 0.75 or so to one another, few pairs are compared, and those similar enough are linked."""
+    monkeypatch.setattr(near_duplicates, "LARGE", 2)
+    rng = random.Random(8)
+    base = [f"b{min(rng.randrange(500), rng.randrange(500))}" for _ in range(400)]
+    texts = [[rng.choice(base) if rng.random() < 0.1 else w for w in base] for _ in range(60)]
+    texts = [*enumerate(" ".join(w) for w in [*texts, [*texts[5][:390], *(f"t{i}" for i in range(10))]])]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    made, write = [], near_duplicates.written
+
+    def counted(df, name):
+        out = write(df, name)
+        made.extend([out.count()] if name == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(near_duplicates, "written", counted)
+    got = {r.doc_id: r.class_id for r in near_duplicates.near_duplicates(docs).collect()}
+    want = classes(texts, lambda a, b: near_duplicates.alignment(*(np.array([*map(hash, w)]).astype("<u4").tobytes() for w in (a, b))) >= 0.8)
+    assert got[60] == got[5] and got == want
+    assert len(made) == 3 and made[2] < 61 * 60 // 2 // 4
+
+
+def test_long_texts_meet_once(monkeypatch):
+    """op5, pipeline: long texts whose heads share nothing meet at the first word they share and hardly at others; parities let every similar pair pass."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    for n in (60, 300, 900, 3000):
+        a = rng.integers(0, 4 * n, n).astype("<u4")
+        b = a.copy()
+        b[rng.choice(n, n // 9, replace=False)] = rng.integers(5 * n, 6 * n, n // 9)
+        two = pd.DataFrame({"key": [1, 2], "w": [a.tobytes(), b.tobytes()]})
+        [got] = near_duplicates._placed(np.full(near_duplicates.BINS, 2), 0.8)(iter([two]))
+        x, y = ({r["word"]: set(r["before"]) for r in at} for at in got["at"])
+        shared = [w for w in x if w in y]
+        meet = [w for w in shared if not x[w] & y[w]]
+        assert shared[0] in meet and len(meet) <= 3
+        assert sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(*got["parity"], strict=True)) <= 2 * (n // 9)
