@@ -71,6 +71,35 @@ def test_nearest_ties_at_the_last_rank(spark):
     assert [r.vec_id for r in got] == [31, *range(1, 20)]
 
 
+def shuffled(spark, run):
+    """The rows that tasks write to shuffles meanwhile."""
+    sc = spark.sparkContext
+    stages = lambda: sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    ids = lambda all_: [all_.apply(i) for i in range(all_.size())]
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    before = max((x.stageId() for x in ids(stages())), default=-1)
+    run()
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(x.shuffleWriteRecords() for x in ids(stages()) if x.stageId() > before)
+
+
+def test_nearest_shuffles_no_row_for_each_edge(spark):
+    """24 neighbours and circles of 40: a row for each edge, member or find would be some hundred for each vector."""
+    v = np.random.default_rng(7).standard_normal((3000, 16))
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    assert shuffled(spark, lambda: neighbours.nearest(table, F.col("id") % 20 == 0).collect()) < 40 * len(v)
+
+
+@pytest.mark.parametrize("hot", [0, 1200])
+def test_nearest_over_many_blocks(spark, monkeypatch, hot):
+    """Small blocks and cells, of which near copies fill several: what a node finds lies in other blocks."""
+    monkeypatch.setattr(neighbours, "BLOCK", 256)
+    monkeypatch.setattr(neighbours, "CELL", 128)
+    rng = np.random.default_rng(8)
+    near = rng.standard_normal(32) + 0.01 * rng.standard_normal((hot, 32))
+    assert shares_found(spark, np.concatenate([near, rng.standard_normal((3000 - hot, 32))])) >= 0.95
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
