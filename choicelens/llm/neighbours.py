@@ -35,6 +35,8 @@ BEAM = 4
 #: A node's place is its block, shifted by so many bits, and its number there.
 BITS = 20
 WITHIN = (1 << BITS) - 1
+#: Queries of a block whose candidates are gathered at once; rows of blocks or letters that a Python worker is handed at once.
+SOME, HANDED = 256, 16
 
 FOUND = "query long, node long, score double"
 STATE = "block long, hs binary, near binary, score binary, new binary, fresh long, held long"
@@ -350,7 +352,7 @@ def neighbour_graph(nodes: DataFrame, degree: int, n: int, dim: int) -> tuple[Da
     vectors = "to long, place binary, h binary, worst binary"
     known = lambda own, at: [_read(own["hs"], "u1", 4 + 2 * dim)[at], _read(own["score"], "f4", degree)[at, -1]]
     while True:
-        with recording(old):
+        with recording(old), small_batches(nodes.sparkSession, HANDED):
             backs = graph.select("block", "near", "new").mapInArrow(_backs(degree, most), BACK)
             circles = graph.select("block", "near", "new").groupBy("block").cogroup(backs.groupBy("to")).applyInArrow(_circles(degree, most), CIRCLES)
             circles = written(circles, "circles")
@@ -394,14 +396,18 @@ def _call(degree: int, dim: int, beam: int):
     def run(own: pa.Table, got: pa.Table) -> pa.Table:
         query, near = _read(own["query"], "i8"), _read(own["near"], "i8", beam)
         place, lists = _read(got["place"], "i8"), _read(got["near"], "i8", degree)
-        order = np.argsort(place)
-        row, col = np.nonzero(_read(own["new"], "?", beam))
-        there = lists[order[np.searchsorted(place[order], near[row, col])]]
-        rows = np.concatenate([np.repeat(np.arange(len(near)), beam), np.repeat(row, degree)])
-        places, fresh = np.concatenate([near.ravel(), there.ravel()]), np.arange(len(rows)) >= near.size
-        at = _once(rows, places, fresh)
-        at = at[fresh[at]]
-        row, place = rows[at], places[at]
+        order, new = np.argsort(place), _read(own["new"], "?", beam)
+        found = [(np.zeros(0, int), np.zeros(0, np.int64))]
+        for lo in range(0, len(query), SOME):
+            has = near[lo : lo + SOME]
+            row, col = np.nonzero(new[lo : lo + SOME])
+            there = lists[order[np.searchsorted(place[order], has[row, col])]]
+            rows = np.concatenate([np.repeat(np.arange(len(has)), beam), np.repeat(row, degree)])
+            places, fresh = np.concatenate([has.ravel(), there.ravel()]), np.arange(len(rows)) >= has.size
+            at = _once(rows, places, fresh)
+            at = at[fresh[at]]
+            found.append((rows[at] + lo, places[at]))
+        row, place = map(np.concatenate, zip(*found, strict=True))
         block, who = np.divmod(np.unique((place >> BITS) * len(query) + row), max(1, len(query)))
         low, qh = _read(own["score"], "f4", beam)[who, -1], _read(own["qh"], "u1", 4 + 2 * dim)[who]
         return _table(CALLS, [*_letters(place >> BITS, place, query[row]), *_letters(block, query[who], qh, low)[1:]])
@@ -478,7 +484,7 @@ def search(queries: DataFrame, placed: DataFrame, graph: DataFrame, degree: int,
         told = wants.groupBy("to").cogroup(graph.select("block", "near").groupBy("block")).applyInArrow(_answer(ways, known), ways)
         calls = state.groupBy("block").cogroup(told.groupBy("to")).applyInArrow(_call(degree, dim, beam), CALLS)
         hits = calls.groupBy("to").cogroup(graph.select("block", "hs").groupBy("block")).applyInArrow(_score(dim), HITS)
-        with recording(old):
+        with recording(old), small_batches(placed.sparkSession, HANDED):
             state = written(state.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_advance(dim, beam), BEAMS), "beams")
         release(placed.sparkSession, old, state)
     last = state.select("query", "qh", "near", "score").mapInArrow(_close(dim, beam, k, longest), "query long, place long")
